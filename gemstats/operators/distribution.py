@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades
 from ..functions.stats import r6
-from .ranks import DEFAULT_BUCKETS, cumulative_counts, quantile_columns, value_counts
+from .ranks import DEFAULT_BUCKETS, cumulative_counts, present, quantile_columns, value_counts
 
 STEP_MULTIPLIERS = (1, 2, 5, 10, 20, 50)
 
@@ -34,11 +34,13 @@ def bin_index(v: Column, origin: Column, step: Column) -> Column:
     return F.floor(F.round((v - origin) / step, 9))
 
 
-def bin_params(df: DataFrame, value: str, max_bins: int) -> DataFrame:
-    """One row: ``lo, hi, step, origin, bins`` for ``value`` (NULLs when empty)."""
-    s = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+def bin_params(counts: DataFrame, value: str, max_bins: int) -> DataFrame:
+    """One row: ``lo, hi, step, origin, bins`` for ``value`` (NULLs when empty),
+    from a ``value_counts`` table (one row per distinct value)."""
+    s = counts.agg(F.min(present(value)).cast("double").alias("lo"),
+                   F.max(present(value)).cast("double").alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
-    raw = (hi - lo) / F.lit(float(max_bins))
+    raw = F.when(hi > lo, (hi - lo) / F.lit(float(max_bins)))
     k = F.floor(F.log10(raw))
     choice = None
     for m in reversed(STEP_MULTIPLIERS):
@@ -56,14 +58,19 @@ def bin_params(df: DataFrame, value: str, max_bins: int) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
-    """``bin, bin_start, bin_end, n`` for every bin, empty ones included."""
-    p = bin_params(df, value, max_bins).select(F.struct("step", "origin", "bins")).scalar()
+    """``bin, bin_start, bin_end, n`` for every bin, empty ones included.
+
+    Rows are first counted per distinct value (partial aggregation, one
+    scan); the bin edges and the bin counts both come from that table."""
+    vc = value_counts(df, value)
+    params = bin_params(vc, value, max_bins)
+    p = params.select(F.struct("step", "origin")).scalar()
     step, origin = p.getField("step"), p.getField("origin")
-    counts = (df.filter(F.col(value).isNotNull())
-                .select(bin_index(F.col(value), origin, step).cast("int").alias("bin"))
-                .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    all_bins = (bin_params(df, value, max_bins)
-                .filter(F.col("bins").isNotNull())
+    # non-nullable bin: no inferred IS NOT NULL filter is pushed into this branch's scan
+    bin_of = F.coalesce(bin_index(F.col(value), origin, step).cast("int"), F.lit(-1))
+    counts = (vc.select(bin_of.alias("bin"), "n")
+                .groupBy("bin").agg(F.sum("n").alias("n")))
+    all_bins = (params.filter(F.col("bins").isNotNull())
                 .select("step", "origin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")))
     return (all_bins.join(counts, "bin", "left")
                     .select("bin",
@@ -118,21 +125,27 @@ def ecdf_thresholds(df: DataFrame, value: str = "carat",
                   r6(F.coalesce(F.max(F.when(v <= value_line, pct)), F.lit(0.0))).alias("pct_at_value_line"))
 
 
-def box_stats(df: DataFrame, value: str = "price", key: str = "clarity",
-              whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Per key: n, quartiles (type 7), 1.5 x IQR fences, whisker ends and
-    the number of outliers. Whiskers and outliers come from the per-value
-    counts (one row per distinct value), not from the raw rows."""
+def box_fences(df: DataFrame, value: str = "price", key: str = "clarity",
+               whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Per key: n, quartiles (type 7) and the ``whisker`` x IQR fences."""
     cc = cumulative_counts(df, value, (key,), buckets)
     q = cc.groupBy(key).agg(F.max("total").alias("n"),
                             *quantile_columns(value, [0.25, 0.5, 0.75], ["q1", "median", "q3"]))
     iqr = F.col("q3") - F.col("q1")
-    fences = q.select(key, "n", "q1", "median", "q3",
-                      (F.col("q1") - F.lit(whisker) * iqr).alias("lower_fence"),
-                      (F.col("q3") + F.lit(whisker) * iqr).alias("upper_fence"))
+    return q.select(key, "n", "q1", "median", "q3",
+                    (F.col("q1") - F.lit(whisker) * iqr).alias("lower_fence"),
+                    (F.col("q3") + F.lit(whisker) * iqr).alias("upper_fence"))
+
+
+def box_stats(df: DataFrame, value: str = "price", key: str = "clarity",
+              whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Per key: n, quartiles, fences, whisker ends and the number of
+    outliers. Whiskers and outliers come from the per-value counts (one row
+    per distinct value), the same shuffle the quartiles use; one scan."""
+    fences = box_fences(df, value, key, whisker, buckets)
     v = F.col(value)
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    ends = (cc.select(key, value, "n").join(fences.select(key, "lower_fence", "upper_fence"), key)
+    ends = (value_counts(df, value, (key,)).join(fences.select(key, "lower_fence", "upper_fence"), key)
               .groupBy(key).agg(F.min(F.when(inside, v)).alias("whisker_low"),
                                 F.max(F.when(inside, v)).alias("whisker_high"),
                                 F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0))
@@ -148,7 +161,7 @@ def box_outliers(df: DataFrame, value: str = "price", key: str = "clarity",
                  whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """The rows outside their group's fences (the dots of the box plot).
     The fence table has one row per key and is joined to the rows by key."""
-    fences = box_stats(df, value, key, whisker, buckets).select(key, "lower_fence", "upper_fence")
+    fences = box_fences(df, value, key, whisker, buckets).select(key, "lower_fence", "upper_fence")
     v = F.col(value)
     return (df.join(fences, key)
               .filter((v < F.col("lower_fence")) | (v > F.col("upper_fence"))))
@@ -156,19 +169,21 @@ def box_outliers(df: DataFrame, value: str = "price", key: str = "clarity",
 
 def scatter_density(df: DataFrame, x: str = "carat", y: str = "price",
                     x_bins: int = grades.CARAT_BINS, y_bins: int = grades.PRICE_BINS) -> DataFrame:
-    """2-D binned counts of the price-vs-carat scatter: non-empty cells only."""
-    px = bin_params(df, x, x_bins).select(F.struct("step", "origin")).scalar()
-    py = bin_params(df, y, y_bins).select(F.struct("step", "origin")).scalar()
+    """2-D binned counts of the price-vs-carat scatter: non-empty cells only.
+    One scan: rows are counted per distinct (x, y) pair first."""
+    pairs = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+               .groupBy(x, y).agg(F.count(F.lit(1)).alias("n")))
+    px = bin_params(pairs, x, x_bins).select(F.struct("step", "origin")).scalar()
+    py = bin_params(pairs, y, y_bins).select(F.struct("step", "origin")).scalar()
     bx = bin_index(F.col(x), px.getField("origin"), px.getField("step")).cast("int")
     by = bin_index(F.col(y), py.getField("origin"), py.getField("step")).cast("int")
-    cells = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-               .select(bx.alias(f"{x}_bin"), by.alias(f"{y}_bin"))
-               .groupBy(f"{x}_bin", f"{y}_bin").agg(F.count(F.lit(1)).alias("n")))
+    cells = (pairs.select(bx.alias(f"{x}_bin"), by.alias(f"{y}_bin"), "n")
+                  .groupBy(f"{x}_bin", f"{y}_bin").agg(F.sum("n").alias("n")))
     return cells.select(
         f"{x}_bin", f"{y}_bin",
         r6(px.getField("origin") + F.col(f"{x}_bin") * px.getField("step")).alias(f"{x}_start"),
         r6(py.getField("origin") + F.col(f"{y}_bin") * py.getField("step")).alias(f"{y}_start"),
-        "n")
+        F.col("n").cast("bigint").alias("n"))
 
 
 def scatter_sample(df: DataFrame, x: str = "carat", y: str = "price",
@@ -179,6 +194,3 @@ def scatter_sample(df: DataFrame, x: str = "carat", y: str = "price",
     h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 30))
     return df.filter(h < F.lit(int(fraction * (1 << 30)))).select(x, y)
 
-
-def distinct_value_count(df: DataFrame, value: str) -> DataFrame:
-    return value_counts(df, value).agg(F.count(F.lit(1)).alias("distinct_values"))

@@ -8,12 +8,11 @@ language model is not made here; the rows are what such a call needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades
-from ..functions.stats import arg_first, arg_last, ratio, safe_corr, share_pct
-from .category import category_profile, mean_exceeds
+from ..functions.stats import ratio, safe_corr, share_pct
 from .ranks import exact_quantiles
 
 # The analysis types, in menu order.
@@ -21,89 +20,98 @@ ANALYSIS_TYPES = ["Carat Analysis", "Cut Analysis", "Color Analysis",
                   "Clarity Analysis", "Correlation Analysis"]
 
 
-def _map_of(profile: DataFrame, key: str, value: Column) -> Column:
-    """A key -> value map from a (small) profile, as a scalar subquery."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))
-    return profile.select(F.map_from_entries(entries)).scalar()
-
-
-def _carat(df: DataFrame) -> list[Column]:
+def _carat(df: DataFrame) -> DataFrame:
     q = exact_quantiles(df, "carat", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
     qs = q.select(F.array("q25", "q50", "q75")).scalar()
     v = F.col("carat")
-    return [F.avg(v).alias("avg_carat"), F.first(qs[1]).alias("median_carat"),
-            F.stddev_samp(v).alias("carat_std"),
-            F.array(F.min(v).cast("double"), F.max(v).cast("double")).alias("carat_range"),
-            F.first(qs).alias("carat_quartiles"),
-            share_pct(v <= grades.SMALL_CARAT_MAX).alias("small_diamonds_pct"),
-            share_pct(v >= grades.LARGE_CARAT_MIN).alias("large_diamonds_pct"),
-            safe_corr("price", "carat").alias("price_carat_correlation")]
+    return df.agg(F.count(F.lit(1)).alias("total_diamonds"),
+                  F.avg(v).alias("avg_carat"), F.first(qs[1]).alias("median_carat"),
+                  F.stddev_samp(v).alias("carat_std"),
+                  F.array(F.min(v).cast("double"), F.max(v).cast("double")).alias("carat_range"),
+                  F.first(qs).alias("carat_quartiles"),
+                  share_pct(v <= grades.SMALL_CARAT_MAX).alias("small_diamonds_pct"),
+                  share_pct(v >= grades.LARGE_CARAT_MIN).alias("large_diamonds_pct"),
+                  safe_corr("price", "carat").alias("price_carat_correlation"))
+
+
+def _correlation(df: DataFrame) -> DataFrame:
+    if "color_numeric" not in df.columns or "clarity_numeric" not in df.columns:
+        return df.agg(F.count(F.lit(1)).alias("total_diamonds"))
+    pc, pcol = safe_corr("price", "carat"), safe_corr("price", "color_numeric")
+    return df.agg(F.count(F.lit(1)).alias("total_diamonds"),
+                  pc.alias("price_carat_corr"), pcol.alias("price_color_corr"),
+                  safe_corr("price", "clarity_numeric").alias("price_clarity_corr"),
+                  F.coalesce(F.abs(pc) > grades.STRONG_CORRELATION, F.lit(False)).alias("carat_dominates_pricing"),
+                  F.coalesce(F.abs(pcol) < grades.WEAK_CORRELATION, F.lit(False)).alias("color_weak_correlation"))
+
+
+def _category(df: DataFrame, key: str) -> DataFrame:
+    """The whole bundle of a grade column from ONE group-by (NULL key kept as
+    its own group so shares can divide by all rows), aggregated once more
+    over its few rows."""
+    prof = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("carat").alias("avg_carat"),
+                               F.avg("price").alias("avg_price"))
+    k, n, mp = F.col(key), F.col("n"), F.col("avg_price")
+    known = k.isNotNull()
+    ppc = ratio(F.col("avg_price"), F.col("avg_carat"))
 
+    def kv(value):
+        entries = F.collect_list(F.when(known, F.struct(k.alias("k"), value.alias("v"))))
+        return F.map_from_entries(F.array_sort(entries))
 
-def _stats_columns(df: DataFrame, analysis_type: str) -> list[Column]:
-    """Aggregate columns of one bundle (besides total and type)."""
-    if analysis_type == "Carat Analysis":
-        return _carat(df)
-    if analysis_type in ("Cut Analysis", "Color Analysis", "Clarity Analysis"):
-        return _category(df, analysis_type)
-    if analysis_type == "Correlation Analysis":
-        if "color_numeric" in df.columns and "clarity_numeric" in df.columns:
-            pc, pcol = safe_corr("price", "carat"), safe_corr("price", "color_numeric")
-            return [pc.alias("price_carat_corr"), pcol.alias("price_color_corr"),
-                    safe_corr("price", "clarity_numeric").alias("price_clarity_corr"),
-                    F.coalesce(F.abs(pc) > grades.STRONG_CORRELATION, F.lit(False)).alias("carat_dominates_pricing"),
-                    F.coalesce(F.abs(pcol) < grades.WEAK_CORRELATION, F.lit(False)).alias("color_weak_correlation")]
-        return []
-    return []
-
-
-def _category(df: DataFrame, analysis_type: str) -> list[Column]:
-    key = {"Cut Analysis": "cut", "Color Analysis": "color", "Clarity Analysis": "clarity"}[analysis_type]
-    prof = category_profile(df, key, ("carat", "price"))
-    n, mp = F.col("n"), F.col("avg_price")
-    ppc = ratio(F.col("avg_price"), F.col("avg_carat"))
-    dist = _map_of(prof, key, n)
-    price_avg = _map_of(prof, key, mp)
-    col = F.col(key)
+    def first_by(*order):
+        return F.min_by(F.when(known, k), F.when(known, F.struct(*order, k)))
+
+    def last_by(*order):
+        return F.max_by(F.when(known, k), F.when(known, F.struct(*order, k)))
+
+    def pct(values):
+        return ratio(F.coalesce(F.sum(F.when(k.isin(values), n)), F.lit(0)), F.sum(n)) * F.lit(100.0)
+
+    def exceeds(pair):
+        a, b = pair
+        return F.coalesce(F.max(F.when(k == a, mp)) > F.max(F.when(k == b, mp)), F.lit(False))
+
+    total = F.sum(n).alias("total_diamonds")
     if key == "cut":
-        picks = prof.select(F.struct(arg_first(key, -n).alias("most"), arg_last(key, -n).alias("least"),
-                                     arg_first(key, -mp).alias("dear"), arg_first(key, mp).alias("cheap"))).scalar()
-        return [F.first(dist).alias("cut_distribution"),
-                F.first(picks.getField("most")).alias("most_common_cut"),
-                F.first(picks.getField("least")).alias("least_common_cut"),
-                F.first(price_avg).alias("cut_price_avg"),
-                F.first(picks.getField("dear")).alias("highest_priced_cut"),
-                F.first(picks.getField("cheap")).alias("lowest_priced_cut"),
-                share_pct(col.isin(grades.PREMIUM_CUTS)).alias("premium_cuts_pct")]
+        return prof.agg(total, kv(n).alias("cut_distribution"),
+                        first_by(-n).alias("most_common_cut"), last_by(-n).alias("least_common_cut"),
+                        kv(mp).alias("cut_price_avg"),
+                        first_by(-mp).alias("highest_priced_cut"), first_by(mp).alias("lowest_priced_cut"),
+                        pct(grades.PREMIUM_CUTS).alias("premium_cuts_pct"))
     if key == "color":
-        picks = prof.select(F.struct(arg_first(key, -n).alias("most"),
-                                     arg_first(key, -ppc).alias("best"))).scalar()
-        return [F.first(dist).alias("color_distribution"),
-                F.first(picks.getField("most")).alias("most_common_color"),
-                share_pct(col.isin(grades.PREMIUM_COLORS)).alias("premium_colors_pct"),
-                F.first(_map_of(prof, key, F.col("avg_carat"))).alias("avg_carat_by_color"),
-                F.first(price_avg).alias("avg_price_by_color"),
-                F.first(_map_of(prof, key, ppc)).alias("price_per_carat_by_color"),
-                F.first(picks.getField("best")).alias("best_value_color"),
-                mean_exceeds(df, "color", grades.COLOR_PARADOX).alias("color_price_paradox")]
-    picks = prof.select(F.struct(arg_first(key, -n).alias("most"),
-                                 arg_first(key, -mp).alias("dear"))).scalar()
-    return [F.first(dist).alias("clarity_distribution"),
-            F.first(picks.getField("most")).alias("most_common_clarity"),
-            share_pct(col.isin(grades.SWEET_SPOT_CLARITIES)).alias("sweet_spot_clarity_pct"),
-            share_pct(col.isin(grades.PREMIUM_CLARITIES)).alias("premium_clarity_pct"),
-            F.first(price_avg).alias("clarity_price_avg"),
-            F.first(picks.getField("dear")).alias("highest_priced_clarity"),
-            mean_exceeds(df, "clarity", grades.CLARITY_PARADOX).alias("clarity_price_paradox")]
+        return prof.agg(total, kv(n).alias("color_distribution"),
+                        first_by(-n).alias("most_common_color"),
+                        pct(grades.PREMIUM_COLORS).alias("premium_colors_pct"),
+                        kv(F.col("avg_carat")).alias("avg_carat_by_color"),
+                        kv(mp).alias("avg_price_by_color"),
+                        kv(ppc).alias("price_per_carat_by_color"),
+                        first_by(-ppc).alias("best_value_color"),
+                        exceeds(grades.COLOR_PARADOX).alias("color_price_paradox"))
+    return prof.agg(total, kv(n).alias("clarity_distribution"),
+                    first_by(-n).alias("most_common_clarity"),
+                    pct(grades.SWEET_SPOT_CLARITIES).alias("sweet_spot_clarity_pct"),
+                    pct(grades.PREMIUM_CLARITIES).alias("premium_clarity_pct"),
+                    kv(mp).alias("clarity_price_avg"),
+                    first_by(-mp).alias("highest_priced_clarity"),
+                    exceeds(grades.CLARITY_PARADOX).alias("clarity_price_paradox"))
 
 
 def insight_stats(df: DataFrame, analysis_type: str) -> DataFrame:
-    """One row: ``analysis_type, stats_json`` (NULL statistics kept as null)."""
-    cols = _stats_columns(df, analysis_type)
-    one = df.agg(F.count(F.lit(1)).alias("total_diamonds"),
-                 F.lit(analysis_type).alias("analysis_type"), *cols)
+    """One row: ``analysis_type, stats_json`` (NULL statistics kept as null).
+    An unknown type carries only the total and the type."""
+    if analysis_type == "Carat Analysis":
+        one = _carat(df)
+    elif analysis_type in ("Cut Analysis", "Color Analysis", "Clarity Analysis"):
+        one = _category(df, analysis_type.split()[0].lower())
+    elif analysis_type == "Correlation Analysis":
+        one = _correlation(df)
+    else:
+        one = df.agg(F.count(F.lit(1)).alias("total_diamonds"))
+    rest = [c for c in one.columns if c != "total_diamonds"]
+    fields = [F.col("total_diamonds"), F.lit(analysis_type).alias("analysis_type"), *[F.col(c) for c in rest]]
     return one.select(F.lit(analysis_type).alias("analysis_type"),
-                      F.to_json(F.struct(*one.columns), {"ignoreNullFields": "false"}).alias("stats_json"))
+                      F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("stats_json"))
 
 
 def all_insight_stats(df: DataFrame, types: list[str] = ANALYSIS_TYPES) -> DataFrame:

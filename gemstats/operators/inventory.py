@@ -62,9 +62,10 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, events: DataFrame | None = None,
                  next_batch: int = 1, item_schema: T.StructType = ITEM_SCHEMA,
-                 stored_upto: int = 0):
+                 stored_upto: int = 0, last_clear: int = 0):
         self.spark = spark
         self.stored_upto = stored_upto
+        self.last_clear = last_clear
         self.item_schema = item_schema
         self.items = [f.name for f in item_schema.fields]
         if events is None:
@@ -84,8 +85,9 @@ class Ledger:
         present = [c for c in self.items if c in rows.columns]
         batch = rows.select(F.lit(self.next_batch).cast("bigint").alias("batch_id"),
                             F.lit(op).alias("op"), row_key(present).alias("row_id"), *cols)
+        last_clear = self.next_batch if op == "clear" else self.last_clear
         return Ledger(self.spark, self.events.unionByName(batch), self.next_batch + 1,
-                      self.item_schema, self.stored_upto)
+                      self.item_schema, self.stored_upto, last_clear)
 
     def add_selected(self, listed: DataFrame, positions: list[int]) -> "Ledger":
         """Rows of a numbered listing (see ``filters.listing``) picked by position."""
@@ -118,10 +120,12 @@ class Ledger:
 
     # -- views -----------------------------------------------------------
     def current(self) -> DataFrame:
-        """Rows after the last ``clear``; order by ``(batch_id, row_id)``."""
-        last_clear = self.events.filter(F.col("op") == "clear").select(
-            F.coalesce(F.max("batch_id"), F.lit(0).cast("bigint"))).scalar()
-        return self.events.filter((F.col("op") != "clear") & (F.col("batch_id") > last_clear))
+        """Rows after the last ``clear``; order by ``(batch_id, row_id)``.
+
+        The ledger knows its last ``clear`` batch, so the filter is a literal:
+        batches before it are pruned from the plan (from the in-memory union
+        at planning time, from the stored dataset as partitions)."""
+        return self.events.filter((F.col("op") != "clear") & (F.col("batch_id") > F.lit(self.last_clear)))
 
     def totals(self) -> DataFrame:
         """Count, total and mean price of the current inventory."""
@@ -132,13 +136,17 @@ class Ledger:
         """Append the batches not stored yet; returns the ledger marked stored."""
         fresh = self.events.filter(F.col("batch_id") > self.stored_upto)
         fresh.write.mode("append").partitionBy("batch_id").parquet(path)
-        return Ledger(self.spark, self.events, self.next_batch, self.item_schema, self.next_batch - 1)
+        return Ledger(self.spark, self.events, self.next_batch, self.item_schema, self.next_batch - 1,
+                      self.last_clear)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, item_schema: T.StructType = ITEM_SCHEMA) -> "Ledger":
-        events = spark.read.parquet(path)
-        last = int(events.agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0])
-        return cls(spark, events, last + 1, item_schema, last)
+        raw = spark.read.parquet(path)
+        cols = ["batch_id", "op", "row_id"] + [f.name for f in item_schema.fields]
+        events = raw.select(F.col("batch_id").cast("bigint").alias("batch_id"), *cols[1:])
+        row = events.agg(F.coalesce(F.max("batch_id"), F.lit(0)),
+                         F.coalesce(F.max(F.when(F.col("op") == "clear", F.col("batch_id"))), F.lit(0))).first()
+        return cls(spark, events, int(row[0]) + 1, item_schema, int(row[0]), int(row[1]))
 
 
 def inventory_totals(current: DataFrame) -> DataFrame:

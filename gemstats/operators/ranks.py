@@ -34,37 +34,52 @@ def value_counts(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFra
     return df.filter(cond).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bucketed(vc: DataFrame, value: str, by: tuple[str, ...], buckets: int) -> DataFrame:
+def present(value: str) -> Column:
+    """``value`` of a ``value_counts`` row, with its count referenced.
+
+    ``n`` is always >= 1, so this is just the value; referencing ``n`` keeps
+    the count in every branch that reads the per-value counts, so all of
+    them are the same plan and Spark runs one scan and one shuffle for it
+    (a branch without the count would be planned, and scanned, separately).
+    """
+    return F.when(F.col("n") > 0, F.col(value))
+
+
+def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
+                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """``by..., value, n, cum, total``: ``cum`` counts rows with a value <= this one.
+
+    The per-value counts are one plan used by every branch below, so the
+    scan and its shuffle run once (Spark reuses the identical exchange).
+    """
+    vc = value_counts(df, value, by)
+    v = F.col(value)
     fracs = [i / buckets for i in range(1, buckets)]
-    bounds = F.percentile_approx(value, fracs, 10000)
+    summary = [F.percentile_approx(present(value), fracs, 10000).alias("_edges"),
+               F.sum("n").alias("total")]
     if by:
-        edges = vc.groupBy(*by).agg(bounds.alias("_edges"))
-        vc = vc.join(edges, list(by))
-        edges_col = F.col("_edges")
+        edges = vc.groupBy(*by).agg(*summary)          # one row per group
+        b = vc.join(edges, list(by))
+        edges_col, total_col = F.col("_edges"), F.col("total")
     else:
-        edges_col = vc.select(bounds).scalar()
-    v = F.col(value)
+        one = vc.agg(*summary).select(F.struct("_edges", "total")).scalar()
+        b = vc
+        edges_col, total_col = one.getField("_edges"), one.getField("total")
     # number of edges strictly below v: first position of v among edges + [v], sorted
     # (no lambda, so the edges may come from a scalar subquery)
-    below = F.array_position(F.sort_array(F.concat(edges_col, F.array(v))), v) - 1
-    return vc.select(*by, value, "n", below.cast("int").alias("_b"))
-
-
-def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
-                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``by..., value, n, cum, total``: ``cum`` counts rows with a value <= this one."""
-    b = _bucketed(value_counts(df, value, by), value, by, buckets)
+    # (non-nullable, so no inferred IS NOT NULL filter is pushed into one branch's scan)
+    below = F.coalesce(F.array_position(F.sort_array(F.concat(edges_col, F.array(v))), v) - 1, F.lit(0))
+    b = b.select(*by, value, "n", total_col.alias("total"), below.cast("int").alias("_b"))
     part = [*by, "_b"]
-    inner = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    b = b.select("*", F.sum("n").over(inner).alias("_cin"))
-    # One row per (group, bucket): bounded by `buckets` rows per group.
-    per_bucket = b.groupBy(*part).agg(F.sum("n").alias("_bn"))
+    running = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    w = b.select("*", F.sum("n").over(running).alias("_cin"),
+                 F.sum("n").over(Window.partitionBy(*part)).alias("_bn"))
+    # One row per (group, bucket), bounded by `buckets` rows per group; the input
+    # is already clustered by (group, bucket), so this aggregate adds no shuffle.
+    per_bucket = w.groupBy(*part).agg(F.max("_bn").alias("_bn"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *part,
-        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"),
-        F.sum("_bn").over(Window.partitionBy(*by)).alias("total"))
-    return (b.join(offsets, part)
+    offsets = per_bucket.select(*part, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
+    return (w.join(offsets, part)
              .select(*by, value, "n", (F.col("_off") + F.col("_cin")).alias("cum"), "total"))
 
 
