@@ -23,10 +23,10 @@ from .ranks import DEFAULT_BUCKETS, cumulative_counts, present, quantile_columns
 STEP_MULTIPLIERS = (1, 2, 5, 10, 20, 50)
 
 
-def _scaled(m: int, k: Column) -> Column:
+def _scaled_col(m: Column, k: Column) -> Column:
     """m * 10^k, computed with exact integer powers so every engine agrees."""
-    return F.when(k >= 0, F.lit(float(m)) * F.pow(F.lit(10.0), k)) \
-            .otherwise(F.lit(float(m)) / F.pow(F.lit(10.0), -k))
+    return F.when(k >= 0, m.cast("double") * F.pow(F.lit(10.0), k)) \
+            .otherwise(m.cast("double") / F.pow(F.lit(10.0), -k))
 
 
 def bin_index(v: Column, origin: Column, step: Column) -> Column:
@@ -35,26 +35,27 @@ def bin_index(v: Column, origin: Column, step: Column) -> Column:
 
 
 def bin_params(counts: DataFrame, value: str, max_bins: int) -> DataFrame:
-    """One row: ``lo, hi, step, origin, bins`` for ``value`` (NULLs when empty),
-    from a ``value_counts`` table (one row per distinct value)."""
+    """One row: ``step, origin, bins`` for ``value`` (no row when empty),
+    from a ``value_counts`` table (one row per distinct value).
+
+    The candidate steps are a six-row table (one per multiplier); the
+    smallest that covers the range within the cap wins."""
     s = counts.agg(F.min(present(value)).cast("double").alias("lo"),
                    F.max(present(value)).cast("double").alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
-    raw = F.when(hi > lo, (hi - lo) / F.lit(float(max_bins)))
-    k = F.floor(F.log10(raw))
-    choice = None
-    for m in reversed(STEP_MULTIPLIERS):
-        step = _scaled(m, k)
-        origin = F.floor(lo / step) * step
-        fits = (step >= raw) & (bin_index(hi, origin, step) + 1 <= max_bins)
-        choice = F.when(fits, step) if choice is None else F.when(fits, step).otherwise(choice)
-    step = F.when(hi == lo, F.lit(1.0)).otherwise(choice)
-    with_step = s.select(lo, hi, step.alias("step"))
-    origin = F.when(F.col("hi") == F.col("lo"), F.col("lo")) \
-              .otherwise(F.floor(F.col("lo") / F.col("step")) * F.col("step"))
-    with_origin = with_step.select("lo", "hi", "step", origin.alias("origin"))
-    bins = (bin_index(F.col("hi"), F.col("origin"), F.col("step")) + 1).cast("int")
-    return with_origin.select("lo", "hi", "step", "origin", bins.alias("bins"))
+    raw = (hi - lo) / F.lit(float(max_bins))
+    cands = (s.filter(hi > lo)
+              .select("lo", "hi", raw.alias("raw"), F.floor(F.log10(raw)).alias("k"),
+                      F.explode(F.array(*[F.lit(m) for m in STEP_MULTIPLIERS])).alias("m"))
+              .select("lo", "hi", "raw", _scaled_col(F.col("m"), F.col("k")).alias("step")))
+    origin = F.floor(lo / F.col("step")) * F.col("step")
+    fits = (F.col("step") >= F.col("raw")) & (bin_index(hi, origin, F.col("step")) + 1 <= max_bins)
+    chosen = (cands.filter(fits).groupBy("lo", "hi").agg(F.min("step").alias("step"))
+                   .select("hi", "step", (F.floor(lo / F.col("step")) * F.col("step")).alias("origin")))
+    spread = chosen.select("step", "origin",
+                           (bin_index(F.col("hi"), F.col("origin"), F.col("step")) + 1).cast("int").alias("bins"))
+    single = s.filter(hi == lo).select(F.lit(1.0).alias("step"), lo.alias("origin"), F.lit(1).alias("bins"))
+    return spread.unionByName(single)
 
 
 def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
@@ -70,8 +71,7 @@ def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
     bin_of = F.coalesce(bin_index(F.col(value), origin, step).cast("int"), F.lit(-1))
     counts = (vc.select(bin_of.alias("bin"), "n")
                 .groupBy("bin").agg(F.sum("n").alias("n")))
-    all_bins = (params.filter(F.col("bins").isNotNull())
-                .select("step", "origin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")))
+    all_bins = params.select("step", "origin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     return (all_bins.join(counts, "bin", "left")
                     .select("bin",
                             r6(F.col("origin") + F.col("bin") * F.col("step")).alias("bin_start"),
