@@ -59,6 +59,12 @@ def _steps(spark, sf, upto: str) -> DataFrame:
     return df.transform(cln.add_grade_ordinals)
 
 
+def _mapped(spark, sf) -> DataFrame:
+    """The grade mapping applied afresh to the stored table's input columns
+    (the de-duplication is not run again for it)."""
+    return _clean(spark, sf).drop(*cln.DERIVED).transform(cln.add_grade_ordinals)
+
+
 def _all_filters(df):
     return flt.apply_filters(df, price=PRICE_RANGE, carat=CARAT_RANGE, colors=COLORS,
                              clarities=CLARITIES, cuts=CUTS)
@@ -94,13 +100,13 @@ QUERIES: dict[str, Query] = {
     "dedup_rows": lambda s, sf: _steps(s, sf, "dedup"),
     "drop_missing": lambda s, sf: _steps(s, sf, "missing"),
     "valid_dims": lambda s, sf: _steps(s, sf, "dims"),
-    "color_ordinal": lambda s, sf: _steps(s, sf, "all").groupBy("color", "color_numeric").agg(
+    "color_ordinal": lambda s, sf: _mapped(s, sf).groupBy("color", "color_numeric").agg(
         F.count(F.lit(1)).alias("n")),
-    "clarity_ordinal": lambda s, sf: _steps(s, sf, "all").groupBy("clarity", "clarity_numeric").agg(
+    "clarity_ordinal": lambda s, sf: _mapped(s, sf).groupBy("clarity", "clarity_numeric").agg(
         F.count(F.lit(1)).alias("n")),
-    "cut_lab_grade": lambda s, sf: _steps(s, sf, "all").groupBy("cut", "cut_gia").agg(
+    "cut_lab_grade": lambda s, sf: _mapped(s, sf).groupBy("cut", "cut_gia").agg(
         F.count(F.lit(1)).alias("n")),
-    "unmapped_grades": lambda s, sf: _steps(s, sf, "all").filter(
+    "unmapped_grades": lambda s, sf: _mapped(s, sf).filter(
         F.col("color_numeric").isNull() | F.col("clarity_numeric").isNull() | F.col("cut_gia").isNull()),
     "clean_rows": lambda s, sf: _clean(s, sf),
     "quality_report": lambda s, sf: cln.quality_report(_clean(s, sf)),

@@ -19,6 +19,9 @@ from ..session import shared_dir
 from ..sources.fixture import diamond_raw
 
 _VERSION = "clean-v1"
+# Resolved (lazy) DataFrames over written tables, per application and path:
+# listing the folder and reading a footer again for every query is overhead.
+_RESOLVED: dict[tuple[str, str], DataFrame] = {}
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
@@ -35,9 +38,13 @@ def stored(spark: SparkSession, key: str, build, refresh: bool = False) -> DataF
     last, so a half-written folder is rewritten."""
     digest = hashlib.sha1(f"{_VERSION}|{key}".encode()).hexdigest()[:16]
     path = f"{shared_dir(spark).rstrip('/')}/gemstats/{digest}"
+    handle = (spark.sparkContext.applicationId, path)
+    if not refresh and handle in _RESOLVED:
+        return _RESOLVED[handle]
     if refresh or not _complete(spark, path):
         build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _RESOLVED[handle] = spark.read.parquet(path)
+    return _RESOLVED[handle]
 
 
 def cleaned_diamonds(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:

@@ -1,0 +1,6 @@
+"""Streaming operators.
+
+The statistics mirrored by this library have no stream, watermark or
+stateful operator: data arrives as one uploaded file. Nothing is built
+here on purpose (see README, "Re-aimed or skipped").
+"""
