@@ -72,7 +72,7 @@ def _category(df: DataFrame, key: str) -> DataFrame:
         a, b = pair
         return F.coalesce(F.max(F.when(k == a, mp)) > F.max(F.when(k == b, mp)), F.lit(False))
 
-    total = F.sum(n).alias("total_diamonds")
+    total = F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias("total_diamonds")
     if key == "cut":
         return prof.agg(total, kv(n).alias("cut_distribution"),
                         first_by(-n).alias("most_common_cut"), last_by(-n).alias("least_common_cut"),

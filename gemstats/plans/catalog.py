@@ -27,7 +27,8 @@ from ..operators import insight as ins
 from ..operators import inventory as inv
 from ..operators import profile as prf
 from ..sources.files import parse_columns
-from ..sources.fixture import diamond_raw, diamond_with_text_carat
+from ..functions.stats import r6
+from ..sources.fixture import diamond_raw, diamond_with_text_carat, table
 from .store import cleaned_diamonds
 
 # One fixed filter session (slider / multiselect values).
@@ -176,4 +177,9 @@ QUERIES: dict[str, Query] = {
                      .add_all(flt.apply_filters(_clean(s, sf), colors=COLORS, clarities=CLARITIES, cuts=CUTS))),
     "inv_totals": lambda s, sf: _session_ledger(s, sf).totals(),
     "inv_current": lambda s, sf: _current(_session_ledger(s, sf)),
+    # -- the same generic operators on a second table (part) --------------------
+    "part_brand_profile": lambda s, sf: cat.category_profile(table(s, sf, "part"), "p_brand", ("p_retailprice",))
+        .select("p_brand", "n", r6(F.col("avg_p_retailprice")).alias("avg_p_retailprice")),
+    "part_price_hist": lambda s, sf: dst.histogram(table(s, sf, "part"), "p_retailprice", 30),
+    "part_price_box_by_type": lambda s, sf: dst.box_stats(table(s, sf, "part"), "p_retailprice", "p_type"),
 }

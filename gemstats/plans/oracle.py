@@ -69,10 +69,10 @@ def _bins(value: str, nbins: int, src: str = "cleaned", prefix: str = "b") -> li
     ]
 
 
-def _hist(value: str, nbins: int) -> str:
-    return _with(*_bins(value, nbins), f"""counts AS (
+def _hist(value: str, nbins: int, src: str = "cleaned") -> str:
+    return _with(*_bins(value, nbins, src), f"""counts AS (
         SELECT CAST(floor(round(({value} - origin) / step, 9)) AS INTEGER) AS bin, count(*) AS n
-        FROM cleaned, b_p WHERE {value} IS NOT NULL GROUP BY 1)""") + """
+        FROM {src}, b_p WHERE {value} IS NOT NULL GROUP BY 1)""") + """
 SELECT g.bin, round(origin + g.bin * step, 6) AS bin_start, round(origin + (g.bin + 1) * step, 6) AS bin_end,
        CAST(coalesce(counts.n, 0) AS BIGINT) AS n
 FROM (SELECT step, origin, CAST(unnest(range(0, bins)) AS INTEGER) AS bin FROM b_p) g
@@ -95,12 +95,27 @@ _LISTED = f"""listed AS (
   SELECT row_number() OVER (ORDER BY {ORDER}) AS pos, *
   FROM (SELECT * FROM cleaned WHERE {ALL_P} ORDER BY {ORDER} LIMIT 100))"""
 
-_QUART = """q AS (
-  SELECT clarity, count(*) AS n,
-    quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median, quantile_cont(price, 0.75) AS q3
-  FROM cleaned GROUP BY clarity),
+def _quartiles(key: str = "clarity", value: str = "price", src: str = "cleaned") -> str:
+    return f"""q AS (
+  SELECT {key}, count(*) AS n,
+    quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median, quantile_cont({value}, 0.75) AS q3
+  FROM {src} WHERE {value} IS NOT NULL AND {key} IS NOT NULL GROUP BY {key}),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)"""
 
+
+def _box(key: str = "clarity", value: str = "price", src: str = "cleaned") -> str:
+    return _with(_quartiles(key, value, src)) + f"""SELECT f.{key}, f.n, round(q1, 6) AS q1,
+  round(median, 6) AS median, round(q3, 6) AS q3, round(lower_fence, 6) AS lower_fence,
+  round(upper_fence, 6) AS upper_fence,
+  CAST(min({value}) FILTER (WHERE {value} >= lower_fence AND {value} <= upper_fence) AS DOUBLE) AS whisker_low,
+  CAST(max({value}) FILTER (WHERE {value} >= lower_fence AND {value} <= upper_fence) AS DOUBLE) AS whisker_high,
+  count(*) FILTER (WHERE {value} < lower_fence OR {value} > upper_fence) AS outliers
+FROM f JOIN {src} c ON c.{key} = f.{key}
+GROUP BY f.{key}, f.n, q1, median, q3, lower_fence, upper_fence"""
+
+
+_QUART = _quartiles()
+
 ORACLE: dict[str, str] = {
     "na_tokens": f"""WITH {RAW_SQL}
 SELECT CASE WHEN price % 10 IN (0, 1, 2, 3) THEN NULL ELSE carat END AS carat,
@@ -205,13 +220,7 @@ FROM cleaned WHERE carat IS NOT NULL""",
         """c AS (SELECT carat, CAST(sum(n) OVER (ORDER BY carat) AS DOUBLE) / sum(n) OVER () * 100 AS pct FROM v)""")
     + """SELECT min(carat) FILTER (WHERE pct >= 80) AS carat_at_pct_line,
   round(coalesce(max(pct) FILTER (WHERE carat <= 1.2), 0.0), 6) AS pct_at_value_line FROM c""",
-    "box_price_by_clarity": _with(_QUART) + """SELECT f.clarity, f.n, round(q1, 6) AS q1, round(median, 6) AS median,
-  round(q3, 6) AS q3, round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence,
-  CAST(min(price) FILTER (WHERE price >= lower_fence AND price <= upper_fence) AS DOUBLE) AS whisker_low,
-  CAST(max(price) FILTER (WHERE price >= lower_fence AND price <= upper_fence) AS DOUBLE) AS whisker_high,
-  count(*) FILTER (WHERE price < lower_fence OR price > upper_fence) AS outliers
-FROM f JOIN cleaned c ON c.clarity = f.clarity
-GROUP BY f.clarity, f.n, q1, median, q3, lower_fence, upper_fence""",
+    "box_price_by_clarity": _box(),
     "box_outliers": _with(_QUART) + f"""SELECT c.*, f.lower_fence, f.upper_fence
 FROM cleaned c JOIN f ON c.clarity = f.clarity
 WHERE c.price < f.lower_fence OR c.price > f.upper_fence""",
@@ -285,6 +294,10 @@ UNION ALL
 SELECT CAST(2 AS BIGINT) AS batch_id, 'all' AS op, {ITEM_COLS} FROM cleaned WHERE {MEMBER_P}""",
     "inv_totals": _with(_LISTED, f"cur AS ({_CURRENT_SESSION})") + """SELECT count(*) AS items,
   CAST(sum(price) AS BIGINT) AS total_value, round(avg(price), 6) AS avg_price FROM cur""",
+    "part_brand_profile": """SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 6) AS avg_p_retailprice
+FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand""",
+    "part_price_hist": _hist("p_retailprice", 30, "part"),
+    "part_price_box_by_type": _box("p_type", "p_retailprice", "part"),
     "inv_current": _with(_LISTED, f"cur AS ({_CURRENT_SESSION})") + """SELECT CAST(batch_id AS BIGINT) AS batch_id,
   op, carat, cut, color, clarity, price, x, y, z, color_numeric, clarity_numeric, cut_gia FROM cur""",
 }

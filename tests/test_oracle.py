@@ -40,6 +40,7 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_has_an_oracle_or_a_reason():
     missing = set(entry.queries()) - set(entry.oracle_sql())
     assert missing == {"scatter_sample", "insight_stats", "insight_prompts"}
+    assert len(entry.queries()) == 61
 
 
 def test_entry_smoke(spark):
