@@ -85,7 +85,7 @@ def listing(df: DataFrame, n: int = grades.LISTING_ROWS) -> DataFrame:
     best ``n``), so the numbering window sees at most ``n`` rows."""
     order = natural_order(df)
     top = df.orderBy(*order).limit(n)
-    return top.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), *df.columns)
+    return top.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("pos"), *df.columns)
 
 
 def available(df: DataFrame, n: int = grades.LISTING_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
-from tools.oracle_check import TABLES, canon
+from tools.oracle_check import TABLES, canon, type_diff
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,7 @@ def test_query_matches_oracle(spark, duck, name):
     sc, sh, _ = canon(df.columns, srows)
     dc, dh, _ = canon(dcols, drows)
     assert (len(srows), sc) == (len(drows), dc)
+    assert type_diff(df.dtypes, cur.description) == {}
     assert sh == dh
 
 
