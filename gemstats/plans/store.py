@@ -10,6 +10,7 @@ checkpointed plan); later reads get column pruning and pushed filters.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ _VERSION = "clean-v2"
 # Resolved (lazy) DataFrames over written tables, per application and path:
 # listing the folder and reading a footer again for every query is overhead.
 _RESOLVED: dict[tuple[str, str], DataFrame] = {}
+_LOCK = threading.Lock()  # one writer per table when queries are submitted from threads
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
@@ -39,12 +41,13 @@ def stored(spark: SparkSession, key: str, build, refresh: bool = False) -> DataF
     digest = hashlib.sha1(f"{_VERSION}|{key}".encode()).hexdigest()[:16]
     path = f"{shared_dir(spark).rstrip('/')}/gemstats/{digest}"
     handle = (spark.sparkContext.applicationId, path)
-    if not refresh and handle in _RESOLVED:
+    with _LOCK:
+        if not refresh and handle in _RESOLVED:
+            return _RESOLVED[handle]
+        if refresh or not _complete(spark, path):
+            build().write.mode("overwrite").parquet(path)
+        _RESOLVED[handle] = spark.read.parquet(path)
         return _RESOLVED[handle]
-    if refresh or not _complete(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    _RESOLVED[handle] = spark.read.parquet(path)
-    return _RESOLVED[handle]
 
 
 # Rows are sorted inside each written file (no shuffle) by the slider columns,
