@@ -8,7 +8,7 @@ language model is not made here; the rows are what such a call needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades
@@ -20,39 +20,48 @@ ANALYSIS_TYPES = ["Carat Analysis", "Cut Analysis", "Color Analysis",
                   "Clarity Analysis", "Correlation Analysis"]
 
 
-def _carat(df: DataFrame) -> DataFrame:
-    q = exact_quantiles(df, "carat", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    qs = q.select(F.array("q25", "q50", "q75")).scalar()
-    v = F.col("carat")
-    return df.agg(F.count(F.lit(1)).alias("total_diamonds"),
-                  F.avg(v).alias("avg_carat"), F.first(qs[1]).alias("median_carat"),
-                  F.stddev_samp(v).alias("carat_std"),
-                  F.array(F.min(v).cast("double"), F.max(v).cast("double")).alias("carat_range"),
-                  F.first(qs).alias("carat_quartiles"),
-                  share_pct(v <= grades.SMALL_CARAT_MAX).alias("small_diamonds_pct"),
-                  share_pct(v >= grades.LARGE_CARAT_MIN).alias("large_diamonds_pct"),
-                  safe_corr("price", "carat").alias("price_carat_correlation"))
-
-
-def _correlation(df: DataFrame) -> DataFrame:
-    if "color_numeric" not in df.columns or "clarity_numeric" not in df.columns:
-        return df.agg(F.count(F.lit(1)).alias("total_diamonds"))
-    pc, pcol = safe_corr("price", "carat"), safe_corr("price", "color_numeric")
-    return df.agg(F.count(F.lit(1)).alias("total_diamonds"),
-                  pc.alias("price_carat_corr"), pcol.alias("price_color_corr"),
-                  safe_corr("price", "clarity_numeric").alias("price_clarity_corr"),
-                  F.coalesce(F.abs(pc) > grades.STRONG_CORRELATION, F.lit(False)).alias("carat_dominates_pricing"),
-                  F.coalesce(F.abs(pcol) < grades.WEAK_CORRELATION, F.lit(False)).alias("color_weak_correlation"))
-
-
-def _category(df: DataFrame, key: str) -> DataFrame:
-    """The whole bundle of a grade column from ONE group-by (NULL key kept as
-    its own group so shares can divide by all rows), aggregated once more
-    over its few rows."""
-    prof = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("carat").alias("avg_carat"),
-                               F.avg("price").alias("avg_price"))
+GRADE_KEYS = ("cut", "color", "clarity")
+_TYPE_KEY = {"Cut Analysis": "cut", "Color Analysis": "color", "Clarity Analysis": "clarity"}
+
+
+def _bundle_columns(key_gid: dict, analysis_type: str, has_ordinals: bool,
+                    quartiles: Column | None) -> list[tuple[str, Column]]:
+    """``(field, aggregate)`` pairs over the grouping-sets table giving one
+    bundle (``total_diamonds`` first, as in the statistics mirrored)."""
+    gid = F.col("_gid")
+    whole = gid == key_gid[None]
+
+    def of_all(c):  # the value on the all-rows grouping set
+        return F.max(F.when(whole, F.col(c)))
+
+    out = [("total_diamonds", F.coalesce(of_all("n"), F.lit(0).cast("bigint"))),
+           ("analysis_type", F.lit(analysis_type))]
+    if analysis_type == "Carat Analysis":
+        return out + [
+            ("avg_carat", of_all("avg_carat")),
+            ("median_carat", F.first(quartiles[1])),
+            ("carat_std", of_all("carat_std")),
+            ("carat_range", F.array(of_all("min_carat").cast("double"), of_all("max_carat").cast("double"))),
+            ("carat_quartiles", F.first(quartiles)),
+            ("small_diamonds_pct", ratio(of_all("n_small"), of_all("n")) * 100.0),
+            ("large_diamonds_pct", ratio(of_all("n_large"), of_all("n")) * 100.0),
+            ("price_carat_correlation", of_all("r_price_carat"))]
+    if analysis_type == "Correlation Analysis":
+        if not has_ordinals:
+            return out
+        pc, pcol = of_all("r_price_carat"), of_all("r_price_color")
+        return out + [
+            ("price_carat_corr", pc),
+            ("price_color_corr", pcol),
+            ("price_clarity_corr", of_all("r_price_clarity")),
+            ("carat_dominates_pricing", F.coalesce(F.abs(pc) > grades.STRONG_CORRELATION, F.lit(False))),
+            ("color_weak_correlation", F.coalesce(F.abs(pcol) < grades.WEAK_CORRELATION, F.lit(False)))]
+    key = _TYPE_KEY.get(analysis_type)
+    if key is None or key not in key_gid:
+        return out
     k, n, mp = F.col(key), F.col("n"), F.col("avg_price")
-    known = k.isNotNull()
+    mine = gid == key_gid[key]
+    known = mine & k.isNotNull()
     ppc = ratio(F.col("avg_price"), F.col("avg_carat"))
 
     def kv(value):
@@ -66,60 +75,93 @@ def _category(df: DataFrame, key: str) -> DataFrame:
         return F.max_by(F.when(known, k), F.when(known, F.struct(*order, k)))
 
     def pct(values):
-        return ratio(F.coalesce(F.sum(F.when(k.isin(values), n)), F.lit(0)), F.sum(n)) * F.lit(100.0)
+        return ratio(F.coalesce(F.sum(F.when(mine & k.isin(values), n)), F.lit(0)), of_all("n")) * 100.0
 
     def exceeds(pair):
         a, b = pair
-        return F.coalesce(F.max(F.when(k == a, mp)) > F.max(F.when(k == b, mp)), F.lit(False))
+        return F.coalesce(F.max(F.when(mine & (k == a), mp)) > F.max(F.when(mine & (k == b), mp)),
+                          F.lit(False))
 
-    total = F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias("total_diamonds")
     if key == "cut":
-        return prof.agg(total, kv(n).alias("cut_distribution"),
-                        first_by(-n).alias("most_common_cut"), last_by(-n).alias("least_common_cut"),
-                        kv(mp).alias("cut_price_avg"),
-                        first_by(-mp).alias("highest_priced_cut"), first_by(mp).alias("lowest_priced_cut"),
-                        pct(grades.PREMIUM_CUTS).alias("premium_cuts_pct"))
+        return out + [
+            ("cut_distribution", kv(n)),
+            ("most_common_cut", first_by(-n)),
+            ("least_common_cut", last_by(-n)),
+            ("cut_price_avg", kv(mp)),
+            ("highest_priced_cut", first_by(-mp)),
+            ("lowest_priced_cut", first_by(mp)),
+            ("premium_cuts_pct", pct(grades.PREMIUM_CUTS))]
     if key == "color":
-        return prof.agg(total, kv(n).alias("color_distribution"),
-                        first_by(-n).alias("most_common_color"),
-                        pct(grades.PREMIUM_COLORS).alias("premium_colors_pct"),
-                        kv(F.col("avg_carat")).alias("avg_carat_by_color"),
-                        kv(mp).alias("avg_price_by_color"),
-                        kv(ppc).alias("price_per_carat_by_color"),
-                        first_by(-ppc).alias("best_value_color"),
-                        exceeds(grades.COLOR_PARADOX).alias("color_price_paradox"))
-    return prof.agg(total, kv(n).alias("clarity_distribution"),
-                    first_by(-n).alias("most_common_clarity"),
-                    pct(grades.SWEET_SPOT_CLARITIES).alias("sweet_spot_clarity_pct"),
-                    pct(grades.PREMIUM_CLARITIES).alias("premium_clarity_pct"),
-                    kv(mp).alias("clarity_price_avg"),
-                    first_by(-mp).alias("highest_priced_clarity"),
-                    exceeds(grades.CLARITY_PARADOX).alias("clarity_price_paradox"))
+        return out + [
+            ("color_distribution", kv(n)),
+            ("most_common_color", first_by(-n)),
+            ("premium_colors_pct", pct(grades.PREMIUM_COLORS)),
+            ("avg_carat_by_color", kv(F.col("avg_carat"))),
+            ("avg_price_by_color", kv(mp)),
+            ("price_per_carat_by_color", kv(ppc)),
+            ("best_value_color", first_by(-ppc)),
+            ("color_price_paradox", exceeds(grades.COLOR_PARADOX))]
+    return out + [
+        ("clarity_distribution", kv(n)),
+        ("most_common_clarity", first_by(-n)),
+        ("sweet_spot_clarity_pct", pct(grades.SWEET_SPOT_CLARITIES)),
+        ("premium_clarity_pct", pct(grades.PREMIUM_CLARITIES)),
+        ("clarity_price_avg", kv(mp)),
+        ("highest_priced_clarity", first_by(-mp)),
+        ("clarity_price_paradox", exceeds(grades.CLARITY_PARADOX))]
+
+
+def insight_bundles(df: DataFrame, types: list[str] = ANALYSIS_TYPES) -> DataFrame:
+    """``analysis_type, stats_json`` for each requested type, in one pass.
+
+    One grouping-sets aggregate over the rows ((cut), (color), (clarity) and
+    all rows; one scan, partial aggregation) holds every count, mean,
+    moment and correlation the bundles need; the bundles are aggregates
+    over its few rows. Exact carat quartiles are the only other read.
+    NULL statistics are kept as JSON null; an unknown type carries only the
+    total and the type.
+    """
+    has_ordinals = "color_numeric" in df.columns and "clarity_numeric" in df.columns
+    keys = [k for k in GRADE_KEYS if k in df.columns and any(_TYPE_KEY.get(t) == k for t in types)]
+    v = F.col("carat")
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("carat").alias("avg_carat"), F.avg("price").alias("avg_price"),
+            F.stddev_samp(v).alias("carat_std"), F.min(v).alias("min_carat"), F.max(v).alias("max_carat"),
+            F.count_if(v <= grades.SMALL_CARAT_MAX).alias("n_small"),
+            F.count_if(v >= grades.LARGE_CARAT_MIN).alias("n_large"),
+            safe_corr("price", "carat").alias("r_price_carat")]
+    if has_ordinals:
+        aggs += [safe_corr("price", "color_numeric").alias("r_price_color"),
+                 safe_corr("price", "clarity_numeric").alias("r_price_clarity")]
+    if keys:
+        g = df.groupingSets([[k] for k in keys] + [[]], *keys).agg(*aggs, F.grouping_id().alias("_gid"))
+        width = len(keys)  # grouping_id: one bit per key, first key highest; set = key not grouped
+        key_gid = {k: (1 << width) - 1 - (1 << (width - 1 - i)) for i, k in enumerate(keys)}
+        key_gid[None] = (1 << width) - 1
+    else:
+        g = df.agg(*aggs).withColumn("_gid", F.lit(0).cast("bigint"))
+        key_gid = {None: 0}
+    quartiles = None
+    if "Carat Analysis" in types:
+        q = exact_quantiles(df, "carat", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+        quartiles = q.select(F.array("q25", "q50", "q75")).scalar()
+    per_type = [_bundle_columns(key_gid, t, has_ordinals, quartiles) for t in types]
+    one = g.agg(*[expr.alias(f"b{i}_{j}") for i, fields in enumerate(per_type)
+                  for j, (_, expr) in enumerate(fields)])
+    bundles = []
+    for i, (t, fields) in enumerate(zip(types, per_type)):
+        body = F.struct(*[F.col(f"b{i}_{j}").alias(name) for j, (name, _) in enumerate(fields)])
+        bundles.append(F.struct(F.lit(t).alias("analysis_type"),
+                                F.to_json(body, {"ignoreNullFields": "false"}).alias("stats_json")))
+    return one.select(F.explode(F.array(*bundles)).alias("b")).select("b.*")
 
 
 def insight_stats(df: DataFrame, analysis_type: str) -> DataFrame:
-    """One row: ``analysis_type, stats_json`` (NULL statistics kept as null).
-    An unknown type carries only the total and the type."""
-    if analysis_type == "Carat Analysis":
-        one = _carat(df)
-    elif analysis_type in ("Cut Analysis", "Color Analysis", "Clarity Analysis"):
-        one = _category(df, analysis_type.split()[0].lower())
-    elif analysis_type == "Correlation Analysis":
-        one = _correlation(df)
-    else:
-        one = df.agg(F.count(F.lit(1)).alias("total_diamonds"))
-    rest = [c for c in one.columns if c != "total_diamonds"]
-    fields = [F.col("total_diamonds"), F.lit(analysis_type).alias("analysis_type"), *[F.col(c) for c in rest]]
-    return one.select(F.lit(analysis_type).alias("analysis_type"),
-                      F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("stats_json"))
+    """One row: ``analysis_type, stats_json`` for one analysis type."""
+    return insight_bundles(df, [analysis_type])
 
 
 def all_insight_stats(df: DataFrame, types: list[str] = ANALYSIS_TYPES) -> DataFrame:
-    out = None
-    for t in types:
-        one = insight_stats(df, t)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return insight_bundles(df, types)
 
 
 # The three lead phrases of the answer format the prompt asks for.
