@@ -7,8 +7,8 @@ current inventory is the rows after the last ``clear``. Appends are bag
 unions: the same stone added twice is there twice.
 
 The ledger lives as a lazy union in memory, or as a Parquet dataset
-partitioned by ``batch_id`` that is appended to (each append is its own
-committed write, so a lost executor never leaves half a batch behind).
+partitioned by ``(batch_id, op)`` that is appended to (each append is its
+own committed write, so a lost executor never leaves half a batch behind).
 """
 
 from __future__ import annotations
@@ -135,18 +135,21 @@ class Ledger:
     def save(self, path: str) -> "Ledger":
         """Append the batches not stored yet; returns the ledger marked stored."""
         fresh = self.events.filter(F.col("batch_id") > self.stored_upto)
-        fresh.write.mode("append").partitionBy("batch_id").parquet(path)
+        # one op per batch, so (batch_id, op) folders cost nothing extra and let
+        # `load` find the last clear from folder names (partition pruning)
+        fresh.write.mode("append").partitionBy("batch_id", "op").parquet(path)
         return Ledger(self.spark, self.events, self.next_batch, self.item_schema, self.next_batch - 1,
                       self.last_clear)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, item_schema: T.StructType = ITEM_SCHEMA) -> "Ledger":
         raw = spark.read.parquet(path)
-        cols = ["batch_id", "op", "row_id"] + [f.name for f in item_schema.fields]
-        events = raw.select(F.col("batch_id").cast("bigint").alias("batch_id"), *cols[1:])
-        row = events.agg(F.coalesce(F.max("batch_id"), F.lit(0)),
-                         F.coalesce(F.max(F.when(F.col("op") == "clear", F.col("batch_id"))), F.lit(0))).first()
-        return cls(spark, events, int(row[0]) + 1, item_schema, int(row[0]), int(row[1]))
+        cols = ["row_id"] + [f.name for f in item_schema.fields]
+        events = raw.select(F.col("batch_id").cast("bigint").alias("batch_id"),
+                            F.col("op").cast("string").alias("op"), *cols)
+        last = events.agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
+        last_clear = events.filter(F.col("op") == "clear").agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
+        return cls(spark, events, int(last) + 1, item_schema, int(last), int(last_clear))
 
 
 def inventory_totals(current: DataFrame) -> DataFrame:
