@@ -126,11 +126,12 @@ def ecdf_thresholds(df: DataFrame, value: str = "carat",
 
 
 def box_fences(df: DataFrame, value: str = "price", key: str = "clarity",
-               whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Per key: n, quartiles (type 7) and the ``whisker`` x IQR fences."""
+               whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
+    """Per key: n, quartiles (``linear`` = type 7, ``hazen`` = type 5) and the
+    ``whisker`` x IQR fences."""
     cc = cumulative_counts(df, value, (key,), buckets)
     q = cc.groupBy(key).agg(F.max("total").alias("n"),
-                            *quantile_columns(value, [0.25, 0.5, 0.75], ["q1", "median", "q3"]))
+                            *quantile_columns(value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method))
     iqr = F.col("q3") - F.col("q1")
     return q.select(key, "n", "q1", "median", "q3",
                     (F.col("q1") - F.lit(whisker) * iqr).alias("lower_fence"),
@@ -138,11 +139,11 @@ def box_fences(df: DataFrame, value: str = "price", key: str = "clarity",
 
 
 def box_stats(df: DataFrame, value: str = "price", key: str = "clarity",
-              whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
     """Per key: n, quartiles, fences, whisker ends and the number of
     outliers. Whiskers and outliers come from the per-value counts (one row
     per distinct value), the same shuffle the quartiles use; one scan."""
-    fences = box_fences(df, value, key, whisker, buckets)
+    fences = box_fences(df, value, key, whisker, buckets, method)
     v = F.col(value)
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
     ends = (value_counts(df, value, (key,)).join(fences.select(key, "lower_fence", "upper_fence"), key)
@@ -158,10 +159,10 @@ def box_stats(df: DataFrame, value: str = "price", key: str = "clarity",
 
 
 def box_outliers(df: DataFrame, value: str = "price", key: str = "clarity",
-                 whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
     """The rows outside their group's fences (the dots of the box plot).
     The fence table has one row per key and is joined to the rows by key."""
-    fences = box_fences(df, value, key, whisker, buckets).select(key, "lower_fence", "upper_fence")
+    fences = box_fences(df, value, key, whisker, buckets, method).select(key, "lower_fence", "upper_fence")
     v = F.col(value)
     return (df.join(fences, key)
               .filter((v < F.col("lower_fence")) | (v > F.col("upper_fence"))))

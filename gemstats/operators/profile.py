@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import grades
 from ..functions.stats import r6, safe_corr, share_pct
 from ..functions.text import dollars, fixed, thousands
-from .ranks import exact_quantiles
+from .ranks import quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -39,9 +39,10 @@ def overview_labels(df: DataFrame) -> DataFrame:
 
 def numeric_profile(df: DataFrame, value: str = "carat", partner: str = "price",
                     small_max: float = grades.SMALL_CARAT_MAX,
-                    large_min: float = grades.LARGE_CARAT_MIN) -> DataFrame:
-    """Mean, median, sample std, range, quartiles, two shares and r(partner, value)."""
-    q = exact_quantiles(df, value, QUARTILES, ["q25", "q50", "q75"])
+                    large_min: float = grades.LARGE_CARAT_MIN, method: str = "linear") -> DataFrame:
+    """Mean, median, sample std, range, quartiles, two shares and r(partner, value).
+    Quartiles are exact type 7 by default; ``method="approx"`` uses a sketch."""
+    q = quantiles(df, value, QUARTILES, ["q25", "q50", "q75"], method=method)
     qs = q.select(F.struct("q25", "q50", "q75")).scalar()
     v = F.col(value)
     return df.agg(
@@ -60,8 +61,8 @@ def numeric_profile(df: DataFrame, value: str = "carat", partner: str = "price",
              r6(qs.getField("q75")).alias("q75"))
 
 
-def carat_stats(df: DataFrame) -> DataFrame:
-    p = numeric_profile(df, "carat", "price")
+def carat_stats(df: DataFrame, method: str = "linear") -> DataFrame:
+    p = numeric_profile(df, "carat", "price", method=method)
     return p.select("avg_carat", "median_carat", "carat_std", "min_carat", "max_carat",
                     "q25", "q50", "q75", "price_carat_corr")
 

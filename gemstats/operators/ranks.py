@@ -83,14 +83,24 @@ def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
              .select(*by, value, "n", (F.col("_off") + F.col("_cin")).alias("cum"), "total"))
 
 
-def quantile_columns(value: str, probs: list[float], names: list[str]) -> list[Column]:
-    """Aggregates over ``cumulative_counts`` rows giving type-7 quantiles
-    (linear interpolation between order statistics, as numpy's default)."""
+def quantile_columns(value: str, probs: list[float], names: list[str], method: str = "linear") -> list[Column]:
+    """Aggregates over ``cumulative_counts`` rows giving exact quantiles.
+
+    ``linear`` (Hyndman-Fan type 7, numpy's default): 0-based position
+    h = (N - 1) p. ``hazen`` (type 5): h = N p - 1/2, clamped to [0, N - 1].
+    The result interpolates linearly between the order statistics around h.
+    """
     v, n, cum, total = F.col(value), F.col("n"), F.col("cum"), F.col("total")
     start = cum - n  # 0-based rank of the first copy of this value
     out = []
     for p, name in zip(probs, names):
-        h = (total - 1).cast("double") * F.lit(float(p))
+        if method == "linear":
+            h = (total - 1).cast("double") * F.lit(float(p))
+        elif method == "hazen":
+            h = F.least(F.greatest(total.cast("double") * F.lit(float(p)) - 0.5, F.lit(0.0)),
+                        (total - 1).cast("double"))
+        else:
+            raise ValueError(f"unknown quantile method {method!r}")
         lo = F.floor(h)
         hi = F.least(lo + 1, total - 1)
         v_lo = F.max(F.when((start <= lo) & (lo < cum), v))
@@ -100,15 +110,23 @@ def quantile_columns(value: str, probs: list[float], names: list[str]) -> list[C
     return out
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None,
-                    by: tuple[str, ...] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``by..., <name>...`` exact quantiles per group (NULL on an empty group)."""
+def quantiles(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None,
+              by: tuple[str, ...] = (), method: str = "linear", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """``by..., <name>...``: ``linear`` / ``hazen`` exact, or ``approx`` (sketch)."""
+    if method == "approx":
+        return approx_quantiles(df, value, probs, names, by)
     names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
     cc = cumulative_counts(df, value, by, buckets)
-    cols = quantile_columns(value, probs, names)
+    cols = quantile_columns(value, probs, names, method)
     return cc.groupBy(*by).agg(*cols) if by else cc.agg(*cols)
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None,
+                    by: tuple[str, ...] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """``by..., <name>...`` exact type-7 quantiles per group (NULL on an empty group)."""
+    return quantiles(df, value, probs, names, by, "linear", buckets)
+
+
 def approx_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None,
                      by: tuple[str, ...] = (), accuracy: int = 10000) -> DataFrame:
     """Sketch-based quantiles (one partial aggregate) for when exact is not needed."""

@@ -165,3 +165,15 @@ def test_box_stats_brute_force(spark):
     assert (b.whisker_low, b.whisker_high) == (min(inside), max(inside))
     assert b.outliers == len(vals) - len(inside)
     assert [r.price for r in dst.box_outliers(df).collect()] == [v for v in vals if v < lo or v > hi]
+
+
+def test_quartiles_type5_and_approx(spark):  # E10, second method; the sketch option
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 10, 20)], "v double")
+    q = ranks.quantiles(df, "v", [0.25, 0.5, 0.75], method="hazen").first()
+    assert (q.q25, q.q50, q.q75) == (2.0, 3.5, 10.0)
+    a = ranks.quantiles(df, "v", [0.25, 0.5, 0.75], method="approx").first()
+    assert a.q25 in (1.0, 2.0, 3.0) and a.q75 in (4.0, 10.0, 20.0)
+    vals = [1, 2, 3, 4, 10, 20, 100]
+    box = spark.createDataFrame([("a", v) for v in vals], "clarity string, price bigint")
+    h = dst.box_stats(box, method="hazen").first()
+    assert (h.q1, h.median, h.q3) == tuple(np.percentile(vals, [25, 50, 75], method="hazen"))
