@@ -65,7 +65,7 @@ def grade_shares(df: DataFrame, key: str, groups: dict[str, list[str]]) -> DataF
                     for name, vals in groups.items()])
 
 
-def mean_exceeds(df: DataFrame, key: str, pair: tuple[str, str], measure: str = "price") -> Column:
+def mean_exceeds(key: str, pair: tuple[str, str], measure: str = "price") -> Column:
     """mean(measure | key = pair[0]) > mean(measure | key = pair[1]); false if either is absent."""
     a, b = pair
     return greater_or_false(avg_where(measure, F.col(key) == a), avg_where(measure, F.col(key) == b))
@@ -73,8 +73,8 @@ def mean_exceeds(df: DataFrame, key: str, pair: tuple[str, str], measure: str =
 
 def price_paradoxes(df: DataFrame) -> DataFrame:
     return df.agg(
-        mean_exceeds(df, "color", grades.COLOR_PARADOX).alias("color_price_paradox"),
-        mean_exceeds(df, "clarity", grades.CLARITY_PARADOX).alias("clarity_price_paradox"))
+        mean_exceeds("color", grades.COLOR_PARADOX).alias("color_price_paradox"),
+        mean_exceeds("clarity", grades.CLARITY_PARADOX).alias("clarity_price_paradox"))
 
 
 def cut_extremes(df: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def cut_extremes(df: DataFrame) -> DataFrame:
 
 
 def color_extremes(df: DataFrame) -> DataFrame:
-    prof = color_profile(df)
-    ppc = F.col("price_per_carat")
+    prof = category_profile(df, "color", ("carat", "price"))
+    ppc = ratio(F.col("avg_price"), F.col("avg_carat"))
     return prof.agg(arg_first("color", -F.col("n")).alias("most_common_color"),
                     arg_first("color", -ppc).alias("best_value_color"))
 

@@ -15,8 +15,9 @@ from ..functions.stats import r6, safe_corr, self_corr
 CORR_COLUMNS = ("price", "carat", "color_numeric", "clarity_numeric")
 
 
-def corr_pairs(df: DataFrame, columns: tuple[str, ...] = CORR_COLUMNS) -> DataFrame:
-    """One row: ``r_<a>__<b>`` for every ordered pair (diagonal included)."""
+def corr_pairs(df: DataFrame, columns: tuple[str, ...] = CORR_COLUMNS) -> tuple[DataFrame, dict]:
+    """One row with ``r_<a>__<b>`` for each unordered pair (diagonal included),
+    and the column name of every ordered pair."""
     aggs, seen = [], {}
     for i, a in enumerate(columns):
         for j, b in enumerate(columns):
