@@ -34,28 +34,32 @@ def bin_index(v: Column, origin: Column, step: Column) -> Column:
     return F.floor(F.round((v - origin) / step, 9))
 
 
-def bin_params(counts: DataFrame, value: str, max_bins: int) -> DataFrame:
-    """One row: ``step, origin, bins`` for ``value`` (no row when empty),
-    from a ``value_counts`` table (one row per distinct value).
+def bin_columns(lo: Column, hi: Column, max_bins: int) -> tuple[Column, Column, Column]:
+    """``step, origin, bins`` of the value range [lo, hi] as expressions.
+
+    Evaluated on a one-row table only: the six candidate steps are an array,
+    the smallest that covers the range within the cap wins."""
+    raw = (hi - lo) / F.lit(float(max_bins))
+    k = F.floor(F.log10(raw))
+    steps = F.transform(F.array(*[F.lit(m) for m in STEP_MULTIPLIERS]), lambda m: _scaled_col(m, k))
+    fits = F.filter(steps, lambda st: (st >= raw) & (bin_index(hi, F.floor(lo / st) * st, st) + 1 <= max_bins))
+    step = F.when(hi > lo, F.array_min(fits)).when(hi == lo, F.lit(1.0))
+    origin = F.when(hi == lo, lo).otherwise(F.floor(lo / step) * step)
+    bins = (bin_index(hi, origin, step) + 1).cast("int")
+    return step, origin, bins
+
 
-    The candidate steps are a six-row table (one per multiplier); the
-    smallest that covers the range within the cap wins."""
+def bin_params(counts: DataFrame, value: str, max_bins: int) -> DataFrame:
+    """One row: ``step, origin, bins`` for ``value`` (NULLs when empty), from
+    a ``value_counts`` table (one row per distinct value)."""
     s = counts.agg(F.min(present(value)).cast("double").alias("lo"),
                    F.max(present(value)).cast("double").alias("hi"))
-    lo, hi = F.col("lo"), F.col("hi")
-    raw = (hi - lo) / F.lit(float(max_bins))
-    cands = (s.filter(hi > lo)
-              .select("lo", "hi", raw.alias("raw"), F.floor(F.log10(raw)).alias("k"),
-                      F.explode(F.array(*[F.lit(m) for m in STEP_MULTIPLIERS])).alias("m"))
-              .select("lo", "hi", "raw", _scaled_col(F.col("m"), F.col("k")).alias("step")))
-    origin = F.floor(lo / F.col("step")) * F.col("step")
-    fits = (F.col("step") >= F.col("raw")) & (bin_index(hi, origin, F.col("step")) + 1 <= max_bins)
-    chosen = (cands.filter(fits).groupBy("lo", "hi").agg(F.min("step").alias("step"))
-                   .select("hi", "step", (F.floor(lo / F.col("step")) * F.col("step")).alias("origin")))
-    spread = chosen.select("step", "origin",
-                           (bin_index(F.col("hi"), F.col("origin"), F.col("step")) + 1).cast("int").alias("bins"))
-    single = s.filter(hi == lo).select(F.lit(1.0).alias("step"), lo.alias("origin"), F.lit(1).alias("bins"))
-    return spread.unionByName(single)
+    step, origin, bins = bin_columns(F.col("lo"), F.col("hi"), max_bins)
+    staged = s.select("lo", "hi", step.alias("step"))
+    return staged.select("step", F.when(F.col("hi") == F.col("lo"), F.col("lo"))
+                         .otherwise(F.floor(F.col("lo") / F.col("step")) * F.col("step")).alias("origin"),
+                         "hi").select(
+        "step", "origin", (bin_index(F.col("hi"), F.col("origin"), F.col("step")) + 1).cast("int").alias("bins"))
 
 
 def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
@@ -71,7 +75,8 @@ def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
     bin_of = F.coalesce(bin_index(F.col(value), origin, step).cast("int"), F.lit(-1))
     counts = (vc.select(bin_of.alias("bin"), "n")
                 .groupBy("bin").agg(F.sum("n").alias("n")))
-    all_bins = params.select("step", "origin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    all_bins = (params.filter(F.col("bins").isNotNull())
+                .select("step", "origin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")))
     return (all_bins.join(counts, "bin", "left")
                     .select("bin",
                             r6(F.col("origin") + F.col("bin") * F.col("step")).alias("bin_start"),
@@ -171,20 +176,26 @@ def box_outliers(df: DataFrame, value: str = "price", key: str = "clarity",
 def scatter_density(df: DataFrame, x: str = "carat", y: str = "price",
                     x_bins: int = grades.CARAT_BINS, y_bins: int = grades.PRICE_BINS) -> DataFrame:
     """2-D binned counts of the price-vs-carat scatter: non-empty cells only.
-    One scan: rows are counted per distinct (x, y) pair first."""
-    pairs = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-               .groupBy(x, y).agg(F.count(F.lit(1)).alias("n")))
-    px = bin_params(pairs, x, x_bins).select(F.struct("step", "origin")).scalar()
-    py = bin_params(pairs, y, y_bins).select(F.struct("step", "origin")).scalar()
-    bx = bin_index(F.col(x), px.getField("origin"), px.getField("step")).cast("int")
-    by = bin_index(F.col(y), py.getField("origin"), py.getField("step")).cast("int")
-    cells = (pairs.select(bx.alias(f"{x}_bin"), by.alias(f"{y}_bin"), "n")
-                  .groupBy(f"{x}_bin", f"{y}_bin").agg(F.sum("n").alias("n")))
+
+    Two reads, both with tiny shuffles: one min/max aggregate gives both
+    axes' bins (one scalar subquery), then every row is binned and the
+    cells are counted with partial aggregation (at most x_bins * y_bins
+    records per task, whatever the number of distinct (x, y) pairs)."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ext = both.agg(F.min(x).cast("double").alias("xl"), F.max(x).cast("double").alias("xh"),
+                   F.min(y).cast("double").alias("yl"), F.max(y).cast("double").alias("yh"))
+    xs, xo, _ = bin_columns(F.col("xl"), F.col("xh"), x_bins)
+    ys, yo, _ = bin_columns(F.col("yl"), F.col("yh"), y_bins)
+    p = ext.select(F.struct(xs.alias("xs"), xo.alias("xo"), ys.alias("ys"), yo.alias("yo"))).scalar()
+    bx = bin_index(F.col(x), p.getField("xo"), p.getField("xs")).cast("int")
+    by = bin_index(F.col(y), p.getField("yo"), p.getField("ys")).cast("int")
+    cells = (both.select(F.coalesce(bx, F.lit(-1)).alias(f"{x}_bin"), F.coalesce(by, F.lit(-1)).alias(f"{y}_bin"))
+                 .groupBy(f"{x}_bin", f"{y}_bin").agg(F.count(F.lit(1)).alias("n")))
     return cells.select(
         f"{x}_bin", f"{y}_bin",
-        r6(px.getField("origin") + F.col(f"{x}_bin") * px.getField("step")).alias(f"{x}_start"),
-        r6(py.getField("origin") + F.col(f"{y}_bin") * py.getField("step")).alias(f"{y}_start"),
-        F.col("n").cast("bigint").alias("n"))
+        r6(p.getField("xo") + F.col(f"{x}_bin") * p.getField("xs")).alias(f"{x}_start"),
+        r6(p.getField("yo") + F.col(f"{y}_bin") * p.getField("ys")).alias(f"{y}_start"),
+        "n")
 
 
 def scatter_sample(df: DataFrame, x: str = "carat", y: str = "price",

@@ -10,7 +10,7 @@ import sys
 from tests.conftest import SF_SMALL
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-EXPECTED = {"box_price_by_clarity": 1.0, "hist_carat": 1.0, "hist_price": 1.0, "scatter_density": 1.0,
+EXPECTED = {"box_price_by_clarity": 1.0, "hist_carat": 1.0, "hist_price": 1.0, "scatter_density": 2.0,
             "ecdf_values": 1.0, "ecdf_rows": 1.0, "color_profile": 1.0, "corr_matrix": 1.0,
             "carat_stats": 2.0, "box_outliers": 2.0, "insight_stats": 2.0}
 
