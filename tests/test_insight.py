@@ -52,3 +52,36 @@ def test_empty_table_bundle(spark):
     df = spark.createDataFrame([], "carat double, cut string, color string, clarity string, price bigint")
     b = json.loads(ins.insight_stats(df, "Cut Analysis").first().stats_json)
     assert b["most_common_cut"] is None and b["premium_cuts_pct"] is None and b["total_diamonds"] == 0
+
+
+def test_bundle_numbers_equal_checked_queries(spark):
+    """The grouping-sets bundles give the same numbers as the SQL-checked queries."""
+    import __spark_entry__ as entry
+    q = entry.queries()
+    stats = {r.analysis_type: json.loads(r.stats_json)
+             for r in q["insight_stats"](spark, SF_SMALL).collect()}
+
+    def one(name):
+        return q[name](spark, SF_SMALL).first().asDict()
+
+    r6 = lambda x: None if x is None else round(x, 6)
+    carat, cs, sh = stats["Carat Analysis"], one("carat_stats"), one("carat_shares")
+    assert r6(carat["avg_carat"]) == cs["avg_carat"] and r6(carat["carat_std"]) == cs["carat_std"]
+    assert [r6(v) for v in carat["carat_quartiles"]] == [cs["q25"], cs["q50"], cs["q75"]]
+    assert carat["carat_range"] == [cs["min_carat"], cs["max_carat"]]
+    assert r6(carat["small_diamonds_pct"]) == sh["small_diamonds_pct"]
+    assert r6(carat["price_carat_correlation"]) == cs["price_carat_corr"]
+    cut, ce = stats["Cut Analysis"], one("cut_extremes")
+    assert all(cut[k] == ce[k] for k in ce)
+    assert cut["cut_distribution"] == {r.cut: r.n for r in q["cut_counts"](spark, SF_SMALL).collect()}
+    assert r6(cut["premium_cuts_pct"]) == one("cut_premium_share")["premium_cuts_pct"]
+    color, prof = stats["Color Analysis"], q["color_profile"](spark, SF_SMALL).collect()
+    assert {k: r6(v) for k, v in color["price_per_carat_by_color"].items()} == {r.color: r.price_per_carat for r in prof}
+    assert color["best_value_color"] == one("color_extremes")["best_value_color"]
+    assert color["color_price_paradox"] == one("price_paradoxes")["color_price_paradox"]
+    clarity, cl = stats["Clarity Analysis"], one("clarity_shares")
+    assert r6(clarity["premium_clarity_pct"]) == cl["premium_clarity_pct"]
+    assert clarity["highest_priced_clarity"] == one("clarity_extremes")["highest_priced_clarity"]
+    corr, cf = stats["Correlation Analysis"], one("corr_flags")
+    assert r6(corr["price_color_corr"]) == cf["price_color_corr"]
+    assert corr["color_weak_correlation"] == cf["color_weak_correlation"]
