@@ -97,7 +97,10 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         return nan_to_null(df)
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
+    # a doubled quote inside a quoted cell is a literal quote (RFC 4180, as
+    # pandas reads it); records stay one line each, so big files still split
     text = (spark.read.option("header", True).option("inferSchema", False)
+            .option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").csv(path))
     if schema:
         types = {f.name: f.dataType for f in schema.fields}

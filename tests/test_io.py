@@ -60,3 +60,10 @@ def test_parse_columns_nan_to_null(spark):
     df = spark.createDataFrame([("NaN",), ("2.5",), ("inf",)], "v string")
     vals = [r.v for r in parse_columns(df, {"v": T.DoubleType()}).collect()]
     assert vals[0] is None and vals[1] == 2.5
+
+
+def test_quoted_cells(spark, scratch):
+    p = os.path.join(scratch, "q.csv")
+    write_text(p, 'cut,note,price\n"Very Good","say ""hi"", ok",5\n')
+    r = read_table(spark, p).first()
+    assert (r.cut, r.note, r.price) == ("Very Good", 'say "hi", ok', 5)
