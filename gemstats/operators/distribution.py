@@ -84,14 +84,14 @@ def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
                             F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 
-def ecdf_values(df: DataFrame, value: str = "carat", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def ecdf_values(df: DataFrame, value: str = "carat", buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """One ECDF point per distinct value: ``value, n, cum, pct`` (pct = cum / N * 100)."""
     cc = cumulative_counts(df, value, (), buckets)
     return cc.select(value, "n", "cum",
                      r6(F.col("cum").cast("double") / F.col("total") * 100).alias("pct"))
 
 
-def ecdf_rows(df: DataFrame, value: str = "carat", buckets: int = DEFAULT_BUCKETS,
+def ecdf_rows(df: DataFrame, value: str = "carat", buckets: int | None = DEFAULT_BUCKETS,
               chunk: int = 1 << 16, partitions: int | None = None) -> DataFrame:
     """One ECDF point per row, as the chart of the statistics draws it:
     ``value, position (1..N), pct = position / N * 100``.
@@ -120,7 +120,7 @@ def ecdf_rows(df: DataFrame, value: str = "carat", buckets: int = DEFAULT_BUCKET
 def ecdf_thresholds(df: DataFrame, value: str = "carat",
                     pct_line: float = grades.ECDF_PERCENT_LINE,
                     value_line: float = grades.ECDF_CARAT_LINE,
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Smallest value whose cumulative percent reaches ``pct_line``, and the
     cumulative percent at ``value_line``."""
     cc = cumulative_counts(df, value, (), buckets)
@@ -131,7 +131,7 @@ def ecdf_thresholds(df: DataFrame, value: str = "carat",
 
 
 def box_fences(df: DataFrame, value: str = "price", key: str = "clarity",
-               whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
+               whisker: float = 1.5, buckets: int | None = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
     """Per key: n, quartiles (``linear`` = type 7, ``hazen`` = type 5) and the
     ``whisker`` x IQR fences."""
     cc = cumulative_counts(df, value, (key,), buckets)
@@ -144,7 +144,7 @@ def box_fences(df: DataFrame, value: str = "price", key: str = "clarity",
 
 
 def box_stats(df: DataFrame, value: str = "price", key: str = "clarity",
-              whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
+              whisker: float = 1.5, buckets: int | None = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
     """Per key: n, quartiles, fences, whisker ends and the number of
     outliers. Whiskers and outliers come from the per-value counts (one row
     per distinct value), the same shuffle the quartiles use; one scan."""
@@ -164,7 +164,7 @@ def box_stats(df: DataFrame, value: str = "price", key: str = "clarity",
 
 
 def box_outliers(df: DataFrame, value: str = "price", key: str = "clarity",
-                 whisker: float = 1.5, buckets: int = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
+                 whisker: float = 1.5, buckets: int | None = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
     """The rows outside their group's fences (the dots of the box plot).
     The fence table has one row per key and is joined to the rows by key."""
     fences = box_fences(df, value, key, whisker, buckets, method).select(key, "lower_fence", "upper_fence")

@@ -9,6 +9,8 @@ row into one task. Here instead:
 2. Approximate quantiles of the *distinct* values cut each group's value
    range into ``buckets`` ranges of about equal size (one small aggregate,
    joined back per group, or inlined as a scalar subquery without groups).
+   ``buckets`` defaults to the session's shuffle partitions (64..4096), so
+   the work per window partition stays flat as the cluster and data grow.
 3. A running sum inside each ``(group, bucket)`` window partition.
 4. Per-bucket totals (at most ``buckets`` rows per group) give each
    bucket's offset; joined back, offset + running sum is the exact
@@ -23,7 +25,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = None  # None: from the session's shuffle partitions, clamped below
+MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+
+
+def bucket_count(spark, buckets: int | None) -> int:
+    """Value buckets per group. By default as many as the cluster's shuffle
+    partitions (64..4096), so a window partition holds about
+    distinct values / buckets rows however large the table grows."""
+    if buckets:
+        return max(2, int(buckets))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, parts))
+
+
+def _fractions(buckets: int) -> Column:
+    """The literal array [1/b, 2/b, ..., (b-1)/b] as one expression."""
+    return F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
 
 
 def value_counts(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -46,7 +64,7 @@ def present(value: str) -> Column:
 
 
 def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
-                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """``by..., value, n, cum, total``: ``cum`` counts rows with a value <= this one.
 
     The per-value counts are one plan used by every branch below, so the
@@ -54,8 +72,9 @@ def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
     """
     vc = value_counts(df, value, by)
     v = F.col(value)
-    fracs = [i / buckets for i in range(1, buckets)]
-    summary = [F.percentile_approx(present(value), fracs, 10000).alias("_edges"),
+    buckets = bucket_count(df.sparkSession, buckets)
+    accuracy = max(10000, 4 * buckets)  # rank error 1/accuracy, well under a bucket's width
+    summary = [F.percentile_approx(present(value), _fractions(buckets), accuracy).alias("_edges"),
                F.sum("n").alias("total")]
     if by:
         edges = vc.groupBy(*by).agg(*summary)          # one row per group
@@ -111,7 +130,7 @@ def quantile_columns(value: str, probs: list[float], names: list[str], method: s
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None,
-              by: tuple[str, ...] = (), method: str = "linear", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              by: tuple[str, ...] = (), method: str = "linear", buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """``by..., <name>...``: ``linear`` / ``hazen`` exact, or ``approx`` (sketch)."""
     if method == "approx":
         return approx_quantiles(df, value, probs, names, by)
@@ -122,7 +141,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], names: list[str] |
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None,
-                    by: tuple[str, ...] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    by: tuple[str, ...] = (), buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """``by..., <name>...`` exact type-7 quantiles per group (NULL on an empty group)."""
     return quantiles(df, value, probs, names, by, "linear", buckets)
 

@@ -98,7 +98,7 @@ def brute_cumulative(values):
     return dict(zip(uniq.tolist(), np.cumsum(counts).tolist())), len(vals)
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 64])
+@pytest.mark.parametrize("buckets", [1, 4, 64, 4096])
 def test_cumulative_counts_with_hot_value(spark, buckets):
     rng = np.random.default_rng(11)
     vals = np.concatenate([rng.integers(0, 500, 4000), np.full(2000, 42)])  # one value: a third of rows
