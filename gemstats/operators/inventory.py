@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from ..functions import grades
 
 META = ["batch_id", "op", "row_id"]
-MANUAL_SCHEMA = "carat double, cut string, color string, clarity string, price bigint"
 ITEM_SCHEMA = T.StructType([
     T.StructField("carat", T.DoubleType()), T.StructField("cut", T.StringType()),
     T.StructField("color", T.StringType()), T.StructField("clarity", T.StringType()),
@@ -29,65 +28,128 @@ ITEM_SCHEMA = T.StructType([
     T.StructField("color_numeric", T.IntegerType()), T.StructField("clarity_numeric", T.IntegerType()),
     T.StructField("cut_gia", T.StringType()),
 ])
+MANUAL_SCHEMA = T.StructType(ITEM_SCHEMA.fields[:5])  # carat, cut, color, clarity, price
+
+
+def row_key_sql(columns: list[str]) -> str:
+    """Content key of a row as SQL text: SHA-256 of its JSON text (stable across runs)."""
+    return "sha2(to_json(struct(" + ", ".join(f"`{c}`" for c in columns) + ")), 256)"
 
 
 def row_key(columns: list[str]) -> Column:
-    """Content key of a row: SHA-256 of its JSON text (stable across runs)."""
-    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256)
+    return F.expr(row_key_sql(columns))
+
+
+def _manual_rules() -> list[tuple[str, tuple, str]]:
+    """``(column, check, reason)`` of the manual-entry form: one rule table
+    for the Spark check of a table and the driver check of one entry."""
+    return [
+        ("carat", ("range", *grades.MANUAL_CARAT_RANGE), "carat out of range"),
+        ("price", ("range", *grades.MANUAL_PRICE_RANGE), "price out of range"),
+        ("cut", ("in", grades.CUT_CHOICES), "unknown cut"),
+        ("color", ("in", grades.COLOR_CHOICES), "unknown color"),
+        ("clarity", ("in", grades.CLARITY_CHOICES), "unknown clarity"),
+    ]
 
 
 def validate_manual(df: DataFrame) -> DataFrame:
     """Checks of the manual-entry form as columns: ``valid`` and a ``reason``
     listing every failed check (NULL when valid). A missing value fails."""
-    lo_c, hi_c = grades.MANUAL_CARAT_RANGE
-    lo_p, hi_p = grades.MANUAL_PRICE_RANGE
-    checks = [
-        (F.col("carat").between(lo_c, hi_c), "carat out of range"),
-        (F.col("price").between(lo_p, hi_p), "price out of range"),
-        (F.col("cut").isin(grades.CUT_CHOICES), "unknown cut"),
-        (F.col("color").isin(grades.COLOR_CHOICES), "unknown color"),
-        (F.col("clarity").isin(grades.CLARITY_CHOICES), "unknown clarity"),
-    ]
-    ok = [F.coalesce(cond, F.lit(False)) for cond, _ in checks]
+    ok, reasons = [], []
+    for column, check, reason in _manual_rules():
+        c = F.col(column)
+        cond = c.between(check[1], check[2]) if check[0] == "range" else c.isin(list(check[1]))
+        ok.append(F.coalesce(cond, F.lit(False)))
+        reasons.append(reason)
     valid = ok[0]
     for o in ok[1:]:
         valid = valid & o
-    reason = F.concat_ws("; ", *[F.when(~o, F.lit(text)) for o, (_, text) in zip(ok, checks)])
+    reason = F.concat_ws("; ", *[F.when(~o, F.lit(text)) for o, text in zip(ok, reasons)])
     return df.select("carat", "cut", "color", "clarity", "price",
                      valid.alias("valid"), F.nullif(reason, F.lit("")).alias("reason"))
 
 
+def manual_problems(entry: dict) -> list[str]:
+    """The same checks for one entry given as Python values (a form input,
+    not data): the reasons it fails, empty when valid."""
+    out = []
+    for column, check, reason in _manual_rules():
+        v = entry.get(column)
+        good = v is not None and (check[1] <= v <= check[2] if check[0] == "range" else v in check[1])
+        if not good:
+            out.append(reason)
+    return out
+
+
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
+def _literal_row(spark: SparkSession, values: dict, schema: T.StructType) -> DataFrame:
+    """One row of literals, planned inside the JVM (no Python-side scan)."""
+    return spark.range(1, numPartitions=1).selectExpr(
+        *[f"CAST({_sql_literal(values.get(f.name))} AS {f.dataType.simpleString()}) AS `{f.name}`"
+          for f in schema.fields])
+
+
 class Ledger:
-    """Immutable handle on the ledger: every action returns a new ledger."""
+    """Immutable handle on the ledger: every action returns a new ledger.
+
+    ``stored`` is the part already written to a ledger dataset (or None);
+    ``batches`` are the appended batches not written yet, in order, as
+    ``(batch_id, op, DataFrame)``. Keeping them apart lets ``current`` skip
+    every batch up to the last ``clear`` before planning anything.
+    """
 
-    def __init__(self, spark: SparkSession, events: DataFrame | None = None,
-                 next_batch: int = 1, item_schema: T.StructType = ITEM_SCHEMA,
+    def __init__(self, spark: SparkSession, stored: DataFrame | None = None,
+                 batches: tuple = (), next_batch: int = 1, item_schema: T.StructType = ITEM_SCHEMA,
                  stored_upto: int = 0, last_clear: int = 0):
         self.spark = spark
-        self.stored_upto = stored_upto
-        self.last_clear = last_clear
+        self.stored = stored
+        self.batches = tuple(batches)
+        self.next_batch = next_batch
         self.item_schema = item_schema
         self.items = [f.name for f in item_schema.fields]
-        if events is None:
-            schema = T.StructType([T.StructField("batch_id", T.LongType()),
-                                   T.StructField("op", T.StringType()),
-                                   T.StructField("row_id", T.StringType())] + list(item_schema.fields))
-            events = spark.createDataFrame([], schema)
-        self.events = events
-        self.next_batch = next_batch
+        self.stored_upto = stored_upto
+        self.last_clear = last_clear
+        self.schema = T.StructType([T.StructField("batch_id", T.LongType()),
+                                    T.StructField("op", T.StringType()),
+                                    T.StructField("row_id", T.StringType())] + list(item_schema.fields))
+
+    def _with(self, **changes) -> "Ledger":
+        kw = dict(stored=self.stored, batches=self.batches, next_batch=self.next_batch,
+                  item_schema=self.item_schema, stored_upto=self.stored_upto, last_clear=self.last_clear)
+        kw.update(changes)
+        return Ledger(self.spark, **kw)
+
+    def _empty(self) -> DataFrame:
+        # a false filter on a literal row folds to an empty local relation
+        return _literal_row(self.spark, {}, self.schema).where(F.lit(False))
+
+    def _union(self, frames: list[DataFrame]) -> DataFrame:
+        if not frames:
+            return self._empty()
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.union(f)  # every part has the ledger's columns in order
+        return out
 
     # -- appends ---------------------------------------------------------
     def _append(self, rows: DataFrame, op: str) -> "Ledger":
-        cols = []
-        for f in self.item_schema.fields:
-            cols.append((F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None))
-                        .cast(f.dataType).alias(f.name))
-        present = [c for c in self.items if c in rows.columns]
-        batch = rows.select(F.lit(self.next_batch).cast("bigint").alias("batch_id"),
-                            F.lit(op).alias("op"), row_key(present).alias("row_id"), *cols)
+        have = set(rows.columns)
+        present = [c for c in self.items if c in have]
+        # one projection in SQL text: a single call to the JVM per batch
+        cols = [f"CAST({'`' + f.name + '`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()})"
+                f" AS `{f.name}`" for f in self.item_schema.fields]
+        batch = rows.selectExpr(f"CAST({self.next_batch} AS BIGINT) AS batch_id", f"'{op}' AS op",
+                                f"{row_key_sql(present)} AS row_id", *cols)
         last_clear = self.next_batch if op == "clear" else self.last_clear
-        return Ledger(self.spark, self.events.unionByName(batch), self.next_batch + 1,
-                      self.item_schema, self.stored_upto, last_clear)
+        return self._with(batches=self.batches + ((self.next_batch, op, batch),),
+                          next_batch=self.next_batch + 1, last_clear=last_clear)
 
     def add_selected(self, listed: DataFrame, positions: list[int]) -> "Ledger":
         """Rows of a numbered listing (see ``filters.listing``) picked by position."""
@@ -108,24 +170,35 @@ class Ledger:
     def add_manual(self, carat: float, cut: str, color: str, clarity: str, price: int) -> "Ledger":
         """One hand-entered stone; it is checked but not cleaned or enriched, so
         its dimensions and grade ordinals stay NULL."""
-        row = self.spark.createDataFrame([(float(carat), cut, color, clarity, int(price))], MANUAL_SCHEMA)
-        bad = validate_manual(row).filter(~F.col("valid")).select("reason").first()
-        if bad is not None:
-            raise ValueError(f"manual entry rejected: {bad['reason']}")
-        return self._append(row, "manual")
+        entry = {"carat": float(carat), "cut": cut, "color": color, "clarity": clarity, "price": int(price)}
+        bad = manual_problems(entry)
+        if bad:
+            raise ValueError(f"manual entry rejected: {'; '.join(bad)}")
+        return self._append(_literal_row(self.spark, entry, MANUAL_SCHEMA), "manual")
 
     def clear(self) -> "Ledger":
-        marker = self.spark.createDataFrame([(None,)], "carat double")
+        marker = _literal_row(self.spark, {}, T.StructType([T.StructField("carat", T.DoubleType())]))
         return self._append(marker, "clear")
 
     # -- views -----------------------------------------------------------
+    @property
+    def events(self) -> DataFrame:
+        """Every event: stored part, then the unsaved batches."""
+        parts = [self.stored] if self.stored is not None else []
+        return self._union(parts + [b for _, _, b in self.batches])
+
     def current(self) -> DataFrame:
         """Rows after the last ``clear``; order by ``(batch_id, row_id)``.
 
-        The ledger knows its last ``clear`` batch, so the filter is a literal:
-        batches before it are pruned from the plan (from the in-memory union
-        at planning time, from the stored dataset as partitions)."""
-        return self.events.filter((F.col("op") != "clear") & (F.col("batch_id") > F.lit(self.last_clear)))
+        Unsaved batches up to the last ``clear`` are left out before
+        planning; in the stored part the literal ``batch_id`` bound prunes
+        the earlier ``batch_id=`` folders."""
+        parts = []
+        if self.stored is not None and self.stored_upto > self.last_clear:
+            parts.append(self.stored.filter((F.col("batch_id") > F.lit(self.last_clear))
+                                            & (F.col("op") != "clear")))
+        parts += [b for bid, op, b in self.batches if bid > self.last_clear and op != "clear"]
+        return self._union(parts)
 
     def totals(self) -> DataFrame:
         """Count, total and mean price of the current inventory."""
@@ -133,23 +206,31 @@ class Ledger:
 
     # -- storage -----------------------------------------------------------
     def save(self, path: str) -> "Ledger":
-        """Append the batches not stored yet; returns the ledger marked stored."""
-        fresh = self.events.filter(F.col("batch_id") > self.stored_upto)
-        # one op per batch, so (batch_id, op) folders cost nothing extra and let
-        # `load` find the last clear from folder names (partition pruning)
-        fresh.write.mode("append").partitionBy("batch_id", "op").parquet(path)
-        return Ledger(self.spark, self.events, self.next_batch, self.item_schema, self.next_batch - 1,
-                      self.last_clear)
+        """Append the unsaved batches to the ledger dataset at ``path`` and
+        return the ledger reading them from there (the written table cuts
+        their lineage)."""
+        if self.batches:
+            # one op per batch, so (batch_id, op) folders cost nothing extra and let
+            # `load` find the last clear from folder names (partition pruning)
+            fresh = self._union([b for _, _, b in self.batches])
+            fresh.write.mode("append").partitionBy("batch_id", "op").parquet(path)
+        return self._with(stored=_read_events(self.spark, path, self.item_schema), batches=(),
+                          stored_upto=self.next_batch - 1)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, item_schema: T.StructType = ITEM_SCHEMA) -> "Ledger":
-        raw = spark.read.parquet(path)
-        cols = ["row_id"] + [f.name for f in item_schema.fields]
-        events = raw.select(F.col("batch_id").cast("bigint").alias("batch_id"),
-                            F.col("op").cast("string").alias("op"), *cols)
+        events = _read_events(spark, path, item_schema)
         last = events.agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
         last_clear = events.filter(F.col("op") == "clear").agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
-        return cls(spark, events, int(last) + 1, item_schema, int(last), int(last_clear))
+        return cls(spark, stored=events, next_batch=int(last) + 1, item_schema=item_schema,
+                   stored_upto=int(last), last_clear=int(last_clear))
+
+
+def _read_events(spark: SparkSession, path: str, item_schema: T.StructType) -> DataFrame:
+    raw = spark.read.parquet(path)
+    cols = ["row_id"] + [f.name for f in item_schema.fields]
+    return raw.select(F.col("batch_id").cast("bigint").alias("batch_id"),
+                      F.col("op").cast("string").alias("op"), *cols)
 
 
 def inventory_totals(current: DataFrame) -> DataFrame:

@@ -125,3 +125,21 @@ def test_export_csv_round_trip(spark, scratch):
     assert sorted(r.price for r in back.collect()) == [100, 200, 300]
     assert "batch_id" not in back.columns and "row_id" not in back.columns
     assert back.filter(F.col("x").isNull()).count() == 1
+
+
+def test_manual_checks_agree_with_table_checks(spark):
+    entries = [(12.0, "Ideal", "Z", "IF", 50), (1.0, "Ideal", "D", "IF", 500), (0.1, "Fair", "J", "I1", 100),
+               (10.0, "Super", "D", "XX", 100000), (None, "Good", "E", "VS1", 300), (0.09, None, "K", "SI2", 100001)]
+    df = spark.createDataFrame(entries, "carat double, cut string, color string, clarity string, price bigint")
+    got = {tuple(r[:5]): r.reason for r in inv.validate_manual(df).collect()}
+    for e in entries:
+        problems = inv.manual_problems(dict(zip(["carat", "cut", "color", "clarity", "price"], e)))
+        assert ("; ".join(problems) or None) == got[e]
+
+
+def test_current_skips_batches_before_the_last_clear(spark):
+    df = cleaned(spark, [stone(price=p) for p in (100, 200)])
+    led = inv.Ledger(spark).add_all(df).add_all(df).clear().add_all(df).clear()
+    assert led.current().count() == 0 and led.events.count() == 8
+    plan = led.add_manual(1.0, "Ideal", "D", "IF", 500).current()._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan  # the manual row is a literal, not a Python-side scan
