@@ -9,6 +9,8 @@ row into one task. Here instead:
 2. Approximate quantiles of the *distinct* values cut each group's value
    range into ``buckets`` ranges of about equal size (one small aggregate,
    joined back per group, or inlined as a scalar subquery without groups).
+   Repeated edges are dropped, so a group's edge list is never longer
+   than its number of distinct values.
    ``buckets`` defaults to the session's shuffle partitions (64..4096), so
    the work per window partition stays flat as the cluster and data grow.
 3. A running sum inside each ``(group, bucket)`` window partition.
@@ -74,7 +76,10 @@ def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
     v = F.col(value)
     buckets = bucket_count(df.sparkSession, buckets)
     accuracy = max(10000, 4 * buckets)  # rank error 1/accuracy, well under a bucket's width
-    summary = [F.percentile_approx(present(value), _fractions(buckets), accuracy).alias("_edges"),
+    # Distinct edges only: a group with few distinct values gets few edges, so
+    # the edges table is never larger than the per-value counts it cuts up
+    # (with many small groups, (buckets - 1) edges each would be).
+    summary = [F.array_distinct(F.percentile_approx(present(value), _fractions(buckets), accuracy)).alias("_edges"),
                F.sum("n").alias("total")]
     if by:
         edges = vc.groupBy(*by).agg(*summary)          # one row per group

@@ -177,3 +177,27 @@ def test_quartiles_type5_and_approx(spark):  # E10, second method; the sketch op
     box = spark.createDataFrame([("a", v) for v in vals], "clarity string, price bigint")
     h = dst.box_stats(box, method="hazen").first()
     assert (h.q1, h.median, h.q3) == tuple(np.percentile(vals, [25, 50, 75], method="hazen"))
+
+
+def test_many_small_groups_exact_quartiles(spark):
+    """1,500 groups of 1-4 values next to one large group: every group's
+    type-7 quartiles equal numpy's, and no group carries more distinct
+    edges than it has distinct values."""
+    rng = np.random.default_rng(11)
+    data = [(f"g{g}", float(rng.integers(0, 5))) for g in range(1500) for _ in range(1 + g % 4)]
+    data += [("big", float(v)) for v in rng.integers(0, 3000, 5000)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r.k: (r.q1, r.q2, r.q3) for r in
+           ranks.exact_quantiles(df, "v", [0.25, 0.5, 0.75], ["q1", "q2", "q3"], by=("k",), buckets=64).collect()}
+    groups = {}
+    for k, v in data:
+        groups.setdefault(k, []).append(v)
+    assert len(got) == len(groups)
+    for k, vals in groups.items():
+        want = np.percentile(vals, [25, 50, 75])
+        assert got[k] == pytest.approx(tuple(want), abs=1e-9), k
+    vc = ranks.value_counts(df, "v", ("k",))
+    edges = vc.groupBy("k").agg(
+        F.array_distinct(F.percentile_approx(ranks.present("v"), ranks._fractions(64), 10000)).alias("e"),
+        F.count(F.lit(1)).alias("d"))
+    assert edges.filter(F.size("e") > F.col("d")).count() == 0
