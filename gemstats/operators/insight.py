@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades
-from ..functions.stats import ratio, safe_corr, share_pct
+from ..functions.stats import safe_corr
 from .ranks import exact_quantiles
 
 # The analysis types, in menu order.
@@ -24,27 +24,35 @@ GRADE_KEYS = ("cut", "color", "clarity")
 _TYPE_KEY = {"Cut Analysis": "cut", "Color Analysis": "color", "Clarity Analysis": "clarity"}
 
 
-def _bundle_columns(key_gid: dict, analysis_type: str, has_ordinals: bool,
-                    quartiles: Column | None) -> list[tuple[str, Column]]:
-    """``(field, aggregate)`` pairs over the grouping-sets table giving one
-    bundle (``total_diamonds`` first, as in the statistics mirrored)."""
-    gid = F.col("_gid")
-    whole = gid == key_gid[None]
+def _q(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _bundle_fields(key_gid: dict, analysis_type: str, has_ordinals: bool) -> list[tuple[str, str]]:
+    """``(field, SQL aggregate)`` pairs over the grouping-sets table giving
+    one bundle (``total_diamonds`` first, as in the statistics mirrored).
+    ``_quartiles`` names the exact carat quartiles, attached after the
+    aggregate. SQL text, so the whole bundle set is one call to the JVM."""
+    whole = f"_gid = {key_gid[None]}"
 
     def of_all(c):  # the value on the all-rows grouping set
-        return F.max(F.when(whole, F.col(c)))
+        return f"max(CASE WHEN {whole} THEN `{c}` END)"
+
+    def ratio(num, den):
+        return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
 
-    out = [("total_diamonds", F.coalesce(of_all("n"), F.lit(0).cast("bigint"))),
-           ("analysis_type", F.lit(analysis_type))]
+    out = [("total_diamonds", f"coalesce({of_all('n')}, CAST(0 AS BIGINT))"),
+           ("analysis_type", _q(analysis_type))]
     if analysis_type == "Carat Analysis":
         return out + [
             ("avg_carat", of_all("avg_carat")),
-            ("median_carat", F.first(quartiles[1])),
+            ("median_carat", "_quartiles[1]"),
             ("carat_std", of_all("carat_std")),
-            ("carat_range", F.array(of_all("min_carat").cast("double"), of_all("max_carat").cast("double"))),
-            ("carat_quartiles", F.first(quartiles)),
-            ("small_diamonds_pct", ratio(of_all("n_small"), of_all("n")) * 100.0),
-            ("large_diamonds_pct", ratio(of_all("n_large"), of_all("n")) * 100.0),
+            ("carat_range", f"array(CAST({of_all('min_carat')} AS DOUBLE), CAST({of_all('max_carat')} AS DOUBLE))"),
+            ("carat_quartiles", "_quartiles"),
+            ("small_diamonds_pct", f"{ratio(of_all('n_small'), of_all('n'))} * 100.0D"),
+            ("large_diamonds_pct", f"{ratio(of_all('n_large'), of_all('n'))} * 100.0D"),
             ("price_carat_correlation", of_all("r_price_carat"))]
     if analysis_type == "Correlation Analysis":
         if not has_ordinals:
@@ -54,60 +62,61 @@ def _bundle_columns(key_gid: dict, analysis_type: str, has_ordinals: bool,
             ("price_carat_corr", pc),
             ("price_color_corr", pcol),
             ("price_clarity_corr", of_all("r_price_clarity")),
-            ("carat_dominates_pricing", F.coalesce(F.abs(pc) > grades.STRONG_CORRELATION, F.lit(False))),
-            ("color_weak_correlation", F.coalesce(F.abs(pcol) < grades.WEAK_CORRELATION, F.lit(False)))]
+            ("carat_dominates_pricing", f"coalesce(abs({pc}) > {grades.STRONG_CORRELATION!r}D, false)"),
+            ("color_weak_correlation", f"coalesce(abs({pcol}) < {grades.WEAK_CORRELATION!r}D, false)")]
     key = _TYPE_KEY.get(analysis_type)
     if key is None or key not in key_gid:
         return out
-    k, n, mp = F.col(key), F.col("n"), F.col("avg_price")
-    mine = gid == key_gid[key]
-    known = mine & k.isNotNull()
-    ppc = ratio(F.col("avg_price"), F.col("avg_carat"))
+    k = f"`{key}`"
+    mine = f"_gid = {key_gid[key]}"
+    known = f"{mine} AND {k} IS NOT NULL"
+    ppc = ratio("avg_price", "avg_carat")
 
     def kv(value):
-        entries = F.collect_list(F.when(known, F.struct(k.alias("k"), value.alias("v"))))
-        return F.map_from_entries(F.array_sort(entries))
+        return (f"map_from_entries(array_sort(collect_list("
+                f"CASE WHEN {known} THEN named_struct('k', {k}, 'v', {value}) END)))")
 
     def first_by(*order):
-        return F.min_by(F.when(known, k), F.when(known, F.struct(*order, k)))
+        return f"min_by(CASE WHEN {known} THEN {k} END, CASE WHEN {known} THEN struct({', '.join(order)}, {k}) END)"
 
     def last_by(*order):
-        return F.max_by(F.when(known, k), F.when(known, F.struct(*order, k)))
+        return f"max_by(CASE WHEN {known} THEN {k} END, CASE WHEN {known} THEN struct({', '.join(order)}, {k}) END)"
 
     def pct(values):
-        return ratio(F.coalesce(F.sum(F.when(mine & k.isin(values), n)), F.lit(0)), of_all("n")) * 100.0
+        members = ", ".join(_q(v) for v in values)
+        return f"{ratio(f'coalesce(sum(CASE WHEN {mine} AND {k} IN ({members}) THEN n END), 0)', of_all('n'))} * 100.0D"
 
     def exceeds(pair):
         a, b = pair
-        return F.coalesce(F.max(F.when(mine & (k == a), mp)) > F.max(F.when(mine & (k == b), mp)),
-                          F.lit(False))
+        return (f"coalesce(max(CASE WHEN {mine} AND {k} = {_q(a)} THEN avg_price END)"
+                f" > max(CASE WHEN {mine} AND {k} = {_q(b)} THEN avg_price END), false)")
 
     if key == "cut":
         return out + [
-            ("cut_distribution", kv(n)),
-            ("most_common_cut", first_by(-n)),
-            ("least_common_cut", last_by(-n)),
-            ("cut_price_avg", kv(mp)),
-            ("highest_priced_cut", first_by(-mp)),
-            ("lowest_priced_cut", first_by(mp)),
+            ("cut_distribution", kv("n")),
+            ("most_common_cut", first_by("-n")),
+            ("least_common_cut", last_by("-n")),
+            ("cut_price_avg", kv("avg_price")),
+            ("highest_priced_cut", first_by("-avg_price")),
+            ("lowest_priced_cut", first_by("avg_price")),
             ("premium_cuts_pct", pct(grades.PREMIUM_CUTS))]
     if key == "color":
         return out + [
-            ("color_distribution", kv(n)),
-            ("most_common_color", first_by(-n)),
+            ("color_distribution", kv("n")),
+            ("most_common_color", first_by("-n")),
             ("premium_colors_pct", pct(grades.PREMIUM_COLORS)),
-            ("avg_carat_by_color", kv(F.col("avg_carat"))),
-            ("avg_price_by_color", kv(mp)),
+            ("avg_carat_by_color", kv("avg_carat")),
+            ("avg_price_by_color", kv("avg_price")),
             ("price_per_carat_by_color", kv(ppc)),
-            ("best_value_color", first_by(-ppc)),
+            ("best_value_color", first_by(f"-{ppc}")),
             ("color_price_paradox", exceeds(grades.COLOR_PARADOX))]
     return out + [
-        ("clarity_distribution", kv(n)),
-        ("most_common_clarity", first_by(-n)),
+        ("clarity_distribution", kv("n")),
+        ("most_common_clarity", first_by("-n")),
         ("sweet_spot_clarity_pct", pct(grades.SWEET_SPOT_CLARITIES)),
         ("premium_clarity_pct", pct(grades.PREMIUM_CLARITIES)),
-        ("clarity_price_avg", kv(mp)),
-        ("highest_priced_clarity", first_by(-mp)),
+        ("clarity_price_avg", kv("avg_price")),
+        ("highest_priced_clarity", first_by("-avg_price")),
         ("clarity_price_paradox", exceeds(grades.CLARITY_PARADOX))]
 
 
@@ -140,19 +149,22 @@ def insight_bundles(df: DataFrame, types: list[str] = ANALYSIS_TYPES) -> DataFra
     else:
         g = df.agg(*aggs).withColumn("_gid", F.lit(0).cast("bigint"))
         key_gid = {None: 0}
-    quartiles = None
+    per_type = [_bundle_fields(key_gid, t, has_ordinals) for t in types]
+    # quartile references stay outside the aggregate; everything else is one aggregate
+    aggregated = [(i, j, sql) for i, fields in enumerate(per_type) for j, (_, sql) in enumerate(fields)
+                  if not sql.startswith("_quartiles")]
+    one = g.selectExpr(*[f"{sql} AS b{i}_{j}" for i, j, sql in aggregated])
     if "Carat Analysis" in types:
         q = exact_quantiles(df, "carat", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-        quartiles = q.select(F.array("q25", "q50", "q75")).scalar()
-    per_type = [_bundle_columns(key_gid, t, has_ordinals, quartiles) for t in types]
-    one = g.agg(*[expr.alias(f"b{i}_{j}") for i, fields in enumerate(per_type)
-                  for j, (_, expr) in enumerate(fields)])
-    bundles = []
+        one = one.select("*", q.select(F.array("q25", "q50", "q75")).scalar().alias("_quartiles"))
+    done = {(i, j) for i, j, _ in aggregated}
+    rows = []
     for i, (t, fields) in enumerate(zip(types, per_type)):
-        body = F.struct(*[F.col(f"b{i}_{j}").alias(name) for j, (name, _) in enumerate(fields)])
-        bundles.append(F.struct(F.lit(t).alias("analysis_type"),
-                                F.to_json(body, {"ignoreNullFields": "false"}).alias("stats_json")))
-    return one.select(F.explode(F.array(*bundles)).alias("b")).select("b.*")
+        body = ", ".join(f"{_q(name)}, {f'b{i}_{j}' if (i, j) in done else sql}"
+                         for j, (name, sql) in enumerate(fields))
+        rows.append(f"named_struct('analysis_type', {_q(t)}, 'stats_json', "
+                    f"to_json(named_struct({body}), map('ignoreNullFields', 'false')))")
+    return one.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def insight_stats(df: DataFrame, analysis_type: str) -> DataFrame:

@@ -52,6 +52,9 @@ def test_empty_table_bundle(spark):
     df = spark.createDataFrame([], "carat double, cut string, color string, clarity string, price bigint")
     b = json.loads(ins.insight_stats(df, "Cut Analysis").first().stats_json)
     assert b["most_common_cut"] is None and b["premium_cuts_pct"] is None and b["total_diamonds"] == 0
+    c = json.loads(ins.insight_stats(df, "Carat Analysis").first().stats_json)
+    assert c["carat_quartiles"] == [None, None, None] and c["carat_range"] == [None, None]
+    assert c["median_carat"] is None and c["total_diamonds"] == 0
 
 
 def test_bundle_numbers_equal_checked_queries(spark):
