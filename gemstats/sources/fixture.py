@@ -22,27 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def diamond_raw_from(lineitem: DataFrame) -> DataFrame:
-    li = lineitem
-    partkey, suppkey = F.col("l_partkey"), F.col("l_suppkey")
-    tax, discount = F.col("l_tax"), F.col("l_discount")
-    carat = F.col("l_quantity") / 10
-    cut = (F.when((tax == 0.08) & (discount == 0.1), F.lit(None).cast("string"))
-           .when(partkey % 5 == 0, "Fair").when(partkey % 5 == 1, "Good")
-           .when(partkey % 5 == 2, "Very Good").when(partkey % 5 == 3, "Premium")
-           .otherwise("Ideal"))
-    color = (F.when((F.col("l_linenumber") == 7) & (tax == 0.07), "K")
-             .otherwise(F.substring(F.lit("DEFGHIJ"), (suppkey % 7).cast("int") + 1, F.lit(1))))
-    clarity_names = ["I1", "SI2", "SI1", "VS2", "VS1", "VVS2", "VVS1", "IF"]
-    clarity = F.create_map(*[x for i, n in enumerate(clarity_names) for x in (F.lit(i), F.lit(n))])[
-        (F.col("l_orderkey") % 8).cast("int")]
-    price = F.floor(F.col("l_quantity") * 150 + F.col("l_extendedprice") / 50).cast("bigint")
-    x = F.when((discount == 0) & (tax == 0), F.lit(0.0)).otherwise(carat * 2 + 1)
-    copies = F.when(F.col("l_orderkey") % 50 == 0, 2).otherwise(1)
-    return (li.select(
-                carat.alias("carat"), cut.alias("cut"), color.alias("color"),
-                clarity.alias("clarity"), price.alias("price"), x.alias("x"),
-                (carat * 2 + 1.5).alias("y"), (carat + 0.5).alias("z"),
-                F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
+    """The view's projection as SQL text (one call to the JVM to plan it);
+    lines of an order whose key is divisible by 50 are emitted twice."""
+    carat = "(l_quantity / 10)"
+    return (lineitem.selectExpr(
+                f"{carat} AS carat",
+                "CASE WHEN l_tax = 0.08 AND l_discount = 0.1 THEN CAST(NULL AS STRING)"
+                " WHEN l_partkey % 5 = 0 THEN 'Fair' WHEN l_partkey % 5 = 1 THEN 'Good'"
+                " WHEN l_partkey % 5 = 2 THEN 'Very Good' WHEN l_partkey % 5 = 3 THEN 'Premium'"
+                " ELSE 'Ideal' END AS cut",
+                "CASE WHEN l_linenumber = 7 AND l_tax = 0.07 THEN 'K'"
+                " ELSE substring('DEFGHIJ', CAST(l_suppkey % 7 AS INT) + 1, 1) END AS color",
+                "CASE CAST(l_orderkey % 8 AS INT) WHEN 0 THEN 'I1' WHEN 1 THEN 'SI2' WHEN 2 THEN 'SI1'"
+                " WHEN 3 THEN 'VS2' WHEN 4 THEN 'VS1' WHEN 5 THEN 'VVS2' WHEN 6 THEN 'VVS1' ELSE 'IF' END AS clarity",
+                "CAST(floor(l_quantity * 150 + l_extendedprice / 50) AS BIGINT) AS price",
+                f"CASE WHEN l_discount = 0 AND l_tax = 0 THEN 0.0D ELSE {carat} * 2 + 1 END AS x",
+                f"{carat} * 2 + 1.5 AS y",
+                f"{carat} + 0.5 AS z",
+                "explode(sequence(1, CASE WHEN l_orderkey % 50 = 0 THEN 2 ELSE 1 END)) AS _copy")
             .drop("_copy"))
 
 
