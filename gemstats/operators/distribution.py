@@ -17,49 +17,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades
-from ..functions.stats import r6
+from ..functions.stats import DIGITS, r6
 from .ranks import DEFAULT_BUCKETS, cumulative_counts, present, quantile_columns, value_counts
 
 STEP_MULTIPLIERS = (1, 2, 5, 10, 20, 50)
 
 
-def _scaled_col(m: Column, k: Column) -> Column:
-    """m * 10^k, computed with exact integer powers so every engine agrees."""
-    return F.when(k >= 0, m.cast("double") * F.pow(F.lit(10.0), k)) \
-            .otherwise(m.cast("double") / F.pow(F.lit(10.0), -k))
+def bin_index_sql(v: str, origin: str, step: str) -> str:
+    # round before floor: (0.3 - 0.0) / 0.1 is 2.9999999999999996
+    return f"floor(round(({v} - {origin}) / {step}, 9))"
 
 
 def bin_index(v: Column, origin: Column, step: Column) -> Column:
-    # round before floor: (0.3 - 0.0) / 0.1 is 2.9999999999999996
     return F.floor(F.round((v - origin) / step, 9))
 
 
-def bin_columns(lo: Column, hi: Column, max_bins: int) -> tuple[Column, Column, Column]:
-    """``step, origin, bins`` of the value range [lo, hi] as expressions.
+def step_sql(lo: str, hi: str, max_bins: int) -> str:
+    """SQL for the bin width of the value range [lo, hi] (columns of a one-row
+    table): the smallest candidate m x 10^k (exact integer powers, so every
+    engine agrees) that covers the range within the cap; 1 when lo = hi."""
+    raw = f"(({hi} - {lo}) / {float(max_bins)!r}D)"
+    k = f"floor(log10({raw}))"
+    scaled = f"CASE WHEN {k} >= 0 THEN CAST(m AS DOUBLE) * pow(10.0D, {k}) ELSE CAST(m AS DOUBLE) / pow(10.0D, -{k}) END"
+    fits = (f"filter(transform(array({', '.join(str(m) for m in STEP_MULTIPLIERS)}), m -> {scaled}), "
+            f"st -> st >= {raw} AND {bin_index_sql(hi, f'floor({lo} / st) * st', 'st')} + 1 <= {max_bins})")
+    return f"CASE WHEN {hi} > {lo} THEN array_min({fits}) WHEN {hi} = {lo} THEN 1.0D END"
+
 
-    Evaluated on a one-row table only: the six candidate steps are an array,
-    the smallest that covers the range within the cap wins."""
-    raw = (hi - lo) / F.lit(float(max_bins))
-    k = F.floor(F.log10(raw))
-    steps = F.transform(F.array(*[F.lit(m) for m in STEP_MULTIPLIERS]), lambda m: _scaled_col(m, k))
-    fits = F.filter(steps, lambda st: (st >= raw) & (bin_index(hi, F.floor(lo / st) * st, st) + 1 <= max_bins))
-    step = F.when(hi > lo, F.array_min(fits)).when(hi == lo, F.lit(1.0))
-    origin = F.when(hi == lo, lo).otherwise(F.floor(lo / step) * step)
-    bins = (bin_index(hi, origin, step) + 1).cast("int")
-    return step, origin, bins
+def origin_sql(lo: str, hi: str, step: str) -> str:
+    return f"CASE WHEN {hi} = {lo} THEN {lo} ELSE floor({lo} / {step}) * {step} END"
 
 
 def bin_params(counts: DataFrame, value: str, max_bins: int) -> DataFrame:
     """One row: ``step, origin, bins`` for ``value`` (NULLs when empty), from
-    a ``value_counts`` table (one row per distinct value)."""
-    s = counts.agg(F.min(present(value)).cast("double").alias("lo"),
-                   F.max(present(value)).cast("double").alias("hi"))
-    step, origin, bins = bin_columns(F.col("lo"), F.col("hi"), max_bins)
-    staged = s.select("lo", "hi", step.alias("step"))
-    return staged.select("step", F.when(F.col("hi") == F.col("lo"), F.col("lo"))
-                         .otherwise(F.floor(F.col("lo") / F.col("step")) * F.col("step")).alias("origin"),
-                         "hi").select(
-        "step", "origin", (bin_index(F.col("hi"), F.col("origin"), F.col("step")) + 1).cast("int").alias("bins"))
+    a ``value_counts`` table (one row per distinct value). Staged one-row
+    projections in SQL text, so each step is a small expression."""
+    present = f"CASE WHEN n > 0 THEN `{value}` END"  # = ranks.present: same plan as the other branches
+    s = counts.selectExpr(f"CAST(min({present}) AS DOUBLE) AS lo", f"CAST(max({present}) AS DOUBLE) AS hi")
+    return (s.selectExpr("lo", "hi", f"{step_sql('lo', 'hi', max_bins)} AS step")
+             .selectExpr("step", f"{origin_sql('lo', 'hi', 'step')} AS origin", "hi")
+             .selectExpr("step", "origin", f"CAST({bin_index_sql('hi', 'origin', 'step')} + 1 AS INT) AS bins"))
 
 
 def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
@@ -70,18 +67,15 @@ def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
     vc = value_counts(df, value)
     params = bin_params(vc, value, max_bins)
     p = params.select(F.struct("step", "origin")).scalar()
-    step, origin = p.getField("step"), p.getField("origin")
     # non-nullable bin: no inferred IS NOT NULL filter is pushed into this branch's scan
-    bin_of = F.coalesce(bin_index(F.col(value), origin, step).cast("int"), F.lit(-1))
-    counts = (vc.select(bin_of.alias("bin"), "n")
-                .groupBy("bin").agg(F.sum("n").alias("n")))
-    all_bins = (params.filter(F.col("bins").isNotNull())
-                .select("step", "origin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")))
+    bin_of = F.coalesce(bin_index(F.col(value), p.getField("origin"), p.getField("step")).cast("int"), F.lit(-1))
+    counts = vc.select(bin_of.alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n"))
+    all_bins = params.where("bins IS NOT NULL").selectExpr("step", "origin", "explode(sequence(0, bins - 1)) AS bin")
     return (all_bins.join(counts, "bin", "left")
-                    .select("bin",
-                            r6(F.col("origin") + F.col("bin") * F.col("step")).alias("bin_start"),
-                            r6(F.col("origin") + (F.col("bin") + 1) * F.col("step")).alias("bin_end"),
-                            F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+                    .selectExpr("bin",
+                                f"round(origin + bin * step, {DIGITS}) AS bin_start",
+                                f"round(origin + (bin + 1) * step, {DIGITS}) AS bin_end",
+                                "CAST(coalesce(n, 0) AS BIGINT) AS n"))
 
 
 def ecdf_values(df: DataFrame, value: str = "carat", buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
@@ -184,9 +178,11 @@ def scatter_density(df: DataFrame, x: str = "carat", y: str = "price",
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ext = both.agg(F.min(x).cast("double").alias("xl"), F.max(x).cast("double").alias("xh"),
                    F.min(y).cast("double").alias("yl"), F.max(y).cast("double").alias("yh"))
-    xs, xo, _ = bin_columns(F.col("xl"), F.col("xh"), x_bins)
-    ys, yo, _ = bin_columns(F.col("yl"), F.col("yh"), y_bins)
-    p = ext.select(F.struct(xs.alias("xs"), xo.alias("xo"), ys.alias("ys"), yo.alias("yo"))).scalar()
+    params = (ext.selectExpr("xl", "xh", "yl", "yh", f"{step_sql('xl', 'xh', x_bins)} AS xs",
+                             f"{step_sql('yl', 'yh', y_bins)} AS ys")
+                 .selectExpr("xs", f"{origin_sql('xl', 'xh', 'xs')} AS xo",
+                             "ys", f"{origin_sql('yl', 'yh', 'ys')} AS yo"))
+    p = params.select(F.struct("xs", "xo", "ys", "yo")).scalar()
     bx = bin_index(F.col(x), p.getField("xo"), p.getField("xs")).cast("int")
     by = bin_index(F.col(y), p.getField("yo"), p.getField("ys")).cast("int")
     cells = (both.select(F.coalesce(bx, F.lit(-1)).alias(f"{x}_bin"), F.coalesce(by, F.lit(-1)).alias(f"{y}_bin"))
