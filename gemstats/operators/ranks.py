@@ -24,7 +24,7 @@ Everything is lazy; nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = None  # None: from the session's shuffle partitions, clamped below
@@ -41,9 +41,13 @@ def bucket_count(spark, buckets: int | None) -> int:
     return max(MIN_BUCKETS, min(MAX_BUCKETS, parts))
 
 
+def _fractions_sql(buckets: int) -> str:
+    """The literal array [1/b, 2/b, ..., (b-1)/b] as SQL text."""
+    return "array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")"
+
+
 def _fractions(buckets: int) -> Column:
-    """The literal array [1/b, 2/b, ..., (b-1)/b] as one expression."""
-    return F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
+    return F.expr(_fractions_sql(buckets))
 
 
 def value_counts(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -73,65 +77,67 @@ def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
     scan and its shuffle run once (Spark reuses the identical exchange).
     """
     vc = value_counts(df, value, by)
-    v = F.col(value)
     buckets = bucket_count(df.sparkSession, buckets)
     accuracy = max(10000, 4 * buckets)  # rank error 1/accuracy, well under a bucket's width
     # Distinct edges only: a group with few distinct values gets few edges, so
     # the edges table is never larger than the per-value counts it cuts up
     # (with many small groups, (buckets - 1) edges each would be).
-    summary = [F.array_distinct(F.percentile_approx(present(value), _fractions(buckets), accuracy)).alias("_edges"),
-               F.sum("n").alias("total")]
+    summary = [F.expr(f"array_distinct(percentile_approx(CASE WHEN n > 0 THEN `{value}` END, "
+                      f"{_fractions_sql(buckets)}, {accuracy})) AS _edges"),  # CASE = present()
+               F.expr("sum(n) AS total")]
     if by:
         edges = vc.groupBy(*by).agg(*summary)          # one row per group
         b = vc.join(edges, list(by))
-        edges_col, total_col = F.col("_edges"), F.col("total")
     else:
         one = vc.agg(*summary).select(F.struct("_edges", "total")).scalar()
-        b = vc
-        edges_col, total_col = one.getField("_edges"), one.getField("total")
+        b = vc.select("*", one.getField("_edges").alias("_edges"), one.getField("total").alias("total"))
+    keys = "".join(f"`{k}`, " for k in by)
+    part = f"{keys}_b"
+    v = f"`{value}`"
     # number of edges strictly below v: first position of v among edges + [v], sorted
     # (no lambda, so the edges may come from a scalar subquery)
     # (non-nullable, so no inferred IS NOT NULL filter is pushed into one branch's scan)
-    below = F.coalesce(F.array_position(F.sort_array(F.concat(edges_col, F.array(v))), v) - 1, F.lit(0))
-    b = b.select(*by, value, "n", total_col.alias("total"), below.cast("int").alias("_b"))
-    part = [*by, "_b"]
-    running = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    w = b.select("*", F.sum("n").over(running).alias("_cin"),
-                 F.sum("n").over(Window.partitionBy(*part)).alias("_bn"))
+    b = b.selectExpr(*[f"`{k}`" for k in by], v, "n", "total",
+                     f"CAST(coalesce(array_position(sort_array(concat(_edges, array({v}))), {v}) - 1, 0) AS INT) AS _b")
+    w = b.selectExpr(
+        "*",
+        f"sum(n) OVER (PARTITION BY {part} ORDER BY {v} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cin",
+        f"sum(n) OVER (PARTITION BY {part}) AS _bn")
     # One row per (group, bucket), bounded by `buckets` rows per group; the input
     # is already clustered by (group, bucket), so this aggregate adds no shuffle.
-    per_bucket = w.groupBy(*part).agg(F.max("_bn").alias("_bn"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*part, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
-    return (w.join(offsets, part)
-             .select(*by, value, "n", (F.col("_off") + F.col("_cin")).alias("cum"), "total"))
+    per_bucket = w.groupBy(*by, "_b").agg(F.expr("max(_bn) AS _bn"))
+    over = f"PARTITION BY {keys[:-2]} " if by else ""
+    offsets = per_bucket.selectExpr(
+        *[f"`{k}`" for k in by], "_b",
+        f"coalesce(sum(_bn) OVER ({over}ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _off")
+    return (w.join(offsets, [*by, "_b"])
+             .selectExpr(*[f"`{k}`" for k in by], v, "n", "_off + _cin AS cum", "total"))
 
 
-def quantile_columns(value: str, probs: list[float], names: list[str], method: str = "linear") -> list[Column]:
-    """Aggregates over ``cumulative_counts`` rows giving exact quantiles.
+def quantile_sql(value: str, p: float, method: str = "linear") -> str:
+    """SQL aggregate over ``cumulative_counts`` rows giving one exact quantile.
 
     ``linear`` (Hyndman-Fan type 7, numpy's default): 0-based position
     h = (N - 1) p. ``hazen`` (type 5): h = N p - 1/2, clamped to [0, N - 1].
     The result interpolates linearly between the order statistics around h.
     """
-    v, n, cum, total = F.col(value), F.col("n"), F.col("cum"), F.col("total")
-    start = cum - n  # 0-based rank of the first copy of this value
-    out = []
-    for p, name in zip(probs, names):
-        if method == "linear":
-            h = (total - 1).cast("double") * F.lit(float(p))
-        elif method == "hazen":
-            h = F.least(F.greatest(total.cast("double") * F.lit(float(p)) - 0.5, F.lit(0.0)),
-                        (total - 1).cast("double"))
-        else:
-            raise ValueError(f"unknown quantile method {method!r}")
-        lo = F.floor(h)
-        hi = F.least(lo + 1, total - 1)
-        v_lo = F.max(F.when((start <= lo) & (lo < cum), v))
-        v_hi = F.max(F.when((start <= hi) & (hi < cum), v))
-        frac = F.max(h - lo)
-        out.append((v_lo + frac * (v_hi - v_lo)).alias(name))
-    return out
+    if method == "linear":
+        h = f"(CAST(total - 1 AS DOUBLE) * {float(p)!r}D)"
+    elif method == "hazen":
+        h = f"least(greatest(CAST(total AS DOUBLE) * {float(p)!r}D - 0.5D, 0.0D), CAST(total - 1 AS DOUBLE))"
+    else:
+        raise ValueError(f"unknown quantile method {method!r}")
+    v = f"`{value}`"
+    lo = f"floor({h})"
+    hi = f"least({lo} + 1, total - 1)"
+    v_lo = f"max(CASE WHEN cum - n <= {lo} AND {lo} < cum THEN {v} END)"  # cum - n: rank of the first copy
+    v_hi = f"max(CASE WHEN cum - n <= {hi} AND {hi} < cum THEN {v} END)"
+    return f"{v_lo} + max({h} - {lo}) * ({v_hi} - {v_lo})"
+
+
+def quantile_columns(value: str, probs: list[float], names: list[str], method: str = "linear") -> list[Column]:
+    """Aggregates over ``cumulative_counts`` rows giving exact quantiles (see ``quantile_sql``)."""
+    return [F.expr(f"{quantile_sql(value, p, method)} AS `{name}`") for p, name in zip(probs, names)]
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], names: list[str] | None = None,
