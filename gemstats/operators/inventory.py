@@ -220,8 +220,8 @@ class Ledger:
     @classmethod
     def load(cls, spark: SparkSession, path: str, item_schema: T.StructType = ITEM_SCHEMA) -> "Ledger":
         events = _read_events(spark, path, item_schema)
-        last = events.agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
-        last_clear = events.filter(F.col("op") == "clear").agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
+        last, last_clear = events.selectExpr(  # one aggregate over the partition columns
+            "coalesce(max(batch_id), 0)", "coalesce(max(CASE WHEN op = 'clear' THEN batch_id END), 0)").first()
         return cls(spark, stored=events, next_batch=int(last) + 1, item_schema=item_schema,
                    stored_upto=int(last), last_clear=int(last_clear))
 
