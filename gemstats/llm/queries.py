@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gemstats.llm import exact_dedup, mixing, simhash
+from gemstats.llm import exact_dedup, lm_score, mixing, quality, simhash
 from gemstats.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by attention over its passages."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality as label")
+    return quality.quality_scores(table(spark, sf_dir, "documents"), labels)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies by composable polynomial fingerprints."""
     return (exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -23,9 +29,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text under the attention model."""
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document for the target mix."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_exact_dedup, op5_simhash, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_simhash, op9_lm_score, op10_mixing)}
