@@ -10,10 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemstats.llm import exact_dedup, mixing, simhash
+from gemstats.llm import decontaminate, exact_dedup, mixing, quality, simhash
 from gemstats.llm.common import table, written
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is below 0.7 go."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality as label")
+    return quality.keep_good(docs, labels, threshold=0.7)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, one stays."""
     return exact_dedup.exact_dedup(docs)
@@ -24,6 +30,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(docs, shingle=4, distance=4)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target,
     taken (words, repeats counted) and copies."""
@@ -33,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .join(taken, F.col("__own") == F.col("__mark")).drop("__own", "__mark"))
 
 
-STAGES = [("exact", exact), ("near", near), ("mixed", mixed)]
+STAGES = [("quality", good), ("exact_dedup", exact), ("simhash", near), ("decontaminate", clean), ("mixing", mixed)]
 
 #: SQL can't express the classifier, the fingerprints or the alignment.
 ORACLE_SQL = None

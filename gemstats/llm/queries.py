@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gemstats.llm import exact_dedup, lm_score, mixing, quality, simhash
+from gemstats.llm import decontaminate, exact_dedup, lm_score, mixing, quality, simhash
 from gemstats.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items: doc_id, item_id, score, place."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every text under the attention model."""
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
@@ -39,4 +44,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_simhash, op9_lm_score, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_simhash, op6_decontaminate, op9_lm_score, op10_mixing)}
