@@ -1,10 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 Texts are runs of ASCII letters and digits and non-ASCII bytes, A-Z in lower
-case. Of each stretch of ``stretch`` neighbouring n-grams of a test item the
-one that the fewest training documents have is a seed, so any
-``n + stretch - 1`` unchanged words hold one, and an item whose n-grams are
-all frequent still has seeds. Where a document has a seed, the passage around
+case. The n-grams of a test item that few training documents have are seeds; of
+``stretch`` neighbouring ones the rarest always is, so an item whose n-grams
+are all frequent still has seeds. Where a document has a seed, the passage around
 it is aligned with the item by Smith-Waterman (match 2, mismatch and gap -1);
 a best score of at least ``threshold`` times the item's own (2 a word) is a
 leak. Words may be changed, added or left out.
@@ -78,16 +77,16 @@ def block(rows: list[tuple], n: int) -> Items:
     return Items([i for i, _ in rows], tokens, vocabulary, n, grams, np.append(begin, len(code)), item[order], offset[order])
 
 
-def rarest(items: Items, df: np.ndarray, stretch: int) -> Items:
-    """Only the seeds: of each stretch of an item its rarest n-gram."""
+def rare(items: Items, df: np.ndarray, documents: int, stretch: int, share: float) -> Items:
+    """Only the seeds: n-grams that at most ``share`` of the documents have (or
+    10), and in each stretch of an item those not much above its rarest. The
+    rarest alone wouldn't do: edited copies make the n-grams they keep less
+    rare than those they change."""
     gram = np.repeat(np.arange(len(items.grams)), np.diff(items.begin))
-    group = np.stack([items.item, items.offset // stretch], 1)
-    order = np.lexsort((items.offset, df[gram], group[:, 1], group[:, 0]))
-    sorted_group = group[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (sorted_group[1:] != sorted_group[:-1]).any(1)
-    use = np.zeros(len(order), bool)
-    use[order[first]] = True
+    _, group = np.unique(np.stack([items.item, items.offset // stretch], 1), axis=0, return_inverse=True)
+    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, df[gram])
+    use = (df[gram] <= max(10, share * documents)) | (df[gram] <= 4 * least[group])
     kept, begin = np.unique(gram[use], return_index=True)
     return items._replace(grams=items.grams[kept], begin=np.append(begin, int(use.sum())), item=items.item[use], offset=items.offset[use])
 
@@ -113,11 +112,12 @@ def _found(tokens: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], near[hit]
 
 
-def document_counts(docs: DataFrame, items: Items, at_once: int = 1 << 20) -> np.ndarray:
-    """How many documents have each n-gram of the block."""
+def document_counts(docs: DataFrame, items: Items, at_once: int = 1 << 20) -> tuple[np.ndarray, int]:
+    """How many documents have each n-gram of the block, and how many there are."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams), np.int64)
+        total = np.zeros(len(items.grams) + 1, np.int64)  # the last counts documents
         for batch in batches:
+            total[-1] += batch.num_rows
             for texts in _chunks(batch.column(0), at_once):
                 tokens, ends = _numbered(texts, items)
                 at, gram = _found(tokens, items)
@@ -129,9 +129,9 @@ def document_counts(docs: DataFrame, items: Items, at_once: int = 1 << 20) -> np
 
     rows = docs.select(text_bytes().alias("data")).mapInArrow(counted, "gram bigint, n bigint") \
         .groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(items.grams), np.int64)
+    out = np.zeros(len(items.grams) + 1, np.int64)
     out[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    return out[:-1], int(out[-1])
 
 
 def _chunks(texts: pa.Array, at_once: int) -> Iterator[list[bytes]]:
@@ -234,7 +234,8 @@ def leaks(items: Items, threshold: float, text: str = "text", at_once: int = 1 <
     return hits(text_bytes(text))
 
 
-def seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 3, block_bytes: int = 4 << 20) -> Iterator[Items]:
+def seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 3, share: float = 1e-3,
+          block_bytes: int = 4 << 20) -> Iterator[Items]:
     """The seeds of the test items, block by block of about block_bytes of text."""
     small_batches(docs.sparkSession)
     bench = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -244,7 +245,7 @@ def seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 3, b
         own = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         items = block([(r.item_id, r.text.encode()) for r in own], n)
         if len(items.grams):
-            yield rarest(items, document_counts(docs, items), stretch)
+            yield rare(items, *document_counts(docs, items), stretch, share)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, **params) -> DataFrame:
