@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gemstats.llm import decontaminate, exact_dedup, lm_score, mixing, quality, simhash
+from gemstats.llm import decontaminate, exact_dedup, lm_score, mixing, quality, simhash, toxicity, warc
 from gemstats.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), labels)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every text: doc_id, held_out, score, expected_severity, severity, toxic."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "toxic as label")
+    return toxicity.severity(table(spark, sf_dir, "documents"), labels)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies by composable polynomial fingerprints."""
     return (exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -44,4 +55,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_simhash, op6_decontaminate, op9_lm_score, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_warc, op4_exact_dedup, op5_simhash, op6_decontaminate, op9_lm_score, op10_mixing)}
