@@ -39,3 +39,19 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target::DOUBLE AS targe
        (size * (epochs + CASE WHEN before + size / 2.0 < target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM k
 """
+
+ORACLE["op7_line_dedup"] = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d),
+c AS (SELECT doc_id, i, length(ls[i]) AS n, sum(length(ls[i])) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+reach AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 20),
+w AS (SELECT doc_id, a, min(b) AS b FROM reach GROUP BY doc_id, a UNION SELECT doc_id, max(a) AS a, b FROM reach GROUP BY doc_id, b),
+k AS (SELECT w.doc_id, a, b, row_number() OVER (PARTITION BY list_slice(ls, a, b) ORDER BY w.doc_id, a) AS k
+      FROM w JOIN d ON w.doc_id = d.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS i FROM k WHERE k > 1),
+n AS (SELECT doc_id, count(*) AS gone, list(i) AS at FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_deleted,
+       CASE WHEN gone IS NULL THEN text ELSE array_to_string(
+         list_transform(list_filter(generate_series(1, len(ls)), x -> NOT list_contains(at, x)), x -> ls[x]), chr(10)) END AS text
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+"""
