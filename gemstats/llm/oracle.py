@@ -49,9 +49,10 @@ w AS (SELECT doc_id, a, min(b) AS b FROM reach GROUP BY doc_id, a UNION SELECT d
 k AS (SELECT w.doc_id, a, b, row_number() OVER (PARTITION BY list_slice(ls, a, b) ORDER BY w.doc_id, a) AS k
       FROM w JOIN d ON w.doc_id = d.doc_id),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS i FROM k WHERE k > 1),
-n AS (SELECT doc_id, count(*) AS gone, list(i) AS at FROM gone GROUP BY doc_id)
+n AS (SELECT doc_id, count(*) AS gone FROM gone GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(ls[l.i], chr(10) ORDER BY l.i) AS rest
+         FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i WHERE gone.i IS NULL GROUP BY l.doc_id)
 SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_deleted,
-       CASE WHEN gone IS NULL THEN text ELSE array_to_string(
-         list_transform(list_filter(generate_series(1, len(ls)), x -> NOT list_contains(at, x)), x -> ls[x]), chr(10)) END AS text
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id
+       CASE WHEN gone IS NULL THEN text ELSE coalesce(rest, '') END AS text
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
