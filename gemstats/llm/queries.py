@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gemstats.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, quality, simhash, toxicity, warc
+from gemstats.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, quality, simhash, substring_dedup, toxicity, warc
 from gemstats.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between near-duplicate passages of at least 50 words."""
+    return substring_dedup.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every text under the attention model."""
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
@@ -60,4 +65,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_warc, op4_exact_dedup, op5_simhash, op6_decontaminate, op7_line_dedup, op9_lm_score, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_warc, op4_exact_dedup, op5_simhash, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_lm_score, op10_mixing)}
