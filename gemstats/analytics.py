@@ -109,4 +109,5 @@ class DiamondAnalytics:
         return flt.listing(self.filtered(**bounds), n)
 
     def ledger(self) -> inv.Ledger:
-        return inv.Ledger(self.spark)
+        """An empty ledger with all columns and types of this table."""
+        return inv.Ledger(self.spark, item_schema=inv.widened(self.df.schema, inv.MANUAL_SCHEMA))

@@ -63,11 +63,20 @@ def greater_or_false(a: Column, b: Column) -> Column:
     return F.coalesce(a > b, F.lit(False))
 
 
+def _known(order: tuple[Column, ...], key: Column) -> Column:
+    """The sort key; NULL (so the row can't win) where any part of it is missing."""
+    there = order[0].isNotNull()
+    for o in order[1:]:
+        there = there & o.isNotNull()
+    return F.when(there, F.struct(*order, key))
+
+
 def arg_first(key: str | Column, *order: Column) -> Column:
-    """Key of the first row in ``order`` (ties broken by the key itself)."""
-    return F.min_by(c(key), F.struct(*order, c(key)))
+    """Key of the first row in ``order`` (ties broken by the key itself). Rows
+    whose ``order`` is NULL don't take part, as pandas' idxmin skips them."""
+    return F.min_by(c(key), _known(order, c(key)))
 
 
 def arg_last(key: str | Column, *order: Column) -> Column:
     """Key of the last row in ``order`` (ties broken by the key itself)."""
-    return F.max_by(c(key), F.struct(*order, c(key)))
+    return F.max_by(c(key), _known(order, c(key)))

@@ -7,7 +7,8 @@ bounded sample) come out.
 Histogram bins: the statistics only cap the bin count, so the edges are
 our choice: step = the smallest of {1, 2, 5} x 10^k that is >= range/bins
 and keeps the bin count within the cap, origin = floor(min/step)*step,
-half-open bins; one bin when min = max. The bin parameters are a one-row
+half-open bins; one bin when min = max or when no step keeps to the cap (a cap
+of 1 with values on both sides of zero). The bin parameters are a one-row
 aggregate inlined as a scalar subquery: no join, no driver round trip.
 """
 
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions import grades
 from ..functions.stats import DIGITS, r6
-from .ranks import DEFAULT_BUCKETS, cumulative_counts, present, quantile_columns, value_counts
+from .attach import attach, written
+from .ranks import DEFAULT_BUCKETS, cumulative_counts, quantile_columns
 
-STEP_MULTIPLIERS = (1, 2, 5, 10, 20, 50)
+# k of m x 10^k runs from floor(log10(range / cap)), so 1..10 always holds a step
+# of at least range / cap; the larger ones are for ranges that straddle one more
+# edge than they have bins, and the last (2 x range) serves any cap of two or more.
+STEP_MULTIPLIERS = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000)
 
 
 def bin_index_sql(v: str, origin: str, step: str) -> str:
@@ -41,35 +46,42 @@ def step_sql(lo: str, hi: str, max_bins: int) -> str:
     scaled = f"CASE WHEN {k} >= 0 THEN CAST(m AS DOUBLE) * pow(10.0D, {k}) ELSE CAST(m AS DOUBLE) / pow(10.0D, -{k}) END"
     fits = (f"filter(transform(array({', '.join(str(m) for m in STEP_MULTIPLIERS)}), m -> {scaled}), "
             f"st -> st >= {raw} AND {bin_index_sql(hi, f'floor({lo} / st) * st', 'st')} + 1 <= {max_bins})")
-    return f"CASE WHEN {hi} > {lo} THEN array_min({fits}) WHEN {hi} = {lo} THEN 1.0D END"
+    # one bin that starts at the minimum if nothing else fits (a cap of 1 around zero)
+    return f"CASE WHEN {hi} > {lo} THEN coalesce(array_min({fits}), -1.0D) WHEN {hi} = {lo} THEN 1.0D END"
 
 
 def origin_sql(lo: str, hi: str, step: str) -> str:
-    return f"CASE WHEN {hi} = {lo} THEN {lo} ELSE floor({lo} / {step}) * {step} END"
+    return f"CASE WHEN {hi} = {lo} OR {step} < 0 THEN {lo} ELSE floor({lo} / {step}) * {step} END"
 
 
-def bin_params(counts: DataFrame, value: str, max_bins: int) -> DataFrame:
-    """One row: ``step, origin, bins`` for ``value`` (NULLs when empty), from
-    a ``value_counts`` table (one row per distinct value). Staged one-row
-    projections in SQL text, so each step is a small expression."""
-    present = f"CASE WHEN n > 0 THEN `{value}` END"  # = ranks.present: same plan as the other branches
-    s = counts.selectExpr(f"CAST(min({present}) AS DOUBLE) AS lo", f"CAST(max({present}) AS DOUBLE) AS hi")
-    return (s.selectExpr("lo", "hi", f"{step_sql('lo', 'hi', max_bins)} AS step")
-             .selectExpr("step", f"{origin_sql('lo', 'hi', 'step')} AS origin", "hi")
-             .selectExpr("step", "origin", f"CAST({bin_index_sql('hi', 'origin', 'step')} + 1 AS INT) AS bins"))
+def _span(df: DataFrame, value: str, max_bins: int) -> DataFrame:
+    """One row: step, origin, bins of the finite values (NULLs when none). A
+    negative step stands for one bin from the minimum to the maximum."""
+    return (df.agg(F.min(finite(value)).cast("double").alias("lo"), F.max(finite(value)).cast("double").alias("hi"))
+              .selectExpr("lo", "hi", f"{step_sql('lo', 'hi', max_bins)} AS step")
+              .selectExpr(f"{origin_sql('lo', 'hi', 'step')} AS origin", "step", "lo", "hi")
+              .selectExpr("origin", "CASE WHEN step < 0 THEN hi - lo ELSE step END AS step",
+                          f"CAST(CASE WHEN step < 0 THEN 1 ELSE {bin_index_sql('hi', 'origin', 'step')} + 1 END AS INT) AS bins"))
+
+
+def finite(value: str) -> Column:
+    """The value; NULL for infinities and NaN, which no bin can hold."""
+    d = F.col(value).cast("double")
+    return F.when(F.abs(d) < F.lit(float("inf")), F.col(value))
 
 
 def histogram(df: DataFrame, value: str, max_bins: int) -> DataFrame:
     """``bin, bin_start, bin_end, n`` for every bin, empty ones included.
 
-    Rows are first counted per distinct value (partial aggregation, one
-    scan); the bin edges and the bin counts both come from that table."""
-    vc = value_counts(df, value)
-    params = bin_params(vc, value, max_bins)
-    p = params.select(F.struct("step", "origin")).scalar()
-    # non-nullable bin: no inferred IS NOT NULL filter is pushed into this branch's scan
-    bin_of = F.coalesce(bin_index(F.col(value), p.getField("origin"), p.getField("step")).cast("int"), F.lit(-1))
-    counts = vc.select(bin_of.alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n"))
+    One min/max aggregate gives the bins; then rows are binned before the
+    partial aggregate, so a task shuffles at most one record per bin, however
+    many distinct values there are. Infinities are counted in no bin."""
+    params = _span(df, value, max_bins)
+    p = params.select(F.struct("step", "origin", "bins")).scalar()
+    raw = bin_index(F.col(value), p.getField("origin"), p.getField("step")).cast("int")
+    bin_of = F.least(F.greatest(raw, F.lit(0)), p.getField("bins") - 1)  # the maximum of a single bin
+    counts = (df.filter(finite(value).isNotNull()).select(F.coalesce(bin_of, F.lit(-1)).alias("bin"))
+                .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
     all_bins = params.where("bins IS NOT NULL").selectExpr("step", "origin", "explode(sequence(0, bins - 1)) AS bin")
     return (all_bins.join(counts, "bin", "left")
                     .selectExpr("bin",
@@ -124,47 +136,46 @@ def ecdf_thresholds(df: DataFrame, value: str = "carat",
                   r6(F.coalesce(F.max(F.when(v <= value_line, pct)), F.lit(0.0))).alias("pct_at_value_line"))
 
 
-def box_fences(df: DataFrame, value: str = "price", key: str = "clarity",
-               whisker: float = 1.5, buckets: int | None = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
-    """Per key: n, quartiles (``linear`` = type 7, ``hazen`` = type 5) and the
-    ``whisker`` x IQR fences."""
-    cc = cumulative_counts(df, value, (key,), buckets)
-    q = cc.groupBy(key).agg(F.max("total").alias("n"),
-                            *quantile_columns(value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method))
+def _fences(counts: DataFrame, value: str, key: str, whisker: float, method: str) -> DataFrame:
+    q = counts.groupBy(key).agg(F.max("total").alias("n"),
+                                *quantile_columns(value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method))
     iqr = F.col("q3") - F.col("q1")
     return q.select(key, "n", "q1", "median", "q3",
                     (F.col("q1") - F.lit(whisker) * iqr).alias("lower_fence"),
                     (F.col("q3") + F.lit(whisker) * iqr).alias("upper_fence"))
 
 
+def box_fences(df: DataFrame, value: str = "price", key: str = "clarity",
+               whisker: float = 1.5, buckets: int | None = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
+    """Per key: n, quartiles (``linear`` = type 7, ``hazen`` = type 5) and the
+    ``whisker`` x IQR fences."""
+    return _fences(cumulative_counts(df, value, (key,), buckets), value, key, whisker, method)
+
+
 def box_stats(df: DataFrame, value: str = "price", key: str = "clarity",
               whisker: float = 1.5, buckets: int | None = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
     """Per key: n, quartiles, fences, whisker ends and the number of
-    outliers. Whiskers and outliers come from the per-value counts (one row
-    per distinct value), the same shuffle the quartiles use; one scan."""
-    fences = box_fences(df, value, key, whisker, buckets, method)
+    outliers. All of it comes from the cumulative counts (one row per key and
+    distinct value), written once; the fences reach them as a side table."""
+    counts = written(cumulative_counts(df, value, (key,), buckets))
     v = F.col(value)
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    ends = (value_counts(df, value, (key,)).join(fences.select(key, "lower_fence", "upper_fence"), key)
-              .groupBy(key).agg(F.min(F.when(inside, v)).alias("whisker_low"),
-                                F.max(F.when(inside, v)).alias("whisker_high"),
-                                F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0))
-                                 .cast("bigint").alias("outliers")))
-    return (fences.join(ends, key)
-                  .select(key, "n", *[r6(F.col(c)).alias(c) for c in
-                                      ("q1", "median", "q3", "lower_fence", "upper_fence")],
-                          F.col("whisker_low").cast("double").alias("whisker_low"),
-                          F.col("whisker_high").cast("double").alias("whisker_high"), "outliers"))
+    r = attach(counts.select(key, value, F.col("n").alias("_n")), _fences(counts, value, key, whisker, method), [key])
+    named = ("q1", "median", "q3", "lower_fence", "upper_fence")
+    return (r.groupBy(key).agg(F.max("n").alias("n"), *[r6(F.max(c)).alias(c) for c in named],
+                               F.min(F.when(inside, v)).cast("double").alias("whisker_low"),
+                               F.max(F.when(inside, v)).cast("double").alias("whisker_high"),
+                               F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).cast("bigint").alias("outliers")))
 
 
 def box_outliers(df: DataFrame, value: str = "price", key: str = "clarity",
                  whisker: float = 1.5, buckets: int | None = DEFAULT_BUCKETS, method: str = "linear") -> DataFrame:
-    """The rows outside their group's fences (the dots of the box plot).
-    The fence table has one row per key and is joined to the rows by key."""
+    """The rows outside their group's fences (the dots of the box plot). The
+    fences, one row per key, are the side that travels."""
     fences = box_fences(df, value, key, whisker, buckets, method).select(key, "lower_fence", "upper_fence")
     v = F.col(value)
-    return (df.join(fences, key)
-              .filter((v < F.col("lower_fence")) | (v > F.col("upper_fence"))))
+    rows = df.filter(F.col(key).isNotNull() & v.isNotNull())
+    return attach(rows, fences, [key]).filter((v < F.col("lower_fence")) | (v > F.col("upper_fence")))
 
 
 def scatter_density(df: DataFrame, x: str = "carat", y: str = "price",
@@ -175,16 +186,17 @@ def scatter_density(df: DataFrame, x: str = "carat", y: str = "price",
     axes' bins (one scalar subquery), then every row is binned and the
     cells are counted with partial aggregation (at most x_bins * y_bins
     records per task, whatever the number of distinct (x, y) pairs)."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = df.filter(finite(x).isNotNull() & finite(y).isNotNull())
     ext = both.agg(F.min(x).cast("double").alias("xl"), F.max(x).cast("double").alias("xh"),
                    F.min(y).cast("double").alias("yl"), F.max(y).cast("double").alias("yh"))
+    one = "CASE WHEN {0}s < 0 THEN {0}h - {0}l ELSE {0}s END AS {0}s"  # a single bin over the whole range
     params = (ext.selectExpr("xl", "xh", "yl", "yh", f"{step_sql('xl', 'xh', x_bins)} AS xs",
                              f"{step_sql('yl', 'yh', y_bins)} AS ys")
-                 .selectExpr("xs", f"{origin_sql('xl', 'xh', 'xs')} AS xo",
-                             "ys", f"{origin_sql('yl', 'yh', 'ys')} AS yo"))
-    p = params.select(F.struct("xs", "xo", "ys", "yo")).scalar()
-    bx = bin_index(F.col(x), p.getField("xo"), p.getField("xs")).cast("int")
-    by = bin_index(F.col(y), p.getField("yo"), p.getField("ys")).cast("int")
+                 .selectExpr(one.format("x"), f"{origin_sql('xl', 'xh', 'xs')} AS xo", "xs < 0 AS x1",
+                             one.format("y"), f"{origin_sql('yl', 'yh', 'ys')} AS yo", "ys < 0 AS y1"))
+    p = params.select(F.struct("xs", "xo", "x1", "ys", "yo", "y1")).scalar()
+    bx, by = (F.when(p.getField(f"{k}1"), 0).otherwise(bin_index(F.col(c), p.getField(f"{k}o"), p.getField(f"{k}s"))).cast("int")
+              for k, c in (("x", x), ("y", y)))
     cells = (both.select(F.coalesce(bx, F.lit(-1)).alias(f"{x}_bin"), F.coalesce(by, F.lit(-1)).alias(f"{y}_bin"))
                  .groupBy(f"{x}_bin", f"{y}_bin").agg(F.count(F.lit(1)).alias("n")))
     return cells.select(
@@ -194,11 +206,13 @@ def scatter_density(df: DataFrame, x: str = "carat", y: str = "price",
         "n")
 
 
-def scatter_sample(df: DataFrame, x: str = "carat", y: str = "price",
-                   fraction: float = 0.05, seed: int = 42) -> DataFrame:
-    """A bounded, reproducible sample of scatter points: a row is kept when
-    the hash of its content falls below ``fraction``; the same rows come
-    out however the data is partitioned."""
+def scatter_points(df: DataFrame, x: str = "carat", y: str = "price") -> DataFrame:
+    """Every point of the scatter: one row per row that has both values."""
+    return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+
+
+def scatter_sample(df: DataFrame, fraction: float, x: str = "carat", y: str = "price", seed: int = 42) -> DataFrame:
+    """A reproducible share of the scatter points for a display that can't draw
+    all: a row is kept when the hash of its content falls below ``fraction``."""
     h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 30))
     return df.filter(h < F.lit(int(fraction * (1 << 30)))).select(x, y)
-

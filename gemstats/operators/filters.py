@@ -62,12 +62,14 @@ def filter_bounds(df: DataFrame) -> DataFrame:
 
 def filter_options(df: DataFrame, dims: tuple[str, ...] = ("color", "clarity", "cut")) -> DataFrame:
     """``dimension, value`` for every distinct non-NULL value of each grade
-    column: one pass and one (partially aggregated) shuffle for all three.
+    column: one pass and one (partially aggregated) shuffle of grade combinations
+    for all three.
     Colors sort by name (D first); clarity and cut best grade first, as the
     entry form lists them."""
+    # the few grade combinations first, so only they are exploded
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
                                 for d in dims])).alias("p")
-    opts = df.select(pairs).select("p.*").filter(F.col("value").isNotNull()).distinct()
+    opts = df.select(*dims).distinct().select(pairs).select("p.*").filter(F.col("value").isNotNull()).distinct()
     rank = (F.when(F.col("dimension") == "clarity", grades.rank_of(grades.CLARITY_CHOICES, "value"))
              .when(F.col("dimension") == "cut", grades.rank_of(grades.CUT_CHOICES, "value")))
     return opts.orderBy("dimension", rank.asc_nulls_last(), "value")
@@ -94,5 +96,5 @@ def available(df: DataFrame, n: int = grades.LISTING_ROWS) -> DataFrame:
 
 
 def item_labels(df: DataFrame, n: int = grades.LISTING_ROWS) -> DataFrame:
-    return listing(df, n).select("pos", item_label("pos").alias("label"))
+    return listing(df, n).select("pos", item_label("pos", price_type=df.schema["price"].dataType).alias("label"))
 

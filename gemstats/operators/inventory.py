@@ -13,6 +13,7 @@ own committed write, so a lost executor never leaves half a batch behind).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,30 +100,43 @@ def _literal_row(spark: SparkSession, values: dict, schema: T.StructType) -> Dat
 class Ledger:
     """Immutable handle on the ledger: every action returns a new ledger.
 
-    ``stored`` is the part already written to a ledger dataset (or None);
-    ``batches`` are the appended batches not written yet, in order, as
+    ``stored`` is the part already written to the dataset at ``path`` (or
+    None); ``batches`` are the appended batches not written yet, in order, as
     ``(batch_id, op, DataFrame)``. Keeping them apart lets ``current`` skip
     every batch up to the last ``clear`` before planning anything.
+
+    The items have the columns of ``item_schema`` first; a batch with further
+    columns widens the ledger by name, and a column keeps the widest type
+    that it came with (prices with cents stay so). ``row_id`` is a hash of all
+    item columns of a row.
     """
 
     def __init__(self, spark: SparkSession, stored: DataFrame | None = None,
                  batches: tuple = (), next_batch: int = 1, item_schema: T.StructType = ITEM_SCHEMA,
-                 stored_upto: int = 0, last_clear: int = 0):
+                 stored_upto: int = 0, last_clear: int = 0, path: str | None = None):
         self.spark = spark
         self.stored = stored
         self.batches = tuple(batches)
         self.next_batch = next_batch
         self.item_schema = item_schema
-        self.items = [f.name for f in item_schema.fields]
         self.stored_upto = stored_upto
         self.last_clear = last_clear
-        self.schema = T.StructType([T.StructField("batch_id", T.LongType()),
-                                    T.StructField("op", T.StringType()),
-                                    T.StructField("row_id", T.StringType())] + list(item_schema.fields))
+        self.path = path
+
+    @property
+    def items(self) -> list[str]:
+        return [f.name for f in self.item_schema.fields]
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField("batch_id", T.LongType()),
+                             T.StructField("op", T.StringType()),
+                             T.StructField("row_id", T.StringType())] + list(self.item_schema.fields))
 
     def _with(self, **changes) -> "Ledger":
         kw = dict(stored=self.stored, batches=self.batches, next_batch=self.next_batch,
-                  item_schema=self.item_schema, stored_upto=self.stored_upto, last_clear=self.last_clear)
+                  item_schema=self.item_schema, stored_upto=self.stored_upto, last_clear=self.last_clear,
+                  path=self.path)
         kw.update(changes)
         return Ledger(self.spark, **kw)
 
@@ -131,25 +145,24 @@ class Ledger:
         return _literal_row(self.spark, {}, self.schema).where(F.lit(False))
 
     def _union(self, frames: list[DataFrame]) -> DataFrame:
-        if not frames:
-            return self._empty()
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.union(f)  # every part has the ledger's columns in order
-        return out
+        """All frames in the ledger's present columns and types (a column that
+        an earlier batch lacked is NULL there)."""
+        out = None
+        for f in frames:
+            have = set(f.columns)
+            same = f.selectExpr(*[f"CAST({'`' + c.name + '`' if c.name in have else 'NULL'} AS {c.dataType.simpleString()})"
+                                  f" AS `{c.name}`" for c in self.schema.fields])
+            out = same if out is None else out.union(same)
+        return self._empty() if out is None else out
 
     # -- appends ---------------------------------------------------------
     def _append(self, rows: DataFrame, op: str) -> "Ledger":
-        have = set(rows.columns)
-        present = [c for c in self.items if c in have]
         # one projection in SQL text: a single call to the JVM per batch
-        cols = [f"CAST({'`' + f.name + '`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()})"
-                f" AS `{f.name}`" for f in self.item_schema.fields]
         batch = rows.selectExpr(f"CAST({self.next_batch} AS BIGINT) AS batch_id", f"'{op}' AS op",
-                                f"{row_key_sql(present)} AS row_id", *cols)
+                                f"{row_key_sql(rows.columns)} AS row_id", *[f"`{c}`" for c in rows.columns])
         last_clear = self.next_batch if op == "clear" else self.last_clear
-        return self._with(batches=self.batches + ((self.next_batch, op, batch),),
-                          next_batch=self.next_batch + 1, last_clear=last_clear)
+        return self._with(batches=self.batches + ((self.next_batch, op, batch),), next_batch=self.next_batch + 1,
+                          last_clear=last_clear, item_schema=widened(self.item_schema, rows.schema))
 
     def add_selected(self, listed: DataFrame, positions: list[int]) -> "Ledger":
         """Rows of a numbered listing (see ``filters.listing``) picked by position."""
@@ -157,9 +170,9 @@ class Ledger:
         return self._append(picked, "select")
 
     def add_keys(self, rows: DataFrame, keys: DataFrame) -> "Ledger":
-        """Rows whose content key is in ``keys.row_id`` (a semi join)."""
-        present = [c for c in self.items if c in rows.columns]
-        keyed = rows.withColumn("_k", row_key(present))
+        """Rows whose content key is in ``keys.row_id`` (a semi join). The key
+        holds whatever filters or order the rows were listed with."""
+        keyed = rows.withColumn("_k", row_key(rows.columns))
         picked = keyed.join(keys.select(F.col("row_id").alias("_k")), "_k", "left_semi").drop("_k")
         return self._append(picked, "select")
 
@@ -167,14 +180,17 @@ class Ledger:
         """Every row of ``rows`` (e.g. all filtered rows, not just those listed)."""
         return self._append(rows, "all")
 
-    def add_manual(self, carat: float, cut: str, color: str, clarity: str, price: int) -> "Ledger":
+    def add_manual(self, carat: float, cut: str, color: str, clarity: str, price: float) -> "Ledger":
         """One hand-entered stone; it is checked but not cleaned or enriched, so
         its dimensions and grade ordinals stay NULL."""
-        entry = {"carat": float(carat), "cut": cut, "color": color, "clarity": clarity, "price": int(price)}
+        whole = float(price).is_integer()
+        entry = {"carat": float(carat), "cut": cut, "color": color, "clarity": clarity,
+                 "price": int(price) if whole else float(price)}
         bad = manual_problems(entry)
         if bad:
             raise ValueError(f"manual entry rejected: {'; '.join(bad)}")
-        return self._append(_literal_row(self.spark, entry, MANUAL_SCHEMA), "manual")
+        fields = [T.StructField("price", T.DoubleType()) if f.name == "price" and not whole else f for f in MANUAL_SCHEMA.fields]
+        return self._append(_literal_row(self.spark, entry, T.StructType(fields)), "manual")
 
     def clear(self) -> "Ledger":
         marker = _literal_row(self.spark, {}, T.StructType([T.StructField("carat", T.DoubleType())]))
@@ -206,37 +222,95 @@ class Ledger:
 
     # -- storage -----------------------------------------------------------
     def save(self, path: str) -> "Ledger":
-        """Append the unsaved batches to the ledger dataset at ``path`` and
-        return the ledger reading them from there (the written table cuts
-        their lineage)."""
-        if self.batches:
-            # one op per batch, so (batch_id, op) folders cost nothing extra and let
-            # `load` find the last clear from folder names (partition pruning)
-            fresh = self._union([b for _, _, b in self.batches])
-            fresh.write.mode("append").partitionBy("batch_id", "op").parquet(path)
+        """Write the ledger to the dataset at ``path`` and return the ledger that
+        reads it from there. At its own path only the unsaved batches are
+        appended; a new path gets the stored part too and must not hold
+        another ledger. Each save ends with a ``saved`` row that keeps the
+        last batch's number, even of a batch or ledger without rows."""
+        fresh = self.path != path
+        if fresh and _exists(self.spark, path):
+            raise ValueError(f"{path} holds another ledger; load it, or save to a new path")
+        if not fresh and not self.batches:
+            return self
+        if not fresh and any(t.dataType != self.item_schema[t.name].dataType for t in self.stored.schema.fields[3:]):
+            raise ValueError("a column's type has widened since the last save; save to a new path")
+        mark = _literal_row(self.spark, {"batch_id": self.next_batch - 1, "op": "saved"}, self.schema)
+        parts = ([self.stored] if fresh and self.stored is not None else []) + [b for _, _, b in self.batches] + [mark]
+        # one op per batch, so (batch_id, op) folders cost nothing extra and the
+        # folder names prune the batches before the last clear
+        self._union(parts).write.mode("append").partitionBy("batch_id", "op").parquet(path)
         return self._with(stored=_read_events(self.spark, path, self.item_schema), batches=(),
-                          stored_upto=self.next_batch - 1)
+                          stored_upto=self.next_batch - 1, path=path)
+
+    def compact(self, path: str) -> "Ledger":
+        """The current rows alone as a new ledger at the new ``path``: one batch,
+        whatever was appended and cleared before."""
+        return Ledger(self.spark, item_schema=self.item_schema).add_all(self.current().drop(*META)).save(path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, item_schema: T.StructType = ITEM_SCHEMA) -> "Ledger":
-        events = _read_events(spark, path, item_schema)
-        last, last_clear = events.selectExpr(  # one aggregate over the partition columns
+    def load(cls, spark: SparkSession, path: str, item_schema: T.StructType | None = None) -> "Ledger":
+        """The ledger stored at ``path``, with the columns it was saved with."""
+        if item_schema is None:
+            names = set(META)
+            item_schema = T.StructType([f for f in _events_schema(spark, path).fields if f.name not in names])
+        events = _read_events(spark, path, item_schema, marks=True)
+        last, last_clear = events.selectExpr(  # one aggregate over the partition columns; no file's columns are read
             "coalesce(max(batch_id), 0)", "coalesce(max(CASE WHEN op = 'clear' THEN batch_id END), 0)").first()
-        return cls(spark, stored=events, next_batch=int(last) + 1, item_schema=item_schema,
-                   stored_upto=int(last), last_clear=int(last_clear))
+        return cls(spark, stored=events.filter("op != 'saved'"), next_batch=int(last) + 1, item_schema=item_schema,
+                   stored_upto=int(last), last_clear=int(last_clear), path=path)
+
+
+_WIDTH = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()]
+
+
+def widened(old: T.StructType, new: T.StructType) -> T.StructType:
+    """``old`` with the columns it lacks, and with the wider of two numeric types."""
+    fields = {f.name: f for f in old.fields}
+    for f in new.fields:
+        if f.name not in fields:
+            fields[f.name] = T.StructField(f.name, f.dataType)
+            continue
+        a, b = fields[f.name].dataType, f.dataType
+        if a == b:
+            continue
+        if isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType):
+            wide: T.DataType = T.DoubleType()
+        elif a in _WIDTH and b in _WIDTH:
+            wide = _WIDTH[max(_WIDTH.index(a), _WIDTH.index(b))]
+        else:
+            raise ValueError(f"column {f.name} is {a.simpleString()} in the ledger and {b.simpleString()} here")
+        fields[f.name] = T.StructField(f.name, wide)
+    return T.StructType(list(fields.values()))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        _events_schema(spark, path)
+        return True
+    except AnalysisException:
+        return False
+
+
+def _events_schema(spark: SparkSession, path: str) -> T.StructType:
+    return spark.read.option("mergeSchema", True).parquet(path).schema
 
 
-def _read_events(spark: SparkSession, path: str, item_schema: T.StructType) -> DataFrame:
-    raw = spark.read.parquet(path)
-    cols = ["row_id"] + [f.name for f in item_schema.fields]
-    return raw.select(F.col("batch_id").cast("bigint").alias("batch_id"),
-                      F.col("op").cast("string").alias("op"), *cols)
+def _read_events(spark: SparkSession, path: str, item_schema: T.StructType, marks: bool = False) -> DataFrame:
+    raw = spark.read.option("mergeSchema", True).parquet(path)
+    have = set(raw.columns)
+    cols = ["row_id"] + [F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in item_schema.fields]
+    events = raw.select(F.col("batch_id").cast("bigint").alias("batch_id"),
+                        F.col("op").cast("string").alias("op"), *cols)
+    return events if marks else events.filter("op != 'saved'")
 
 
 def inventory_totals(current: DataFrame) -> DataFrame:
-    """``items, total_value (bigint), avg_price``; NULL sums on an empty inventory."""
-    return current.agg(F.count(F.lit(1)).alias("items"),
-                       F.sum("price").cast("bigint").alias("total_value"),
+    """``items, total_value, avg_price``; NULL sums on an empty inventory. The
+    total is a bigint for whole prices, a double (6 decimals) for others."""
+    whole = isinstance(current.schema["price"].dataType, T.IntegralType)
+    total = F.sum("price").cast("bigint") if whole else F.round(F.sum(F.col("price").cast("double")), 6)
+    return current.agg(F.count(F.lit(1)).alias("items"), total.alias("total_value"),
                        F.round(F.avg("price"), 6).alias("avg_price"))
 
 

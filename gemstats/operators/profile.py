@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades
 from ..functions.stats import r6, safe_corr, share_pct
-from ..functions.text import dollars, fixed, thousands
+from ..functions.text import dollars, fixed, grouped, thousands
 from .ranks import quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -28,13 +28,14 @@ def overview_metrics(df: DataFrame, measure: str = "price", size: str = "carat")
 
 def overview_labels(df: DataFrame) -> DataFrame:
     """KPI texts: ``{n:,}``, ``${mean:,.0f}``, ``{mean:.2f}``, ``${min:,} - ${max:,}``."""
+    kind = df.schema["price"].dataType  # cents stay in the range
     one = df.agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("ap"), F.avg("carat").alias("ac"),
                  F.min("price").alias("lo"), F.max("price").alias("hi"))
     return one.select(
         thousands("n").alias("total_label"),
         dollars("ap").alias("avg_price_label"),
         fixed("ac", 2).alias("avg_carat_label"),
-        F.concat(dollars("lo"), F.lit(" - "), dollars("hi")).alias("price_range_label"))
+        F.concat(F.lit("$"), grouped("lo", kind), F.lit(" - $"), grouped("hi", kind)).alias("price_range_label"))
 
 
 def numeric_profile(df: DataFrame, value: str = "carat", partner: str = "price",

@@ -11,7 +11,7 @@ row into one task. Here instead:
    joined back per group, or inlined as a scalar subquery without groups).
    Repeated edges are dropped, so a group's edge list is never longer
    than its number of distinct values.
-   ``buckets`` defaults to the session's shuffle partitions (64..4096), so
+   ``buckets`` defaults to the session's shuffle partitions (at least 64), so
    the work per window partition stays flat as the cluster and data grow.
 3. A running sum inside each ``(group, bucket)`` window partition.
 4. Per-bucket totals (at most ``buckets`` rows per group) give each
@@ -19,7 +19,9 @@ row into one task. Here instead:
    cumulative count. Equal values always share a bucket, since the bucket
    is a function of the value.
 
-Everything is lazy; nothing is collected to the driver.
+With groups, the per-value counts and the edges are written to the shared
+folder while the plan is built, so that the edges' size is known before they
+are broadcast (``attach``); nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = None  # None: from the session's shuffle partitions, clamped below
-MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+from .attach import attach, written
+
+DEFAULT_BUCKETS = None  # None: as many as the session's shuffle partitions
+MIN_BUCKETS = 64
 
 
 def bucket_count(spark, buckets: int | None) -> int:
     """Value buckets per group. By default as many as the cluster's shuffle
-    partitions (64..4096), so a window partition holds about
+    partitions (at least 64), so a window partition holds about
     distinct values / buckets rows however large the table grows."""
     if buckets:
         return max(2, int(buckets))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, parts))
+    return max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _fractions_sql(buckets: int) -> str:
@@ -86,8 +89,8 @@ def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
                       f"{_fractions_sql(buckets)}, {accuracy})) AS _edges"),  # CASE = present()
                F.expr("sum(n) AS total")]
     if by:
-        edges = vc.groupBy(*by).agg(*summary)          # one row per group
-        b = vc.join(edges, list(by))
+        vc = written(vc)  # at most one row per group and distinct value; read by two branches
+        b = attach(vc, vc.groupBy(*by).agg(*summary), list(by))  # edges: one row per group
     else:
         one = vc.agg(*summary).select(F.struct("_edges", "total")).scalar()
         b = vc.select("*", one.getField("_edges").alias("_edges"), one.getField("total").alias("total"))

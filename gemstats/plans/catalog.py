@@ -26,6 +26,7 @@ from ..operators import filters as flt
 from ..operators import insight as ins
 from ..operators import inventory as inv
 from ..operators import profile as prf
+from ..operators.ranks import exact_quantiles
 from ..sources.files import parse_columns
 from ..functions.stats import r6
 from ..sources.fixture import diamond_raw, diamond_with_text_carat, table
@@ -91,6 +92,27 @@ def _current(led: inv.Ledger) -> DataFrame:
     return led.current().drop("row_id")
 
 
+def _spiked(df: DataFrame) -> DataFrame:
+    """The cleaned table with one price in 97 far above its group."""
+    return df.withColumn("price", F.when(F.col("price") % 97 == 0, F.col("price") * 20).otherwise(F.col("price")))
+
+
+def _cents(df: DataFrame) -> DataFrame:
+    """The cleaned table with prices in dollars and cents."""
+    return df.withColumn("price", F.col("price") + (F.col("price") % 4) / F.lit(4.0))
+
+
+def _partly_priced(df: DataFrame) -> DataFrame:
+    """A view in which one cut, one color and one clarity have no price at all."""
+    gone = (F.col("cut") == "Fair") | (F.col("color") == "D") | (F.col("clarity") == "IF")
+    return df.withColumn("price", F.when(~gone, F.col("price")))
+
+
+def _quartiles(df: DataFrame, value: str) -> DataFrame:
+    q = exact_quantiles(df, value, [0.05, 0.25, 0.5, 0.75, 0.999])
+    return q.select(*[r6(F.col(c)).alias(c) for c in q.columns])
+
+
 def _na_tokens(spark, sf):
     return parse_columns(diamond_with_text_carat(spark, sf), {"carat": T.DoubleType()})
 
@@ -128,6 +150,8 @@ QUERIES: dict[str, Query] = {
     # -- numeric profile -----------------------------------------------------
     "overview_metrics": lambda s, sf: prf.overview_metrics(_clean(s, sf)),
     "overview_labels": lambda s, sf: prf.overview_labels(_clean(s, sf)),
+    "overview_labels_cents": lambda s, sf: prf.overview_labels(_cents(_clean(s, sf))),
+    "item_label_cents": lambda s, sf: flt.item_labels(_cents(_all_filters(_clean(s, sf)))),
     "carat_stats": lambda s, sf: prf.carat_stats(_clean(s, sf)),
     "carat_shares": lambda s, sf: prf.carat_shares(_clean(s, sf)),
     # -- category profiles -----------------------------------------------------
@@ -141,6 +165,9 @@ QUERIES: dict[str, Query] = {
     "color_extremes": lambda s, sf: cat.color_extremes(_clean(s, sf)),
     "color_premium_share": lambda s, sf: cat.grade_shares(
         _clean(s, sf), "color", {"premium_colors_pct": grades.PREMIUM_COLORS}),
+    "cut_extremes_partly_priced": lambda s, sf: cat.cut_extremes(_partly_priced(_clean(s, sf))),
+    "color_extremes_partly_priced": lambda s, sf: cat.color_extremes(_partly_priced(_clean(s, sf))),
+    "clarity_extremes_partly_priced": lambda s, sf: cat.clarity_extremes(_partly_priced(_clean(s, sf))),
     "price_paradoxes": lambda s, sf: cat.price_paradoxes(_clean(s, sf)),
     "clarity_counts": lambda s, sf: cat.frequency(_clean(s, sf), "clarity"),
     "clarity_extremes": lambda s, sf: cat.clarity_extremes(_clean(s, sf)),
@@ -157,7 +184,15 @@ QUERIES: dict[str, Query] = {
     "box_price_by_clarity": lambda s, sf: dst.box_stats(_clean(s, sf), "price", "clarity"),
     "box_outliers": lambda s, sf: dst.box_outliers(_clean(s, sf), "price", "clarity"),
     "scatter_density": lambda s, sf: dst.scatter_density(_clean(s, sf)),
-    "scatter_sample": lambda s, sf: dst.scatter_sample(_clean(s, sf)),
+    "scatter_points": lambda s, sf: dst.scatter_points(_clean(s, sf)),
+    "scatter_sample": lambda s, sf: dst.scatter_sample(_clean(s, sf), fraction=0.05),
+    # a measure with many distinct values and with real outliers
+    "ecdf_price_values": lambda s, sf: dst.ecdf_values(_clean(s, sf), "price"),
+    "ecdf_retail_values": lambda s, sf: dst.ecdf_values(table(s, sf, "part"), "p_retailprice"),
+    "price_quartiles": lambda s, sf: _quartiles(_clean(s, sf), "price"),
+    "retail_quartiles": lambda s, sf: _quartiles(table(s, sf, "part"), "p_retailprice"),
+    "box_spiked_by_clarity": lambda s, sf: dst.box_stats(_spiked(_clean(s, sf)), "price", "clarity"),
+    "box_outliers_spiked": lambda s, sf: dst.box_outliers(_spiked(_clean(s, sf)), "price", "clarity"),
     # -- correlation -----------------------------------------------------------
     "corr_matrix": lambda s, sf: cor.corr_matrix(_clean(s, sf)),
     "corr_flags": lambda s, sf: cor.corr_flags(_clean(s, sf)),

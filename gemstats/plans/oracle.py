@@ -103,8 +103,38 @@ def _quartiles(key: str = "clarity", value: str = "price", src: str = "cleaned")
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)"""
 
 
-def _box(key: str = "clarity", value: str = "price", src: str = "cleaned") -> str:
-    return _with(_quartiles(key, value, src)) + f"""SELECT f.{key}, f.n, round(q1, 6) AS q1,
+SPIKED = """spiked AS (SELECT * REPLACE (CASE WHEN price % 97 = 0 THEN price * 20 ELSE price END AS price) FROM cleaned)"""
+CENTS = "cents AS (SELECT * REPLACE (price + (price % 4) / 4.0::DOUBLE AS price) FROM cleaned)"
+PARTLY = """partly AS (SELECT * REPLACE (CASE WHEN cut = 'Fair' OR color = 'D' OR clarity = 'IF' THEN NULL ELSE price END AS price)
+  FROM cleaned)"""
+
+
+def _ecdf_values(value: str, src: str = "cleaned") -> str:
+    return _with(f"v AS (SELECT {value}, count(*) AS n FROM {src} WHERE {value} IS NOT NULL GROUP BY {value})") + f"""
+SELECT {value}, n, CAST(sum(n) OVER (ORDER BY {value}) AS BIGINT) AS cum,
+  round(CAST(sum(n) OVER (ORDER BY {value}) AS DOUBLE) / sum(n) OVER () * 100, 6) AS pct FROM v"""
+
+
+def _quantiles(value: str, src: str = "cleaned") -> str:
+    names = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 0.999}
+    cols = ", ".join(f"round(quantile_cont(CAST({value} AS DOUBLE), {p}), 6) AS {name}" for name, p in names.items())
+    return _with() + f"SELECT {cols} FROM {src}"
+
+
+def _extreme(key: str, order: str, src: str = "p") -> str:
+    """Key of the first row; rows without the ordered value don't count."""
+    value = order.split()[0]
+    return f"(SELECT {key} FROM {src} WHERE {value} IS NOT NULL ORDER BY {order}, {key} LIMIT 1)"
+
+
+def _grouped_price(value: str) -> str:
+    """'{:,}' of a number with cents: the shortest fraction, at least one digit."""
+    return (f"format('{{:,}}', CAST(floor({value}) AS BIGINT)) || '.' || CASE {value} - floor({value}) "
+            "WHEN 0 THEN '0' WHEN 0.25 THEN '25' WHEN 0.5 THEN '5' ELSE '75' END")
+
+
+def _box(key: str = "clarity", value: str = "price", src: str = "cleaned", ctes: tuple[str, ...] = ()) -> str:
+    return _with(*ctes, _quartiles(key, value, src)) + f"""SELECT f.{key}, f.n, round(q1, 6) AS q1,
   round(median, 6) AS median, round(q3, 6) AS q3, round(lower_fence, 6) AS lower_fence,
   round(upper_fence, 6) AS upper_fence,
   CAST(min({value}) FILTER (WHERE {value} >= lower_fence AND {value} <= upper_fence) AS DOUBLE) AS whisker_low,
@@ -189,6 +219,27 @@ FROM cleaned WHERE color IS NOT NULL GROUP BY color""",
   WHERE color IS NOT NULL GROUP BY color)""") + """SELECT
   (SELECT color FROM p ORDER BY n DESC, color LIMIT 1) AS most_common_color,
   (SELECT color FROM p ORDER BY ppc DESC, color LIMIT 1) AS best_value_color""",
+    "cut_extremes_partly_priced": _with(PARTLY, "p AS (SELECT cut, count(*) AS n, avg(price) AS m FROM partly GROUP BY cut)") + f"""SELECT
+  {_extreme('cut', 'n DESC')} AS most_common_cut,
+  (SELECT cut FROM p ORDER BY n ASC, cut DESC LIMIT 1) AS least_common_cut,
+  {_extreme('cut', 'm DESC')} AS highest_priced_cut, {_extreme('cut', 'm ASC')} AS lowest_priced_cut""",
+    "color_extremes_partly_priced": _with(PARTLY, """p AS (SELECT color, count(*) AS n, avg(price) / avg(carat) AS ppc
+  FROM partly GROUP BY color)""") + f"""SELECT
+  {_extreme('color', 'n DESC')} AS most_common_color, {_extreme('color', 'ppc DESC')} AS best_value_color""",
+    "clarity_extremes_partly_priced": _with(PARTLY, "p AS (SELECT clarity, count(*) AS n, avg(price) AS m FROM partly GROUP BY clarity)")
+    + f"""SELECT {_extreme('clarity', 'n DESC')} AS most_common_clarity,
+  {_extreme('clarity', 'm DESC')} AS highest_priced_clarity""",
+    "overview_labels_cents": _with(CENTS) + f"""SELECT format('{{:,}}', count(*)) AS total_label,
+  '$' || format('{{:,.0f}}', avg(price)) AS avg_price_label,
+  format('{{:.2f}}', avg(carat)) AS avg_carat_label,
+  '$' || {_grouped_price('min(price)')} || ' - $' || {_grouped_price('max(price)')} AS price_range_label
+FROM cents""",
+    "item_label_cents": _with(CENTS, f"""listed AS (SELECT row_number() OVER (ORDER BY {ORDER}) AS pos, * FROM (
+  SELECT * FROM cents WHERE floor(price) BETWEEN 1000 AND 5000 AND {CARAT_P} AND {MEMBER_P} ORDER BY {ORDER} LIMIT 100))""")
+    + f"""SELECT pos,
+  'Diamond ' || CAST(pos AS VARCHAR) || ': ' || format('{{:.2f}}', carat) || 'ct, ' || color || '-' || clarity
+  || ', $' || {_grouped_price('price')} AS label
+FROM listed""",
     "color_premium_share": _with() + f"""SELECT {_pct("color IN ('D', 'E', 'F')")} AS premium_colors_pct
 FROM cleaned""",
     "price_paradoxes": _with() + """SELECT
@@ -223,6 +274,15 @@ FROM cleaned WHERE carat IS NOT NULL""",
     "box_price_by_clarity": _box(),
     "box_outliers": _with(_QUART) + f"""SELECT c.*, f.lower_fence, f.upper_fence
 FROM cleaned c JOIN f ON c.clarity = f.clarity
+WHERE c.price < f.lower_fence OR c.price > f.upper_fence""",
+    "scatter_points": _with() + "SELECT carat, price FROM cleaned",
+    "ecdf_price_values": _ecdf_values("price"),
+    "ecdf_retail_values": _ecdf_values("p_retailprice", "part"),
+    "price_quartiles": _quantiles("price"),
+    "retail_quartiles": _quantiles("p_retailprice", "part"),
+    "box_spiked_by_clarity": _box(src="spiked", ctes=(SPIKED,)),
+    "box_outliers_spiked": _with(SPIKED, _quartiles(src="spiked")) + """SELECT c.*, f.lower_fence, f.upper_fence
+FROM spiked c JOIN f ON c.clarity = f.clarity
 WHERE c.price < f.lower_fence OR c.price > f.upper_fence""",
     "scatter_density": _with(*_bins("carat", 30, prefix="x"), *_bins("price", 50, prefix="y")) + """SELECT
   CAST(floor(round((carat - x_p.origin) / x_p.step, 9)) AS INTEGER) AS carat_bin,

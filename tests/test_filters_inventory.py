@@ -143,3 +143,61 @@ def test_current_skips_batches_before_the_last_clear(spark):
     assert led.current().count() == 0 and led.events.count() == 8
     plan = led.add_manual(1.0, "Ideal", "D", "IF", 500).current()._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan  # the manual row is a literal, not a Python-side scan
+
+
+def wide(spark):
+    rows = [(1.0, "Ideal", "D", "IF", 100.75, 61.5, "a"), (1.0, "Ideal", "D", "IF", 100.75, 62.0, "b"), (1.2, "Good", "E", "VS1", 200.5, None, "c")]
+    return spark.createDataFrame(rows, "carat double, cut string, color string, clarity string, price double, depth double, note string")
+
+
+def test_ledger_keeps_all_columns_and_cents(spark, scratch):
+    led = inv.Ledger(spark).add_all(wide(spark)).add_manual(1.0, "Ideal", "D", "IF", 500)
+    cur = led.current()
+    assert {"depth", "note"} <= set(cur.columns) and cur.schema["price"].dataType.simpleString() == "double"
+    assert sorted(r.price for r in cur.collect()) == [100.75, 100.75, 200.5, 500.0]
+    assert cur.select("row_id").distinct().count() == 4
+    t = led.totals().first()
+    assert (t.items, t.total_value, t.avg_price) == (4, 902.0, 225.5)
+    back = inv.Ledger.load(spark, led.save(os.path.join(scratch, "wide")).path)
+    assert sorted(map(str, back.current().collect())) == sorted(map(str, cur.collect()))
+
+
+def test_ledger_widens_by_name_after_a_save(spark, scratch):
+    df = cleaned(spark, [stone(price=p) for p in (100, 200)])
+    path = os.path.join(scratch, "narrow")
+    led = inv.Ledger(spark).add_all(df).save(path).add_all(df.withColumn("note", F.lit("n"))).save(path)
+    back = inv.Ledger.load(spark, path).current()
+    assert sorted(str(r.note) for r in back.collect()) == ["None", "None", "n", "n"]
+    with pytest.raises(ValueError, match="widened"):
+        led.add_manual(1.0, "Ideal", "D", "IF", 500.25).save(path)
+    assert led.add_manual(1.0, "Ideal", "D", "IF", 500.25).save(path + "2").totals().first().total_value == 1100.25
+    with pytest.raises(ValueError, match="note"):
+        led.add_all(df.withColumn("note", F.lit(1)))
+
+
+def test_save_to_another_path_carries_the_stored_part(spark, scratch):
+    df = cleaned(spark, [stone(price=p) for p in (100, 200, 300)])
+    one, two = os.path.join(scratch, "one"), os.path.join(scratch, "two")
+    led = inv.Ledger(spark).add_all(df).save(one).add_manual(1.0, "Ideal", "D", "IF", 500).save(two)
+    assert led.current().count() == 4 and inv.Ledger.load(spark, two).current().count() == 4
+    with pytest.raises(ValueError, match="another ledger"):
+        inv.Ledger(spark).add_all(df).save(two)
+
+
+def test_empty_saves_and_empty_batches_keep_their_numbers(spark, scratch):
+    df = cleaned(spark, [stone(price=100)])
+    path = os.path.join(scratch, "empty")
+    led = inv.Ledger(spark).save(path)
+    assert led.current().count() == 0 and inv.Ledger.load(spark, path).next_batch == 1
+    led = led.add_all(df).add_all(df.filter("price > 1000")).save(path)
+    back = inv.Ledger.load(spark, path)
+    assert back.next_batch == 3 and back.current().count() == 1 and back.events.count() == 1
+    small = back.add_all(df).clear().add_all(df).compact(os.path.join(scratch, "compact"))
+    assert small.current().count() == 1 and small.events.count() == 1
+
+
+def test_picks_by_key_survive_a_change_of_filters(spark):
+    df = cleaned(spark, [stone(carat=c / 10, price=100 * c) for c in range(1, 20)])
+    key = inv.Ledger(spark).add_selected(flt.listing(df.filter("price > 500")), [2]).current().select("row_id")
+    again = inv.Ledger(spark).add_keys(df.filter("price < 900"), key).current().first()
+    assert again.carat == 0.7

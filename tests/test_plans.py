@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from gemstats.plans.catalog import QUERIES
 from tests.conftest import SF_SMALL
 
 
@@ -12,7 +12,7 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(fn(spark, SF_SMALL)) for name, fn in entry.queries().items()}
+    return {name: plan_of(fn(spark, SF_SMALL)) for name, fn in QUERIES.items()}
 
 
 def test_no_python_in_any_plan(plans):
