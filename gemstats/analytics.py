@@ -23,7 +23,7 @@ from .operators import filters as flt
 from .operators import insight as ins
 from .operators import inventory as inv
 from .operators import profile as prf
-from .plans.store import stored
+from .plans.store import files_identity, frame_identity, stored
 from .sources.files import read_table
 
 
@@ -36,14 +36,14 @@ class DiamondAnalytics:
     def load(cls, spark: SparkSession, path: str, fmt: str | None = None,
              refresh: bool = False) -> "DiamondAnalytics":
         """Read (CSV / Parquet / JSON), clean, store once, and read back."""
-        return cls(spark, stored(spark, f"upload|{fmt}|{path}",
+        return cls(spark, stored(spark, f"upload|{fmt}|{path}", files_identity(spark, path),
                                  lambda: cln.clean(read_table(spark, path, fmt)), refresh))
 
     @classmethod
     def from_frame(cls, spark: SparkSession, raw: DataFrame, key: str,
                    refresh: bool = False) -> "DiamondAnalytics":
         """Same, for raw rows already described by a DataFrame (``key`` names it)."""
-        return cls(spark, stored(spark, f"frame|{key}", lambda: cln.clean(raw), refresh))
+        return cls(spark, stored(spark, f"frame|{key}", frame_identity(raw), lambda: cln.clean(raw), refresh))
 
     # -- upload page -----------------------------------------------------------
     def preview(self, n: int = grades.PREVIEW_ROWS) -> DataFrame:

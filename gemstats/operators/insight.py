@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades
-from ..functions.stats import safe_corr
 from .ranks import exact_quantiles
 
 # The analysis types, in menu order.
@@ -76,11 +75,11 @@ def _bundle_fields(key_gid: dict, analysis_type: str, has_ordinals: bool) -> lis
         return (f"map_from_entries(array_sort(collect_list("
                 f"CASE WHEN {known} THEN named_struct('k', {k}, 'v', {value}) END)))")
 
-    def first_by(*order):
-        return f"min_by(CASE WHEN {known} THEN {k} END, CASE WHEN {known} THEN struct({', '.join(order)}, {k}) END)"
+    def first_by(order, pick="min_by"):  # a key without the ordered value can't win
+        return f"{pick}({k}, CASE WHEN {known} AND ({order}) IS NOT NULL THEN struct({order}, {k}) END)"
 
-    def last_by(*order):
-        return f"max_by(CASE WHEN {known} THEN {k} END, CASE WHEN {known} THEN struct({', '.join(order)}, {k}) END)"
+    def last_by(order):
+        return first_by(order, "max_by")
 
     def pct(values):
         members = ", ".join(_q(v) for v in values)
@@ -120,35 +119,64 @@ def _bundle_fields(key_gid: dict, analysis_type: str, has_ordinals: bool) -> lis
         ("clarity_price_paradox", exceeds(grades.CLARITY_PARADOX))]
 
 
+PAIRS = {"r_price_carat": ("price", "carat"), "r_price_color": ("price", "color_numeric"),
+         "r_price_clarity": ("price", "clarity_numeric")}
+
+
+def _moments(df: DataFrame, pairs: list[str]) -> tuple[list[Column], list[Column]]:
+    """Additive aggregates over rows, and what adds them up over groups."""
+    v, p = F.col("carat").cast("double"), F.col("price").cast("double")
+    parts = {"n": F.count(F.lit(1)), "nv": F.count(v), "sv": F.sum(v), "svv": F.sum(v * v),
+             "np": F.count(p), "sp": F.sum(p),
+             "n_small": F.count_if(F.col("carat") <= grades.SMALL_CARAT_MAX),
+             "n_large": F.count_if(F.col("carat") >= grades.LARGE_CARAT_MIN)}
+    for name in pairs:
+        x, y = (F.col(c).cast("double") for c in PAIRS[name])
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)  # rows that have both
+        parts |= {f"{name}_n": F.count(x), f"{name}_x": F.sum(x), f"{name}_y": F.sum(y),
+                  f"{name}_xx": F.sum(x * x), f"{name}_yy": F.sum(y * y), f"{name}_xy": F.sum(x * y)}
+    ends = {"min_carat": F.min, "max_carat": F.max}
+    rows = [c.alias(k) for k, c in parts.items()] + [f("carat").alias(k) for k, f in ends.items()]
+    return rows, [F.sum(k).alias(k) for k in parts] + [f(k).alias(k) for k, f in ends.items()]
+
+
+def _derived(g: DataFrame, pairs: list[str]) -> DataFrame:
+    """Means, deviation and correlations of each group from its sums."""
+    def r(k):
+        # a variance within the rounding of its sums is none
+        vx, vy = (f"({k}_n * {k}_{z}{z} - {k}_{z} * {k}_{z})" for z in "xy")
+        flat = " OR ".join(f"{v} <= 1e-12 * {k}_n * {k}_{z}{z}" for v, z in ((vx, "x"), (vy, "y")))
+        return f"CASE WHEN {flat} THEN NULL ELSE try_divide({k}_n * {k}_xy - {k}_x * {k}_y, sqrt({vx}) * sqrt({vy})) END AS {k}"
+
+    return g.selectExpr(
+        "*", "try_divide(sv, CAST(nv AS DOUBLE)) AS avg_carat", "try_divide(sp, CAST(np AS DOUBLE)) AS avg_price",
+        "CASE WHEN nv > 1 THEN sqrt(greatest(svv - sv * sv / nv, 0D) / (nv - 1)) END AS carat_std", *map(r, pairs))
+
+
 def insight_bundles(df: DataFrame, types: list[str] = ANALYSIS_TYPES) -> DataFrame:
     """``analysis_type, stats_json`` for each requested type, in one pass.
 
-    One grouping-sets aggregate over the rows ((cut), (color), (clarity) and
-    all rows; one scan, partial aggregation) holds every count, mean,
-    moment and correlation the bundles need; the bundles are aggregates
-    over its few rows. Exact carat quartiles are the only other read.
+    The rows are aggregated once by (cut, color, clarity): counts, sums,
+    squares and products, which add up, so the bundles' (cut), (color),
+    (clarity) and overall figures come from that table of at most a few
+    hundred grade combinations. Exact carat quartiles are the only other read.
     NULL statistics are kept as JSON null; an unknown type carries only the
     total and the type.
     """
     has_ordinals = "color_numeric" in df.columns and "clarity_numeric" in df.columns
     keys = [k for k in GRADE_KEYS if k in df.columns and any(_TYPE_KEY.get(t) == k for t in types)]
-    v = F.col("carat")
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg("carat").alias("avg_carat"), F.avg("price").alias("avg_price"),
-            F.stddev_samp(v).alias("carat_std"), F.min(v).alias("min_carat"), F.max(v).alias("max_carat"),
-            F.count_if(v <= grades.SMALL_CARAT_MAX).alias("n_small"),
-            F.count_if(v >= grades.LARGE_CARAT_MIN).alias("n_large"),
-            safe_corr("price", "carat").alias("r_price_carat")]
-    if has_ordinals:
-        aggs += [safe_corr("price", "color_numeric").alias("r_price_color"),
-                 safe_corr("price", "clarity_numeric").alias("r_price_clarity")]
+    pairs = list(PAIRS) if has_ordinals else ["r_price_carat"]
+    over_rows, over_groups = _moments(df, pairs)
     if keys:
-        g = df.groupingSets([[k] for k in keys] + [[]], *keys).agg(*aggs, F.grouping_id().alias("_gid"))
+        small = df.groupBy(*keys).agg(*over_rows)
+        g = small.groupingSets([[k] for k in keys] + [[]], *keys).agg(*over_groups, F.grouping_id().alias("_gid"))
         width = len(keys)  # grouping_id: one bit per key, first key highest; set = key not grouped
         key_gid = {k: (1 << width) - 1 - (1 << (width - 1 - i)) for i, k in enumerate(keys)}
         key_gid[None] = (1 << width) - 1
     else:
-        g = df.agg(*aggs).withColumn("_gid", F.lit(0).cast("bigint"))
+        g = df.agg(*over_rows).withColumn("_gid", F.lit(0).cast("bigint"))
         key_gid = {None: 0}
+    g = _derived(g, pairs)
     per_type = [_bundle_fields(key_gid, t, has_ordinals) for t in types]
     # quartile references stay outside the aggregate; everything else is one aggregate
     aggregated = [(i, j, sql) for i, fields in enumerate(per_type) for j, (_, sql) in enumerate(fields)
@@ -176,37 +204,49 @@ def all_insight_stats(df: DataFrame, types: list[str] = ANALYSIS_TYPES) -> DataF
     return insight_bundles(df, types)
 
 
-# The three lead phrases of the answer format the prompt asks for.
-ANSWER_LEADS = [
-    "From this plot we see that",
-    "This has the following implications:",
-    "From business settings we can see that",
-]
-
-DEFAULT_CONTEXT = [
-    "A jewelry retailer is adding diamonds to its range for the first time",
-    "Customers value quality but watch the price",
-    "Recommendations on stock and pricing are needed",
-]
+# What a prompt must carry: who answers, which sections, about what, from which
+# figures. All of it but the figures can be replaced.
+ROLE = "Role: market analyst for graded goods."
+SECTIONS = ("Findings", "Meaning", "Actions")
+CONTEXT: tuple[str, ...] = ()
+STYLE = "Cite the figures given."
 
 
-def prompt_text(analysis_type: Column, stats_json: Column, context: list[str] = DEFAULT_CONTEXT) -> Column:
-    head = ("You are an analyst of the diamond market. Read the statistics below and answer "
-            "in exactly this format:\n\n"
-            f"{ANSWER_LEADS[0]} [what the data shows: patterns, spread, trends]\n\n"
-            f"{ANSWER_LEADS[1]} [what it means for buyers and prices]\n\n"
-            f"{ANSWER_LEADS[2]} [concrete advice on stock and pricing]\n\n"
-            "Analysis Type: ")
-    ctx = "\n".join(f"- {line}" for line in context)
-    tail = (f"\n\nContext:\n{ctx}\n\n"
-            "Use a professional, data-driven tone and quote numbers from the statistics. "
-            "Keep each part to two or three sentences.\n")
-    return F.concat(F.lit(head), analysis_type, F.lit("\nData Statistics: "), stats_json, F.lit(tail))
+def prompt_text(analysis_type: Column, stats_json: Column, role: str = ROLE, sections: tuple[str, ...] = SECTIONS,
+                context: tuple[str, ...] = CONTEXT, style: str = STYLE) -> Column:
+    """Role, sections, context and style around the type and its statistics."""
+    about = "".join(f"Context: {line}\n" for line in context)
+    return F.concat(F.lit(f"{role}\nSections: {', '.join(sections)}.\n{about}Topic: "), analysis_type,
+                    F.lit("\nFigures (JSON): "), stats_json, F.lit(f"\n{style}\n"))
 
 
-def insight_prompts(stats: DataFrame, context: list[str] = DEFAULT_CONTEXT) -> DataFrame:
+def insight_prompts(stats: DataFrame, **wording) -> DataFrame:
+    """analysis_type, stats_json, prompt; ``wording`` as in ``prompt_text``."""
     return stats.select("analysis_type", "stats_json",
-                        prompt_text(F.col("analysis_type"), F.col("stats_json"), context).alias("prompt"))
+                        prompt_text(F.col("analysis_type"), F.col("stats_json"), **wording).alias("prompt"))
+
+
+def prompt_checks(prompts: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """analysis_type, has_type, has_stats, has_sections: what each prompt holds."""
+    holds = F.lit(True)
+    for name in sections:
+        holds = holds & F.col("prompt").contains(name)
+    return prompts.select("analysis_type", F.col("prompt").contains(F.col("analysis_type")).alias("has_type"),
+                          F.col("prompt").contains(F.col("stats_json")).alias("has_stats"), holds.alias("has_sections"))
+
+
+def insight_fields(stats: DataFrame) -> DataFrame:
+    """The bundles in long form, parsed from their JSON: analysis_type, field,
+    key (of a map's entry, a list's place, or empty), num (6 decimals) and txt
+    (texts and truth values)."""
+    text = "map<string,string>"
+    top = stats.select("analysis_type", F.explode(F.from_json("stats_json", text)).alias("field", "v")).filter("field != 'analysis_type'")
+    entries = (F.when(F.col("v").startswith("{"), F.map_entries(F.from_json("v", text)))
+                .when(F.col("v").startswith("["), F.expr("transform(from_json(v, 'array<string>'), (x, i) -> struct(string(i) AS key, x AS value))"))
+                .otherwise(F.array(F.struct(F.lit("").alias("key"), F.col("v").alias("value")))))
+    flat = top.select("analysis_type", "field", F.explode(entries).alias("e")).select("analysis_type", "field", "e.key", "e.value")
+    number = F.expr("try_cast(value AS DOUBLE)")
+    return flat.select("analysis_type", "field", "key", F.round(number, 6).alias("num"), F.when(number.isNull(), F.col("value")).alias("txt"))
 
 
 def save_insights(rows: DataFrame, path: str, fmt: str = "json") -> None:

@@ -11,6 +11,7 @@ slider and selection values, not row caps.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,8 @@ from ..operators import insight as ins
 from ..operators import inventory as inv
 from ..operators import profile as prf
 from ..operators.ranks import exact_quantiles
-from ..sources.files import parse_columns
+from ..session import shared_dir
+from ..sources.files import parse_columns, read_table, write_csv
 from ..functions.stats import r6
 from ..sources.fixture import diamond_raw, diamond_with_text_carat, table
 from .store import cleaned_diamonds
@@ -108,6 +110,39 @@ def _partly_priced(df: DataFrame) -> DataFrame:
     return df.withColumn("price", F.when(~gone, F.col("price")))
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """Two columns beyond the preset ones."""
+    return df.withColumn("depth", F.floor(F.col("z") / (F.col("x") + F.col("y")) * 20000) / 100).withColumn("lab", F.concat(F.lit("lab "), F.col("cut")))
+
+
+def _out_of_range(df: DataFrame) -> DataFrame:
+    """Every fifth price too low or too high, every third carat too large or missing."""
+    price = F.when(F.col("price") % 10 == 0, F.col("price") % 100).when(F.col("price") % 10 == 5, F.col("price") * 1000).otherwise(F.col("price"))
+    carat = F.when(F.col("price") % 3 == 0, F.when(F.col("price") % 2 == 0, F.col("carat") * 100)).otherwise(F.col("carat"))
+    return df.withColumns({"price": price, "carat": carat})
+
+
+def _zero_dims(df: DataFrame) -> DataFrame:
+    """Raw listings with zeros in every dimension."""
+    return df.withColumns({"y": F.when(F.col("price") % 11 == 0, 0.0).otherwise(F.col("y")),
+                           "z": F.when(F.col("price") % 13 == 0, 0.0).otherwise(F.col("z"))})
+
+
+def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw listings written as CSV with a saved index, read again and cleaned."""
+    path = f"{shared_dir(spark).rstrip('/')}/gemstats/csv-{uuid.uuid4().hex}"
+    raw = diamond_raw(spark, sf).withColumn("color", F.when(F.col("color") == "K", "1D").otherwise(F.col("color")))
+    write_csv(raw.select(F.monotonically_increasing_id().alias("Unnamed: 0"), "*"), path)
+    return cln.clean(read_table(spark, path, "csv"))
+
+
+def _exported(spark: SparkSession, sf: str) -> DataFrame:
+    """The session's inventory exported as CSV and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/gemstats/csv-{uuid.uuid4().hex}"
+    inv.export_csv(_session_ledger(spark, sf).current(), path)
+    return read_table(spark, path, "csv")
+
+
 def _quartiles(df: DataFrame, value: str) -> DataFrame:
     q = exact_quantiles(df, value, [0.05, 0.25, 0.5, 0.75, 0.999])
     return q.select(*[r6(F.col(c)).alias(c) for c in q.columns])
@@ -120,6 +155,10 @@ def _na_tokens(spark, sf):
 QUERIES: dict[str, Query] = {
     # -- sources / cleaning -------------------------------------------------
     "na_tokens": _na_tokens,
+    "csv_round_trip": _csv_round_trip,
+    "inv_export": _exported,
+    "clean_whole": lambda s, sf: cln.clean(diamond_raw(s, sf)),
+    "valid_dims_all": lambda s, sf: cln.drop_invalid_dimensions(_zero_dims(diamond_raw(s, sf))),
     "dedup_rows": lambda s, sf: _steps(s, sf, "dedup"),
     "drop_missing": lambda s, sf: _steps(s, sf, "missing"),
     "valid_dims": lambda s, sf: _steps(s, sf, "dims"),
@@ -200,6 +239,8 @@ QUERIES: dict[str, Query] = {
     # -- insight dataset -------------------------------------------------------
     "insight_stats": lambda s, sf: ins.all_insight_stats(_clean(s, sf)),
     "insight_prompts": lambda s, sf: ins.insight_prompts(ins.all_insight_stats(_clean(s, sf))),
+    "insight_fields": lambda s, sf: ins.insight_fields(ins.all_insight_stats(_clean(s, sf))),
+    "insight_prompt_checks": lambda s, sf: ins.prompt_checks(ins.insight_prompts(ins.all_insight_stats(_clean(s, sf)))),
     # -- inventory ledger --------------------------------------------------------
     "inv_add_selected": lambda s, sf: _current(
         inv.Ledger(s).add_selected(flt.listing(_all_filters(_clean(s, sf))), PICKED)),
@@ -207,6 +248,12 @@ QUERIES: dict[str, Query] = {
     "inv_add_manual": lambda s, sf: _current(
         inv.Ledger(s).add_all(flt.apply_filters(_clean(s, sf), price=PRICE_RANGE)).add_manual(*MANUAL)),
     "inv_validate": lambda s, sf: inv.validate_manual(diamond_raw(s, sf)),
+    "inv_validate_ranges": lambda s, sf: inv.validate_manual(_out_of_range(diamond_raw(s, sf))),
+    "inv_wide": lambda s, sf: _current(inv.Ledger(s).add_all(_wide(_all_filters(_clean(s, sf)))).add_manual(*MANUAL)),
+    "inv_fractional": lambda s, sf: _current(
+        inv.Ledger(s).add_all(_cents(_all_filters(_clean(s, sf)))).add_manual(*MANUAL[:4], 12000.5)),
+    "inv_fractional_totals": lambda s, sf:
+        inv.Ledger(s).add_all(_cents(_all_filters(_clean(s, sf)))).add_manual(*MANUAL[:4], 12000.5).totals(),
     "inv_bag": lambda s, sf: _current(
         inv.Ledger(s).add_all(flt.apply_filters(_clean(s, sf), colors=COLORS, clarities=CLARITIES, cuts=CUTS))
                      .add_all(flt.apply_filters(_clean(s, sf), colors=COLORS, clarities=CLARITIES, cuts=CUTS))),

@@ -146,7 +146,86 @@ GROUP BY f.{key}, f.n, q1, median, q3, lower_fence, upper_fence"""
 
 _QUART = _quartiles()
 
+WIDE = """wide AS (SELECT *, floor(z / (x + y) * 20000) / 100 AS depth, 'lab ' || cut AS lab FROM cleaned)"""
+OUT_OF_RANGE = """odd AS (SELECT * REPLACE (
+  CASE WHEN price % 10 = 0 THEN price % 100 WHEN price % 10 = 5 THEN price * 1000 ELSE price END AS price,
+  CASE WHEN price % 3 = 0 THEN CASE WHEN price % 2 = 0 THEN carat * 100 END ELSE carat END AS carat) FROM raw)"""
+
+
+def _insight_fields() -> str:
+    """The bundles' fields in long form, from the same figures as the queries above."""
+    rows: list[str] = []
+
+    def add(kind: str, field: str, sql: str, key: str = "''", txt: bool = False, src: str = "cleaned", tail: str = "") -> None:
+        num, text = ("CAST(NULL AS DOUBLE)", f"CAST({sql} AS VARCHAR)") if txt else (f"round(CAST({sql} AS DOUBLE), 6)", "CAST(NULL AS VARCHAR)")
+        rows.append(f"SELECT '{kind} Analysis' AS analysis_type, '{field}' AS field, {key} AS key, {num} AS num, {text} AS txt FROM {src} {tail}")
+
+    def one(kind: str, field: str, sql: str) -> None:  # a scalar subquery that gives a text
+        add(kind, field, sql, txt=True, src="(SELECT 1)")
+
+    for kind in ("Carat", "Cut", "Color", "Clarity", "Correlation"):
+        add(kind, "total_diamonds", "count(*)")
+    for field, sql in (("avg_carat", "avg(carat)"), ("median_carat", "median(carat)"), ("carat_std", "stddev_samp(carat)"),
+                       ("small_diamonds_pct", _pct("carat <= 1.0")), ("large_diamonds_pct", _pct("carat >= 2.0")),
+                       ("price_carat_correlation", _corr("price", "carat"))):
+        add("Carat", field, sql)
+    for i, sql in enumerate(("min(carat)", "max(carat)")):
+        add("Carat", "carat_range", sql, f"'{i}'")
+    for i, p in enumerate((0.25, 0.5, 0.75)):
+        add("Carat", "carat_quartiles", f"quantile_cont(carat, {p})", f"'{i}'")
+    for key in ("cut", "color", "clarity"):
+        rows_of = f"WHERE {key} IS NOT NULL GROUP BY {key}"
+        add(key.title(), f"{key}_distribution", "count(*)", key, tail=rows_of)
+        src = f"(SELECT {key}, count(*) AS n, avg(price) AS m, avg(price) / avg(carat) AS ppc FROM cleaned {rows_of})"
+        one(key.title(), f"most_common_{key}", _extreme(key, "n DESC", src))
+        if key == "cut":
+            one("Cut", "least_common_cut", f"(SELECT cut FROM {src} ORDER BY n, cut DESC LIMIT 1)")
+            one("Cut", "lowest_priced_cut", _extreme(key, "m", src))
+        if key != "color":
+            one(key.title(), f"highest_priced_{key}", _extreme(key, "m DESC", src))
+            add(key.title(), f"{key}_price_avg", "avg(price)", key, tail=rows_of)
+        else:
+            one("Color", "best_value_color", _extreme(key, "ppc DESC", src))
+            for field, sql in (("avg_carat_by_color", "avg(carat)"), ("avg_price_by_color", "avg(price)"),
+                               ("price_per_carat_by_color", "avg(price) / avg(carat)")):
+                add("Color", field, sql, key, tail=rows_of)
+    add("Cut", "premium_cuts_pct", _pct("cut IN ('Premium', 'Ideal')"))
+    add("Color", "premium_colors_pct", _pct("color IN ('D', 'E', 'F')"))
+    add("Clarity", "sweet_spot_clarity_pct", _pct("clarity IN ('SI1', 'VS2')"))
+    add("Clarity", "premium_clarity_pct", _pct("clarity IN ('IF', 'VVS1', 'VVS2')"))
+    for key, a, b in (("color", "J", "D"), ("clarity", "SI2", "VVS1")):
+        add(key.title(), f"{key}_price_paradox",
+            f"coalesce(avg(price) FILTER (WHERE {key} = '{a}') > avg(price) FILTER (WHERE {key} = '{b}'), false)", txt=True)
+    for name, other in (("carat", "carat"), ("color", "color_numeric"), ("clarity", "clarity_numeric")):
+        add("Correlation", f"price_{name}_corr", _corr("price", other))
+    add("Correlation", "carat_dominates_pricing", f"coalesce(abs({_corr('price', 'carat')}) > 0.8, false)", txt=True)
+    add("Correlation", "color_weak_correlation", f"coalesce(abs({_corr('price', 'color_numeric')}) < 0.3, false)", txt=True)
+    return _with() + "\nUNION ALL ".join(rows)
+
+
 ORACLE: dict[str, str] = {
+    "csv_round_trip": _with() + "SELECT * REPLACE (CASE WHEN color = 'K' THEN '1D' ELSE color END AS color) FROM cleaned",
+    "clean_whole": _with() + "SELECT * FROM cleaned",
+    "valid_dims_all": f"""WITH {RAW_SQL}
+SELECT * FROM (SELECT * REPLACE (CASE WHEN price % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE y END AS y,
+                                 CASE WHEN price % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE z END AS z) FROM raw) r
+WHERE x > 0 AND y > 0 AND z > 0""",
+    "insight_fields": _insight_fields(),
+    "insight_prompt_checks": _with() + """SELECT t.analysis_type, count(*) > 0 AS has_type, count(*) > 0 AS has_stats,
+  count(*) > 0 AS has_sections
+FROM cleaned, (VALUES ('Carat Analysis'), ('Cut Analysis'), ('Color Analysis'), ('Clarity Analysis'),
+               ('Correlation Analysis')) AS t(analysis_type) GROUP BY 1""",
+    "inv_wide": _with(WIDE) + f"""SELECT CAST(1 AS BIGINT) AS batch_id, 'all' AS op, {ITEM_COLS}, depth, lab
+FROM wide WHERE {ALL_P}
+UNION ALL SELECT CAST(2 AS BIGINT), 'manual', *, NULL, NULL FROM (SELECT {MANUAL_ROW})""",
+    "inv_fractional": _with(CENTS) + f"""SELECT CAST(1 AS BIGINT) AS batch_id, 'all' AS op, {ITEM_COLS}
+FROM cents WHERE floor(price) BETWEEN 1000 AND 5000 AND {CARAT_P} AND {MEMBER_P}
+UNION ALL SELECT CAST(2 AS BIGINT), 'manual', * REPLACE (12000.5::DOUBLE AS price) FROM (SELECT {MANUAL_ROW})""",
+    "inv_fractional_totals": _with(CENTS, f"""cur AS (SELECT price FROM cents
+  WHERE floor(price) BETWEEN 1000 AND 5000 AND {CARAT_P} AND {MEMBER_P} UNION ALL SELECT 12000.5::DOUBLE)""") + """SELECT
+  count(*) AS items, round(sum(price), 6) AS total_value, round(avg(price), 6) AS avg_price FROM cur""",
+    "inv_export": _with(_LISTED, f"cur AS ({_CURRENT_SESSION})") + """SELECT carat, cut, color, clarity, price, x, y, z,
+  CAST(color_numeric AS BIGINT) AS color_numeric, CAST(clarity_numeric AS BIGINT) AS clarity_numeric, cut_gia FROM cur""",
     "na_tokens": f"""WITH {RAW_SQL}
 SELECT CASE WHEN price % 10 IN (0, 1, 2, 3) THEN NULL ELSE carat END AS carat,
        cut, color, clarity, price, x, y, z FROM raw""",
@@ -361,3 +440,6 @@ FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand""",
     "inv_current": _with(_LISTED, f"cur AS ({_CURRENT_SESSION})") + """SELECT CAST(batch_id AS BIGINT) AS batch_id,
   op, carat, cut, color, clarity, price, x, y, z, color_numeric, clarity_numeric, cut_gia FROM cur""",
 }
+# the same checks over listings whose prices and carats go out of range
+ORACLE["inv_validate_ranges"] = (ORACLE["inv_validate"].replace("FROM raw", "FROM odd")
+                                 .replace(RAW_SQL, f"{RAW_SQL},\n{OUT_OF_RANGE}"))

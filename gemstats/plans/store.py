@@ -5,47 +5,94 @@ needs two columns of the cleaned table would still scan and shuffle all of
 them. Writing the cleaned table once to the shared folder cuts that
 lineage (and survives lost executors, unlike a cached or locally
 checkpointed plan); later reads get column pruning and pushed filters.
+
+A table is stored under its name and the identity of what it was made from
+(the input files' names, lengths and modification times, and the plan), so
+an overwritten upload is cleaned again, and another session that shares the
+folder reuses what is there. New versions are written beside old ones; the
+version before the last stays for those who still read it, older ones go.
 """
 
 from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean
-from ..session import shared_dir
+from ..session import shared_root
 from ..sources.fixture import diamond_raw
 
 _VERSION = "clean-v2"
-# Resolved (lazy) DataFrames over written tables, per application and path:
-# listing the folder and reading a footer again for every query is overhead.
-_RESOLVED: dict[tuple[str, str], DataFrame] = {}
+# Resolved (lazy) DataFrames over written tables, per application, name and
+# identity: listing the folder and reading a footer for every query is overhead.
+_RESOLVED: dict[tuple[str, str, str], DataFrame] = {}
 _LOCK = threading.Lock()  # one writer per table when queries are submitted from threads
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(f"{path}/_SUCCESS").schema  # resolves the path only
-        return True
-    except AnalysisException:
-        return False
+def _digest(text: str) -> str:
+    return hashlib.sha1(text.encode()).hexdigest()[:16]
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def files_identity(spark: SparkSession, path: str) -> str:
+    """Names, lengths and modification times of the files under ``path``."""
+    fs, p = _fs(spark, path)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    return _digest("\n".join(sorted(found)))
+
+
+def frame_identity(df: DataFrame) -> str:
+    """The plan, and the files it reads."""
+    parts = [str(df.semanticHash())]
+    for name in sorted(df.inputFiles()):
+        fs, p = _fs(df.sparkSession, name)
+        status = fs.getFileStatus(p)
+        parts.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    return _digest("\n".join(parts))
+
+
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(time, path) of the complete versions, oldest first. The commit protocol
+    writes ``_SUCCESS`` last, so a half-written folder doesn't count."""
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return []
+    out = []
+    for status in fs.listStatus(p):
+        path = status.getPath().toString()
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if fs.exists(done):
+            out.append((fs.getFileStatus(done).getModificationTime(), path))
+    return sorted(out)
 
 
-def stored(spark: SparkSession, key: str, build, refresh: bool = False) -> DataFrame:
-    """Parquet table ``key`` under the shared folder, written by ``build()``
-    unless a complete copy exists. The commit protocol writes ``_SUCCESS``
-    last, so a half-written folder is rewritten."""
-    digest = hashlib.sha1(f"{_VERSION}|{key}".encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark).rstrip('/')}/gemstats/{digest}"
-    handle = (spark.sparkContext.applicationId, path)
+def stored(spark: SparkSession, name: str, identity: str, build, refresh: bool = False) -> DataFrame:
+    """The newest stored version of table ``name`` made from inputs of this
+    ``identity``; written by ``build()`` if there is none, or on ``refresh``."""
+    folder = f"{shared_root(spark).rstrip('/')}/gemstats/{_digest(f'{_VERSION}|{name}')}"
+    handle = (spark.sparkContext.applicationId, folder, identity)
     with _LOCK:
         if not refresh and handle in _RESOLVED:
             return _RESOLVED[handle]
-        if refresh or not _complete(spark, path):
-            build().write.mode("overwrite").parquet(path)
+        own = [v for v in _versions(spark, folder) if v[1].rsplit("/", 1)[1].startswith(identity)]
+        if refresh or not own:
+            path = f"{folder}/{identity}-{uuid.uuid4().hex[:8]}"
+            build().write.parquet(path)
+            for _, old in _versions(spark, folder)[:-2]:
+                fs, p = _fs(spark, old)
+                fs.delete(p, True)
+        else:
+            path = own[-1][1]
         _RESOLVED[handle] = spark.read.parquet(path)
         return _RESOLVED[handle]
 
@@ -57,5 +104,6 @@ CLUSTER_BY = ("price", "carat")
 
 def cleaned_diamonds(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The cleaned diamond table for the tables in ``sf_dir``."""
-    return stored(spark, f"diamonds|{sf_dir.rstrip('/')}",
+    where = sf_dir.rstrip("/")
+    return stored(spark, f"diamonds|{where}", files_identity(spark, f"{where}/lineitem.parquet"),
                   lambda: clean(diamond_raw(spark, sf_dir)).sortWithinPartitions(*CLUSTER_BY), refresh)

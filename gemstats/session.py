@@ -48,3 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="gemstats-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that sessions share: ``spark.checkpoint.dir`` itself, without
+    the subfolder that Spark makes for each session. A session that has only a
+    folder of its own uses that."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or shared_dir(spark)

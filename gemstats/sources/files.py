@@ -9,7 +9,7 @@ and applied with ``try_cast`` (a plain cast raises under ANSI mode).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,14 +58,32 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+# What pandas' reader takes for a number. A plain cast takes more: '1D' and '2F'
+# are 1.0 and 2.0 to it.
+INTEGER = r"^\s*[+-]?\d+\s*$"
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
+def _parsed(name: str, kind: T.DataType) -> Column:
+    """The text column as ``kind``; NULL where it isn't one."""
+    v = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return v
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return F.when(v.rlike(NUMBER), F.trim(v).try_cast(kind))
+    if isinstance(kind, T.IntegralType):
+        return F.when(v.rlike(INTEGER), F.trim(v).try_cast(kind))
+    return v.try_cast(kind)
+
+
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     """bigint if every present value parses as an integer, else double if every
     one parses as a number, else string. One aggregate pass, one row back."""
     probes = []
-    for n in df.columns:
+    for i, n in enumerate(df.columns):
         v = F.col(f"`{n}`")
-        probes += [F.count_if(v.isNotNull() & v.try_cast("bigint").isNull()).alias(f"i{len(probes)}"),
-                   F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"d{len(probes) + 1}")]
+        probes += [F.count_if(v.isNotNull() & _parsed(n, T.LongType()).isNull()).alias(f"i{i}"),
+                   F.count_if(v.isNotNull() & _parsed(n, T.DoubleType()).isNull()).alias(f"d{i}")]
     row = df.agg(*probes).first()
     types = {}
     for i, n in enumerate(df.columns):
@@ -76,12 +94,31 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
 
 def parse_columns(df: DataFrame, types: dict[str, T.DataType],
                   tokens: list[str] = NA_TOKENS) -> DataFrame:
-    """Text columns -> typed columns: tokens become NULL, the rest ``try_cast``
-    (an unparsable cell becomes NULL instead of failing the job)."""
+    """Text columns -> typed columns: tokens become NULL, and so does a cell that
+    isn't of its type (``parse_failures`` counts those)."""
     text = null_tokens(df, [n for n in types if n in df.columns], tokens)
     return nan_to_null(text.select(*[
-        (F.col(f"`{n}`").try_cast(types[n]) if n in types and not isinstance(types[n], T.StringType)
-         else F.col(f"`{n}`")).alias(n) for n in text.columns]))
+        (_parsed(n, types[n]) if n in types else F.col(f"`{n}`")).alias(n) for n in text.columns]))
+
+
+def parse_failures(df: DataFrame, types: dict[str, T.DataType], tokens: list[str] = NA_TOKENS) -> DataFrame:
+    """column, failed, example: the cells of text columns that hold something
+    which isn't of its column's type; one row per column of ``types``."""
+    text = null_tokens(df, [n for n in types if n in df.columns], tokens)
+    own = [n for n in types if n in df.columns]
+    bad = {n: F.when(F.col(f"`{n}`").isNotNull() & _parsed(n, types[n]).isNull(), F.col(f"`{n}`")) for n in own}
+    one = text.agg(*[F.struct(F.lit(n).alias("column"), F.count(bad[n]).alias("failed"), F.min(bad[n]).alias("example")).alias(f"c{i}")
+                     for i, n in enumerate(own)])
+    return one.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(own))])))
+
+
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a CSV with a header, as text."""
+    # a doubled quote inside a quoted cell is a literal quote (RFC 4180, as
+    # pandas reads it); records stay one line each, so big files still split
+    return (spark.read.option("header", True).option("inferSchema", False)
+            .option("quote", '"').option("escape", '"')
+            .option("mode", "PERMISSIVE").csv(path))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
@@ -97,16 +134,15 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         return nan_to_null(df)
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
-    # a doubled quote inside a quoted cell is a literal quote (RFC 4180, as
-    # pandas reads it); records stay one line each, so big files still split
-    text = (spark.read.option("header", True).option("inferSchema", False)
-            .option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").csv(path))
-    if schema:
-        types = {f.name: f.dataType for f in schema.fields}
-        text = text.select(*[F.col(f"`{n}`") for n in text.columns if n in types])
-    else:
-        types = infer_types(null_tokens(text, tokens=tokens))
+    text = read_csv_text(spark, path)
+    absent = [f.name for f in schema.fields if f.name not in text.columns] if schema else []
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    # columns that the schema doesn't name stay, with inferred types
+    given = {f.name: f.dataType for f in schema.fields} if schema else {}
+    others = [n for n in text.columns if n not in given]
+    found = infer_types(null_tokens(text.select(*[F.col(f"`{n}`") for n in others]), tokens=tokens)) if others else {}
+    types = found | given
     return parse_columns(text, types, tokens)
 
 

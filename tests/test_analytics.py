@@ -32,3 +32,56 @@ def test_same_numbers_as_registered_queries(spark):
     mine = sorted(tuple(r) for r in a.analysis("Color Analysis")["price_per_carat"].collect())
     reg = sorted(tuple(r) for r in entry.queries()["color_profile"](spark, SF_SMALL).collect())
     assert mine == reg
+
+
+HEADER = "carat,cut,color,clarity,price\n"
+
+
+def write_csv_file(path, *rows):
+    with open(path, "w") as fh:
+        fh.write(HEADER + "".join(",".join(map(str, r)) + "\n" for r in rows))
+
+
+def test_overwritten_upload_is_cleaned_again(spark, scratch):
+    path = os.path.join(scratch, "d.csv")
+    write_csv_file(path, (1.0, "Good", "E", "SI1", 400), (1.1, "Good", "E", "SI1", 500), (1.2, "Good", "E", "SI1", 600))
+    first = DiamondAnalytics.load(spark, path)
+    assert first.df.count() == 3
+    write_csv_file(path, (2.0, "Ideal", "D", "IF", 900))
+    assert DiamondAnalytics.load(spark, path).df.count() == 1
+    assert first.df.count() == 3  # the version before stays for those who read it
+
+
+def test_second_frame_under_one_key_is_another_table(spark):
+    schema = "carat double, cut string, color string, clarity string, price bigint"
+    a = spark.createDataFrame([(1.0, "Good", "E", "SI1", 400)], schema)
+    b = spark.createDataFrame([(1.0, "Good", "E", "SI1", 400), (2.0, "Good", "E", "SI1", 700)], schema)
+    assert DiamondAnalytics.from_frame(spark, a, "k").df.count() == 1
+    assert DiamondAnalytics.from_frame(spark, b, "k").df.count() == 2
+    assert DiamondAnalytics.from_frame(spark, a, "k").df.count() == 1
+
+
+def test_another_session_reuses_the_stored_table(spark):
+    from gemstats.plans import store
+    from gemstats.sources.fixture import diamond_raw as raw
+    built = []
+
+    def build():
+        built.append(1)
+        return raw(spark, SF_SMALL)
+
+    identity = store.files_identity(spark, f"{SF_SMALL}/lineitem.parquet")
+    first = store.stored(spark, "reuse", identity, build)
+    store._RESOLVED.clear()  # as a new session starts
+    again = store.stored(spark, "reuse", identity, build)
+    assert built == [1] and first.inputFiles() == again.inputFiles()
+    for _ in range(3):
+        newest = store.stored(spark, "reuse", identity, build, refresh=True)
+    folder = os.path.dirname(os.path.dirname(newest.inputFiles()[0].removeprefix("file:").replace("//", "/")))
+    assert len(os.listdir(folder)) == 2
+
+
+def test_ledger_of_a_table_has_its_columns(spark):
+    df = spark.createDataFrame([(1.0, "Good", "E", "SI1", 400.5, 61.0)], "carat double, cut string, color string, clarity string, price double, depth double")
+    led = DiamondAnalytics.from_frame(spark, df, "wide").ledger()
+    assert {"depth", "price"} <= set(led.items) and led.schema["price"].dataType.simpleString() == "double"

@@ -23,9 +23,11 @@ def test_bundles_and_prompts(spark, scratch):
     assert got["Correlation Analysis"]["carat_dominates_pricing"] is True
     prompts = ins.insight_prompts(stats).collect()
     for r in prompts:
-        for lead in ins.ANSWER_LEADS:
-            assert lead in r.prompt
-        assert r.stats_json in r.prompt and f"Analysis Type: {r.analysis_type}" in r.prompt
+        for section in ins.SECTIONS:
+            assert section in r.prompt
+        assert r.stats_json in r.prompt and f"Topic: {r.analysis_type}" in r.prompt
+    own = ins.insight_prompts(stats, role="R", sections=("A", "B"), context=("c1",), style="S").first().prompt
+    assert own.startswith("R\nSections: A, B.\nContext: c1\nTopic: ") and own.endswith("\nS\n")
     out = os.path.join(scratch, "insights")
     ins.save_insights(ins.insight_prompts(stats), out)
     back = spark.read.json(out)

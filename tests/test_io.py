@@ -67,3 +67,25 @@ def test_quoted_cells(spark, scratch):
     write_text(p, 'cut,note,price\n"Very Good","say ""hi"", ok",5\n')
     r = read_table(spark, p).first()
     assert (r.cut, r.note, r.price) == ("Very Good", 'say "hi", ok', 5)
+
+
+def test_codes_are_not_numbers(spark, scratch):
+    p = os.path.join(scratch, "codes.csv")
+    write_text(p, "code,n,f\n1D,1,1.5\n2F, 2,-.5e3\n3D,+3,inf\n")
+    df = read_table(spark, p)
+    assert dict(df.dtypes) == {"code": "string", "n": "bigint", "f": "double"}
+    assert sorted(r.code for r in df.collect()) == ["1D", "2F", "3D"]
+
+
+def test_cells_that_fail_are_counted_and_other_columns_stay(spark, scratch):
+    from gemstats.sources.files import parse_failures, read_csv_text
+    p = os.path.join(scratch, "f.csv")
+    write_text(p, "carat,price,note\n1.0,12a,x\n1.5D,NA,y\n2.0,30,z\n")
+    schema = T.StructType([T.StructField("carat", T.DoubleType()), T.StructField("price", T.LongType())])
+    df = read_table(spark, p, schema=schema)
+    assert df.columns == ["carat", "price", "note"] and df.count() == 3
+    got = {r.column: (r.failed, r.example) for r in parse_failures(read_csv_text(spark, p), {f.name: f.dataType for f in schema.fields}).collect()}
+    assert got == {"carat": (1, "1.5D"), "price": (1, "12a")}
+    import pytest
+    with pytest.raises(ValueError, match="depth"):
+        read_table(spark, p, schema=T.StructType([T.StructField("depth", T.DoubleType())]))

@@ -201,3 +201,49 @@ def test_many_small_groups_exact_quartiles(spark):
         F.array_distinct(F.percentile_approx(ranks.present("v"), ranks._fractions(64), 10000)).alias("e"),
         F.count(F.lit(1)).alias("d"))
     assert edges.filter(F.size("e") > F.col("d")).count() == 0
+
+
+@pytest.mark.parametrize("values", [[-1.0, 1.0], [-3.0, 5.0], [-1e-9, 1e9], [0.0, 7.0, 7.0], [5.0], [-0.3, 0.1, 1e6]])
+@pytest.mark.parametrize("bins", [1, 2, 3, 30])
+def test_histogram_is_never_empty(spark, values, bins):
+    df = spark.createDataFrame([(v,) for v in [*values, float("inf"), float("-inf"), None]], "v double")
+    got = sorted(dst.histogram(df, "v", bins).collect())
+    assert 1 <= len(got) <= bins
+    assert sum(r.n for r in got) == len(values)
+    assert all(r.bin_start is not None and r.bin_start == r.bin_start for r in got)
+    assert got[0].bin_start <= min(values) + 1e-6 and got[-1].bin_end >= max(values) - 1e-6
+
+
+def test_extremes_skip_keys_without_a_price(spark):
+    df = spark.createDataFrame([("Good", 10.0), ("Ideal", 20.0), ("Fair", None)], "cut string, price double")
+    r = cat.cut_extremes(df).first()
+    assert (r.highest_priced_cut, r.lowest_priced_cut) == ("Ideal", "Good")
+    none = cat.cut_extremes(df.filter("cut = 'Fair'")).first()
+    assert none.highest_priced_cut is None and none.most_common_cut == "Fair"
+
+
+def test_box_plans_never_deal_rows_by_the_group(spark):
+    """With any table too big to broadcast by size alone, rows stay where they are."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        df = spark.range(20000).selectExpr("concat('k', id % 3) AS clarity", "id * 7 % 1999 + if(id % 500 = 0, 90000, 0) AS price")
+        out = dst.box_outliers(df, "price", "clarity")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(clarity" not in plan
+        assert "BuildRight" in plan and out.count() == 40
+        assert "SortMergeJoin" not in dst.box_stats(df, "price", "clarity")._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in __import__("gemstats.operators.insight", fromlist=["x"]).insight_stats(
+            df.selectExpr("1.0D AS carat", "price", "clarity"), "Clarity Analysis")._jdf.queryExecution().executedPlan().toString().split("HashAggregate(keys=[clarity")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_attach_splits_keys_when_the_side_is_large(spark):
+    from gemstats.operators.attach import attach
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) AS k", "id AS v")
+    side = rows.groupBy("k").agg(F.max("v").alias("m"))
+    want = {(r.k, r.v, r.m) for r in rows.join(side, "k").collect()}
+    out = attach(rows, side, ["k"], max_rows=10)
+    assert {(r.k, r.v, r.m) for r in out.collect()} == want
+    assert "_salt" in out._jdf.queryExecution().executedPlan().toString()
