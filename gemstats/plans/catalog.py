@@ -136,6 +136,27 @@ def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return cln.clean(read_table(spark, path, "csv"))
 
 
+def _row_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """How many stones the narrow selection has, how many keys, and how many
+    stones those keys pick out of a listing with other filters."""
+    cur = inv.Ledger(spark).add_all(_wide(_all_filters(_clean(spark, sf)))).current()
+    other = _wide(flt.apply_filters(_clean(spark, sf), price=PRICE_RANGE))
+    again = inv.Ledger(spark).add_keys(other, cur.select("row_id")).current()
+
+    def one(what: str, df: DataFrame, agg) -> DataFrame:
+        return df.agg(agg.alias("n")).select(F.lit(what).alias("what"), "n")
+
+    return (one("items", cur, F.count(F.lit(1))).union(one("keys", cur, F.count_distinct("row_id")))
+            .union(one("picked again", again, F.count(F.lit(1)))))
+
+
+def _saved_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The prompt rows stored as JSON and read again, their bundles in long form."""
+    path = f"{shared_dir(spark).rstrip('/')}/gemstats/insights-{uuid.uuid4().hex}"
+    ins.save_insights(ins.insight_prompts(ins.all_insight_stats(_clean(spark, sf))), path)
+    return ins.insight_fields(spark.read.json(path))
+
+
 def _exported(spark: SparkSession, sf: str) -> DataFrame:
     """The session's inventory exported as CSV and read again."""
     path = f"{shared_dir(spark).rstrip('/')}/gemstats/csv-{uuid.uuid4().hex}"
@@ -240,6 +261,7 @@ QUERIES: dict[str, Query] = {
     "insight_stats": lambda s, sf: ins.all_insight_stats(_clean(s, sf)),
     "insight_prompts": lambda s, sf: ins.insight_prompts(ins.all_insight_stats(_clean(s, sf))),
     "insight_fields": lambda s, sf: ins.insight_fields(ins.all_insight_stats(_clean(s, sf))),
+    "insight_saved_fields": _saved_fields,
     "insight_prompt_checks": lambda s, sf: ins.prompt_checks(ins.insight_prompts(ins.all_insight_stats(_clean(s, sf)))),
     # -- inventory ledger --------------------------------------------------------
     "inv_add_selected": lambda s, sf: _current(
@@ -250,6 +272,7 @@ QUERIES: dict[str, Query] = {
     "inv_validate": lambda s, sf: inv.validate_manual(diamond_raw(s, sf)),
     "inv_validate_ranges": lambda s, sf: inv.validate_manual(_out_of_range(diamond_raw(s, sf))),
     "inv_wide": lambda s, sf: _current(inv.Ledger(s).add_all(_wide(_all_filters(_clean(s, sf)))).add_manual(*MANUAL)),
+    "inv_row_identity": _row_identity,
     "inv_fractional": lambda s, sf: _current(
         inv.Ledger(s).add_all(_cents(_all_filters(_clean(s, sf)))).add_manual(*MANUAL[:4], 12000.5)),
     "inv_fractional_totals": lambda s, sf:

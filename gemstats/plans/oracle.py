@@ -211,6 +211,7 @@ SELECT * FROM (SELECT * REPLACE (CASE WHEN price % 11 = 0 THEN CAST(0 AS DOUBLE)
                                  CASE WHEN price % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE z END AS z) FROM raw) r
 WHERE x > 0 AND y > 0 AND z > 0""",
     "insight_fields": _insight_fields(),
+    "insight_saved_fields": _insight_fields(),
     "insight_prompt_checks": _with() + """SELECT t.analysis_type, count(*) > 0 AS has_type, count(*) > 0 AS has_stats,
   count(*) > 0 AS has_sections
 FROM cleaned, (VALUES ('Carat Analysis'), ('Cut Analysis'), ('Color Analysis'), ('Clarity Analysis'),
@@ -218,6 +219,9 @@ FROM cleaned, (VALUES ('Carat Analysis'), ('Cut Analysis'), ('Color Analysis'),
     "inv_wide": _with(WIDE) + f"""SELECT CAST(1 AS BIGINT) AS batch_id, 'all' AS op, {ITEM_COLS}, depth, lab
 FROM wide WHERE {ALL_P}
 UNION ALL SELECT CAST(2 AS BIGINT), 'manual', *, NULL, NULL FROM (SELECT {MANUAL_ROW})""",
+    "inv_row_identity": _with(WIDE, f"w AS (SELECT * FROM wide WHERE {ALL_P})") + f"""SELECT 'items' AS what, count(*) AS n FROM w
+UNION ALL SELECT 'keys', count(*) FROM (SELECT DISTINCT * FROM w)
+UNION ALL SELECT 'picked again', count(*) FROM wide WHERE {PRICE_P} AND {CARAT_P} AND {MEMBER_P}""",
     "inv_fractional": _with(CENTS) + f"""SELECT CAST(1 AS BIGINT) AS batch_id, 'all' AS op, {ITEM_COLS}
 FROM cents WHERE floor(price) BETWEEN 1000 AND 5000 AND {CARAT_P} AND {MEMBER_P}
 UNION ALL SELECT CAST(2 AS BIGINT), 'manual', * REPLACE (12000.5::DOUBLE AS price) FROM (SELECT {MANUAL_ROW})""",
