@@ -89,18 +89,23 @@ def train(bags: list[np.ndarray], labels: np.ndarray, width: int = 32, gate: int
           batch: int = 128, rate: float = 3e-3, decay: float = 1e-4, seed: int = 1) -> Model:
     """Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags) if bags else np.zeros((1, WIDTH), np.float32)
+    n_all, total, squares = 1e-9, np.zeros(WIDTH), np.zeros(WIDTH)
+    for b in bags:
+        wide = b.astype(np.float64)
+        n_all, total, squares = n_all + len(b), total + wide.sum(0), squares + (wide * wide).sum(0)
+    mean = total / n_all
+    spread = np.sqrt(np.maximum(squares / n_all - mean * mean, 0))
     start = {"W": (WIDTH, width), "b": (width,), "V": (width, gate), "U": (width, gate), "w": (gate,), "c": (width,), "c0": (1,)}
     m: Model = {k: (rng.standard_normal(s) / np.sqrt(s[0]) * (len(s) > 1 or k == "w")).astype(np.float32) for k, s in start.items()}
     # rare bytes keep a floor, so that an unseen one can't swamp the rest
-    m |= {"mean": every.mean(0), "scale": 1 / np.maximum(every.std(0), 0.01)}
+    m |= {"mean": mean.astype(np.float32), "scale": (1 / np.maximum(spread, 0.01)).astype(np.float32)}
     first = {k: np.zeros_like(m[k]) for k in start}
     second = {k: np.zeros_like(m[k]) for k in start}
     step = 0
     for _ in range(epochs if len(bags) else 0):
         for own in np.array_split(rng.permutation(len(bags)), -(-len(bags) // batch)):
             step += 1
-            x, n = np.concatenate([bags[i] for i in own]), np.array([len(bags[i]) for i in own])
+            x, n = np.concatenate([bags[i] for i in own]).astype(np.float32), np.array([len(bags[i]) for i in own])
             for k, g in gradient(m, x, n, labels[own]).items():
                 g = g + decay * m[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -129,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_passages:
     running = F.sum(F.octet_length("x")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")))
     rows = (bags.withColumn("total", running).filter(F.col("total") <= max_passages * WIDTH * 2)
             .orderBy("total").select("label", "x").toArrow())
-    xs = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, WIDTH).astype(np.float32) for x in rows.column("x")]
+    xs = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, WIDTH) for x in rows.column("x")]  # views, widened batch by batch
     return train(xs, rows.column("label").to_numpy().astype(np.float32), **params)
 
 
