@@ -1,4 +1,5 @@
 import os
+import uuid
 
 from gemstats.analytics import DiamondAnalytics
 from gemstats.operators.insight import ANALYSIS_TYPES
@@ -64,19 +65,19 @@ def test_second_frame_under_one_key_is_another_table(spark):
 def test_another_session_reuses_the_stored_table(spark):
     from gemstats.plans import store
     from gemstats.sources.fixture import diamond_raw as raw
-    built = []
+    built, name = [], f"reuse-{uuid.uuid4().hex}"  # the folder may be shared with other runs
 
     def build():
         built.append(1)
         return raw(spark, SF_SMALL)
 
     identity = store.files_identity(spark, f"{SF_SMALL}/lineitem.parquet")
-    first = store.stored(spark, "reuse", identity, build)
+    first = store.stored(spark, name, identity, build)
     store._RESOLVED.clear()  # as a new session starts
-    again = store.stored(spark, "reuse", identity, build)
+    again = store.stored(spark, name, identity, build)
     assert built == [1] and first.inputFiles() == again.inputFiles()
     for _ in range(3):
-        newest = store.stored(spark, "reuse", identity, build, refresh=True)
+        newest = store.stored(spark, name, identity, build, refresh=True)
     folder = os.path.dirname(os.path.dirname(newest.inputFiles()[0].removeprefix("file:").replace("//", "/")))
     assert len(os.listdir(folder)) == 2
 
