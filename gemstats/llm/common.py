@@ -4,7 +4,6 @@ intermediates and a join that splits hot keys."""
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,15 +63,24 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _salt(spread: Column, salts: int) -> Column:
+    return F.pmod(F.hash(spread), F.lit(salts))
+
+
+def salts_used(spread: Column, salts: int = 16) -> Column:
+    """An aggregate over the left rows of a key: the salts they have, as bits
+    (column ``__salts``), so that a salted join repeats a key's right row
+    only for those; a key of one row then has one copy."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), _salt(spread, salts))).alias("__salts")
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column,
                 salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join whose left rows of one key are spread over ``salts`` tasks by
-    ``spread``; the right side (few rows for a key) is repeated for each salt.
-    Key columns must not be null."""
-    salted = left.withColumn("__salt", F.pmod(F.hash(spread), F.lit(salts)))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    ``spread``; the right side (one row for a key) is repeated for each salt,
+    or for those in its ``__salts``. Key columns must not be null."""
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if "__salts" in right.columns:
+        every = F.filter(every, lambda s: F.call_function("shiftright", F.col("__salts"), s).bitwiseAND(F.lit(1)) == 1)
+    copies = right.withColumn("__salt", F.explode(every)).drop("__salts")
+    return left.withColumn("__salt", _salt(spread, salts)).join(copies, [*keys, "__salt"], how).drop("__salt")

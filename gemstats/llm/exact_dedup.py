@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gemstats.llm.common import remove, salted_join, small_batches, text_bytes, written
+from gemstats.llm.common import remove, salted_join, salts_used, small_batches, text_bytes, written
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 48271)
@@ -147,7 +147,7 @@ def _compare(docs: DataFrame, rows: DataFrame, per_task: int, chunk: int) -> Dat
     """Marks of rows that differ from the first row of their class. ``rows``
     has KEY and mark; a class of many rows is dealt to several streams, each
     of which gets the first row too."""
-    classes = (rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("mark").alias("head"))
+    classes = (rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("mark").alias("head"), salts_used(F.col("mark")))
                .filter("n > 1").withColumn("streams", F.ceil(F.col("n") / per_task).cast("int")))
     members = (salted_join(rows, classes, KEY, F.col("mark")).select(*KEY, "mark", "head", "streams").distinct())
     texts = docs.select(F.xxhash64("doc_id", "text").alias("mark"), text_bytes().alias("data"))
@@ -193,7 +193,7 @@ def exact_groups(docs: DataFrame, huge_bytes: int = 1 << 24, piece_bytes: int =
         remove(apart)
         open_rows = state.filter(F.col("generation") == generation)
     first = F.expr("max_by(struct(doc_id, row), struct(n_points, doc_id is not null, -doc_id, -row))")
-    classes = state.groupBy(*KEY).agg(F.count("*").alias("group_size"), first.alias("first"))
+    classes = state.groupBy(*KEY).agg(F.count("*").alias("group_size"), first.alias("first"), salts_used(F.col("row")))
     joined = salted_join(state, classes, KEY, F.col("row"))
     return joined.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
                          (F.col("row") == F.col("first.row")).alias("kept"),

@@ -12,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gemstats.llm.common import remove, salted_join, written
+from gemstats.llm.common import remove, salted_join, salts_used, written
 
 
 def _large_star(edges: DataFrame, salts: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), salts_used(F.col("b"), salts))
     return (salted_join(both.filter("b > a"), least, ["a"], F.col("b"), salts)
             .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b"))
 
 
 def _small_star(edges: DataFrame, salts: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), salts_used(F.col("b"), salts))
     linked = salted_join(down, least, ["a"], F.col("b"), salts)
     return (linked.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                                             F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))

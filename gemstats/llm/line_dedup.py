@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gemstats.llm.common import salted_join, small_batches, written
+from gemstats.llm.common import salted_join, salts_used, small_batches, written
 
 MIN_CHARS = 20
 
@@ -85,23 +85,25 @@ def _lines(min_chars: int, at_most: int = 1 << 16):
     return lines
 
 
-def ranks(pairs: DataFrame) -> DataFrame:
-    """a, b, rank (how many rows have a smaller pair), n for each pair (a, b)."""
+def ranks(pairs: DataFrame, *also: Column) -> DataFrame:
+    """a, b, rank (how many rows have a smaller pair), n for each pair (a, b),
+    and what else is aggregated."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = written(pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    counted = written(pairs.groupBy("a", "b").agg(F.count("*").alias("n"), *also)
                       .repartitionByRange(parts, "a", "b").withColumn("part", F.spark_partition_id()), "ranks")
     # one row a range
     before = (counted.groupBy("part").agg(F.sum("n").alias("all"))
               .selectExpr("part", "sum(all) over (order by part) - all as before"))
     own = F.expr("sum(n) over (partition by part order by a, b) - n")
     return (counted.withColumn("own", own).join(F.broadcast(before), "part")
-            .select("a", "b", (F.col("before") + F.col("own")).alias("rank"), "n"))
+            .withColumn("rank", F.col("before") + F.col("own")).drop("part", "own", "before"))
 
 
 def _ranked(suffixes: DataFrame) -> DataFrame:
     """suffixes(a, b, ...) with rank instead of the pair, written."""
-    return written(salted_join(suffixes, ranks(suffixes), ["a", "b"], F.xxhash64("row", "line"))
+    place = F.xxhash64("row", "line")
+    return written(salted_join(suffixes, ranks(suffixes, salts_used(place)), ["a", "b"], place)
                    .drop("a", "b", "n"), "suffixes")
 
 
@@ -122,7 +124,8 @@ def repeated_runs(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             runs = runs.withColumn("at", F.col("line") + F.col("m") - h).join(other, ["row", "at"])
         else:
             runs = runs.withColumn("rank2", F.col("rank"))
-        intervals = (runs.groupBy("m", "rank", "rank2").agg(F.count("*").alias("n"), F.min(place).alias("head")).filter("n > 1"))
+        intervals = (runs.groupBy("m", "rank", "rank2").agg(F.count("*").alias("n"), F.min(place).alias("head"),
+                                                                 salts_used(F.xxhash64("row", "line"))).filter("n > 1"))
         later = (salted_join(runs, intervals, ["m", "rank", "rank2"], F.xxhash64("row", "line"))
                  .filter((F.col("head.row") != F.col("row")) | (F.col("head.line") != F.col("line")))
                  .select("row", F.col("line").alias("first"), "m"))
