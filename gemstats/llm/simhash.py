@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gemstats.llm.common import salted_join, small_batches, text_bytes, written
+from gemstats.llm.common import salted_join, salts_used, small_batches, text_bytes, written
 from gemstats.llm.graph import components
 
 BITS = 64
@@ -98,9 +98,10 @@ def _fingerprints(k: int, at_once: int = 1 << 20):
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row."""
+    """doc_id, fp (the 64 bits as a signed long) and mark (hash of id and text)
+    for each row."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", _fingerprints(shingle)(text_bytes()).alias("fp"))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), _fingerprints(shingle)(text_bytes()).alias("fp"))
 
 
 def masks(distance: int, extra: int) -> list[int]:
@@ -201,24 +202,23 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, extra: int = 3, hot: in
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, extra: int = 3, hot: int = 100_000) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits),
-    component_id (smallest doc_id reachable through links), fp."""
+    component_id (smallest doc_id reachable through links), fp, root (the
+    component's smallest fingerprint, as a long) and mark."""
     rows = written(fingerprints(docs, shingle), "simhash")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), salts_used(F.xxhash64("doc_id"), 8)), "nodes")
     roots = components(fingerprint_links(nodes.select("fp"), distance, extra, hot))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = salted_join(rooted, smallest, ["root"], F.col("fp"), 8).select("fp", "component_id")
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("__salts").alias("rows_salts"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), salts_used(F.col("fp"), 8))
+    named = salted_join(rooted, smallest, ["root"], F.col("fp"), 8).select("fp", "root", "component_id", F.col("rows_salts").alias("__salts"))
     out = salted_join(rows, named, ["fp"], F.xxhash64("doc_id"), 8)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root", "mark")
 
 
 def simhash_dedup(docs: DataFrame, **params) -> DataFrame:
-    """Of each component the row with the smallest doc_id, with all columns
-    of docs (of rows that share that id, the first by fingerprint and text)."""
-    groups = simhash_groups(docs, **params)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("__kept"),
-                                                                                    F.col("doc_id").isNull().alias("__null")).distinct()
-    marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(),
-                               "__text": F.xxhash64("text")})
-    kept = marked.join(keep, (F.col("__id") == F.col("__kept")) & (F.col("__none") == F.col("__null")), "left_semi")
-    return kept.dropDuplicates(["__id", "__none"]).drop("__id", "__none", "__text")
+    """Of each component the row with the smallest doc_id (null ids last; of
+    rows that share it, the one with the smallest hash), with all columns."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
+    keep = simhash_groups(docs, **params).groupBy("root").agg(first).select(F.col("first.mark").alias("__kept"))
+    return (docs.withColumn("__mark", F.xxhash64("doc_id", "text"))
+            .join(keep, F.col("__mark") == F.col("__kept"), "left_semi")
+            .dropDuplicates(["__mark"]).drop("__mark"))

@@ -65,6 +65,12 @@ def test_groups_match_brute_force(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_dedup_of_ids_that_repeat_keeps_a_row_of_each_component(spark):
+    rows = [(5, "one two three four five"), (5, "quite another text than that one"), (5, "one two three four five"), (6, "one two three four five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in sh.simhash_dedup(df).collect()) == sorted(rows[:2])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sh.simhash_groups(df).collect() == []
