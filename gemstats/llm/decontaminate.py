@@ -1,17 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Texts are runs of ASCII letters and digits and non-ASCII bytes, A-Z in lower
-case. The n-grams of a test item that few training documents have are seeds; of
-``stretch`` neighbouring ones the rarest always is, so an item whose n-grams
-are all frequent still has seeds. Where a document has a seed, the passage around
-it is aligned with the item by Smith-Waterman (match 2, mismatch and gap -1);
-a best score of at least ``threshold`` times the item's own (2 a word) is a
-leak. Words may be changed, added or left out.
+All n-grams of a test item are seeds, however many training documents have
+them. Where a document has a seed, the passage around it is aligned with the item
+by Smith-Waterman (match 2, mismatch and gap -1), unless it has too few words of
+the item for the threshold; a best score of at least ``threshold`` times the
+item's own (2 a word) is a leak. Words may be changed, added or left out.
 
 Items are joined to the documents in blocks of bounded size, each a table that
-travels to the tasks; two passes over the documents a block, one to count
-n-grams, one to align, and no shuffle of texts. Counts come to the driver for
-the n-grams of one block only.
+travels to the tasks; one pass over the documents a block, and no shuffle of
+texts.
 
 Defined cases: null and empty texts have no leaks; items of fewer than ``n``
 words can't be told from chance and never match; null items are empty; equal
@@ -41,7 +38,8 @@ def words(data: bytes) -> list[bytes]:
 
 class Items(NamedTuple):
     """A block of test items: words as numbers (0: a word of no item), and the
-    n-grams, sorted, with the places (item, offset) of each."""
+    n-grams, sorted, with the places (item, offset) of each; ``member`` has the
+    words of each item as item * words + word, sorted."""
     ids: list
     tokens: list[np.ndarray]
     vocabulary: dict[bytes, int]
@@ -50,6 +48,7 @@ class Items(NamedTuple):
     begin: np.ndarray
     item: np.ndarray
     offset: np.ndarray
+    member: np.ndarray
 
 
 def _codes(tokens: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -74,21 +73,8 @@ def block(rows: list[tuple], n: int) -> Items:
     offset = np.concatenate([np.empty(0, np.int64), *(np.arange(len(c)) for c in codes)])
     order = np.lexsort((offset, item, code))
     grams, begin = np.unique(code[order], return_index=True)
-    return Items([i for i, _ in rows], tokens, vocabulary, n, grams, np.append(begin, len(code)), item[order], offset[order])
-
-
-def rare(items: Items, df: np.ndarray, documents: int, stretch: int, share: float) -> Items:
-    """Only the seeds: n-grams that at most ``share`` of the documents have (or
-    10), and in each stretch of an item those not much above its rarest. The
-    rarest alone wouldn't do: edited copies make the n-grams they keep less
-    rare than those they change."""
-    gram = np.repeat(np.arange(len(items.grams)), np.diff(items.begin))
-    _, group = np.unique(np.stack([items.item, items.offset // stretch], 1), axis=0, return_inverse=True)
-    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, df[gram])
-    use = (df[gram] <= max(10, share * documents)) | (df[gram] <= 4 * least[group])
-    kept, begin = np.unique(gram[use], return_index=True)
-    return items._replace(grams=items.grams[kept], begin=np.append(begin, int(use.sum())), item=items.item[use], offset=items.offset[use])
+    member = np.unique(np.concatenate([np.empty(0, np.int64), *(k * (len(vocabulary) + 1) + t for k, t in enumerate(tokens))]))
+    return Items([i for i, _ in rows], tokens, vocabulary, n, grams, np.append(begin, len(code)), item[order], offset[order], member)
 
 
 def _numbered(texts: list[bytes], items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -112,28 +98,6 @@ def _found(tokens: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], near[hit]
 
 
-def document_counts(docs: DataFrame, items: Items, at_once: int = 1 << 20) -> tuple[np.ndarray, int]:
-    """How many documents have each n-gram of the block, and how many there are."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams) + 1, np.int64)  # the last counts documents
-        for batch in batches:
-            total[-1] += batch.num_rows
-            for texts in _chunks(batch.column(0), at_once):
-                tokens, ends = _numbered(texts, items)
-                at, gram = _found(tokens, items)
-                doc = np.searchsorted(ends, at, "right")
-                _, first = np.unique(doc * len(items.grams) + gram, return_index=True)
-                total += np.bincount(gram[first], minlength=len(total))
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["gram", "n"])
-
-    rows = docs.select(text_bytes().alias("data")).mapInArrow(counted, "gram bigint, n bigint") \
-        .groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(items.grams) + 1, np.int64)
-    out[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
-    return out[:-1], int(out[-1])
-
-
 def _chunks(texts: pa.Array, at_once: int) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
@@ -167,37 +131,66 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
-def _candidates(tokens: np.ndarray, ends: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
+def _candidates(at: np.ndarray, gram: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
     """(document, item, begin, end): passages around seeds, merged where they meet."""
-    at, gram = _found(tokens, items)
     n = np.diff(items.begin)[gram]
-    place = np.repeat(items.begin[gram] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else n
+    place = np.repeat(items.begin[gram] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
     at, item = np.repeat(at, n), items.item[place]
     doc = np.searchsorted(ends, at, "right") - 1
-    size = np.array([len(t) for t in items.tokens], np.int64)[item] if len(item) else np.empty(0, np.int64)
+    size = np.array([len(t) for t in items.tokens], np.int64)[item]
     slack = size // 4 + 4
     begin = np.maximum(at - items.offset[place] - slack, ends[doc])
     end = np.minimum(at - items.offset[place] + size + slack, ends[doc + 1] - 1)
-    order = np.lexsort((begin, item, doc))
-    out: list[tuple[int, int, int, int]] = []
-    for d, i, b, e in zip(*(v[order].tolist() for v in (doc, item, begin, end)), strict=True):
-        if out and out[-1][:2] == (d, i) and b <= out[-1][3]:
-            out[-1] = (d, i, out[-1][2], max(e, out[-1][3]))
-        else:
-            out.append((d, i, b, e))
+    order = np.lexsort((end, begin, item, doc))  # so that ends rise within a document and item
+    doc, item, begin, end = (v[order] for v in (doc, item, begin, end))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
+    return doc[new], item[new], begin[new], end[np.append(new[1:], True)]
+
+
+def _shared(tokens: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, items: Items, cells: int = 1 << 21) -> np.ndarray:
+    """How many words of each passage its item has."""
+    out, size, at = np.zeros(len(item), np.int64), end - begin, 0
+    total = np.cumsum(size)
+    while at < len(item):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + cells, "right")))
+        n = size[at:to]
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        word = tokens[np.repeat(begin[at:to] - first, n) + np.arange(int(n.sum()))]
+        code = np.repeat(item[at:to] * (len(items.vocabulary) + 1), n) + word
+        near = np.minimum(np.searchsorted(items.member, code), len(items.member) - 1)
+        hit = np.concatenate([[0], np.cumsum((items.member[near] == code) & (word > 0))])
+        out[at:to] = hit[first + n] - hit[first]
+        at = to
     return out
 
 
+def _parts(at: np.ndarray, gram: np.ndarray, ends: np.ndarray, items: Items, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The seeds of whole documents, as many together as have ``most`` places in items."""
+    total = np.cumsum(np.diff(items.begin)[gram])
+    last = np.searchsorted(at, ends[np.searchsorted(ends, at, "right")])  # where each seed's document ends
+    lo = 0
+    while lo < len(at):
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right"))
+        cut = int(last[lo])
+        if hi > cut:
+            cut = len(at) if hi == len(at) else int(np.searchsorted(at, ends[np.searchsorted(ends, at[hi], "right") - 1]))
+        yield at[lo:cut], gram[lo:cut]
+        lo = cut
+
+
 def _leaks(texts: list[bytes], items: Items, threshold: float, together: int = 64, cells: int = 1 << 22) -> list[list[tuple]]:
     """For each text: (item id, score, begin, end) of its leaks, in words."""
     tokens, ends = _numbered(texts, items)
     found: list[dict[int, tuple]] = [{} for _ in texts]
     waiting = []
-    for d, i, b, e in _candidates(tokens, ends, items):
-        own, passage = items.tokens[i], tokens[b:e]
+    size = np.array([len(t) for t in items.tokens], np.int64)
+    for part in _parts(*_found(tokens, items), ends, items):
+        doc, item, begin, end = _candidates(*part, ends, items)
         # a match needs words of the item in the passage
-        if np.isin(passage, own).sum() >= threshold * len(own):
-            waiting.append((len(own), e - b, d, i, b, e))
+        use = _shared(tokens, item, begin, end, items) >= threshold * size[item]
+        doc, item, begin, end = (v[use] for v in (doc, item, begin, end))
+        waiting.extend(zip(*(v.tolist() for v in (size[item], end - begin, doc, item, begin, end)), strict=True))
     waiting.sort()
     at = 0
     while at < len(waiting):
@@ -234,9 +227,8 @@ def leaks(items: Items, threshold: float, text: str = "text", at_once: int = 1 <
     return hits(text_bytes(text))
 
 
-def seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 3, share: float = 1e-3,
-          block_bytes: int = 4 << 20) -> Iterator[Items]:
-    """The seeds of the test items, block by block of about block_bytes of text."""
+def seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, block_bytes: int = 4 << 20) -> Iterator[Items]:
+    """The test items and their seeds, block by block of about block_bytes of text."""
     small_batches(docs.sparkSession)
     bench = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -245,7 +237,7 @@ def seeds(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 3, s
         own = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         items = block([(r.item_id, r.text.encode()) for r in own], n)
         if len(items.grams):
-            yield rare(items, *document_counts(docs, items), stretch, share)
+            yield items
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, **params) -> DataFrame:

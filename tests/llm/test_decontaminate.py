@@ -86,6 +86,26 @@ def test_passage_that_a_third_of_all_documents_share_is_found(spark):
     assert sorted(r.doc_id for r in dc.find_leaks(df, bench).collect()) == list(range(0, 90, 3))
 
 
+def test_edited_copy_that_a_third_of_all_documents_share_is_found(spark):
+    item = [f"p{i}" for i in range(25)]
+    copy = " ".join(w if k % 5 != 2 else f"changed{k}" for k, w in enumerate(item))
+    docs = [(i, f"a{i} b{i} " + (copy if i % 3 == 0 else " ".join(item) if i == 1 else "c d")) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in dc.find_leaks(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {d: v for (d, _), v in brute(docs, [(1, " ".join(item))]).items()} and sorted(got) == sorted([1, *range(0, 300, 3)])
+
+
+def test_seeds_of_whole_documents_go_together():
+    items = dc.block([(0, b"a b c d"), (1, b"b c d e"), (2, b"x b c d")], 3)
+    tokens, ends = dc._numbered([b"a b c d e", b"", b"x b c d b c d", b"q", b"b c d"], items)
+    at, gram = dc._found(tokens, items)
+    for most in (1, 2, 5, 100):
+        parts = list(dc._parts(at, gram, ends, items, most))
+        assert np.concatenate([p for p, _ in parts]).tolist() == at.tolist() and np.concatenate([g for _, g in parts]).tolist() == gram.tolist()
+        docs = [set((np.searchsorted(ends, p, "right") - 1).tolist()) for p, _ in parts]
+        assert all(docs) and sum(map(len, docs)) == len(set.union(*docs)) == 3
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
