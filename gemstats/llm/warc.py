@@ -13,7 +13,9 @@ writer (a record ends with two line breaks, which is its line separator) and
 ``read_warc`` reads such files again and checks every length.
 
 Defined cases: null html is an empty payload; a null url leaves the URI
-headers out; unclosed comments, scripts and tags end with the page; repeated
+headers out; unclosed comments, scripts and tags end with the page; a head ends
+at </head> or at what can't stand in one (a tag such as <body, or text), and an
+unclosed noscript hides nothing but its tag; repeated
 rows give equal records; line breaks in header values become spaces; an empty
 table gives an empty result; only page_id, url and html (and headers and date,
 if ``http_headers`` and ``date`` name them) are read.
@@ -42,7 +44,47 @@ def _whole(*tags: str) -> re.Pattern:
     return re.compile(r"<!--.*?(?:-->|\Z)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|\Z)" for t in tags), re.I | re.S)
 
 
-HIDDEN, CODE = _whole(*QUIET), _whole("script", "style", "template")
+CODE = _whole("script", "style", "template")
+OPEN = re.compile(rf"<!--|<({'|'.join(QUIET)})\b", re.I)
+CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in QUIET} | {None: re.compile("-->")}
+# what stands in a head as it is; other elements of QUIET and comments are looked at by themselves
+IN_HEAD = re.compile(r"(?>\s+|<title\b.*?(?:</title\s*>|\Z)|<(?:base|basefont|bgsound|html|link|meta|noframes)\b" + REST
+                     + r"|</(?!(?:head|body|html|br)\b)[a-z]" + REST + r"|<[!?](?!--)" + REST + ")*+(?P<end></head\\s*>)?", re.I | re.S)
+START = re.compile(REST)
+
+
+def _shown(page: str) -> str:
+    """The page with a line break for each comment and element of QUIET."""
+    out, at, head = [], 0, False
+    unclosed: set[str | None] = set()  # kinds that are not closed again up to the end
+    while True:
+        m = OPEN.search(page, at)
+        if head:
+            inside = IN_HEAD.match(page, at)
+            at = inside.end()
+            if inside["end"] is None and (m := OPEN.match(page, at)):
+                pass  # it stands in the head, too
+            else:
+                head = False
+                out.append("\n")
+                continue
+        if m is None:
+            return "".join([*out, page[at:]])
+        out.append(page[at:m.start()] + "\n")
+        kind = m[1] and m[1].lower()
+        if kind == "head":
+            at, head = START.match(page, m.end()).end(), True
+            continue
+        end = None if kind in unclosed else CLOSE[kind].search(page, m.end())
+        if end:
+            at = end.end()
+        elif kind == "noscript":
+            unclosed.add(kind)
+            at = START.match(page, m.end()).end()
+        else:
+            return "".join(out)
+
+
 BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|"
                    r"hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b" + REST, re.I)
 TAG = re.compile("<[a-z/!?]" + REST, re.I)
@@ -54,7 +96,7 @@ GAPS = re.compile(r"[^\S\n]+")
 
 def plain_text(page: str) -> str:
     """Lines of visible text, without markup, empty lines and double spaces."""
-    text = html.unescape(TAG.sub("", BLOCK.sub("\n", HIDDEN.sub("\n", page))))
+    text = html.unescape(TAG.sub("", BLOCK.sub("\n", _shown(page))))
     lines = (line.strip() for line in GAPS.sub(" ", text.replace("\r", "\n")).split("\n"))
     return "\n".join(line for line in lines if line)
 

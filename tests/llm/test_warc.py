@@ -70,6 +70,19 @@ def test_text_matches_a_parser(spark):
     assert same == len(pages)
 
 
+def test_head_without_end_tag_hides_only_itself():
+    page = "<html><head><title>T</title>%s<body><p>text<p>more"
+    for inside in ("", "<meta charset=utf-8><link rel=x href='a>b'>", "<script>'<div><body>no'</script><style>p{}</style>", "<!-- <p>no -->\n",
+                   "<noscript><img src=x>no</noscript>", "<template><p>no</template>", "<noscript>", "</p></head>"):
+        assert warc.plain_text(page % inside) == "text\nmore", inside
+        assert warc.page_fields(page % inside, "")[0] == "T"
+    assert warc.plain_text("<head><title>T</title><div>a</div><script>no</script>b") == "a\nb"
+    assert warc.plain_text("<head><title>T</title>a<p>b</head>c") == "a\nbc"
+    assert warc.plain_text("<head><meta a=b></head><p>a</p><noscript>b<p>c") == "a\nb\nc"
+    assert warc.plain_text("<header>a</header><head><title>b") == "a"
+    assert warc.plain_text("a<noscript>" * 20000).count("a") == 20000
+
+
 def test_records_refer_to_their_source(spark):
     source = warc.responses(frame(spark))
     rows = warc.derivatives(source).collect()
