@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gemstats.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, quality, simhash, spelling, substring_dedup, toxicity, warc
+from gemstats.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, prefix_trie, quality, simhash, spelling, substring_dedup, toxicity, warc
 from gemstats.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with what its subtree saves."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, their forms one edit away, and the roots of these."""
     return spelling.spelling_forms(table(spark, sf_dir, "documents"))
@@ -72,4 +77,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_toxicity, op3_warc, op4_exact_dedup, op5_simhash, op6_decontaminate, op7_line_dedup,
-    op8_substring_dedup, op9_lm_score, op10_mixing, op13_spelling)}
+    op8_substring_dedup, op9_lm_score, op10_mixing, op11_prefix_trie, op13_spelling)}
