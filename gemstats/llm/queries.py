@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gemstats.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, prefix_trie, quality, simhash, spelling, substring_dedup, toxicity, warc
+from gemstats.llm import decontaminate, exact_dedup, line_dedup, lm_score, minhash, mixing, prefix_trie, quality, simhash, spelling, substring_dedup, toxicity, warc
 from gemstats.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts whose sets of 5-word shingles are at least 0.85 alike."""
+    return minhash.minhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, their forms one edit away, and the roots of these."""
     return spelling.spelling_forms(table(spark, sf_dir, "documents"))
@@ -77,4 +82,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_toxicity, op3_warc, op4_exact_dedup, op5_simhash, op6_decontaminate, op7_line_dedup,
-    op8_substring_dedup, op9_lm_score, op10_mixing, op11_prefix_trie, op13_spelling)}
+    op8_substring_dedup, op9_lm_score, op10_mixing, op11_prefix_trie, op12_minhash, op13_spelling)}
