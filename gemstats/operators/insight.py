@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades
+from .moments import corr_sql, moments, rolled_up, std_sql
 from .ranks import exact_quantiles
 
 # The analysis types, in menu order.
@@ -28,14 +29,13 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _bundle_fields(key_gid: dict, analysis_type: str, has_ordinals: bool) -> list[tuple[str, str]]:
-    """``(field, SQL aggregate)`` pairs over the grouping-sets table giving
-    one bundle (``total_diamonds`` first, as in the statistics mirrored).
+def _bundle_fields(key_set: dict, analysis_type: str, has_ordinals: bool) -> list[tuple[str, str]]:
+    """``(field, SQL aggregate)`` pairs over the rolled-up moments giving one bundle (``total_diamonds`` first, as in the statistics mirrored).
     ``_quartiles`` names the exact carat quartiles, attached after the
     aggregate. SQL text, so the whole bundle set is one call to the JVM."""
-    whole = f"_gid = {key_gid[None]}"
+    whole = f"_set = {key_set[None]}"
 
-    def of_all(c):  # the value on the all-rows grouping set
+    def of_all(c):  # the value over all rows
         return f"max(CASE WHEN {whole} THEN `{c}` END)"
 
     def ratio(num, den):
@@ -64,10 +64,10 @@ def _bundle_fields(key_gid: dict, analysis_type: str, has_ordinals: bool) -> lis
             ("carat_dominates_pricing", f"coalesce(abs({pc}) > {grades.STRONG_CORRELATION!r}D, false)"),
             ("color_weak_correlation", f"coalesce(abs({pcol}) < {grades.WEAK_CORRELATION!r}D, false)")]
     key = _TYPE_KEY.get(analysis_type)
-    if key is None or key not in key_gid:
+    if key is None or key not in key_set:
         return out
     k = f"`{key}`"
-    mine = f"_gid = {key_gid[key]}"
+    mine = f"_set = {key_set[key]}"
     known = f"{mine} AND {k} IS NOT NULL"
     ppc = ratio("avg_price", "avg_carat")
 
@@ -123,61 +123,39 @@ PAIRS = {"r_price_carat": ("price", "carat"), "r_price_color": ("price", "color_
          "r_price_clarity": ("price", "clarity_numeric")}
 
 
-def _moments(df: DataFrame, pairs: list[str]) -> tuple[list[Column], list[Column]]:
-    """Additive aggregates over rows, and what adds them up over groups."""
-    v, p = F.col("carat").cast("double"), F.col("price").cast("double")
-    parts = {"n": F.count(F.lit(1)), "nv": F.count(v), "sv": F.sum(v), "svv": F.sum(v * v),
-             "np": F.count(p), "sp": F.sum(p),
-             "n_small": F.count_if(F.col("carat") <= grades.SMALL_CARAT_MAX),
-             "n_large": F.count_if(F.col("carat") >= grades.LARGE_CARAT_MIN)}
-    for name in pairs:
-        x, y = (F.col(c).cast("double") for c in PAIRS[name])
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)  # rows that have both
-        parts |= {f"{name}_n": F.count(x), f"{name}_x": F.sum(x), f"{name}_y": F.sum(y),
-                  f"{name}_xx": F.sum(x * x), f"{name}_yy": F.sum(y * y), f"{name}_xy": F.sum(x * y)}
-    ends = {"min_carat": F.min, "max_carat": F.max}
-    rows = [c.alias(k) for k, c in parts.items()] + [f("carat").alias(k) for k, f in ends.items()]
-    return rows, [F.sum(k).alias(k) for k in parts] + [f(k).alias(k) for k, f in ends.items()]
-
-
-def _derived(g: DataFrame, pairs: list[str]) -> DataFrame:
-    """Means, deviation and correlations of each group from its sums."""
-    def r(k):
-        # a variance within the rounding of its sums is none
-        vx, vy = (f"({k}_n * {k}_{z}{z} - {k}_{z} * {k}_{z})" for z in "xy")
-        flat = " OR ".join(f"{v} <= 1e-12 * {k}_n * {k}_{z}{z}" for v, z in ((vx, "x"), (vy, "y")))
-        return f"CASE WHEN {flat} THEN NULL ELSE try_divide({k}_n * {k}_xy - {k}_x * {k}_y, sqrt({vx}) * sqrt({vy})) END AS {k}"
-
-    return g.selectExpr(
-        "*", "try_divide(sv, CAST(nv AS DOUBLE)) AS avg_carat", "try_divide(sp, CAST(np AS DOUBLE)) AS avg_price",
-        "CASE WHEN nv > 1 THEN sqrt(greatest(svv - sv * sv / nv, 0D) / (nv - 1)) END AS carat_std", *map(r, pairs))
+COLUMNS = ["carat", "price"]
+
+
+def _derived(g: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Means, deviation and correlations of each group from its moments."""
+    return g.selectExpr("*", "mean_carat AS avg_carat", "mean_price AS avg_price", f"{std_sql('carat')} AS carat_std",
+                        *[f"{corr_sql(p)} AS {p}" for p in pairs])
 
 
 def insight_bundles(df: DataFrame, types: list[str] = ANALYSIS_TYPES) -> DataFrame:
     """``analysis_type, stats_json`` for each requested type, in one pass.
 
-    The rows are aggregated once by (cut, color, clarity): counts, sums,
-    squares and products, which add up, so the bundles' (cut), (color),
-    (clarity) and overall figures come from that table of at most a few
-    hundred grade combinations. Exact carat quartiles are the only other read.
+    The rows are aggregated once by (cut, color, clarity) into centred moments
+    (``moments``), which are rolled up to (cut), (color), (clarity) and the whole
+    from that table of at most a few hundred grade combinations; so values far
+    from zero keep their deviations and correlations. Exact carat quartiles are the only other read.
     NULL statistics are kept as JSON null; an unknown type carries only the
     total and the type.
     """
     has_ordinals = "color_numeric" in df.columns and "clarity_numeric" in df.columns
     keys = [k for k in GRADE_KEYS if k in df.columns and any(_TYPE_KEY.get(t) == k for t in types)]
-    pairs = list(PAIRS) if has_ordinals else ["r_price_carat"]
-    over_rows, over_groups = _moments(df, pairs)
+    pairs = PAIRS if has_ordinals else {"r_price_carat": PAIRS["r_price_carat"]}
+    g = moments(df, keys, COLUMNS, pairs, [
+        f"count_if(carat <= {grades.SMALL_CARAT_MAX!r}D) AS n_small", f"count_if(carat >= {grades.LARGE_CARAT_MIN!r}D) AS n_large",
+        "min(carat) AS min_carat", "max(carat) AS max_carat"])
     if keys:
-        small = df.groupBy(*keys).agg(*over_rows)
-        g = small.groupingSets([[k] for k in keys] + [[]], *keys).agg(*over_groups, F.grouping_id().alias("_gid"))
-        width = len(keys)  # grouping_id: one bit per key, first key highest; set = key not grouped
-        key_gid = {k: (1 << width) - 1 - (1 << (width - 1 - i)) for i, k in enumerate(keys)}
-        key_gid[None] = (1 << width) - 1
+        g = rolled_up(g, keys, COLUMNS, pairs, ["sum(n_small) AS n_small", "sum(n_large) AS n_large",
+                                                "min(min_carat) AS min_carat", "max(max_carat) AS max_carat"])
     else:
-        g = df.agg(*over_rows).withColumn("_gid", F.lit(0).cast("bigint"))
-        key_gid = {None: 0}
+        g = g.withColumn("_set", F.lit(0))
+    key_set: dict = {k: i for i, k in enumerate(keys)} | {None: len(keys)}
     g = _derived(g, pairs)
-    per_type = [_bundle_fields(key_gid, t, has_ordinals) for t in types]
+    per_type = [_bundle_fields(key_set, t, has_ordinals) for t in types]
     # quartile references stay outside the aggregate; everything else is one aggregate
     aggregated = [(i, j, sql) for i, fields in enumerate(per_type) for j, (_, sql) in enumerate(fields)
                   if not sql.startswith("_quartiles")]

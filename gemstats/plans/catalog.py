@@ -128,6 +128,12 @@ def _zero_dims(df: DataFrame) -> DataFrame:
                            "z": F.when(F.col("price") % 13 == 0, 0.0).otherwise(F.col("z"))})
 
 
+def _offset(df: DataFrame) -> DataFrame:
+    """Carats in sixteenths around 10^8 and prices around 10^9: figures that raw
+    sums of squares can't hold."""
+    return df.withColumns({"carat": F.floor(F.col("carat") * 16) / F.lit(16.0) + F.lit(1e8), "price": F.col("price") + F.lit(10**9)})
+
+
 def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Raw listings written as CSV with a saved index, read again and cleaned."""
     path = f"{shared_dir(spark).rstrip('/')}/gemstats/csv-{uuid.uuid4().hex}"
@@ -261,6 +267,8 @@ QUERIES: dict[str, Query] = {
     "insight_stats": lambda s, sf: ins.all_insight_stats(_clean(s, sf)),
     "insight_prompts": lambda s, sf: ins.insight_prompts(ins.all_insight_stats(_clean(s, sf))),
     "insight_fields": lambda s, sf: ins.insight_fields(ins.all_insight_stats(_clean(s, sf))),
+    "insight_fields_offset": lambda s, sf: ins.insight_fields(ins.all_insight_stats(_offset(_clean(s, sf)))),
+    "corr_matrix_offset": lambda s, sf: cor.corr_matrix(_offset(_clean(s, sf))),
     "insight_saved_fields": _saved_fields,
     "insight_prompt_checks": lambda s, sf: ins.prompt_checks(ins.insight_prompts(ins.all_insight_stats(_clean(s, sf)))),
     # -- inventory ledger --------------------------------------------------------

@@ -152,7 +152,10 @@ OUT_OF_RANGE = """odd AS (SELECT * REPLACE (
   CASE WHEN price % 3 = 0 THEN CASE WHEN price % 2 = 0 THEN carat * 100 END ELSE carat END AS carat) FROM raw)"""
 
 
-def _insight_fields() -> str:
+OFFSET = "shifted AS (SELECT * REPLACE (floor(carat * 16) / 16 + 1e8::DOUBLE AS carat, price + 1000000000 AS price) FROM cleaned)"
+
+
+def _insight_fields(table: str = "cleaned", ctes: tuple[str, ...] = ()) -> str:
     """The bundles' fields in long form, from the same figures as the queries above."""
     rows: list[str] = []
 
@@ -200,7 +203,7 @@ def _insight_fields() -> str:
         add("Correlation", f"price_{name}_corr", _corr("price", other))
     add("Correlation", "carat_dominates_pricing", f"coalesce(abs({_corr('price', 'carat')}) > 0.8, false)", txt=True)
     add("Correlation", "color_weak_correlation", f"coalesce(abs({_corr('price', 'color_numeric')}) < 0.3, false)", txt=True)
-    return _with() + "\nUNION ALL ".join(rows)
+    return _with(*ctes) + "\nUNION ALL ".join(rows).replace("FROM cleaned", f"FROM {table}")
 
 
 ORACLE: dict[str, str] = {
@@ -211,6 +214,7 @@ SELECT * FROM (SELECT * REPLACE (CASE WHEN price % 11 = 0 THEN CAST(0 AS DOUBLE)
                                  CASE WHEN price % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE z END AS z) FROM raw) r
 WHERE x > 0 AND y > 0 AND z > 0""",
     "insight_fields": _insight_fields(),
+    "insight_fields_offset": _insight_fields("shifted", (OFFSET,)),
     "insight_saved_fields": _insight_fields(),
     "insight_prompt_checks": _with() + """SELECT t.analysis_type, count(*) > 0 AS has_type, count(*) > 0 AS has_stats,
   count(*) > 0 AS has_sections
@@ -447,3 +451,6 @@ FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand""",
 # the same checks over listings whose prices and carats go out of range
 ORACLE["inv_validate_ranges"] = (ORACLE["inv_validate"].replace("FROM raw", "FROM odd")
                                  .replace(RAW_SQL, f"{RAW_SQL},\n{OUT_OF_RANGE}"))
+
+ORACLE["corr_matrix_offset"] = (ORACLE["corr_matrix"].replace("m AS (SELECT", f"{OFFSET},\nm AS (SELECT", 1)
+                                .replace("vcl FROM cleaned", "vcl FROM shifted"))
