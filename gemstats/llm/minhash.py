@@ -11,12 +11,16 @@ confirmed on the full sets, which are made again from the whole texts.
 Equal sets are one node, whatever their number. In each meeting the nodes are
 compared with one centre first, the one with the most meetings (an original,
 rather than one of its edited copies). That is linear in the rows. Meetings whose
-nodes are in several components after that get a second centre from those that
-the first one doesn't reach; and in meetings that still are mixed, all pairs of
-different components whose signatures differ in at most 24 symbols (sets of
-similarity 0.85 do so but for one pair in a million) are confirmed, by blocks of
-512, so that no task holds a meeting. So a link can be left unconfirmed only
-between nodes that are connected anyway.
+nodes are in several components after that are compared by blocks of 512 (no
+task holds a meeting): first a forest of the likely pairs that would connect
+components is confirmed, then, where meetings are still mixed, all of the likely
+pairs of different components. So a link can be left unconfirmed only between
+nodes that are connected anyway. A pair is likely if its signatures differ in at
+most 24 symbols (sets of similarity 0.85 do so but for one pair in a million),
+and its odd sketches and sizes allow a link: a shingle that only one of two sets
+has turns one of 2048 bits, so the sketches differ in no more bits than the sets
+in shingles. That bound loses nothing, and leaves few pairs that fail: without
+it, groups of copies just below the limit would be confirmed pair by pair.
 
 Defined cases: A text of fewer words than a shingle is one shingle; null, empty
 and wordless texts have an empty set, are linked with nothing and are kept;
@@ -39,6 +43,9 @@ from gemstats.llm.graph import components
 from gemstats.llm.simhash import shingle_hashes
 
 SYMBOLS, CHUNK = 60, 6
+#: Bits of a set's odd sketch.
+ODD = 2048
+WIDTH = SYMBOLS + ODD // 8
 SHINGLE, PERCENT = 5, 85
 #: Pairs whose signatures differ in more symbols aren't confirmed.
 MOST_APART = 24
@@ -48,6 +55,7 @@ _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 2**63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 2**63, SYMBOLS, np.uint64)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BIT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mixed(values: np.ndarray, factor: np.uint64) -> np.ndarray:
@@ -69,6 +77,27 @@ def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def odd_sketches(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row of ODD bits for each run of n distinct hashes: the parity of how
+    many of them fall on each bit."""
+    bit = (mixed(hashes, _BIT) >> np.uint64(64 - ODD.bit_length() + 1)).astype(np.int64)
+    count = np.bincount(np.repeat(np.arange(len(n)) * ODD, n) + bit, minlength=len(n) * ODD)
+    return np.packbits((count & 1).astype(np.uint8).reshape(-1, ODD), axis=1)
+
+
+def likely(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of signature and sketch, of sets of a and b shingles, can be
+    ``percent`` alike: they differ in at most (100 - p)(a + b) / (100 + p)."""
+    good = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    x, y = np.broadcast_to(x, (len(good), WIDTH))[good], np.broadcast_to(y, (len(good), WIDTH))[good]
+    near = (x[:, :SYMBOLS] != y[:, :SYMBOLS]).sum(1) <= MOST_APART
+    x, y, total = x[near, SYMBOLS:], y[near, SYMBOLS:], (np.zeros(len(good), np.int64) + a + b)[good][near]
+    apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    good[good] = near
+    good[good] = (100 + percent) * apart <= (100 - percent) * total
+    return good
+
+
 _FACTS = "row bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, signature binary, text binary"
 
 
@@ -79,7 +108,7 @@ def _facts(k: int, at_once: int = 1 << 18):
             sets: list[np.ndarray] = []
             for i in range(batch.num_rows):
                 sets.append(np.unique(shingle_hashes(texts[i].as_py(), k)))
-                if sum(map(len, sets[-64:])) > at_once or len(sets) >= 4096 or i == batch.num_rows - 1:
+                if sum(map(len, sets[-64:])) > at_once or len(sets) >= 1024 or i == batch.num_rows - 1:
                     yield out(batch.slice(start, len(sets)), sets)
                     start, sets = i + 1, []
 
@@ -92,7 +121,7 @@ def _facts(k: int, at_once: int = 1 << 18):
             if len(full):
                 total[full] = np.add.reduceat(mixed(every, factor), np.concatenate([[0], np.cumsum(n[full])[:-1]]))
             sums.append(pa.array(total.view(np.int64)))
-        signs = signatures(every, n)
+        signs = np.concatenate([signatures(every, n), odd_sketches(every, n)], axis=1)
         return pa.RecordBatch.from_arrays(
             [rows.column("row"), rows.column("doc_id"), pa.array(n), *sums, pa.array([s.tobytes() for s in signs], pa.binary()), rows.column("text")],
             names=["row", "doc_id", "n", "s1", "s2", "signature", "text"])
@@ -100,15 +129,15 @@ def _facts(k: int, at_once: int = 1 << 18):
     return facts
 
 
-def signature_distance(x: str, y: str) -> Column:
-    """In how many symbols two columns of signatures differ."""
+def likely_column(percent: int) -> Column:
+    """Whether a pair's a_signature, b_signature, a_n and b_n allow a link."""
 
-    @F.arrow_udf("int")
-    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, SYMBOLS) for v in (x, y))
-        return pa.array((x != y).sum(1).astype(np.int32))
+    @F.arrow_udf("boolean")
+    def of(x: pa.Array, y: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, WIDTH) for v in (x, y))
+        return pa.array(likely(x, y, a.to_numpy(), b.to_numpy(), percent))
 
-    return distance(x, y)
+    return of("a_signature", "b_signature", "a_n", "b_n")
 
 
 def keys(nodes: DataFrame) -> DataFrame:
@@ -141,7 +170,7 @@ def _same(percent: int, k: int):
     return same
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, at_once: int = 512) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, at_once: int = 128) -> DataFrame:
     """Those of the written ``pairs(a, b)`` whose sets have 100 * intersection
     >= percent * union. The pairs of one ``a`` are dealt to a task for every
     ``at_once`` of them."""
@@ -162,8 +191,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     own = pairs.groupBy("a").agg(salts_used(F.col("b"))).join(own, "a")
     other = nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("signature").alias("b_signature"))
     both = salted_join(pairs, own, ["a"], F.col("b")).join(other, "b")
-    sized = both.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    return sized.filter(signature_distance("a_signature", "b_signature") <= MOST_APART).select("a", "b")
+    return both.filter(likely_column(percent)).select("a", "b")
 
 
 def _labelled(hits: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,44 +202,39 @@ def _labelled(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return salted_join(rooted.drop("size"), mixed_keys, ["key"], F.col("node"))
 
 
-def _stars(hits: DataFrame, beyond: DataFrame | None = None) -> DataFrame:
+def _stars(hits: DataFrame) -> DataFrame:
     """Pairs (a, b) of each key's centre, the node with the highest score, and
-    its other nodes; ``beyond``: the nodes to take the centre from."""
-    best = F.max(F.struct("score", "node")).alias("best")
-    centres = (hits if beyond is None else beyond).groupBy("key").agg(best).select("key", F.col("best.node").alias("a"))
-    if beyond is None:
-        own = hits.groupBy("key").agg(salts_used(F.col("node")))
-        met = salted_join(hits, centres.join(own, "key"), ["key"], F.col("node"))
-    else:
-        roots = beyond.select("key", F.col("node").alias("a"), F.col("root").alias("a_root"))
-        own = hits.groupBy("key").agg(salts_used(F.col("node")))
-        met = salted_join(hits, centres.join(roots, ["key", "a"]).join(own, "key"), ["key"], F.col("node")).filter("root != a_root")
+    its other nodes."""
+    centres = hits.groupBy("key").agg(F.max(F.struct("score", "node")).alias("best"), salts_used(F.col("node")))
+    met = salted_join(hits, centres.select("key", F.col("best.node").alias("a"), "__salts"), ["key"], F.col("node"))
     return met.filter("a != node").select("a", F.col("node").alias("b"))
 
 
-def _across(percent: int):
-    """Over rows sorted by tile (key, i, j): pairs of different components whose
-    sizes and signatures allow a link."""
+def _across(percent: int, forest: bool):
+    """Over rows sorted by tile (key, i, j): the likely pairs of different
+    components, or a forest of them that connects what all of them connect."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key, i, j, block, node, root, n = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "root", "n"))
-            signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+            signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, WIDTH)
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
-                a, b = [], []
+                own = root[lo:hi].copy()  # components, joined as the forest grows
                 for x in range(lo, hi):
-                    rest = slice(x + 1, hi)
-                    good = (root[rest] != root[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
+                    at = np.flatnonzero(own[x - lo + 1:] != own[x - lo]) + x + 1
                     if i[lo] != j[lo]:
-                        good &= block[rest] != block[x]
-                    at = np.flatnonzero(good) + x + 1
-                    at = at[(signs[at] != signs[x]).sum(1) <= MOST_APART]
+                        at = at[block[at] != block[x]]
+                    at = at[likely(signs[at], signs[x], n[at], n[x], percent)]
+                    if forest and len(at):
+                        at = at[np.unique(own[at - lo], return_index=True)[1]]
+                        own[np.isin(own, own[at - lo])] = own[x - lo]
                     a.append(np.minimum(node[at], node[x]))
                     b.append(np.maximum(node[at], node[x]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -229,13 +252,13 @@ def _across(percent: int):
     return across
 
 
-def _all_across(hits: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All likely pairs of different components in the meetings, by pairs of blocks."""
+def _likely_across(hits: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Likely pairs of different components in the meetings, by pairs of blocks."""
     n_blocks = f"cast(ceil(size / {BLOCK}) as int)"
     dealt = (hits.selectExpr("key", "node", "root", f"cast(pmod(xxhash64(node), {n_blocks}) as int) as block", f"explode(sequence(0, {n_blocks} - 1)) as o")
              .selectExpr("key", "node", "root", "block", "least(block, o) as i", "greatest(block, o) as j"))
     return (dealt.join(nodes, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-            .mapInArrow(_across(percent), "a bigint, b bigint").distinct())
+            .mapInArrow(_across(percent, forest), "a bigint, b bigint").distinct())
 
 
 def set_links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -250,20 +273,12 @@ def set_links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percen
     tested = written(_likely(_stars(hits), nodes, percent), "likely")
     links = written(confirmed(tested, texts, shingle, percent), "links")
     labels = components(links)
-    for last in (False, True):
+    for forest in (True, False):
         open_hits = written(_labelled(hits, labels), "open")
-        if open_hits.isEmpty():
+        new = written(_likely_across(open_hits, nodes, percent, forest), "across")
+        if new.isEmpty():  # no likely pair of different components is left
             break
-        if not last:  # a second centre, from what the first one's component leaves
-            first = open_hits.groupBy("key").agg(F.max(F.struct("score", "node", "root")).alias("c")).select(
-                "key", F.col("c.root").alias("c_root"))
-            own = open_hits.groupBy("key").agg(salts_used(F.col("node")))
-            beyond = salted_join(open_hits, first.join(own, "key"), ["key"], F.col("node")).filter("root != c_root").drop("c_root")
-            more = _likely(_stars(open_hits, beyond), nodes, percent)
-        else:
-            more = _all_across(open_hits, nodes, percent)
-        new = more.join(tested, ["a", "b"], "left_anti").join(tested.selectExpr("a as b", "b as a"), ["a", "b"], "left_anti")
-        new = written(new, "likely")
+        new = written(new.join(tested, ["a", "b"], "left_anti").join(tested.selectExpr("a as b", "b as a"), ["a", "b"], "left_anti"), "likely")
         tested = tested.unionByName(new)
         links = links.unionByName(written(confirmed(new, texts, shingle, percent), "links"))
         labels = components(links)
