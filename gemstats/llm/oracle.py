@@ -56,3 +56,69 @@ SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_dele
        CASE WHEN gone IS NULL THEN text ELSE coalesce(rest, '') END AS text
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8: byte by byte, each followed by its eight shifts (-1)."""
+    place = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    steps = f"flatten(list_transform({place}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = f"list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END)"
+    return f"xor({fold}, 4294967295::BIGINT)"
+
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST,
+                  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS ts
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, (SELECT {crc32("c.s")} FROM (SELECT conv_id::VARCHAR AS s) c) % 4 AS h FROM t),
+r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(p.ts, 1, h), []), list_slice(h.ts, h + 1, len(h.ts))) AS q
+      FROM h LEFT JOIN t p ON p.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, d, list_slice(q, 1, d) AS p, len(q) = d AS is_end FROM (SELECT *, unnest(range(0, len(q) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '') AS ends,
+             (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].x, '[^\\x20\\x09-\\x0D]+')) END AS saved
+      FROM m GROUP BY p, d),
+k AS (SELECT list_slice(p, 1, d - 1) AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.p = k.p AND n.d = k.d),
+s AS (SELECT list_slice(p, 1, u) AS p, u AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+      FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM f) GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s ON f.p = s.p AND f.d = s.d LEFT JOIN n up ON up.d = f.d - 1 AND up.p = list_slice(f.p, 1, f.d - 1)
+"""
+
+ORACLE["op12_minhash"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT i, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS g FROM d),
+n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+c AS (SELECT a.i AS a, b.i AS b, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.i != b.i GROUP BY a.i, b.i),
+l AS (SELECT a, b FROM c JOIN n x ON x.i = a JOIN n y ON y.i = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+r AS (SELECT i, doc_id AS root FROM d UNION SELECT l.b AS i, r.root FROM r JOIN l ON l.a = r.i)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id, d.doc_id = min(r.root) AS kept
+FROM d JOIN r ON r.i = d.i LEFT JOIN n ON n.i = d.i GROUP BY d.i, d.doc_id, n.n
+"""
+
+ORACLE["op13_spelling"] = f"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS w FROM documents),
+g AS (SELECT w, coalesce(doc_id::VARCHAR, '') || ':' || w AS s, count(*) AS k FROM o WHERE length(w) >= 7 GROUP BY 1, 2),
+h AS (SELECT w, k, {crc32("s")} AS h FROM g),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word,
+             sum(k)::BIGINT AS n FROM h GROUP BY 1 HAVING sum(k) >= 2 AND length(word) >= 7),
+e AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+m AS (SELECT word, substr(word, 1, i::INT - 1) || '?' || substr(word, i::INT + 1) AS m, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS c FROM e),
+p AS (SELECT a.word, b.word AS other FROM m a JOIN m b ON a.m = b.m AND a.word != b.word
+      UNION SELECT m.word, v.word AS other FROM m JOIN v ON m.c = v.word
+      UNION SELECT v.word, m.word AS other FROM m JOIN v ON m.c = v.word),
+b AS (SELECT p.word, count(*) AS n_near, first(other ORDER BY v.n DESC, other) AS best, max(v.n) AS best_n
+      FROM p JOIN v ON v.word = p.other GROUP BY p.word),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form,
+             CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+r AS (SELECT word, word AS root, form AS next FROM f
+      UNION ALL SELECT r.word, f.word AS root, f.form AS next FROM r JOIN f ON f.word = r.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word AND r.next IS NULL
+"""
