@@ -37,7 +37,7 @@ class DiamondAnalytics:
              refresh: bool = False) -> "DiamondAnalytics":
         """Read (CSV / Parquet / JSON), clean, store once, and read back."""
         return cls(spark, stored(spark, f"upload|{fmt}|{path}", files_identity(spark, path),
-                                 lambda: cln.clean(read_table(spark, path, fmt)), refresh))
+                                 lambda: cln.clean(read_table(spark, path, fmt, ordered=True)), refresh))
 
     @classmethod
     def from_frame(cls, spark: SparkSession, raw: DataFrame, key: str,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades
 from ..sources.files import INDEX_COLUMNS, nan_to_null
+from ..sources.order import ORDINAL
 
 DIMENSIONS = ("x", "y", "z")
 DERIVED = ("color_numeric", "clarity_numeric", "cut_gia")
@@ -30,7 +31,11 @@ def drop_index_column(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """Distinct rows; with a source ordinal, that of each row's first copy."""
+    if ORDINAL not in df.columns:
+        return df.dropDuplicates()
+    names = [c for c in df.columns if c != ORDINAL]
+    return df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.min(ORDINAL).alias(ORDINAL))
 
 
 def drop_missing(df: DataFrame) -> DataFrame:
@@ -56,7 +61,8 @@ def add_grade_ordinals(df: DataFrame) -> DataFrame:
         cols.append(grades.clarity_ordinal("clarity").alias("clarity_numeric"))
     if "cut" in df.columns:
         cols.append(grades.cut_lab_grade("cut").alias("cut_gia"))
-    return df.select("*", *cols) if cols else df
+    last = [F.col(ORDINAL)] if ORDINAL in df.columns else []
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != ORDINAL], *cols, *last) if cols else df
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -72,6 +78,7 @@ def clean(df: DataFrame) -> DataFrame:
 def quality_report(df: DataFrame) -> DataFrame:
     """rows, columns (derived included) and missing cells, in one aggregate."""
     missing = F.lit(0).cast("bigint")
+    df = df.drop(ORDINAL)
     for name in df.columns:
         missing = missing + F.count_if(F.col(f"`{name}`").isNull())
     return df.agg(F.count(F.lit(1)).alias("rows"),
@@ -80,12 +87,15 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 
 def natural_order(df: DataFrame) -> list:
-    """A total order over cleaned rows (they are unique after de-duplication):
-    the input columns, NULLs first."""
+    """The source's order where rows have an ordinal; else a total order over
+    cleaned rows (they are unique): the input columns, NULLs first."""
+    if ORDINAL in df.columns:
+        return [F.col(ORDINAL).asc()]
     cols = [c for c in df.columns if c not in DERIVED and not c.startswith("_")]
     return [F.col(f"`{c}`").asc_nulls_first() for c in cols]
 
 
 def preview(df: DataFrame, n: int = grades.PREVIEW_ROWS) -> DataFrame:
-    """First ``n`` rows in the natural order (a top-k, not a global sort)."""
-    return df.orderBy(*natural_order(df)).limit(n)
+    """First ``n`` rows in the order of the file, if they have an ordinal, else
+    in the natural order (a top-k, not a global sort)."""
+    return df.orderBy(*natural_order(df)).limit(n).drop(ORDINAL)

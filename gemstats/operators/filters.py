@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grades
 from ..functions.text import item_label
+from ..sources.order import ORDINAL
 from .clean import natural_order
 
 LISTING_COLUMNS = ["carat", "cut", "color", "clarity", "price"]
@@ -63,16 +64,21 @@ def filter_bounds(df: DataFrame) -> DataFrame:
 def filter_options(df: DataFrame, dims: tuple[str, ...] = ("color", "clarity", "cut")) -> DataFrame:
     """``dimension, value`` for every distinct non-NULL value of each grade
     column: one pass and one (partially aggregated) shuffle of grade combinations
-    for all three.
-    Colors sort by name (D first); clarity and cut best grade first, as the
-    entry form lists them."""
+    for all three, with ``place``, the value's place in its list (from 1).
+    Colors sort by name (D first). Clarity and cut come in the order in which
+    the file first has them, if the rows have an ordinal; else best grade first,
+    as the entry form lists them."""
     # the few grade combinations first, so only they are exploded
+    seen = F.min(ORDINAL) if ORDINAL in df.columns else F.lit(0)
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
                                 for d in dims])).alias("p")
-    opts = df.select(*dims).distinct().select(pairs).select("p.*").filter(F.col("value").isNotNull()).distinct()
+    opts = (df.groupBy(*dims).agg(seen.alias("_seen")).select(pairs, "_seen").select("p.*", "_seen")
+              .filter(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.min("_seen").alias("_seen")))
     rank = (F.when(F.col("dimension") == "clarity", grades.rank_of(grades.CLARITY_CHOICES, "value"))
              .when(F.col("dimension") == "cut", grades.rank_of(grades.CUT_CHOICES, "value")))
-    return opts.orderBy("dimension", rank.asc_nulls_last(), "value")
+    order = [F.when(F.col("dimension") != "color", F.col("_seen")).asc(), rank.asc_nulls_last(), F.col("value")]
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy(*order))  # a few grades
+    return opts.select("dimension", "value", place.alias("place")).orderBy("dimension", "place")
 
 
 def filter_counts(df: DataFrame, predicate: Column) -> DataFrame:
@@ -81,13 +87,14 @@ def filter_counts(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def listing(df: DataFrame, n: int = grades.LISTING_ROWS) -> DataFrame:
-    """The first ``n`` rows in the natural order, numbered ``pos`` 1..n.
+    """The first ``n`` rows in the file's order (the natural order, if they have
+    no ordinal), numbered ``pos`` 1..n.
 
     ``limit`` after ``orderBy`` plans as a top-k (each task keeps its own
     best ``n``), so the numbering window sees at most ``n`` rows."""
     order = natural_order(df)
     top = df.orderBy(*order).limit(n)
-    return top.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("pos"), *df.columns)
+    return top.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("pos"), *df.columns).drop(ORDINAL)
 
 
 def available(df: DataFrame, n: int = grades.LISTING_ROWS) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import grades
+from ..sources.files import write_csv
 
 META = ["batch_id", "op", "row_id"]
 ITEM_SCHEMA = T.StructType([
@@ -316,4 +317,4 @@ def inventory_totals(current: DataFrame) -> DataFrame:
 
 def export_csv(current: DataFrame, path: str) -> None:
     """Write the inventory as CSV with a header and no index (one file per task)."""
-    current.drop(*META).write.mode("overwrite").option("header", True).csv(path)
+    write_csv(current.drop(*META), path)

@@ -31,7 +31,8 @@ from ..operators.ranks import exact_quantiles
 from ..session import shared_dir
 from ..sources.files import parse_columns, read_table, write_csv
 from ..functions.stats import r6
-from ..sources.fixture import diamond_raw, diamond_with_text_carat, table
+from ..sources.order import ORDINAL
+from ..sources.fixture import diamond_raw, diamond_raw_from, diamond_with_text_carat, table
 from .store import cleaned_diamonds
 
 # One fixed filter session (slider / multiselect values).
@@ -46,10 +47,15 @@ MANUAL = (1.5, "Ideal", "E", "VS1", 12000)  # one hand-entered stone
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _clean(spark, sf):
+def _ordered(spark, sf):
+    """The cleaned table with the rows' ordinals in the source file."""
     return cleaned_diamonds(spark, sf)
 
 
+def _clean(spark, sf):
+    return cleaned_diamonds(spark, sf).drop(ORDINAL)
+
+
 def _steps(spark, sf, upto: str) -> DataFrame:
     df = diamond_raw(spark, sf).transform(cln.drop_index_column).transform(cln.drop_duplicate_rows)
     if upto == "dedup":
@@ -78,7 +84,7 @@ def _session_ledger(spark, sf) -> inv.Ledger:
     """add all price-filtered -> pick from listing -> manual -> clear ->
     add all fully filtered -> pick three -> manual."""
     c = _clean(spark, sf)
-    listed = flt.listing(_all_filters(c))
+    listed = flt.listing(_all_filters(_ordered(spark, sf)))
     led = (inv.Ledger(spark)
            .add_all(flt.apply_filters(c, price=PRICE_RANGE))
            .add_selected(listed, PICKED)
@@ -142,6 +148,16 @@ def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return cln.clean(read_table(spark, path, "csv"))
 
 
+def _line_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw listings whose cuts hold line breaks, quotes and commas, written as CSV
+    and read again in the file's order, with the records' numbers."""
+    path = f"{shared_dir(spark).rstrip('/')}/gemstats/csv-{uuid.uuid4().hex}"
+    cut = F.when(F.col("price") % 3 == 0, F.concat(F.lit('"'), F.col("cut"), F.lit('",\n\n'), F.col("color"))).otherwise(F.col("cut"))
+    rows = diamond_raw_from(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+    write_csv(rows.orderBy("l_orderkey", "l_linenumber", "carat", "price", "cut", "color", "x").withColumn("cut", cut), path)
+    return read_table(spark, path, "csv", ordered=True).withColumnRenamed(ORDINAL, "record")
+
+
 def _row_identity(spark: SparkSession, sf: str) -> DataFrame:
     """How many stones the narrow selection has, how many keys, and how many
     stones those keys pick out of a listing with other filters."""
@@ -183,6 +199,7 @@ QUERIES: dict[str, Query] = {
     # -- sources / cleaning -------------------------------------------------
     "na_tokens": _na_tokens,
     "csv_round_trip": _csv_round_trip,
+    "csv_line_breaks": _line_breaks,
     "inv_export": _exported,
     "clean_whole": lambda s, sf: cln.clean(diamond_raw(s, sf)),
     "valid_dims_all": lambda s, sf: cln.drop_invalid_dimensions(_zero_dims(diamond_raw(s, sf))),
@@ -199,7 +216,7 @@ QUERIES: dict[str, Query] = {
         F.col("color_numeric").isNull() | F.col("clarity_numeric").isNull() | F.col("cut_gia").isNull()),
     "clean_rows": lambda s, sf: _clean(s, sf),
     "quality_report": lambda s, sf: cln.quality_report(_clean(s, sf)),
-    "preview": lambda s, sf: cln.preview(_clean(s, sf)),
+    "preview": lambda s, sf: cln.preview(_ordered(s, sf)),
     # -- filters and listing --------------------------------------------------
     "filter_price": lambda s, sf: flt.apply_filters(_clean(s, sf), price=PRICE_RANGE),
     "filter_carat": lambda s, sf: flt.apply_filters(_clean(s, sf), carat=CARAT_RANGE),
@@ -207,17 +224,17 @@ QUERIES: dict[str, Query] = {
                                                       clarities=CLARITIES, cuts=CUTS),
     "filter_all": lambda s, sf: _all_filters(_clean(s, sf)),
     "filter_bounds": lambda s, sf: flt.filter_bounds(_clean(s, sf)),
-    "filter_options": lambda s, sf: flt.filter_options(_clean(s, sf)),
+    "filter_options": lambda s, sf: flt.filter_options(_ordered(s, sf)),
     "filter_counts": lambda s, sf: flt.filter_counts(
         _clean(s, sf), flt.diamond_predicate(price=PRICE_RANGE, carat=CARAT_RANGE, colors=COLORS,
                                              clarities=CLARITIES, cuts=CUTS)),
-    "available_top100": lambda s, sf: flt.available(_all_filters(_clean(s, sf))),
-    "item_label": lambda s, sf: flt.item_labels(_all_filters(_clean(s, sf))),
+    "available_top100": lambda s, sf: flt.available(_all_filters(_ordered(s, sf))),
+    "item_label": lambda s, sf: flt.item_labels(_all_filters(_ordered(s, sf))),
     # -- numeric profile -----------------------------------------------------
     "overview_metrics": lambda s, sf: prf.overview_metrics(_clean(s, sf)),
     "overview_labels": lambda s, sf: prf.overview_labels(_clean(s, sf)),
     "overview_labels_cents": lambda s, sf: prf.overview_labels(_cents(_clean(s, sf))),
-    "item_label_cents": lambda s, sf: flt.item_labels(_cents(_all_filters(_clean(s, sf)))),
+    "item_label_cents": lambda s, sf: flt.item_labels(_cents(_all_filters(_ordered(s, sf)))),
     "carat_stats": lambda s, sf: prf.carat_stats(_clean(s, sf)),
     "carat_shares": lambda s, sf: prf.carat_shares(_clean(s, sf)),
     # -- category profiles -----------------------------------------------------
@@ -251,7 +268,6 @@ QUERIES: dict[str, Query] = {
     "box_outliers": lambda s, sf: dst.box_outliers(_clean(s, sf), "price", "clarity"),
     "scatter_density": lambda s, sf: dst.scatter_density(_clean(s, sf)),
     "scatter_points": lambda s, sf: dst.scatter_points(_clean(s, sf)),
-    "scatter_sample": lambda s, sf: dst.scatter_sample(_clean(s, sf), fraction=0.05),
     # a measure with many distinct values and with real outliers
     "ecdf_price_values": lambda s, sf: dst.ecdf_values(_clean(s, sf), "price"),
     "ecdf_retail_values": lambda s, sf: dst.ecdf_values(table(s, sf, "part"), "p_retailprice"),
@@ -273,7 +289,7 @@ QUERIES: dict[str, Query] = {
     "insight_prompt_checks": lambda s, sf: ins.prompt_checks(ins.insight_prompts(ins.all_insight_stats(_clean(s, sf)))),
     # -- inventory ledger --------------------------------------------------------
     "inv_add_selected": lambda s, sf: _current(
-        inv.Ledger(s).add_selected(flt.listing(_all_filters(_clean(s, sf))), PICKED)),
+        inv.Ledger(s).add_selected(flt.listing(_all_filters(_ordered(s, sf))), PICKED)),
     "inv_add_filtered": lambda s, sf: _current(inv.Ledger(s).add_all(_all_filters(_clean(s, sf)))),
     "inv_add_manual": lambda s, sf: _current(
         inv.Ledger(s).add_all(flt.apply_filters(_clean(s, sf), price=PRICE_RANGE)).add_manual(*MANUAL)),

@@ -31,7 +31,14 @@ CARAT_P = "carat BETWEEN 0.5 AND 2.0"
 MEMBER_P = ("color IN ('D','E','F','G') AND clarity IN ('VS1','VS2','VVS1','VVS2','IF') "
             "AND cut IN ('Ideal','Premium','Very Good')")
 ALL_P = f"{PRICE_P} AND {CARAT_P} AND {MEMBER_P}"
-ORDER = "carat, cut, color, clarity, price, x, y, z"
+# The cleaned rows with the place of their first copy in the lineitem file.
+_ROW = "carat, cut, color, clarity, price, x, y, z"
+ORDERED = (RAW_SQL.replace("base AS (\n  SELECT ", "o_base AS (\n  SELECT rn, ", 1).replace("FROM lineitem", "FROM (SELECT *, row_number() OVER () AS rn FROM lineitem)")
+           .replace("dims AS (\n  SELECT ", "o_dims AS (\n  SELECT rn, ", 1).replace("FROM base", "FROM o_base")
+           .replace("raw AS (\n  SELECT ", "o_raw AS (\n  SELECT rn, ", 1).replace("UNION ALL\n  SELECT ", "UNION ALL\n  SELECT rn, ")
+           .replace("FROM dims", "FROM o_dims")
+           + f""",
+ordered AS (SELECT c.*, rn FROM cleaned c JOIN (SELECT {_ROW}, min(rn) AS rn FROM o_raw GROUP BY ALL) o USING ({_ROW}))""")
 ITEM_COLS = "carat, cut, color, clarity, price, x, y, z, color_numeric, clarity_numeric, cut_gia"
 MANUAL_ROW = ("CAST(1.5 AS DOUBLE) AS carat, 'Ideal' AS cut, 'E' AS color, 'VS1' AS clarity, "
               "CAST(12000 AS BIGINT) AS price, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, "
@@ -91,9 +98,10 @@ _CURRENT_SESSION = f"""
   UNION ALL
   SELECT 7, 'manual', * FROM (SELECT {MANUAL_ROW})"""
 
-_LISTED = f"""listed AS (
-  SELECT row_number() OVER (ORDER BY {ORDER}) AS pos, *
-  FROM (SELECT * FROM cleaned WHERE {ALL_P} ORDER BY {ORDER} LIMIT 100))"""
+_LISTED = f"""{ORDERED},
+listed AS (
+  SELECT row_number() OVER (ORDER BY rn) AS pos, * EXCLUDE (rn)
+  FROM (SELECT * FROM ordered WHERE {ALL_P} ORDER BY rn LIMIT 100))"""
 
 def _quartiles(key: str = "clarity", value: str = "price", src: str = "cleaned") -> str:
     return f"""q AS (
@@ -208,6 +216,13 @@ def _insight_fields(table: str = "cleaned", ctes: tuple[str, ...] = ()) -> str:
 
 ORACLE: dict[str, str] = {
     "csv_round_trip": _with() + "SELECT * REPLACE (CASE WHEN color = 'K' THEN '1D' ELSE color END AS color) FROM cleaned",
+    "csv_line_breaks": f"""WITH {RAW_SQL},
+keyed AS (SELECT *, unnest(range(1, CASE WHEN l_orderkey % 50 = 0 THEN 3 ELSE 2 END)) AS copy FROM (
+  SELECT b.*, CASE WHEN l_discount = 0 AND l_tax = 0 THEN CAST(0 AS DOUBLE) ELSE carat * 2 + 1 END AS x,
+         carat * 2 + 1.5 AS y, carat + 0.5 AS z FROM base b))
+SELECT carat, CASE WHEN price % 3 = 0 THEN '"' || cut || '",' || chr(10) || chr(10) || color ELSE cut END AS cut,
+  color, clarity, price, x, y, z, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber, carat, price, cut NULLS FIRST, color, x) - 1 AS record FROM keyed""",
     "clean_whole": _with() + "SELECT * FROM cleaned",
     "valid_dims_all": f"""WITH {RAW_SQL}
 SELECT * FROM (SELECT * REPLACE (CASE WHEN price % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE y END AS y,
@@ -254,7 +269,7 @@ WHERE color_numeric IS NULL OR clarity_numeric IS NULL OR cut_gia IS NULL""",
      + count(*) FILTER (WHERE color_numeric IS NULL) + count(*) FILTER (WHERE clarity_numeric IS NULL)
      + count(*) FILTER (WHERE cut_gia IS NULL) AS BIGINT) AS missing_values
 FROM cleaned""",
-    "preview": _with() + f"SELECT * FROM cleaned ORDER BY {ORDER} LIMIT 5",
+    "preview": _with(ORDERED) + "SELECT * EXCLUDE (rn) FROM ordered ORDER BY rn LIMIT 5",
     "filter_price": _with() + f"SELECT * FROM cleaned WHERE {PRICE_P}",
     "filter_carat": _with() + f"SELECT * FROM cleaned WHERE {CARAT_P}",
     "filter_members": _with() + f"SELECT * FROM cleaned WHERE {MEMBER_P}",
@@ -262,9 +277,10 @@ FROM cleaned""",
     "filter_bounds": _with() + """SELECT CAST(floor(min(price)) AS BIGINT) AS price_min,
   CAST(floor(max(price)) AS BIGINT) AS price_max, min(carat) AS carat_min, max(carat) AS carat_max
 FROM cleaned""",
-    "filter_options": _with() + """SELECT DISTINCT 'color' AS dimension, color AS value FROM cleaned
-UNION ALL SELECT DISTINCT 'clarity', clarity FROM cleaned
-UNION ALL SELECT DISTINCT 'cut', cut FROM cleaned""",
+    "filter_options": _with(ORDERED) + """SELECT 'color' AS dimension, color AS value, CAST(row_number() OVER (ORDER BY color) AS INTEGER) AS place
+FROM ordered GROUP BY color
+UNION ALL SELECT 'clarity', clarity, CAST(row_number() OVER (ORDER BY min(rn)) AS INTEGER) FROM ordered GROUP BY clarity
+UNION ALL SELECT 'cut', cut, CAST(row_number() OVER (ORDER BY min(rn)) AS INTEGER) FROM ordered GROUP BY cut""",
     "filter_counts": _with() + f"""SELECT count(*) FILTER (WHERE {ALL_P}) AS n_filtered, count(*) AS n_total
 FROM cleaned""",
     "available_top100": _with(_LISTED) + "SELECT pos, carat, cut, color, clarity, price FROM listed",
@@ -321,8 +337,8 @@ FROM cleaned WHERE color IS NOT NULL GROUP BY color""",
   format('{{:.2f}}', avg(carat)) AS avg_carat_label,
   '$' || {_grouped_price('min(price)')} || ' - $' || {_grouped_price('max(price)')} AS price_range_label
 FROM cents""",
-    "item_label_cents": _with(CENTS, f"""listed AS (SELECT row_number() OVER (ORDER BY {ORDER}) AS pos, * FROM (
-  SELECT * FROM cents WHERE floor(price) BETWEEN 1000 AND 5000 AND {CARAT_P} AND {MEMBER_P} ORDER BY {ORDER} LIMIT 100))""")
+    "item_label_cents": _with(ORDERED, f"""listed AS (SELECT row_number() OVER (ORDER BY rn) AS pos, * FROM (
+  SELECT * REPLACE (price + (price % 4) / 4.0::DOUBLE AS price) FROM ordered WHERE {ALL_P} ORDER BY rn LIMIT 100))""")
     + f"""SELECT pos,
   'Diamond ' || CAST(pos AS VARCHAR) || ': ' || format('{{:.2f}}', carat) || 'ct, ' || color || '-' || clarity
   || ', $' || {_grouped_price('price')} AS label

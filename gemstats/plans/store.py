@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean
 from ..session import shared_root
-from ..sources.fixture import diamond_raw
+from ..sources.fixture import diamond_raw_ordered
 
-_VERSION = "clean-v2"
+_VERSION = "clean-v3"
 # Resolved (lazy) DataFrames over written tables, per application, name and
 # identity: listing the folder and reading a footer for every query is overhead.
 _RESOLVED: dict[tuple[str, str, str], DataFrame] = {}
@@ -103,7 +103,8 @@ CLUSTER_BY = ("price", "carat")
 
 
 def cleaned_diamonds(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
-    """The cleaned diamond table for the tables in ``sf_dir``."""
+    """The cleaned diamond table for the tables in ``sf_dir``, with the ordinal of
+    each row's first copy in the source."""
     where = sf_dir.rstrip("/")
     return stored(spark, f"diamonds|{where}", files_identity(spark, f"{where}/lineitem.parquet"),
-                  lambda: clean(diamond_raw(spark, sf_dir)).sortWithinPartitions(*CLUSTER_BY), refresh)
+                  lambda: clean(diamond_raw_ordered(spark, sf_dir)).sortWithinPartitions(*CLUSTER_BY), refresh)

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order import ORDINAL, with_ordinal
+from .records import has_line_breaks, read_records
+
 # ---------------------------------------------------------------------------
 # Cell texts that count as missing, the default token list of
 # pandas' CSV reader (which the statistics being mirrored rely on).
@@ -76,20 +79,27 @@ def _parsed(name: str, kind: T.DataType) -> Column:
     return v.try_cast(kind)
 
 
+# What a present cell can be, as bits: a column has the type that all of its
+# cells' bits allow.
+_INT, _DOUBLE, _BOOL, _TEXT = 1, 2, 4, 8
+TRUTH = ["True", "TRUE", "true", "False", "FALSE", "false"]
+
+
+def _kind(name: str) -> Column:
+    """The bit of a cell, found once: most are settled by the first test."""
+    v = F.col(f"`{name}`")
+    return (F.when(v.isNull(), F.lit(0))
+            .when(v.rlike(NUMBER), F.when(F.trim(v).try_cast("bigint").isNotNull() & ~v.rlike("[.eE]"), F.lit(_INT)).otherwise(F.lit(_DOUBLE)))
+            .when(v.isin(TRUTH), F.lit(_BOOL)).otherwise(F.lit(_TEXT)))
+
+
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     """bigint if every present value parses as an integer, else double if every
-    one parses as a number, else string. One aggregate pass, one row back."""
-    probes = []
-    for i, n in enumerate(df.columns):
-        v = F.col(f"`{n}`")
-        probes += [F.count_if(v.isNotNull() & _parsed(n, T.LongType()).isNull()).alias(f"i{i}"),
-                   F.count_if(v.isNotNull() & _parsed(n, T.DoubleType()).isNull()).alias(f"d{i}")]
-    row = df.agg(*probes).first()
-    types = {}
-    for i, n in enumerate(df.columns):
-        not_int, not_num = row[2 * i], row[2 * i + 1]
-        types[n] = T.LongType() if not_int == 0 else T.DoubleType() if not_num == 0 else T.StringType()
-    return types
+    one parses as a number, boolean if every one is a truth value, else string.
+    One aggregate pass that classifies each cell once; one row back."""
+    row = df.agg(*[F.bit_or(_kind(n)).alias(f"k{i}") for i, n in enumerate(df.columns)]).first()
+    found = {0: T.LongType(), _INT: T.LongType(), _DOUBLE: T.DoubleType(), _INT | _DOUBLE: T.DoubleType(), _BOOL: T.BooleanType()}
+    return {n: found.get(row[i] or 0, T.StringType()) for i, n in enumerate(df.columns)}
 
 
 def parse_columns(df: DataFrame, types: dict[str, T.DataType],
@@ -112,43 +122,51 @@ def parse_failures(df: DataFrame, types: dict[str, T.DataType], tokens: list[str
     return one.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(own))])))
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of a CSV with a header, as text."""
-    # a doubled quote inside a quoted cell is a literal quote (RFC 4180, as
-    # pandas reads it); records stay one line each, so big files still split
-    return (spark.read.option("header", True).option("inferSchema", False)
+def read_csv_text(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """The cells of a CSV with a header, as text; ``ordered`` adds the rows'
+    ordinals in the file. Files split into blocks either way: by Spark's reader
+    if each record is a line, else by ``records``."""
+    if has_line_breaks(spark, path):
+        return read_records(spark, path, ordered)
+    # a doubled quote inside a quoted cell is a literal quote (RFC 4180, as pandas reads it)
+    rows = (spark.read.option("header", True).option("inferSchema", False)
             .option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").csv(path))
+    return with_ordinal(rows, parquet=False) if ordered else rows
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | None = None,
-               tokens: list[str] = NA_TOKENS) -> DataFrame:
-    """Read a table; the format comes from the file suffix unless ``fmt`` is given."""
+               tokens: list[str] = NA_TOKENS, ordered: bool = False) -> DataFrame:
+    """Read a table; the format comes from the file suffix unless ``fmt`` is given.
+    ``ordered`` adds the rows' ordinals in the file (``order``)."""
     fmt = fmt or format_of(path)
-    if fmt == "parquet":
-        df = spark.read.parquet(path)
-        return nan_to_null(df.select(*[f.name for f in schema.fields]) if schema else df)
-    if fmt == "json":
-        df = spark.read.json(path, schema=schema) if schema else spark.read.json(path)
+    if fmt in ("parquet", "json"):
+        reader = spark.read if schema is None or fmt == "parquet" else spark.read.schema(schema)
+        df = reader.parquet(path) if fmt == "parquet" else reader.json(path)
+        df = with_ordinal(df, fmt == "parquet") if ordered else df
+        if schema and fmt == "parquet":
+            df = df.select(*[f.name for f in schema.fields], *([ORDINAL] if ordered else []))
         return nan_to_null(df)
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
-    text = read_csv_text(spark, path)
+    text = read_csv_text(spark, path, ordered)
     absent = [f.name for f in schema.fields if f.name not in text.columns] if schema else []
     if absent:
         raise ValueError(f"{path} has no column {', '.join(absent)}")
     # columns that the schema doesn't name stay, with inferred types
     given = {f.name: f.dataType for f in schema.fields} if schema else {}
-    others = [n for n in text.columns if n not in given]
+    others = [n for n in text.columns if n not in given and n != ORDINAL]
     found = infer_types(null_tokens(text.select(*[F.col(f"`{n}`") for n in others]), tokens=tokens)) if others else {}
     types = found | given
     return parse_columns(text, types, tokens)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header line and no index column; one file per partition."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header line and no index column; one file per partition. A
+    quote inside a cell is doubled, and spaces stay."""
+    (df.write.mode(mode).option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

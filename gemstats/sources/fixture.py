@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order import ORDINAL, with_ordinal
+
 RAW_COLUMNS = ["carat", "cut", "color", "clarity", "price", "x", "y", "z"]
 
 
@@ -21,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def diamond_raw_from(lineitem: DataFrame) -> DataFrame:
+def diamond_raw_from(lineitem: DataFrame, *also: str) -> DataFrame:
     """The view's projection as SQL text (one call to the JVM to plan it);
     lines of an order whose key is divisible by 50 are emitted twice."""
     carat = "(l_quantity / 10)"
@@ -38,11 +40,16 @@ def diamond_raw_from(lineitem: DataFrame) -> DataFrame:
                 "CAST(floor(l_quantity * 150 + l_extendedprice / 50) AS BIGINT) AS price",
                 f"CASE WHEN l_discount = 0 AND l_tax = 0 THEN 0.0D ELSE {carat} * 2 + 1 END AS x",
                 f"{carat} * 2 + 1.5 AS y",
-                f"{carat} + 0.5 AS z",
+                f"{carat} + 0.5 AS z", *also,
                 "explode(sequence(1, CASE WHEN l_orderkey % 50 = 0 THEN 2 ELSE 1 END)) AS _copy")
             .drop("_copy"))
 
 
+def diamond_raw_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw listings with their row's place in the ``lineitem`` file."""
+    return diamond_raw_from(with_ordinal(table(spark, sf_dir, "lineitem"), parquet=True), ORDINAL)
+
+
 def diamond_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (dirty) diamond listings: carat, cut, color, clarity, price, x, y, z."""
     return diamond_raw_from(table(spark, sf_dir, "lineitem"))
