@@ -6,22 +6,30 @@ Every action appends one batch of rows tagged ``(batch_id, op)``:
 current inventory is the rows after the last ``clear``. Appends are bag
 unions: the same stone added twice is there twice.
 
-The ledger lives as a lazy union in memory, or as a Parquet dataset
-partitioned by ``(batch_id, op)`` that is appended to (each append is its
-own committed write, so a lost executor never leaves half a batch behind).
+The ledger lives as a lazy union in memory, or in a folder that several
+sessions may save to. A save writes its batches to a folder of its own, then
+commits them (``commits``): only the commit gives them their numbers, after
+all that was committed before, so two sessions never share one, and a save that
+breaks off leaves nothing that a reader sees. A commit also holds each
+batch's count and sums, so totals of stored batches read no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import grades
 from ..sources.files import write_csv
+from ..sources.order import ORDINAL
+from .commits import read_commits, try_commit
+from .numbering import numbered
 
-META = ["batch_id", "op", "row_id"]
+META = ["batch_id", "op", "row_id", "seq"]  # seq: the row's place in its batch's source, to sort by
 ITEM_SCHEMA = T.StructType([
     T.StructField("carat", T.DoubleType()), T.StructField("cut", T.StringType()),
     T.StructField("color", T.StringType()), T.StructField("clarity", T.StringType()),
@@ -101,10 +109,10 @@ def _literal_row(spark: SparkSession, values: dict, schema: T.StructType) -> Dat
 class Ledger:
     """Immutable handle on the ledger: every action returns a new ledger.
 
-    ``stored`` is the part already written to the dataset at ``path`` (or
-    None); ``batches`` are the appended batches not written yet, in order, as
-    ``(batch_id, op, DataFrame)``. Keeping them apart lets ``current`` skip
-    every batch up to the last ``clear`` before planning anything.
+    ``commits`` describe the part stored at ``path``; ``batches`` are the
+    appended batches not saved yet, in order, as ``(batch_id, op, DataFrame)``
+    (their numbers are settled by the save). ``current`` skips every batch up to
+    the last ``clear`` before planning anything.
 
     The items have the columns of ``item_schema`` first; a batch with further
     columns widens the ledger by name, and a column keeps the widest type
@@ -112,18 +120,28 @@ class Ledger:
     item columns of a row.
     """
 
-    def __init__(self, spark: SparkSession, stored: DataFrame | None = None,
-                 batches: tuple = (), next_batch: int = 1, item_schema: T.StructType = ITEM_SCHEMA,
-                 stored_upto: int = 0, last_clear: int = 0, path: str | None = None):
+    def __init__(self, spark: SparkSession, commits: tuple = (), batches: tuple = (),
+                 item_schema: T.StructType = ITEM_SCHEMA, path: str | None = None):
         self.spark = spark
-        self.stored = stored
+        self.commits = tuple(commits)
         self.batches = tuple(batches)
-        self.next_batch = next_batch
         self.item_schema = item_schema
-        self.stored_upto = stored_upto
-        self.last_clear = last_clear
         self.path = path
 
+    @property
+    def _stored(self) -> list[dict]:
+        """The stored batches: save, k (number in the save), batch_id, op, rows, priced, total."""
+        return [{**b, "save": c["save"], "batch_id": c["first"] + b["k"] - 1} for c in self.commits for b in c["batches"]]
+
+    @property
+    def next_batch(self) -> int:
+        return _after(self.commits) + len(self.batches)
+
+    @property
+    def last_clear(self) -> int:
+        ops = [(b["batch_id"], b["op"]) for b in self._stored] + [(n, op) for n, op, _ in self.batches]
+        return max((n for n, op in ops if op == "clear"), default=0)
+
     @property
     def items(self) -> list[str]:
         return [f.name for f in self.item_schema.fields]
@@ -132,14 +150,8 @@ class Ledger:
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField("batch_id", T.LongType()),
                              T.StructField("op", T.StringType()),
-                             T.StructField("row_id", T.StringType())] + list(self.item_schema.fields))
-
-    def _with(self, **changes) -> "Ledger":
-        kw = dict(stored=self.stored, batches=self.batches, next_batch=self.next_batch,
-                  item_schema=self.item_schema, stored_upto=self.stored_upto, last_clear=self.last_clear,
-                  path=self.path)
-        kw.update(changes)
-        return Ledger(self.spark, **kw)
+                             T.StructField("row_id", T.StringType()),
+                             T.StructField("seq", T.DecimalType(38, 0))] + list(self.item_schema.fields))
 
     def _empty(self) -> DataFrame:
         # a false filter on a literal row folds to an empty local relation
@@ -157,23 +169,27 @@ class Ledger:
         return self._empty() if out is None else out
 
     # -- appends ---------------------------------------------------------
-    def _append(self, rows: DataFrame, op: str) -> "Ledger":
+    def _append(self, rows: DataFrame, op: str, seq: str | None = None) -> "Ledger":
         # one projection in SQL text: a single call to the JVM per batch
+        seq = seq or (ORDINAL if ORDINAL in rows.columns else "0")
+        items = [c for c in rows.columns if c != ORDINAL]
+        kept = T.StructType([f for f in rows.schema.fields if f.name != ORDINAL and f.name != "pos"])
+        items = [c for c in items if c != "pos"]
         batch = rows.selectExpr(f"CAST({self.next_batch} AS BIGINT) AS batch_id", f"'{op}' AS op",
-                                f"{row_key_sql(rows.columns)} AS row_id", *[f"`{c}`" for c in rows.columns])
-        last_clear = self.next_batch if op == "clear" else self.last_clear
-        return self._with(batches=self.batches + ((self.next_batch, op, batch),), next_batch=self.next_batch + 1,
-                          last_clear=last_clear, item_schema=widened(self.item_schema, rows.schema))
+                                f"{row_key_sql(items)} AS row_id", f"CAST({seq} AS DECIMAL(38,0)) AS seq", *[f"`{c}`" for c in items])
+        return Ledger(self.spark, self.commits, self.batches + ((self.next_batch, op, batch),),
+                      widened(self.item_schema, kept), self.path)
 
     def add_selected(self, listed: DataFrame, positions: list[int]) -> "Ledger":
-        """Rows of a numbered listing (see ``filters.listing``) picked by position."""
-        picked = listed.filter(F.col("pos").isin(list(positions))).drop("pos")
-        return self._append(picked, "select")
+        """Rows of a numbered listing (see ``filters.listing``) picked by position,
+        in the order of the picks."""
+        picked = listed.filter(F.col("pos").isin(list(positions)))
+        return self._append(picked, "select", f"array_position(array({', '.join(f'{int(p)}L' for p in positions)}), pos)")
 
     def add_keys(self, rows: DataFrame, keys: DataFrame) -> "Ledger":
         """Rows whose content key is in ``keys.row_id`` (a semi join). The key
         holds whatever filters or order the rows were listed with."""
-        keyed = rows.withColumn("_k", row_key(rows.columns))
+        keyed = rows.withColumn("_k", row_key([c for c in rows.columns if c != ORDINAL]))
         picked = keyed.join(keys.select(F.col("row_id").alias("_k")), "_k", "left_semi").drop("_k")
         return self._append(picked, "select")
 
@@ -198,67 +214,134 @@ class Ledger:
         return self._append(marker, "clear")
 
     # -- views -----------------------------------------------------------
+    def _read(self, batches: list[dict]) -> list[DataFrame]:
+        """The rows of stored batches, from their own folders alone."""
+        live = [b for b in batches if b["rows"]]
+        if not live:
+            return []
+        folders = [f"{self.path}/save={b['save']}/batch={b['k']}/op={b['op']}" for b in live]
+        items = T.StructType.fromJson(self.commits[-1]["schema"]).fields  # the types that all saves so far share
+        schema = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("seq", T.DecimalType(38, 0)), *items,
+                               T.StructField("save", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("op", T.StringType())])
+        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*folders)
+        first = {b["save"]: b["batch_id"] - b["k"] for b in live}
+        base = ", ".join(f"'{save}', {n}L" for save, n in first.items())
+        return [rows.selectExpr(f"map({base})[save] + batch AS batch_id", "op", "row_id", "seq", *[f"`{f.name}`" for f in items])]
+
     @property
     def events(self) -> DataFrame:
         """Every event: stored part, then the unsaved batches."""
-        parts = [self.stored] if self.stored is not None else []
-        return self._union(parts + [b for _, _, b in self.batches])
+        return self._union(self._read(self._stored) + [b for _, _, b in self.batches])
+
+    def _live(self) -> tuple[list[dict], list[DataFrame]]:
+        """Stored and unsaved batches after the last ``clear``."""
+        last = self.last_clear
+        return [b for b in self._stored if b["batch_id"] > last], [b for n, op, b in self.batches if n > last]
 
     def current(self) -> DataFrame:
-        """Rows after the last ``clear``; order by ``(batch_id, row_id)``.
-
-        Unsaved batches up to the last ``clear`` are left out before
-        planning; in the stored part the literal ``batch_id`` bound prunes
-        the earlier ``batch_id=`` folders."""
-        parts = []
-        if self.stored is not None and self.stored_upto > self.last_clear:
-            parts.append(self.stored.filter((F.col("batch_id") > F.lit(self.last_clear))
-                                            & (F.col("op") != "clear")))
-        parts += [b for bid, op, b in self.batches if bid > self.last_clear and op != "clear"]
-        return self._union(parts)
+        """Rows after the last ``clear``; order by ``(batch_id, seq, row_id)``.
+        Batches up to it are left out before planning, their folders unread."""
+        stored, fresh = self._live()
+        return self._union(self._read(stored) + fresh)
+
+    def numbered(self) -> DataFrame:
+        """The current items with ``no`` 0 .. n - 1: batches in their order, the
+        rows of one in the order of its source or of the picks."""
+        order = [F.col(c) for c in ("batch_id", "seq", "row_id")]
+        return numbered(self.current(), order).drop(*META)
 
     def totals(self) -> DataFrame:
-        """Count, total and mean price of the current inventory."""
-        return inventory_totals(self.current())
+        """Count, total and mean price of the current inventory: what the commits
+        say of stored batches, plus the rows of unsaved ones."""
+        stored, fresh = self._live()
+        whole = isinstance(self.item_schema["price"].dataType, T.IntegralType)
+        kind = "BIGINT" if whole else "DOUBLE"
+        items, priced = sum(b["rows"] for b in stored), sum(b["priced"] for b in stored)
+        known = sum((int if whole else float)(b["total"]) for b in stored if b["priced"])
+        rows = (self._union(fresh) if fresh else self.spark.range(0).selectExpr(f"CAST(id AS {kind}) AS price")).agg(
+            F.count(F.lit(1)).alias("n"), F.count("price").alias("priced"), F.sum(F.col("price").cast(kind)).alias("total"))
+        if not fresh:
+            rows = self.spark.range(1, numPartitions=1).selectExpr("0L AS n", "0L AS priced", f"CAST(NULL AS {kind}) AS total")
+        added = rows.selectExpr(f"n + {items}L AS items", f"priced + {priced}L AS priced",
+                                f"CASE WHEN priced + {priced}L > 0 THEN coalesce(total, 0) + CAST('{known}' AS {kind}) END AS total")
+        total = "total" if whole else "round(total, 6)"
+        return added.selectExpr("items", f"{total} AS total_value", "round(try_divide(CAST(total AS DOUBLE), priced), 6) AS avg_price")
 
     # -- storage -----------------------------------------------------------
     def save(self, path: str) -> "Ledger":
-        """Write the ledger to the dataset at ``path`` and return the ledger that
-        reads it from there. At its own path only the unsaved batches are
-        appended; a new path gets the stored part too and must not hold
-        another ledger. Each save ends with a ``saved`` row that keeps the
-        last batch's number, even of a batch or ledger without rows."""
+        """Save to the folder ``path`` and return the ledger that reads it from
+        there, with what other sessions committed meanwhile. At its own path only
+        the unsaved batches are written; a new path gets the stored part too and
+        must not hold another ledger."""
+        path = path.rstrip("/")
         fresh = self.path != path
-        if fresh and _exists(self.spark, path):
+        if fresh and read_commits(self.spark, path):
             raise ValueError(f"{path} holds another ledger; load it, or save to a new path")
         if not fresh and not self.batches:
             return self
-        if not fresh and any(t.dataType != self.item_schema[t.name].dataType for t in self.stored.schema.fields[3:]):
-            raise ValueError("a column's type has widened since the last save; save to a new path")
-        mark = _literal_row(self.spark, {"batch_id": self.next_batch - 1, "op": "saved"}, self.schema)
-        parts = ([self.stored] if fresh and self.stored is not None else []) + [b for _, _, b in self.batches] + [mark]
-        # one op per batch, so (batch_id, op) folders cost nothing extra and the
-        # folder names prune the batches before the last clear
-        self._union(parts).write.mode("append").partitionBy("batch_id", "op").parquet(path)
-        return self._with(stored=_read_events(self.spark, path, self.item_schema), batches=(),
-                          stored_upto=self.next_batch - 1, path=path)
+        if not fresh:
+            _widened_schema(self.commits, self.item_schema)
+        before = 0 if fresh else _after(self.commits) - 1
+        ops = ([(b["batch_id"], b["op"]) for b in self._stored] if fresh else []) + [(n, op) for n, op, _ in self.batches]
+        rows = self._union((self._read(self._stored) if fresh else []) + [b for _, _, b in self.batches])
+        save = uuid.uuid4().hex
+        folder = f"{path}/save={save}"
+        rows.withColumn("batch", F.col("batch_id") - before).drop("batch_id").write.partitionBy("batch", "op").parquet(folder)
+        batches = self._sums(folder, [(n - before, op) for n, op in ops]) if ops else []
+        while True:
+            commits = read_commits(self.spark, path)
+            schema = _widened_schema(commits, self.item_schema)
+            entry = {"save": save, "first": _after(commits), "batches": batches, "schema": json.loads(schema.json())}
+            if try_commit(self.spark, path, len(commits) + 1, entry):
+                return Ledger.load(self.spark, path)
+
+    def _sums(self, folder: str, ops: list[tuple[int, str]]) -> list[dict]:
+        """What a commit says of each batch: one aggregate over the prices written."""
+        price = self.item_schema["price"]
+        whole = isinstance(price.dataType, T.IntegralType)
+        kind = T.StructType([price, T.StructField("batch", T.LongType()), T.StructField("op", T.StringType())])
+        total = F.sum(F.col("price").cast("bigint" if whole else "double")).cast("string")
+        rows = self.spark.read.schema(kind).parquet(folder).groupBy("batch").agg(
+            F.count(F.lit(1)).alias("rows"), F.count("price").alias("priced"), total.alias("total")).collect()  # one row a batch
+        found = {r["batch"]: r for r in rows}
+        out = []
+        for k, op in ops:
+            r = found.get(k)
+            out.append({"k": k, "op": op, "rows": r["rows"] if r else 0, "priced": r["priced"] if r else 0, "total": r["total"] if r else None})
+        return out
 
     def compact(self, path: str) -> "Ledger":
         """The current rows alone as a new ledger at the new ``path``: one batch,
         whatever was appended and cleared before."""
-        return Ledger(self.spark, item_schema=self.item_schema).add_all(self.current().drop(*META)).save(path)
+        rows = self.current().withColumnRenamed("seq", ORDINAL).drop("batch_id", "op", "row_id")
+        return Ledger(self.spark, item_schema=self.item_schema).add_all(rows).save(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, item_schema: T.StructType | None = None) -> "Ledger":
-        """The ledger stored at ``path``, with the columns it was saved with."""
-        if item_schema is None:
-            names = set(META)
-            item_schema = T.StructType([f for f in _events_schema(spark, path).fields if f.name not in names])
-        events = _read_events(spark, path, item_schema, marks=True)
-        last, last_clear = events.selectExpr(  # one aggregate over the partition columns; no file's columns are read
-            "coalesce(max(batch_id), 0)", "coalesce(max(CASE WHEN op = 'clear' THEN batch_id END), 0)").first()
-        return cls(spark, stored=events.filter("op != 'saved'"), next_batch=int(last) + 1, item_schema=item_schema,
-                   stored_upto=int(last), last_clear=int(last_clear), path=path)
+        """The ledger stored at ``path``, with the columns it was saved with. Only
+        its commits are read."""
+        path = path.rstrip("/")
+        commits = read_commits(spark, path)
+        if not commits:
+            raise ValueError(f"{path} holds no ledger")
+        return cls(spark, commits, (), item_schema or T.StructType.fromJson(commits[-1]["schema"]), path)
+
+
+def _after(commits) -> int:
+    """The number of the next batch."""
+    return max((c["first"] + max((b["k"] for b in c["batches"]), default=0) for c in commits), default=1)
+
+
+def _widened_schema(commits: list[dict], own: T.StructType) -> T.StructType:
+    """The columns of the last commit and ``own``; their types must agree, as
+    rows are stored with them."""
+    if not commits:
+        return own
+    old = T.StructType.fromJson(commits[-1]["schema"])
+    new = widened(old, own)
+    if any(new[f.name].dataType != f.dataType for s in (old, own) for f in s.fields):
+        raise ValueError("a column's type has widened since the last save; save to a new path")
+    return new
 
 
 _WIDTH = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()]
@@ -284,28 +367,6 @@ def widened(old: T.StructType, new: T.StructType) -> T.StructType:
     return T.StructType(list(fields.values()))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        _events_schema(spark, path)
-        return True
-    except AnalysisException:
-        return False
-
-
-def _events_schema(spark: SparkSession, path: str) -> T.StructType:
-    return spark.read.option("mergeSchema", True).parquet(path).schema
-
-
-def _read_events(spark: SparkSession, path: str, item_schema: T.StructType, marks: bool = False) -> DataFrame:
-    raw = spark.read.option("mergeSchema", True).parquet(path)
-    have = set(raw.columns)
-    cols = ["row_id"] + [F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-                         for f in item_schema.fields]
-    events = raw.select(F.col("batch_id").cast("bigint").alias("batch_id"),
-                        F.col("op").cast("string").alias("op"), *cols)
-    return events if marks else events.filter("op != 'saved'")
-
-
 def inventory_totals(current: DataFrame) -> DataFrame:
     """``items, total_value, avg_price``; NULL sums on an empty inventory. The
     total is a bigint for whole prices, a double (6 decimals) for others."""

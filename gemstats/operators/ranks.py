@@ -6,22 +6,17 @@ row into one task. Here instead:
 
 1. ``value_counts``: ``(group, value) -> n``; a partial aggregate, so a
    value held by a third of all rows arrives as one row per map task.
-2. Approximate quantiles of the *distinct* values cut each group's value
-   range into ``buckets`` ranges of about equal size (one small aggregate,
-   joined back per group, or inlined as a scalar subquery without groups).
-   Repeated edges are dropped, so a group's edge list is never longer
-   than its number of distinct values.
-   ``buckets`` defaults to the session's shuffle partitions (at least 64), so
-   the work per window partition stays flat as the cluster and data grow.
-3. A running sum inside each ``(group, bucket)`` window partition.
-4. Per-bucket totals (at most ``buckets`` rows per group) give each
-   bucket's offset; joined back, offset + running sum is the exact
-   cumulative count. Equal values always share a bucket, since the bucket
-   is a function of the value.
-
-With groups, the per-value counts and the edges are written to the shared
-folder while the plan is built, so that the edges' size is known before they
-are broadcast (``attach``); nothing is collected to the driver.
+2. The counts are dealt out by range of (group, value), as many ranges as
+   shuffle partitions (more if asked for), and written with the number of their range, so all
+   branches below see the same ranges.
+3. A running sum inside each (group, range).
+4. A group that goes on in a later range needs the sums of the ranges
+   before; at most one group goes over each range's edge, so this table has
+   at most two rows a range and is broadcast. Offset + running sum is the
+   exact cumulative count. What a value costs does not depend on the number
+   of ranges.
+
+The written table is in the shared folder; nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -29,28 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attach import attach, written
+from .attach import written
 
-DEFAULT_BUCKETS = None  # None: as many as the session's shuffle partitions
-MIN_BUCKETS = 64
+DEFAULT_BUCKETS = None  # None: as many ranges as the session's shuffle partitions
 
 
 def bucket_count(spark, buckets: int | None) -> int:
-    """Value buckets per group. By default as many as the cluster's shuffle
-    partitions (at least 64), so a window partition holds about
-    distinct values / buckets rows however large the table grows."""
-    if buckets:
-        return max(2, int(buckets))
-    return max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _fractions_sql(buckets: int) -> str:
-    """The literal array [1/b, 2/b, ..., (b-1)/b] as SQL text."""
-    return "array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")"
-
-
-def _fractions(buckets: int) -> Column:
-    return F.expr(_fractions_sql(buckets))
+    """Ranges of values: the session's shuffle partitions by default, so a
+    range holds about distinct values / ranges rows however large the table."""
+    return max(2, int(buckets or spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def value_counts(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,60 +43,23 @@ def value_counts(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFra
     return df.filter(cond).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def present(value: str) -> Column:
-    """``value`` of a ``value_counts`` row, with its count referenced.
-
-    ``n`` is always >= 1, so this is just the value; referencing ``n`` keeps
-    the count in every branch that reads the per-value counts, so all of
-    them are the same plan and Spark runs one scan and one shuffle for it
-    (a branch without the count would be planned, and scanned, separately).
-    """
-    return F.when(F.col("n") > 0, F.col(value))
-
-
 def cumulative_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
                       buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
-    """``by..., value, n, cum, total``: ``cum`` counts rows with a value <= this one.
-
-    The per-value counts are one plan used by every branch below, so the
-    scan and its shuffle run once (Spark reuses the identical exchange).
-    """
-    vc = value_counts(df, value, by)
-    buckets = bucket_count(df.sparkSession, buckets)
-    accuracy = max(10000, 4 * buckets)  # rank error 1/accuracy, well under a bucket's width
-    # Distinct edges only: a group with few distinct values gets few edges, so
-    # the edges table is never larger than the per-value counts it cuts up
-    # (with many small groups, (buckets - 1) edges each would be).
-    summary = [F.expr(f"array_distinct(percentile_approx(CASE WHEN n > 0 THEN `{value}` END, "
-                      f"{_fractions_sql(buckets)}, {accuracy})) AS _edges"),  # CASE = present()
-               F.expr("sum(n) AS total")]
-    if by:
-        vc = written(vc)  # at most one row per group and distinct value; read by two branches
-        b = attach(vc, vc.groupBy(*by).agg(*summary), list(by))  # edges: one row per group
-    else:
-        one = vc.agg(*summary).select(F.struct("_edges", "total")).scalar()
-        b = vc.select("*", one.getField("_edges").alias("_edges"), one.getField("total").alias("total"))
+    """``by..., value, n, cum, total``: ``cum`` counts rows with a value <= this one."""
+    parts = bucket_count(df.sparkSession, buckets)
+    counts = written(value_counts(df, value, by).repartitionByRange(parts, *[F.col(f"`{k}`") for k in (*by, value)])
+                     .withColumn("_range", F.spark_partition_id()))
     keys = "".join(f"`{k}`, " for k in by)
-    part = f"{keys}_b"
-    v = f"`{value}`"
-    # number of edges strictly below v: first position of v among edges + [v], sorted
-    # (no lambda, so the edges may come from a scalar subquery)
-    # (non-nullable, so no inferred IS NOT NULL filter is pushed into one branch's scan)
-    b = b.selectExpr(*[f"`{k}`" for k in by], v, "n", "total",
-                     f"CAST(coalesce(array_position(sort_array(concat(_edges, array({v}))), {v}) - 1, 0) AS INT) AS _b")
-    w = b.selectExpr(
-        "*",
-        f"sum(n) OVER (PARTITION BY {part} ORDER BY {v} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cin",
-        f"sum(n) OVER (PARTITION BY {part}) AS _bn")
-    # One row per (group, bucket), bounded by `buckets` rows per group; the input
-    # is already clustered by (group, bucket), so this aggregate adds no shuffle.
-    per_bucket = w.groupBy(*by, "_b").agg(F.expr("max(_bn) AS _bn"))
-    over = f"PARTITION BY {keys[:-2]} " if by else ""
-    offsets = per_bucket.selectExpr(
-        *[f"`{k}`" for k in by], "_b",
-        f"coalesce(sum(_bn) OVER ({over}ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _off")
-    return (w.join(offsets, [*by, "_b"])
-             .selectExpr(*[f"`{k}`" for k in by], v, "n", "_off + _cin AS cum", "total"))
+    own = counts.selectExpr(
+        "*", f"sum(n) OVER (PARTITION BY {keys}_range ORDER BY `{value}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum",
+        f"sum(n) OVER (PARTITION BY {keys}_range) AS _own")
+    group = f"PARTITION BY {keys[:-2]} " if by else ""
+    sums = counts.groupBy(*by, "_range").agg(F.sum("n").alias("_n")).selectExpr(
+        *[f"`{k}`" for k in by], "_range", f"sum(_n) OVER ({group}ORDER BY _range) - _n AS _before",
+        f"sum(_n) OVER ({group.strip()}) AS _total", f"count(1) OVER ({group.strip()}) AS _ranges")
+    wide = sums.filter("_ranges > 1")  # at most two rows a range: its first group and its last
+    return (own.join(F.broadcast(wide), [*by, "_range"], "left")
+            .selectExpr(*[f"`{k}`" for k in by], f"`{value}`", "n", "coalesce(_before, 0) + _cum AS cum", "coalesce(_total, _own) AS total"))
 
 
 def quantile_sql(value: str, p: float, method: str = "linear") -> str:

@@ -83,7 +83,7 @@ def _all_filters(df):
 def _session_ledger(spark, sf) -> inv.Ledger:
     """add all price-filtered -> pick from listing -> manual -> clear ->
     add all fully filtered -> pick three -> manual."""
-    c = _clean(spark, sf)
+    c = _ordered(spark, sf)
     listed = flt.listing(_all_filters(_ordered(spark, sf)))
     led = (inv.Ledger(spark)
            .add_all(flt.apply_filters(c, price=PRICE_RANGE))
@@ -97,7 +97,17 @@ def _session_ledger(spark, sf) -> inv.Ledger:
 
 
 def _current(led: inv.Ledger) -> DataFrame:
-    return led.current().drop("row_id")
+    return led.current().drop("row_id", "seq")
+
+
+def _stored(led: inv.Ledger, batches: int) -> inv.Ledger:
+    """The session's ledger saved in two goes, the second after another session
+    has saved and cleared, and loaded again."""
+    path = f"{shared_dir(led.spark).rstrip('/')}/gemstats/ledger-{uuid.uuid4().hex}"
+    first = inv.Ledger(led.spark, (), led.batches[:batches], led.item_schema).save(path)
+    first.add_manual(*MANUAL).clear().save(path)
+    inv.Ledger(led.spark, first.commits, led.batches[batches:], led.item_schema, path).save(path)
+    return inv.Ledger.load(led.spark, path)
 
 
 def _spiked(df: DataFrame) -> DataFrame:
@@ -306,6 +316,9 @@ QUERIES: dict[str, Query] = {
                      .add_all(flt.apply_filters(_clean(s, sf), colors=COLORS, clarities=CLARITIES, cuts=CUTS))),
     "inv_totals": lambda s, sf: _session_ledger(s, sf).totals(),
     "inv_current": lambda s, sf: _current(_session_ledger(s, sf)),
+    "inv_numbered": lambda s, sf: _session_ledger(s, sf).numbered(),
+    "inv_stored_totals": lambda s, sf: _stored(_session_ledger(s, sf), 4).totals(),
+    "inv_stored_numbered": lambda s, sf: _stored(_session_ledger(s, sf), 4).numbered(),
     # -- the same generic operators on a second table (part) --------------------
     "part_brand_profile": lambda s, sf: cat.category_profile(table(s, sf, "part"), "p_brand", ("p_retailprice",))
         .select("p_brand", "n", r6(F.col("avg_p_retailprice")).alias("avg_p_retailprice")),

@@ -470,3 +470,10 @@ ORACLE["inv_validate_ranges"] = (ORACLE["inv_validate"].replace("FROM raw", "FRO
 
 ORACLE["corr_matrix_offset"] = (ORACLE["corr_matrix"].replace("m AS (SELECT", f"{OFFSET},\nm AS (SELECT", 1)
                                 .replace("vcl FROM cleaned", "vcl FROM shifted"))
+
+ORACLE["inv_numbered"] = _with(_LISTED) + f"""SELECT row_number() OVER (ORDER BY batch_id, seq) - 1 AS no, {ITEM_COLS} FROM (
+  SELECT 5 AS batch_id, rn AS seq, {ITEM_COLS} FROM ordered WHERE {ALL_P}
+  UNION ALL SELECT 6, pos, {ITEM_COLS} FROM listed WHERE pos IN (1, 2, 3)
+  UNION ALL SELECT 7, 0, * FROM (SELECT {MANUAL_ROW}))"""
+ORACLE["inv_stored_numbered"] = ORACLE["inv_numbered"]
+ORACLE["inv_stored_totals"] = ORACLE["inv_totals"]

@@ -4,6 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from gemstats.operators import commits, numbering
+from gemstats.sources.order import ORDINAL
 from gemstats.operators import filters as flt
 from gemstats.operators import inventory as inv
 from gemstats.operators.clean import clean
@@ -201,3 +203,83 @@ def test_picks_by_key_survive_a_change_of_filters(spark):
     key = inv.Ledger(spark).add_selected(flt.listing(df.filter("price > 500")), [2]).current().select("row_id")
     again = inv.Ledger(spark).add_keys(df.filter("price < 900"), key).current().first()
     assert again.carat == 0.7
+
+
+def test_two_sessions_on_one_ledger(spark, scratch):
+    df = cleaned(spark, [stone(price=p) for p in (100, 200, 300)])
+    path = os.path.join(scratch, "shared")
+    inv.Ledger(spark).add_all(df).save(path)
+    one, two = inv.Ledger.load(spark, path), inv.Ledger.load(spark, path)
+    one = one.add_manual(1.0, "Ideal", "D", "IF", 700).add_all(df.filter("price = 100")).save(path)
+    two = two.add_manual(1.0, "Good", "E", "VS1", 900).save(path)
+    assert (one.next_batch, two.next_batch) == (4, 5)
+    rows = {(r.batch_id, r.op, r.price) for r in two.current().collect()}
+    assert rows == {(1, "all", 100), (1, "all", 200), (1, "all", 300), (2, "manual", 700), (3, "all", 100), (4, "manual", 900)}
+    one.clear().save(path)
+    assert inv.Ledger.load(spark, path).current().count() == 0
+
+
+def test_a_taken_number_is_tried_again(spark, scratch, monkeypatch):
+    df = cleaned(spark, [stone(price=100)])
+    path = os.path.join(scratch, "race")
+    inv.Ledger(spark).add_all(df).save(path)
+    late = inv.Ledger.load(spark, path).add_all(df)
+    stale, calls = commits.read_commits(spark, path), []
+    inv.Ledger.load(spark, path).add_manual(1.0, "Ideal", "D", "IF", 700).save(path)
+
+    def read(s, p):
+        calls.append(p)
+        return stale if len(calls) == 1 else commits.read_commits(s, p)
+
+    monkeypatch.setattr(inv, "read_commits", read)
+    assert sorted((r.batch_id, r.op) for r in late.save(path).current().collect()) == [(1, "all"), (2, "manual"), (3, "all")]
+    assert not commits.try_commit(spark, path, 3, {}) and len(commits.read_commits(spark, path)) == 3
+
+
+def test_a_save_that_breaks_off_is_not_seen(spark, scratch, monkeypatch):
+    df = cleaned(spark, [stone(price=p) for p in (100, 200)])
+    path = os.path.join(scratch, "broken")
+    inv.Ledger(spark).add_all(df).save(path)
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(inv, "try_commit", lost)
+    with pytest.raises(RuntimeError):
+        inv.Ledger.load(spark, path).add_all(df).save(path)
+    monkeypatch.undo()
+    back = inv.Ledger.load(spark, path)
+    assert back.current().count() == 2 and back.next_batch == 2
+    assert back.add_all(df).save(path).current().count() == 4
+
+
+def test_totals_of_a_stored_ledger_read_no_rows(spark, scratch):
+    df = cleaned(spark, [stone(price=p) for p in (100, 200, 400)])
+    path = os.path.join(scratch, "totals")
+    led = inv.Ledger(spark).add_all(df).clear().add_all(df).add_manual(1.0, "Ideal", "D", "IF", 701).save(path)
+    t = inv.Ledger.load(spark, path).totals()
+    assert tuple(t.first()) == (4, 1401, 350.25)
+    assert "Scan parquet" not in t._jdf.queryExecution().executedPlan().toString()
+    assert tuple(led.add_all(df).totals().first()) == (7, 2101, 300.142857)
+    assert tuple(led.clear().totals().first()) == (0, None, None)
+    assert tuple(inv.Ledger(spark).totals().first()) == (0, None, None)
+
+
+def test_numbers_follow_batches_files_and_picks(spark):
+    rows = [(i / 10, "Ideal", "E", "IF", 1000 - i, i * 7 % 50) for i in range(50)]
+    df = spark.createDataFrame(rows, f"carat double, cut string, color string, clarity string, price bigint, {ORDINAL} bigint").repartition(5)
+    listed = flt.listing(df, 20)
+    got = inv.Ledger(spark).add_selected(listed, [7, 2, 5]).add_all(df).add_all(df).numbered().orderBy("no").collect()
+    in_file = [r[4] for r in sorted(rows, key=lambda r: r[5])]
+    assert [r.no for r in got] == list(range(103))
+    assert [r.price for r in got] == [in_file[6], in_file[1], in_file[4], *in_file, *in_file]
+    assert set(got[0].asDict()) == {"no", *inv.Ledger(spark).items}
+
+
+def test_numbering_splits_many_equal_rows_and_plans_no_single_task(spark):
+    df = spark.createDataFrame([(1,)] * 400 + [(i,) for i in range(100)], "v int").repartition(7)
+    got = numbering.numbered(df, [F.col("v")])
+    assert [r.v for r in got.orderBy("no").collect()] == sorted([1] * 400 + list(range(100)))
+    assert sorted(r.no for r in got.collect()) == list(range(500))
+    sizes = [r["count"] for r in numbering.ranged(df, [F.col("v")]).groupBy("_range").count().collect()]
+    assert max(sizes) < 200
