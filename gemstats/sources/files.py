@@ -56,7 +56,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            col = F.when(F.isnan(col), F.lit(None).cast(f.dataType)).otherwise(col)
+            col = F.nanvl(col, F.lit(None).cast(f.dataType))  # names the column once, so plans stay small
         out.append(col.alias(f.name))
     return df.select(*out)
 
@@ -85,30 +85,39 @@ _INT, _DOUBLE, _BOOL, _TEXT = 1, 2, 4, 8
 TRUTH = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
-def _kind(name: str) -> Column:
-    """The bit of a cell, found once: most are settled by the first test."""
-    v = F.col(f"`{name}`")
-    return (F.when(v.isNull(), F.lit(0))
-            .when(v.rlike(NUMBER), F.when(F.trim(v).try_cast("bigint").isNotNull() & ~v.rlike("[.eE]"), F.lit(_INT)).otherwise(F.lit(_DOUBLE)))
-            .when(v.isin(TRUTH), F.lit(_BOOL)).otherwise(F.lit(_TEXT)))
+def _kind_sql(tokens: list[str]) -> str:
+    """The bit of a cell ``v`` whose digits are cut out in ``rest``, as SQL: plain
+    numbers are settled without a regular expression."""
+    def quoted(values: list[str]) -> str:
+        return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+    number = f"if(try_cast(trim(v) AS BIGINT) IS NOT NULL AND NOT v RLIKE '[.eE]', {_INT}, {_DOUBLE})"
+    return (f"CASE WHEN v IS NULL THEN 0 WHEN rest = '' AND length(trim(v)) BETWEEN 1 AND 18 THEN {_INT}"
+            f" WHEN rest = '.' AND length(trim(v)) > 1 THEN {_DOUBLE} WHEN v IN ({quoted(tokens)}) THEN 0"
+            f" WHEN v RLIKE r'{NUMBER}' THEN {number} WHEN v IN ({quoted(TRUTH)}) THEN {_BOOL} ELSE {_TEXT} END")
 
 
-def infer_types(df: DataFrame) -> dict[str, T.DataType]:
+def infer_types(df: DataFrame, tokens: list[str] = NA_TOKENS) -> dict[str, T.DataType]:
     """bigint if every present value parses as an integer, else double if every
     one parses as a number, boolean if every one is a truth value, else string.
-    One aggregate pass that classifies each cell once; one row back."""
-    row = df.agg(*[F.bit_or(_kind(n)).alias(f"k{i}") for i, n in enumerate(df.columns)]).first()
+    One pass that classifies each cell once (cells as rows, so that the code made
+    for it stays small whatever the number of columns); one row a column back."""
+    cells = F.posexplode(F.array(*[F.col(f"`{n}`") for n in df.columns])).alias("i", "v")
+    kinds = (df.select(cells).selectExpr("i", "v", "translate(trim(v), '0123456789', '') AS rest")
+             .selectExpr("i", f"{_kind_sql(tokens)} AS kind").groupBy("i").agg(F.bit_or("kind").alias("kind")))
+    bits = {r["i"]: r["kind"] for r in kinds.collect()}  # one row a column
     found = {0: T.LongType(), _INT: T.LongType(), _DOUBLE: T.DoubleType(), _INT | _DOUBLE: T.DoubleType(), _BOOL: T.BooleanType()}
-    return {n: found.get(row[i] or 0, T.StringType()) for i, n in enumerate(df.columns)}
+    return {n: found.get(bits.get(i, 0), T.StringType()) for i, n in enumerate(df.columns)}
 
 
 def parse_columns(df: DataFrame, types: dict[str, T.DataType],
                   tokens: list[str] = NA_TOKENS) -> DataFrame:
     """Text columns -> typed columns: tokens become NULL, and so does a cell that
     isn't of its type (``parse_failures`` counts those)."""
-    text = null_tokens(df, [n for n in types if n in df.columns], tokens)
-    return nan_to_null(text.select(*[
-        (_parsed(n, types[n]) if n in types else F.col(f"`{n}`")).alias(n) for n in text.columns]))
+    # no token passes for a number (_parsed), and no number is NaN
+    settled = (T.DoubleType, T.FloatType, T.DecimalType, T.IntegralType)
+    text = null_tokens(df, [n for n in types if n in df.columns and not isinstance(types[n], settled)], tokens)
+    return text.select(*[(_parsed(n, types[n]) if n in types else F.col(f"`{n}`")).alias(n) for n in text.columns])
 
 
 def parse_failures(df: DataFrame, types: dict[str, T.DataType], tokens: list[str] = NA_TOKENS) -> DataFrame:
@@ -157,7 +166,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     # columns that the schema doesn't name stay, with inferred types
     given = {f.name: f.dataType for f in schema.fields} if schema else {}
     others = [n for n in text.columns if n not in given and n != ORDINAL]
-    found = infer_types(null_tokens(text.select(*[F.col(f"`{n}`") for n in others]), tokens=tokens)) if others else {}
+    found = infer_types(text.select(*[F.col(f"`{n}`") for n in others]), tokens) if others else {}
     types = found | given
     return parse_columns(text, types, tokens)
 
