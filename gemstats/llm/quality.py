@@ -21,13 +21,15 @@ class; extra columns are left alone.
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from gemstats.llm.common import fold, small_batches, text_bytes, written
+from gemstats.llm.common import fold, remove, small_batches, text_bytes, written
 
 PASSAGE = 64
 SHAPES = 6
@@ -114,28 +116,55 @@ def train(bags: list[np.ndarray], labels: np.ndarray, width: int = 32, gate: int
     return m
 
 
-def _features():
+def _features(most: int):
+    """At most so many of a text's passages, spread over its length."""
+
     @F.arrow_udf("binary")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array([passages(t.as_py()).astype(np.float16).tobytes() for t in texts], pa.binary())
+        out = []
+        for t in texts:
+            x = passages(t.as_py())
+            if len(x) > most:
+                x = x[np.linspace(0, len(x) - 1, most).astype(np.int64)]
+            out.append(x.astype(np.float16).tobytes())
+        return pa.array(out, pa.binary())
 
     return features
 
 
+def _trained(**params):
+    """Over the whole sample: its model, as one row."""
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys = [], []
+        for batch in batches:
+            xs += [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, WIDTH) for x in batch.column("x")]
+            ys += batch.column("label").to_pylist()
+        out = io.BytesIO()
+        np.savez(out, **train(xs, np.array(ys, np.float32), **params))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
+
+    return trained
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_passages: int = 120_000, **params) -> Model:
-    """``labels`` has doc_id and label (0 or 1); only its rows are learned from."""
+    """``labels`` has doc_id and label (0 or 1); only its rows are learned from.
+    The sample is ``max_docs`` labelled documents in hash order, each with at
+    most ``max_passages / max_docs`` passages spread over its length, so a long
+    text takes no other's place. One task trains on it and returns the weights."""
     small_batches(docs.sparkSession)
     drawn = (labels.filter("doc_id is not null and label is not null").groupBy("doc_id")
              .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
     # at most max_docs narrow rows are broadcast
     bags = written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-                   .select("doc_id", "label", _features()(text_bytes()).alias("x")), "bags")
-    running = F.sum(F.octet_length("x")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")))
-    rows = (bags.withColumn("total", running).filter(F.col("total") <= max_passages * WIDTH * 2)
-            .orderBy("total").select("label", "x").toArrow())
-    xs = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, WIDTH) for x in rows.column("x")]  # views, widened batch by batch
-    return train(xs, rows.column("label").to_numpy().astype(np.float32), **params)
+                   .select("doc_id", "label", _features(max(1, max_passages // max_docs))(text_bytes()).alias("x")), "bags")
+    # of repeated ids, so many rows as documents were drawn
+    sample = bags.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(max_docs)
+    row = (sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x"))
+           .select("label", "x").mapInArrow(_trained(**params), "model binary").first())
+    remove(bags)
+    return dict(np.load(io.BytesIO(row["model"]))) if row else train([], np.empty(0, np.float32), **params)
 
 
 def score(model: Model, text: str = "text", at_once: int = 4096) -> Column:
@@ -174,4 +203,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **params) -> DataFrame:
     """The rows of docs whose score reaches the threshold, as they are."""
     model = fit(docs, labels.filter(fold("doc_id", 4) != 2), **params)
-    return docs.withColumn("__score", score(model)).filter(F.col("__score") >= threshold).drop("__score")
+    return docs.filter(score(model) >= threshold)

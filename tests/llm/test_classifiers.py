@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gemstats.llm import quality, toxicity
 
@@ -132,3 +133,13 @@ def test_toxicity_gradient():
         down[k][i] -= 1e-6
         assert g[k][i] == pytest.approx((loss(up) - loss(down)) / 2e-6, rel=1e-4)
     assert (np.diff(toxicity.thresholds(m)) > 0).all()
+
+
+def test_one_very_long_text_does_not_empty_the_quality_fit(spark):
+    good, bad = "a calm and plain line of prose here ", "#$% 77 !!|| 12 ** &&& 9 #!# "
+    rows = [(i, (good if i % 2 else bad) * (3 if i else 60000)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, label int")
+    out = quality.quality_scores(docs, labels, max_docs=80, max_passages=160).collect()
+    assert sum((r.score > 0.5) == bool(r.doc_id % 2) for r in out) >= 76
+    assert quality.keep_good(docs.withColumn("__score", F.lit(1)), labels, max_docs=80, max_passages=160).columns == ["doc_id", "text", "__score"]
