@@ -32,7 +32,7 @@ def corr_pairs(df: DataFrame, columns: tuple[str, ...] = CORR_COLUMNS) -> tuple[
 def corr_matrix(df: DataFrame, columns: tuple[str, ...] = CORR_COLUMNS) -> DataFrame:
     """Long form ``var_x, var_y, r``; empty when a column is absent."""
     if not all(c in df.columns for c in columns):
-        return df.sparkSession.createDataFrame([], "var_x string, var_y string, r double")
+        return df.select(F.lit("").alias("var_x"), F.lit("").alias("var_y"), F.lit(0.0).alias("r")).where(F.lit(False))
     wide, names = corr_pairs(df, columns)
     cells = [F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
                       r6(F.col(names[(a, b)])).alias("r"))

@@ -27,6 +27,7 @@ from ..operators import filters as flt
 from ..operators import insight as ins
 from ..operators import inventory as inv
 from ..operators import profile as prf
+from ..operators import sketches as skt
 from ..operators.ranks import exact_quantiles
 from ..session import shared_dir
 from ..sources.files import parse_columns, read_table, write_csv
@@ -201,6 +202,17 @@ def _quartiles(df: DataFrame, value: str) -> DataFrame:
     return q.select(*[r6(F.col(c)).alias(c) for c in q.columns])
 
 
+def _sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Price quantiles a clarity from the stored sketches of four parts: whether
+    the exact ranks confirm the stated error."""
+    path = f"{shared_dir(spark).rstrip('/')}/gemstats/sketches-{uuid.uuid4().hex}"
+    rows = _clean(spark, sf)
+    for i in range(4):
+        skt.add_part(rows.filter(F.col("price") % 4 == i), "price", ["clarity"], path)
+    found = skt.merged_quantiles(spark.read.parquet(path), [0.05, 0.25, 0.5, 0.75, 0.95], ["clarity"])
+    return skt.rank_check(rows, "price", found, ["clarity"]).select("clarity", "p", "n", (F.col("off") <= skt.rank_error()).alias("within"))
+
+
 def _na_tokens(spark, sf):
     return parse_columns(diamond_with_text_carat(spark, sf), {"carat": T.DoubleType()})
 
@@ -282,11 +294,13 @@ QUERIES: dict[str, Query] = {
     "ecdf_price_values": lambda s, sf: dst.ecdf_values(_clean(s, sf), "price"),
     "ecdf_retail_values": lambda s, sf: dst.ecdf_values(table(s, sf, "part"), "p_retailprice"),
     "price_quartiles": lambda s, sf: _quartiles(_clean(s, sf), "price"),
+    "sketch_quantiles": _sketched,
     "retail_quartiles": lambda s, sf: _quartiles(table(s, sf, "part"), "p_retailprice"),
     "box_spiked_by_clarity": lambda s, sf: dst.box_stats(_spiked(_clean(s, sf)), "price", "clarity"),
     "box_outliers_spiked": lambda s, sf: dst.box_outliers(_spiked(_clean(s, sf)), "price", "clarity"),
     # -- correlation -----------------------------------------------------------
     "corr_matrix": lambda s, sf: cor.corr_matrix(_clean(s, sf)),
+    "corr_skipped": lambda s, sf: cor.corr_matrix(_clean(s, sf).drop("color_numeric")),
     "corr_flags": lambda s, sf: cor.corr_flags(_clean(s, sf)),
     "corr_labels": lambda s, sf: cor.corr_labels(_clean(s, sf)),
     # -- insight dataset -------------------------------------------------------
