@@ -28,13 +28,14 @@ from ..operators import insight as ins
 from ..operators import inventory as inv
 from ..operators import profile as prf
 from ..operators import sketches as skt
+from ..operators.cube import FilterCube
 from ..operators.ranks import exact_quantiles
 from ..session import shared_dir
 from ..sources.files import parse_columns, read_table, write_csv
 from ..functions.stats import r6
 from ..sources.order import ORDINAL
 from ..sources.fixture import diamond_raw, diamond_raw_from, diamond_with_text_carat, table
-from .store import cleaned_diamonds
+from .store import cleaned_diamonds, files_identity
 
 # One fixed filter session (slider / multiselect values).
 PRICE_RANGE = (1000, 5000)
@@ -202,6 +203,16 @@ def _quartiles(df: DataFrame, value: str) -> DataFrame:
     return q.select(*[r6(F.col(c)).alias(c) for c in q.columns])
 
 
+_CUBES: dict[tuple[str, str], FilterCube] = {}  # built once an application and table
+
+
+def _cube(spark: SparkSession, sf: str) -> FilterCube:
+    key = (spark.sparkContext.applicationId, files_identity(spark, f"{sf.rstrip('/')}/lineitem.parquet"))
+    if key not in _CUBES:
+        _CUBES[key] = FilterCube.build(_clean(spark, sf), f"{shared_dir(spark).rstrip('/')}/gemstats/cube-{uuid.uuid4().hex}")
+    return _CUBES[key]
+
+
 def _sketched(spark: SparkSession, sf: str) -> DataFrame:
     """Price quantiles a clarity from the stored sketches of four parts: whether
     the exact ranks confirm the stated error."""
@@ -250,6 +261,8 @@ QUERIES: dict[str, Query] = {
     "filter_counts": lambda s, sf: flt.filter_counts(
         _clean(s, sf), flt.diamond_predicate(price=PRICE_RANGE, carat=CARAT_RANGE, colors=COLORS,
                                              clarities=CLARITIES, cuts=CUTS)),
+    "filter_counts_cube": lambda s, sf: _cube(s, sf).counts(price=PRICE_RANGE, carat=CARAT_RANGE, colors=COLORS,
+                                                            clarities=CLARITIES, cuts=CUTS),
     "available_top100": lambda s, sf: flt.available(_all_filters(_ordered(s, sf))),
     "item_label": lambda s, sf: flt.item_labels(_all_filters(_ordered(s, sf))),
     # -- numeric profile -----------------------------------------------------

@@ -480,3 +480,4 @@ ORACLE["inv_stored_totals"] = ORACLE["inv_totals"]
 ORACLE["sketch_quantiles"] = _with() + """SELECT clarity, CAST(p AS DOUBLE) AS p, count(*) AS n, true AS within
 FROM cleaned, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) AS t(p) GROUP BY 1, 2"""
 ORACLE["corr_skipped"] = _with() + "SELECT color AS var_x, color AS var_y, CAST(price AS DOUBLE) AS r FROM cleaned WHERE false"
+ORACLE["filter_counts_cube"] = ORACLE["filter_counts"]
