@@ -38,25 +38,31 @@ def test_filters_reach_the_scan(plans):
 
 def test_columns_pruned(plans):
     assert "ReadSchema: struct<cut:string>" in plans["cut_counts"]
-    assert "ReadSchema: struct<carat:double>" in plans["ecdf_values"]
+    assert "ReadSchema: struct<carat:double>" in plans["carat_shares"]
+
+
+def test_value_counts_read_their_column_alone(spark):
+    from gemstats.operators.ranks import value_counts
+    from gemstats.plans.store import cleaned_diamonds
+    assert "ReadSchema: struct<carat:double>" in plan_of(value_counts(cleaned_diamonds(spark, SF_SMALL), "carat"))
 
 
 def test_row_level_ecdf_is_partitioned(plans):
     p = plans["ecdf_rows"]
-    # running sums per value bucket, and the row expansion spread by (value, chunk)
-    assert "hashpartitioning(_b" in p
+    # running sums per range of values, and the row expansion spread by (value, chunk)
+    assert "hashpartitioning(_range" in p
     assert "hashpartitioning(carat" in p and "_c" in p
 
 
 def test_no_single_partition_window_over_rows(spark):
-    """Windows without a partition key only ever see per-bucket rows."""
+    """Windows without a partition key only ever see one row a range."""
     from gemstats.operators.distribution import ecdf_rows
     from gemstats.plans.store import cleaned_diamonds
     df = ecdf_rows(cleaned_diamonds(spark, SF_SMALL))
     text = df._jdf.queryExecution().optimizedPlan().toString()
     for line in text.splitlines():
         if "windowspecdefinition(" in line and "carat" in line.split("windowspecdefinition(")[1][:40]:
-            assert "_b" in line, line
+            assert "_range" in line, line
 
 
 def test_grade_lookup_stays_in_codegen(spark):
