@@ -70,7 +70,7 @@ def test_copies_chains_and_edge_texts(spark):
 def test_many_edited_copies_of_one_text_that_link_only_through_it(spark):
     rnd = random.Random(2)
     base = [f"t{i}" for i in range(160)]
-    rows = [(1000, " ".join(base))] + [(i, edited(rnd, base, 4)) for i in range(300)]
+    rows = [(1000, " ".join(base))] + [(i, edited(rnd, base, 2)) for i in range(300)]
     want = by_hand(rows)
     assert len({r[2] for r in want}) == 1
     assert groups(spark.createDataFrame(rows, SCHEMA)) == want
