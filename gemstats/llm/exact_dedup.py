@@ -192,7 +192,7 @@ def exact_groups(docs: DataFrame, huge_bytes: int = 1 << 24, piece_bytes: int =
         remove(previous)
         remove(apart)
         open_rows = state.filter(F.col("generation") == generation)
-    first = F.expr("max_by(struct(doc_id, row), struct(n_points, doc_id is not null, -doc_id, -row))")
+    first = F.expr("max_by(struct(doc_id, row), struct(n_points, doc_id is not null, ~doc_id, -row))")
     classes = state.groupBy(*KEY).agg(F.count("*").alias("group_size"), first.alias("first"), salts_used(F.col("row")))
     joined = salted_join(state, classes, KEY, F.col("row"))
     return joined.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",

@@ -75,3 +75,9 @@ def test_fingerprints_compose(data, cut, chunk):
         assert ed.fingerprint(data, base, prime, chunk) == whole
         parts = (ed.fingerprint(x, base, prime, chunk) for x in (a, b))
         assert ed.combine(next(parts), len(a), next(parts), base, prime) == whole
+
+
+def test_smallest_possible_id(spark):
+    rows = [(-2**63, "a b"), (2**63 - 1, "ab "), (None, "a b"), (-1, "ab")]
+    got = ed.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.keep_id for r in got} == {-2**63} and sum(r.kept for r in got) == 1
