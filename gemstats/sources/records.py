@@ -11,8 +11,9 @@ functions compose, within a block by running sums, and over blocks by the same
 sums over one row a block, which gives the state at each block's start. A line
 entered from outside begins a record, and the records before a block are counted
 likewise, so records are numbered in file order and the lines of a record meet by
-its number, over block edges too. A file that ends inside a quoted cell is
-refused. Lines end at LF or CR LF; a lone CR is part of a cell.
+its number, over block edges too. What is summed as a block is a piece of one, of
+at most ``PIECE`` lines, so that no task sorts all lines of a block, however large
+blocks are. A file that ends inside a quoted cell is refused. Lines end at LF or CR LF; a lone CR is part of a cell.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ from pyspark.sql import types as T
 from ..operators.attach import attach, written
 from .order import ORDINAL
 
+PIECE = 1 << 16  # lines that are summed at once
+TASK_LINES = 1 << 18  # about what a task gets
+
+UNIT = ["file", "block", "piece"]
+
 # Quoted sections, and cells that don't begin with a quote (whose quotes are
 # plain characters): what is left holds a quote if the line ends inside a cell.
 _SETTLED = r"""'"[^"]*+"|(^|,)[^",][^,]*+'"""
@@ -37,12 +43,12 @@ def _ends_inside(text: str) -> str:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, place, value; t0, t1: whether the line ends inside a cell if
-    entered from outside, from inside."""
+    """file, block, piece, place, value; t0, t1: whether the line ends inside a cell
+    if entered from outside, from inside."""
     text = spark.read.option("lineSep", "\n").text(path)
     return (text.selectExpr("_metadata.file_path as file", "_metadata.file_block_start as block",
                             "monotonically_increasing_id() as place", "value")
-            .selectExpr("*", f"{_ends_inside('value')} as t0", f"""{_ends_inside("concat('\"', value)")} as t1""")
+            .selectExpr("*", f"place div {PIECE} as piece", f"{_ends_inside('value')} as t0", f"""{_ends_inside("concat('\"', value)")} as t1""")
             .selectExpr("*", "t0 = t1 as sets", "if(t0 = t1, 0, t0) as turns"))
 
 
@@ -53,37 +59,43 @@ def has_line_breaks(spark: SparkSession, path: str) -> bool:
     return bool(text.agg(F.max(F.expr(_ends_inside("value")))).first()[0])
 
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """The written lines by pieces, over as many tasks as there are lines for."""
+    least = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(max(least, -(-lines.count() // TASK_LINES)), *UNIT)
+
+
 def numbered_records(spark: SparkSession, path: str) -> DataFrame:
     """record (0, 1, ... in file order), file_no (from 1), first (whether it
     begins a file) and value, its text with the line breaks of its cells."""
     lines = written(_lines(spark, path))
-    inside = "partition by file, block order by place"
-    summed = written(lines.selectExpr("*", f"sum(turns) over ({inside}) as turned"))
-    # a block's function, as a line's: sets to ``t`` or turns ``turns`` times
-    blocks = summed.groupBy("file", "block").agg(
+    inside = "partition by file, block, piece order by place"
+    summed = _dealt(lines).selectExpr("*", f"sum(turns) over ({inside}) as turned")
+    # a piece's function, as a line's: sets to ``t`` or turns ``turns`` times
+    pieces = summed.groupBy(*UNIT).agg(
         F.sum("turns").alias("all_turns"), F.max(F.expr("if(sets, struct(place, t0, turned), null)")).alias("s")).selectExpr(
-        "file", "block", "s is not null as sets", "if(s is null, null, (s.t0 + all_turns - s.turned) % 2) as t",
+        *UNIT, "s is not null as sets", "if(s is null, null, (s.t0 + all_turns - s.turned) % 2) as t",
         "if(s is null, all_turns % 2, 0) as turns")
-    over = "over (partition by file order by block"
-    blocks = blocks.selectExpr("*", f"sum(turns) {over}) as turned").selectExpr(
+    over = "over (partition by file order by block, piece"
+    pieces = pieces.selectExpr("*", f"sum(turns) {over}) as turned").selectExpr(
         "*", f"last(if(sets, struct(t, turned), null), true) {over} rows between unbounded preceding and 1 preceding) as s").selectExpr(
-        "file", "block", "(coalesce(s.t, 0) + turned - turns - coalesce(s.turned, 0)) % 2 as entered", "sets", "t", "turns")
-    blocks = written(blocks)
-    open_files = (blocks.withColumn("out", F.expr("if(sets, t, (entered + turns) % 2)"))
-                  .groupBy("file").agg(F.max(F.struct("block", "out")).alias("e")).filter("e.out = 1").select("file"))
+        *UNIT, "(coalesce(s.t, 0) + turned - turns - coalesce(s.turned, 0)) % 2 as entered", "sets", "t", "turns")
+    pieces = written(pieces)
+    open_files = (pieces.withColumn("out", F.expr("if(sets, t, (entered + turns) % 2)"))
+                  .groupBy("file").agg(F.max(F.struct("block", "piece", "out")).alias("e")).filter("e.out = 1").select("file"))
     bad = open_files.first()
     if bad is not None:
         raise ValueError(f"{bad.file} ends inside a quoted cell")
-    states = attach(summed, blocks.select("file", "block", "entered"), ["file", "block"]).selectExpr(
+    states = attach(summed, pieces.select(*UNIT, "entered"), UNIT).selectExpr(
         "*", f"last(if(sets, struct(t0, turned), null), true) over ({inside} rows between unbounded preceding and 1 preceding) as s").selectExpr(
-        "file", "block", "place", "value", "if(s is null, entered + turned - turns, s.t0 + turned - turns - s.turned) % 2 = 0 as starts", "t0").filter(
+        *UNIT, "place", "value", "if(s is null, entered + turned - turns, s.t0 + turned - turns - s.turned) % 2 = 0 as starts", "t0").filter(
         "not (starts and value in ('', '\\r'))")  # blank lines are no records
     states = written(states.selectExpr("*", f"sum(if(starts, 1, 0)) over ({inside}) as nth"))
-    # one row a block, in file order
-    before = states.groupBy("file", "block").agg(F.count_if("starts").alias("n")).selectExpr(
-        "file", "block", "sum(n) over (order by file, block) - n as before",
-        "sum(n) over (partition by file order by block) - n as before_in_file", "dense_rank() over (order by file) as file_no")
-    placed = attach(states, before, ["file", "block"]).selectExpr(
+    # one row a piece, in file order
+    before = states.groupBy(*UNIT).agg(F.count_if("starts").alias("n")).selectExpr(
+        *UNIT, "sum(n) over (order by file, block, piece) - n as before",
+        "sum(n) over (partition by file order by block, piece) - n as before_in_file", "dense_rank() over (order by file) as file_no")
+    placed = attach(states, before, UNIT).selectExpr(
         "before + nth - 1 as record", "file_no", "before_in_file + nth = 1 as first", "place", "file", "block", "value", "starts and t0 = 0 as whole")
     one = placed.filter("whole").select("record", "file_no", "first", "value")
     parts = (placed.filter("not whole").groupBy("record")

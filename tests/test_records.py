@@ -6,7 +6,9 @@ import pytest
 from gemstats.operators import clean as cln
 from gemstats.sources.files import infer_types, read_csv_text, read_table, write_csv
 from gemstats.sources.order import ORDINAL
+from gemstats.sources import records
 from gemstats.sources.records import has_line_breaks, numbered_records, read_records
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CELLS = ["a", "b c", 'say "hi"', "x,y", "two\nlines", 'q"u\no"te', "", '5" pipe', "\n\n", '"', "a\r\nb", "long " * 30, '","', '\n"\n']
@@ -41,6 +43,23 @@ def test_cells_with_line_breaks_over_many_blocks_and_files(spark, scratch, small
     assert got == [(*[c or None for c in r], i) for i, r in enumerate(rows)]
 
 
+def test_lines_of_one_block_are_summed_by_several_tasks(spark, scratch, monkeypatch):
+    rnd = random.Random(3)
+    rows = [[f"r{i}", rnd.choice(CELLS), rnd.choice(CELLS)] for i in range(900)]
+    with open(f"{scratch}/a.csv", "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(["id", "u", "v"])
+        w.writerows(rows)
+    monkeypatch.setattr(records, "PIECE", 37)
+    monkeypatch.setattr(records, "TASK_LINES", 100)
+    lines = records.written(records._lines(spark, scratch))
+    assert lines.select("file", "block").distinct().count() == 1
+    held = [r["count"] for r in records._dealt(lines).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(held) < sum(held) / 4
+    got = [tuple(r) for r in read_records(spark, scratch, ordered=True).orderBy(ORDINAL).collect()]
+    assert got == [(*[c or None for c in r], i) for i, r in enumerate(rows)]
+
+
 def test_plain_files_use_the_plain_reader_in_file_order(spark, scratch, small_blocks):
     rnd = random.Random(2)
     rows = [(i, rnd.choice(["a", 'q"uote', "x, y", 'all "of" it'])) for i in range(2000)]
