@@ -95,12 +95,21 @@ def gradient(m: Weights, ids: np.ndarray, nexts: np.ndarray, weight: np.ndarray,
     """Of the mean loss over places of weight 1 (0: padding)."""
     z, (x, q, k, v, s, y, u) = _attend(m, ids, first)
     n, t, d = x.shape
-    flat = z.reshape(-1, d)
-    logits = flat @ m["O"] + m["o"]
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(p)), nexts.reshape(-1)] -= 1
-    p *= (weight.reshape(-1, 1) / max(1.0, float(weight.sum()))).astype(np.float32)
+    flat = np.ones((n * z.shape[1], d + 1), z.dtype)
+    flat[:, :-1] = z.reshape(-1, d)
+    out = np.vstack([m["O"], m["o"]])
+    share = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(z.dtype)
+    with np.errstate(all="ignore"):
+        p = flat @ out
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], p.dtype)
+    if not (np.isfinite(total) & (total > np.finfo(p.dtype).tiny)).all():  # exponents that the type can't hold
+        p = flat @ out
+        p = np.exp(p - p.max(1, keepdims=True))
+        total = p.sum(1)
+    p *= (share / total)[:, None]
+    p[np.arange(len(p)), nexts.reshape(-1)] -= share
+    dout = flat.T @ p
     dz = (p @ m["O"].T).reshape(z.shape)
     flat_dz, flat_u, flat_y = dz.reshape(-1, d), u.reshape(-1, HIDDEN), y.reshape(-1, d)
     du = (flat_dz @ m["B"].T) * (flat_u > 0)
@@ -118,7 +127,7 @@ def gradient(m: Weights, ids: np.ndarray, nexts: np.ndarray, weight: np.ndarray,
     de[kinds] = np.add.reduceat(flat_dx[order], begins)
     return {"E": de, "P": np.pad(dx.sum(0), ((0, len(m["P"]) - t), (0, 0))), "Q": late.T @ dq.reshape(-1, d),
             "K": flat_x.T @ dk.reshape(-1, d), "V": flat_x.T @ dv.reshape(-1, d), "A": flat_y.T @ du,
-            "a": du.sum(0), "B": flat_u.T @ flat_dz, "O": flat.T @ p, "o": p.sum(0)}
+            "a": du.sum(0), "B": flat_u.T @ flat_dz, "O": dout[:-1], "o": dout[-1]}
 
 
 def train(m: Weights, ids: np.ndarray, nexts: np.ndarray, weight: np.ndarray, first: int, rate: float,

@@ -14,9 +14,8 @@ so the score is the log10 of a proper probability: known words profit from the
 corpus, unknown ones from their spelling and context.
 
 What is learned: word counts, subword counts and class shares come from every
-training document. The attention weights are fitted by local Adam runs on
-disjoint parts of windows, averaged round by round; the number of documents
-whose windows are used grows with the square root of the corpus. The
+training document. The attention weights are fitted on all windows of all training
+documents, by local Adam runs on disjoint parts that are averaged round by round. The
 ``head`` most frequent words travel to the tasks as a table of fixed size;
 all rarer words meet their counts in a shuffle join.
 
@@ -168,17 +167,61 @@ def windows(ids: np.ndarray, n: np.ndarray, blank: int) -> tuple[np.ndarray, np.
     return np.hstack([before, nexts[:, :-1]]), np.where(nexts == blank, 0, nexts), real
 
 
-def _windows_of(path: str, kinds: Classes):
+class Head(NamedTuple):
+    """The most frequent words; index -1 stands for any other."""
+    index: dict[bytes, int]
+    ids: np.ndarray
+    begin: np.ndarray
+    n: np.ndarray
+    known: np.ndarray  # natural log of the word's share
+
+
+class Tokens(NamedTuple):
+    ids: np.ndarray  # subwords of all texts, an end after each
+    per_text: np.ndarray  # their number, ends left out
+    count: np.ndarray  # words of each text
+    at: np.ndarray  # each word's place in the head, -1 for others
+    others: list[bytes]
+    begin: np.ndarray  # first subword of each word, ends left out
+
+
+def tokens_of(texts: list[bytes], head: Head, path: str) -> Tokens:
+    """Only words that aren't in the head pass through the tokenizer."""
+    end, index = tokenizer(path)[2], head.index
+    split = [t.lower().split() for t in texts]
+    count = np.array([len(w) for w in split], np.int64)
+    words = [w for ws in split for w in ws]
+    at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+    rare = at < 0
+    others = [words[i] for i in np.flatnonzero(rare)]
+    own_ids, own_n = subwords(others, path)
+    n = np.ones(len(words), np.int64)
+    n[~rare], n[rare] = head.n[at[~rare]], own_n
+    source = np.zeros(len(words), np.int64)
+    source[~rare], source[rare] = head.begin[at[~rare]], np.cumsum(own_n) - own_n
+    begin = np.cumsum(n) - n
+    flat = np.repeat(source - begin, n) + np.arange(int(n.sum()))
+    from_head = np.repeat(~rare, n)
+    ids = np.empty(len(flat), np.int32)
+    ids[from_head], ids[~from_head] = head.ids[flat[from_head]], own_ids[flat[~from_head]]
+    per_text = np.bincount(np.repeat(np.arange(len(texts)), count), weights=n, minlength=len(texts)).astype(np.int64)
+    return Tokens(np.insert(ids, np.cumsum(per_text), end), per_text, count, at, others, begin)
+
+
+def _windows_of(path: str, kinds: Classes, head: Head, at_once: int = 1 << 20):
+    """A row a window: a byte for each class of its inputs, and the last next one."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = tokenizer(path)[2]
         for batch in batches:
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, _ = subwords(t.as_py().lower().split(), path)
-                own = kinds.of[np.append(ids, end)]
-                x, y, w = windows(own, np.array([len(own)]), CLASSES)
-                joined = np.hstack([x, y, w.astype(np.int16)]).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array(range(len(x)), pa.int64()),
-                                                  pa.array([r.tobytes() for r in joined], pa.binary())], names=["doc", "k", "w"])
+            held, size = [], 0
+            for i, t in enumerate(batch.column(0)):
+                held.append(t.as_py())
+                size += len(held[-1])
+                if size > at_once or i == batch.num_rows - 1:
+                    own = tokens_of(held, head, path)
+                    x, y, w = windows(kinds.of[own.ids], own.per_text + 1, CLASSES)
+                    flat = np.hstack([x, np.where(w[:, -1:] > 0, y[:, -1:], CLASSES)]).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in flat], pa.binary())], names=["w"])
+                    held, size = [], 0
 
     return cut
 
@@ -195,73 +238,45 @@ def _shaped(flat: np.ndarray, like: attention.Weights) -> attention.Weights:
     return out
 
 
-def fit(docs: DataFrame, n_docs: int, kinds: Classes, path: str, rounds: int, fit_docs: int, per_task: int, rate: float) -> attention.Weights:
-    """Local Adam runs over the windows of a hash sample of docs whose expected
-    number is the square root of fit_docs * n_docs, averaged after each round."""
+def fit(docs: DataFrame, kinds: Classes, path: str, rounds: int, per_task: int, rate: float, head: Head) -> attention.Weights:
+    """Local Adam runs over all windows of docs, a part of them each round, averaged
+    after it. Which round and task a window is in depends on what it holds and on
+    its number among equal ones."""
     model = attention.start(CLASSES + 1, kinds.shares, CONTEXT, WIDTH)
-    share = min(1.0, (fit_docs / max(1, n_docs)) ** 0.5)
-    key = F.xxhash64(F.lit("lm"), "doc_id", "text")
-    drawn = docs.select(key.alias("doc"), text_bytes().alias("data")).filter(
-        F.pmod("doc", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    cut = written(drawn.mapInArrow(_windows_of(path, kinds), "doc bigint, k bigint, w binary")
-                  .withColumn("round", F.pmod(F.xxhash64("doc", "k"), F.lit(rounds))), "windows")
+    cut = written(docs.select(text_bytes()).mapInArrow(_windows_of(path, kinds, head), "w binary")
+                  .groupBy("w").agg(F.count("*").alias("copies")), "windows")
+    every = cut.select("w", F.explode(F.expr("sequence(1, copies)")).alias("k")).withColumn("deal", F.xxhash64("w", "k"))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [w.as_py() for batch in batches for w in batch.column("w")]  # about per_task windows
         if rows:
-            data = np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), -1).astype(np.int64)
-            x, y, w = np.split(data, [CONTEXT, CONTEXT + STEP], axis=1)
-            m = attention.train(model, x, y, w.astype(np.float32), OVERLAP, now)
+            data = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1).astype(np.int64)
+            x, y = data[:, :CONTEXT], data[:, OVERLAP + 1:]
+            real = (y != CLASSES).astype(np.float32)
+            m = attention.train(model, x, np.where(y == CLASSES, 0, y), real, OVERLAP, now, epochs=1)
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([_flat(m).astype(np.float64)])], names=["n", "m"])
 
-    sizes = {r["round"]: r["count"] for r in cut.groupBy("round").count().collect()}
-    for r in range(rounds):
-        if not sizes.get(r):
-            continue
+    total = int(cut.agg(F.sum("copies")).first()[0] or 0)
+    for r in range(rounds if total else 0):
         now = rate * 0.5 ** (4 * r / rounds)
-        parts = cut.filter(F.col("round") == r).repartition(-(-sizes[r] // per_task), F.xxhash64("k", "doc"))
+        parts = (every.filter(F.pmod("deal", F.lit(rounds)) == r)
+                 .repartition(-(-total // (rounds * per_task)), "deal"))
         mean = (parts.mapInArrow(trained, "n bigint, m array<double>")
                 .select("n", F.posexplode("m").alias("i", "v"))
                 .groupBy("i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).orderBy("i").toArrow())
-        model = _shaped(mean.column("v").to_numpy(), model)
+        if mean.num_rows:
+            model = _shaped(mean.column("v").to_numpy(), model)
     remove(cut)
     return model
 
 
-class Head(NamedTuple):
-    """The most frequent words; index -1 stands for any other."""
-    index: dict[bytes, int]
-    ids: np.ndarray
-    begin: np.ndarray
-    n: np.ndarray
-    known: np.ndarray  # natural log of the word's share
-
-
 def _score(texts: list[bytes], head: Head, kinds: Classes, model: attention.Weights, end_known: float, path: str, mixed: float) -> dict:
     """Sums a text over the words of the head and the end, and its other words."""
-    end, index = tokenizer(path)[2], head.index
-    split = [t.lower().split() for t in texts]
-    count = np.array([len(w) for w in split], np.int64)
-    words = [w for ws in split for w in ws]
-    at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+    own = tokens_of(texts, head, path)
+    tokens, per_text, count, at, others = own.ids, own.per_text, own.count, own.at, own.others
     rare = at < 0
-    others = [words[i] for i in np.flatnonzero(rare)]
-    own_ids, own_n = subwords(others, path)
-    n = np.ones(len(words), np.int64)
-    n[~rare], n[rare] = head.n[at[~rare]], own_n
-    source = np.zeros(len(words), np.int64)
-    source[~rare], source[rare] = head.begin[at[~rare]], np.cumsum(own_n) - own_n
-    begin = np.cumsum(n) - n
-    flat = np.repeat(source - begin, n) + np.arange(int(n.sum()))
-    from_head = np.repeat(~rare, n)
-    ids = np.empty(len(flat), np.int32)
-    ids[from_head], ids[~from_head] = head.ids[flat[from_head]], own_ids[flat[~from_head]]
-    # one end after each text
     text = np.repeat(np.arange(len(texts)), count)
-    per_text = np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
-    stops = np.cumsum(per_text)
-    tokens = np.insert(ids, stops, end)
-    start = np.insert(begin + text, np.cumsum(count), stops + np.arange(len(texts)))
+    start = np.insert(own.begin + text, np.cumsum(count), np.cumsum(per_text) + np.arange(len(texts)))
     x, y, real = windows(kinds.of[tokens], per_text + 1, CLASSES)
     lp, ls = (p[real > 0] for p in attention.log_probs(model, x, y, OVERLAP, kinds.starts))
     lp = lp.astype(np.float64) + kinds.within[tokens]
@@ -310,11 +325,11 @@ def _scored(at_once: int = 1 << 20, **params):
 
 
 def lm_scores(docs: DataFrame, path: str = TOKENIZER, head_words: int = 100_000, mixed: float = 0.75, rounds: int = 4,
-              fit_docs: int = 100, per_task: int = 8192, rate: float = 1e-2) -> DataFrame:
+              per_task: int = 8192, rate: float = 1e-2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     each row. Learns from ids whose crc32 modulo 5 is not 1. ``mixed`` is the
-    weight of a word's corpus share against its spelling; ``per_task`` windows
-    make one local training run; see ``fit`` for ``fit_docs``."""
+    weight of a word's corpus share against its spelling; about ``per_task`` windows
+    make one local training run."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
@@ -327,13 +342,13 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, head_words: int = 100_000,
 
     sub = subword_counts(counts, path)
     kinds = classes(sub, path)
-    model = fit(training, n_docs, kinds, path, rounds, fit_docs, per_task, rate)
     top = counts.filter(F.col("word") != F.lit(END_WORD)).orderBy(F.desc("c"), "word").limit(head_words).toArrow()
     common = top.column("word").to_pylist()
     ids, n = subwords(common, path)
     shares = np.log((top.column("c").to_numpy() + 0.5) / unit) if common else np.zeros(1)
     head = Head({w: i for i, w in enumerate(common)}, ids, np.cumsum(n) - n, n, shares)
 
+    model = fit(training, kinds, path, rounds, per_task, rate, head)
     share = _scored(head=head, kinds=kinds, model=model, end_known=float(np.log((n_docs + 0.5) / unit)), path=path, mixed=mixed)
     rows = written(docs.withColumn("s", share(text_bytes()))
                    .select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.*"), "lm-rows")

@@ -137,3 +137,27 @@ def test_word_probabilities_of_the_mixture_sum_to_at_most_one():
     lp, ls = attention.log_probs(m, np.full((1, 6), blank), np.array([[7, 0, 0, 0]]), 2, starts)
     total += math.exp(lp[0, 0] - ls[0, 0])  # the end itself
     assert 0.3 < total <= 1 + 1e-5
+
+
+def test_weights_are_fitted_on_every_training_window(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([0, 5, 30, 90])))) for i in range(900)]
+    kept = {}
+    plain = lm_score.written
+    monkeypatch.setattr(lm_score, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(lm_score, "remove", lambda df: None)
+    lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), rounds=2)
+    learned = [t for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    n = [len(lm_score.subwords(t.encode().split(), lm_score.TOKENIZER)[0]) + 1 for t in learned]
+    windows = kept["windows"].selectExpr("w", "copies" if "copies" in kept["windows"].columns else "1 as copies").collect()
+    assert sum(r.copies for r in windows) == sum(-(-k // lm_score.STEP) for k in n)
+    seen = [(np.frombuffer(r.w, np.uint8)[lm_score.OVERLAP + 1:] != lm_score.CLASSES).sum() * r.copies for r in windows]
+    assert sum(seen) == sum(n)
+
+
+def test_gradient_with_exponents_that_float32_cannot_hold():
+    m, rng = model()
+    ids, nexts, w = rng.integers(0, 9, (3, 6)), rng.integers(0, 8, (3, 4)), np.ones((3, 4), np.float32)
+    for up in (100, -100):  # a constant on all logits changes nothing
+        g, h = attention.gradient(m, ids, nexts, w, 2), attention.gradient(m | {"o": m["o"] + np.float32(up)}, ids, nexts, w, 2)
+        assert all(np.allclose(g[k], h[k], atol=1e-4) for k in g)
