@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gemstats.llm.common import remove, salted_join, salts_used, small_batches, text_bytes, written
+from gemstats.llm.common import among, remove, salted_join, salts_used, small_batches, text_bytes, written
 from gemstats.llm.graph import components
 from gemstats.llm.simhash import shingle_hashes
 
@@ -173,7 +173,9 @@ def _same(percent: int, k: int):
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, at_once: int = 128) -> DataFrame:
     """Those of the written ``pairs(a, b)`` whose sets have 100 * intersection
     >= percent * union. The pairs of one ``a`` are dealt to a task for every
-    ``at_once`` of them."""
+    ``at_once`` of them; only texts of pairs are moved, if the pairs' nodes are few
+    enough to be broadcast."""
+    texts = among(texts, written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired"), "left_semi", "node")
     counted = pairs.groupBy("a").agg(F.count("*").alias("n"), salts_used(F.col("b")))
     dealt = (salted_join(pairs, counted, ["a"], F.col("b"))
              .withColumn("part", F.expr(f"pmod(xxhash64(b), cast(ceil(n / {at_once}) as bigint))")).select("a", "b", "part"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from gemstats.llm import minhash
+from gemstats.llm.common import written
 from gemstats.llm.minhash import minhash_groups, signatures
 
 SCHEMA = "doc_id long, text string"
@@ -133,3 +134,14 @@ def test_odd_sketches_never_exceed_the_difference_and_keep_all_links():
             assert minhash.likely(x[None], y, size[:1], size[1:], 85).all()
         elif n <= 300:
             assert not minhash.likely(x[None], y, size[:1], size[1:], 85).any()
+
+
+def test_only_texts_of_pairs_are_moved(spark):
+    say = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    texts = written(spark.createDataFrame([(i, bytes(say(i % 90), "ascii")) for i in range(100)], "node long, text binary"), "texts")
+    pairs = written(spark.createDataFrame([(3, 93), (4, 5)], "a long, b long"), "pairs")
+    found = minhash.confirmed(pairs, texts)
+    assert [tuple(r) for r in found.collect()] == [(3, 93)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    none = written(pairs.limit(0), "pairs")
+    assert minhash.confirmed(none, texts).collect() == []
