@@ -11,6 +11,8 @@ import numpy as np
 
 Weights = dict[str, np.ndarray]
 HIDDEN = 32
+BATCH, LEAST_STEPS = 64, 250  # windows a training step; steps of a training run, if there are so many windows or not
+ROWS = 384  # of logits at a time, so that they stay in the CPU's cache
 
 
 def start(classes: int, shares: np.ndarray, context: int, width: int, seed: int = 1) -> Weights:
@@ -24,39 +26,38 @@ def start(classes: int, shares: np.ndarray, context: int, width: int, seed: int
 
 
 def _attend(m: Weights, ids: np.ndarray, first: int) -> tuple:
-    """States of the places from ``first`` on, and what the gradient needs."""
-    n, t = ids.shape
-    x = m["E"][ids] + m["P"][:t]
-    q, k, v = x[:, first:] @ m["Q"], x @ m["K"], x @ m["V"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(1 / np.sqrt(x.shape[2]))
-    s += np.where(np.arange(t) > np.arange(first, t)[:, None], np.float32(-1e9), np.float32(0))
-    s -= s.max(2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    y = x[:, first:] + s @ v
-    u = np.maximum(y @ m["A"] + m["a"], 0)
-    return y + u @ m["B"], (x, q, k, v, s, y, u)
-
-
-def _fast(m: Weights) -> tuple:
-    """The weights as scoring uses them: scaled queries, and outputs with their bias."""
-    return m["Q"] * np.float32(1 / np.sqrt(m["Q"].shape[1])), np.vstack([m["O"], m["o"]])
-
-
-def _states(m: Weights, scaled: np.ndarray, ids: np.ndarray, first: int, seen: np.ndarray) -> np.ndarray:
-    """What ``_attend`` gives, with a 1 behind each state; the softmax's sum
-    comes with the values. Not finite where float32 can't hold the exponentials."""
-    x = m["E"][ids] + m["P"][:ids.shape[1]]
-    late = x[:, first:]
-    s = (late @ scaled) @ (x @ m["K"]).transpose(0, 2, 1)
-    np.exp(s, out=s)
-    s *= seen
-    v = s @ np.concatenate([x @ m["V"], np.ones((*ids.shape, 1), np.float32)], axis=2)
-    y = (late + v[:, :, :-1] / v[:, :, -1:]).reshape(-1, x.shape[2])
-    z = np.ones((len(y), y.shape[1] + 1), np.float32)
-    z[:, :-1] = y + np.maximum(y @ m["A"] + m["a"], 0) @ m["B"]
-    return z
+    """States of the places from ``first`` on, and what else the gradient needs; first
+    of that the states as rows with a 1 behind each. Rows of all windows go through
+    one product a weight; the softmax's sum comes with the values."""
+    (n, t), d, kind = ids.shape, m["E"].shape[1], m["E"].dtype
+    x = m["E"].take(ids, 0)
+    x += m["P"][:t]
+    late = np.ascontiguousarray(x[:, first:]).reshape(-1, d)
+    x = x.reshape(-1, d)
+    q = (late @ (m["Q"] * kind.type(1 / np.sqrt(d)))).reshape(n, -1, d)
+    k = (x @ m["K"]).reshape(n, t, d)
+    v = np.ones((n, t, d + 1), kind)
+    v[:, :, :d] = (x @ m["V"]).reshape(n, t, d)
+    seen = np.arange(t) <= np.arange(first, t)[:, None]
+    with np.errstate(all="ignore"):
+        s = q @ k.transpose(0, 2, 1)
+        np.exp(s, out=s)
+        s *= seen
+        a = s @ v
+    if not (np.isfinite(a).all() and (a[:, :, d] > 1e-30).all()):  # exponents that the type can't hold
+        s = np.where(seen, q @ k.transpose(0, 2, 1), kind.type(-np.inf))
+        s = np.exp(s - s.max(2, keepdims=True))
+        a = s @ v
+    a = a.reshape(-1, d + 1)
+    total = a[:, d:]
+    mean = a[:, :d] / total
+    y = late + mean
+    u = y @ m["A"]
+    u += m["a"]
+    np.maximum(u, 0, out=u)
+    z = np.ones((len(y), d + 1), kind)
+    np.add(y, u @ m["B"], out=z[:, :d])
+    return z.reshape(n, -1, d + 1)[:, :, :d], (z, x, late, q, k, v, s, total, mean, y, u)
 
 
 def _careful(m: Weights, ids: np.ndarray, nexts: np.ndarray, first: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,69 +75,90 @@ def log_probs(m: Weights, ids: np.ndarray, nexts: np.ndarray, first: int, marked
     """Natural log probability, from place ``first`` on, of each next class and
     of the next class being one of the ``marked`` (1 or 0 a class)."""
     both = np.empty((2, *nexts.shape), np.float32)
-    seen = (np.arange(ids.shape[1]) <= np.arange(first, ids.shape[1])[:, None]).astype(np.float32)
     sums = np.stack([np.ones_like(marked), marked], 1)
-    scaled, out = _fast(m)
+    out = np.vstack([m["O"], m["o"]])
+    places = np.arange(ROWS)
     with np.errstate(all="ignore"):
-        for a in range(0, len(ids), at_once):  # few enough that the logits stay in the CPU's cache
+        for a in range(0, len(ids), at_once):
             part = nexts[a:a + at_once]
-            p = _states(m, scaled, ids[a:a + at_once], first, seen) @ out
-            own = p[np.arange(len(p)), part.reshape(-1)]
-            np.exp(p, out=p)
-            total = np.log(p @ sums)
-            now = np.stack([own - total[:, 0], total[:, 1] - total[:, 0]]).reshape(2, *part.shape)
+            z, flat = _attend(m, ids[a:a + at_once], first)[1][0], part.reshape(-1)
+            now = np.empty((2, len(flat)), np.float32)
+            for i in range(0, len(flat), ROWS):
+                p, own = z[i:i + ROWS] @ out, flat[i:i + ROWS]
+                now[0, i:i + ROWS] = p[places[:len(own)], own]
+                np.exp(p, out=p)
+                total = np.log(p @ sums)
+                now[0, i:i + ROWS] -= total[:, 0]
+                now[1, i:i + ROWS] = total[:, 1] - total[:, 0]
+            now = now.reshape(2, *part.shape)
             if not np.isfinite(now).all():
                 now = np.stack(_careful(m, ids[a:a + at_once], part, first, marked))
             both[:, a:a + at_once] = now
     return both[0], both[1]
 
 
+def _output_gradient(z: np.ndarray, out: np.ndarray, nexts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the loss of rows with these shares: that of the rows and of ``out``."""
+    d = z.shape[1] - 1
+    dz, dout = np.empty((len(z), d), z.dtype), np.zeros(out.shape[::-1], z.dtype)
+    back = np.ones((out.shape[1], d + 1), z.dtype)  # the sums come with the rows' gradient
+    back[:, :d] = out[:d].T
+    least = np.finfo(z.dtype).tiny
+    for i in range(0, len(z), ROWS):
+        rows, own, part = z[i:i + ROWS], nexts[i:i + ROWS], share[i:i + ROWS]
+        with np.errstate(all="ignore"):
+            p = rows @ out
+            np.exp(p, out=p)
+            b = p @ back
+        if not (np.isfinite(b).all() and (b[:, d] > least).all()):  # exponents that the type can't hold
+            p = rows @ out
+            p = np.exp(p - p.max(1, keepdims=True))
+            b = p @ back
+        total = b[:, d]
+        scale = (part / total)[:, None]
+        p[np.arange(len(p)), own] -= total
+        dz[i:i + ROWS] = b[:, :d] * scale - back[:, :d].take(own, 0) * part[:, None]
+        dout += p.T @ (rows * scale)
+    return dz, dout.T
+
+
 def gradient(m: Weights, ids: np.ndarray, nexts: np.ndarray, weight: np.ndarray, first: int) -> Weights:
     """Of the mean loss over places of weight 1 (0: padding)."""
-    z, (x, q, k, v, s, y, u) = _attend(m, ids, first)
-    n, t, d = x.shape
-    flat = np.ones((n * z.shape[1], d + 1), z.dtype)
-    flat[:, :-1] = z.reshape(-1, d)
-    out = np.vstack([m["O"], m["o"]])
-    share = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(z.dtype)
-    with np.errstate(all="ignore"):
-        p = flat @ out
-        np.exp(p, out=p)
-        total = p @ np.ones(p.shape[1], p.dtype)
-    if not (np.isfinite(total) & (total > np.finfo(p.dtype).tiny)).all():  # exponents that the type can't hold
-        p = flat @ out
-        p = np.exp(p - p.max(1, keepdims=True))
-        total = p.sum(1)
-    p *= (share / total)[:, None]
-    p[np.arange(len(p)), nexts.reshape(-1)] -= share
-    dout = flat.T @ p
-    dz = (p @ m["O"].T).reshape(z.shape)
-    flat_dz, flat_u, flat_y = dz.reshape(-1, d), u.reshape(-1, HIDDEN), y.reshape(-1, d)
-    du = (flat_dz @ m["B"].T) * (flat_u > 0)
-    dy = dz + (du @ m["A"].T).reshape(z.shape)
-    ds = dy @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(1 / np.sqrt(d))
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dy
-    dx = dk @ m["K"].T + dv @ m["V"].T
-    dx[:, first:] += dy + dq @ m["Q"].T
-    late = x[:, first:].reshape(-1, d)
-    flat_x, flat_dx = x.reshape(-1, d), dx.reshape(-1, d)
-    order = np.argsort(ids.reshape(-1), kind="stable")
-    kinds, begins = np.unique(ids.reshape(-1)[order], return_index=True)
-    de = np.zeros_like(m["E"])
-    de[kinds] = np.add.reduceat(flat_dx[order], begins)
-    return {"E": de, "P": np.pad(dx.sum(0), ((0, len(m["P"]) - t), (0, 0))), "Q": late.T @ dq.reshape(-1, d),
-            "K": flat_x.T @ dk.reshape(-1, d), "V": flat_x.T @ dv.reshape(-1, d), "A": flat_y.T @ du,
-            "a": du.sum(0), "B": flat_u.T @ flat_dz, "O": dout[:-1], "o": dout[-1]}
+    z, x, late, q, k, v, s, total, mean, y, u = _attend(m, ids, first)[1]
+    (n, t), d, kind = ids.shape, x.shape[1], z.dtype
+    share = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(kind)
+    dz, dout = _output_gradient(z, np.vstack([m["O"], m["o"]]), nexts.reshape(-1), share)
+    du = dz @ m["B"].T
+    du *= u > 0
+    dy = dz + du @ m["A"].T
+    h = np.empty((len(dy), d + 1), kind)  # of the softmax's mean and, behind it, of its sum
+    np.divide(dy, total, out=h[:, :d])
+    np.negative(np.einsum("ij,ij->i", h[:, :d], mean), out=h[:, d])
+    h = h.reshape(n, -1, d + 1)
+    ds = h @ v.transpose(0, 2, 1)
+    ds *= s
+    dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+    dq *= kind.type(1 / np.sqrt(d))
+    dv = (s.transpose(0, 2, 1) @ h[:, :, :d]).reshape(-1, d)
+    dx = dk @ m["K"].T
+    dx += dv @ m["V"].T
+    dx = dx.reshape(n, t, d)
+    dx[:, first:] += (dy + dq @ m["Q"].T).reshape(n, -1, d)
+    cells = (ids.reshape(-1, 1).astype(np.int64) * d + np.arange(d)).reshape(-1)
+    de = np.bincount(cells, weights=dx.reshape(-1), minlength=m["E"].size).astype(kind).reshape(m["E"].shape)
+    return {"E": de, "P": np.pad(dx.sum(0), ((0, len(m["P"]) - t), (0, 0))), "Q": late.T @ dq, "K": x.T @ dk, "V": x.T @ dv,
+            "A": y.T @ du, "a": du.sum(0), "B": u.T @ dz, "O": dout[:-1], "o": dout[-1]}
 
 
 def train(m: Weights, ids: np.ndarray, nexts: np.ndarray, weight: np.ndarray, first: int, rate: float,
-          epochs: int = 2, batch: int = 64, least_steps: int = 250, seed: int = 1) -> Weights:
+          epochs: int = 2, batch: int = BATCH, least_steps: int = LEAST_STEPS, seed: int = 1) -> Weights:
     """Adam from the given weights over all windows, again and again for
     ``epochs`` or, if they are few, until ``least_steps``."""
     rng = np.random.default_rng(seed)
-    m = {k: v.copy() for k, v in m.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    flat = np.concatenate([m[k].ravel() for k in m])
+    ends = np.cumsum([v.size for v in m.values()]).tolist()
+    m = {k: flat[e - v.size:e].reshape(v.shape) for (k, v), e in zip(m.items(), ends, strict=True)}  # views
+    one, two = np.zeros_like(flat), np.zeros_like(flat)
     rounds = max(1, -(-len(ids) // batch))
     epochs = max(epochs, -(-least_steps // rounds))
     step, steps = 0, epochs * rounds
@@ -144,8 +166,9 @@ def train(m: Weights, ids: np.ndarray, nexts: np.ndarray, weight: np.ndarray, fi
         for own in np.array_split(rng.permutation(len(ids)), rounds):
             step += 1
             now = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
-            for k, g in gradient(m, ids[own], nexts[own], weight[own], first).items():
-                one[k] = 0.9 * one[k] + 0.1 * g
-                two[k] = 0.99 * two[k] + 0.01 * g * g
-                m[k] -= (now * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            new = gradient(m, ids[own], nexts[own], weight[own], first)
+            g = np.concatenate([new[k].ravel() for k in m])
+            one += np.float32(0.1) * (g - one)
+            two += np.float32(0.01) * (g * g - two)
+            flat -= np.float32(now / (1 - 0.9**step)) * one / (np.sqrt(two / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     return m

@@ -241,7 +241,8 @@ def _shaped(flat: np.ndarray, like: attention.Weights) -> attention.Weights:
 def fit(docs: DataFrame, kinds: Classes, path: str, rounds: int, per_task: int, rate: float, head: Head) -> attention.Weights:
     """Local Adam runs over all windows of docs, a part of them each round, averaged
     after it. Which round and task a window is in depends on what it holds and on
-    its number among equal ones."""
+    its number among equal ones. A task gets enough windows for LEAST_STEPS steps over
+    each once; windows are used again only if a round has too few for that."""
     model = attention.start(CLASSES + 1, kinds.shares, CONTEXT, WIDTH)
     cut = written(docs.select(text_bytes()).mapInArrow(_windows_of(path, kinds, head), "w binary")
                   .groupBy("w").agg(F.count("*").alias("copies")), "windows")
@@ -253,14 +254,16 @@ def fit(docs: DataFrame, kinds: Classes, path: str, rounds: int, per_task: int,
             data = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1).astype(np.int64)
             x, y = data[:, :CONTEXT], data[:, OVERLAP + 1:]
             real = (y != CLASSES).astype(np.float32)
-            m = attention.train(model, x, np.where(y == CLASSES, 0, y), real, OVERLAP, now, epochs=1)
+            m = attention.train(model, x, np.where(y == CLASSES, 0, y), real, OVERLAP, now, epochs=1, least_steps=least_steps)
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([_flat(m).astype(np.float64)])], names=["n", "m"])
 
     total = int(cut.agg(F.sum("copies")).first()[0] or 0)
+    tasks = max(1, total // (rounds * max(per_task, attention.BATCH * attention.LEAST_STEPS)))  # of a round
+    least_steps = attention.LEAST_STEPS if tasks == 1 else 1
     for r in range(rounds if total else 0):
         now = rate * 0.5 ** (4 * r / rounds)
         parts = (every.filter(F.pmod("deal", F.lit(rounds)) == r)
-                 .repartition(-(-total // (rounds * per_task)), "deal"))
+                 .repartition(tasks, "deal"))
         mean = (parts.mapInArrow(trained, "n bigint, m array<double>")
                 .select("n", F.posexplode("m").alias("i", "v"))
                 .groupBy("i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).orderBy("i").toArrow())
@@ -328,8 +331,8 @@ def lm_scores(docs: DataFrame, path: str = TOKENIZER, head_words: int = 100_000,
               per_task: int = 8192, rate: float = 1e-2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     each row. Learns from ids whose crc32 modulo 5 is not 1. ``mixed`` is the
-    weight of a word's corpus share against its spelling; about ``per_task`` windows
-    make one local training run."""
+    weight of a word's corpus share against its spelling; at least about ``per_task``
+    windows make one local training run."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gemstats.llm import attention, lm_score
@@ -161,3 +162,29 @@ def test_gradient_with_exponents_that_float32_cannot_hold():
     for up in (100, -100):  # a constant on all logits changes nothing
         g, h = attention.gradient(m, ids, nexts, w, 2), attention.gradient(m | {"o": m["o"] + np.float32(up)}, ids, nexts, w, 2)
         assert all(np.allclose(g[k], h[k], atol=1e-4) for k in g)
+
+
+def test_a_training_run_uses_each_of_its_windows_once(spark, monkeypatch):
+    monkeypatch.setattr(attention, "LEAST_STEPS", 4, raising=False)  # 256 windows make a run
+    made = []
+    df = spark.createDataFrame([(i, f"w{i % 7} the of " * 400) for i in range(40)], "doc_id long, text string")
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **k: made.append(f) or plain(self, f, *a, **k))
+    lm_score.lm_scores(df, rounds=1, per_task=256)
+    trained = next(f for f in made if f.__name__ == "trained")
+    sizes = []
+    gradient = attention.gradient
+    monkeypatch.setattr(attention, "gradient", lambda m, ids, *a: sizes.append(len(ids)) or gradient(m, ids, *a))
+    rng = np.random.default_rng(0)
+    rows = [rng.integers(0, lm_score.CLASSES, lm_score.CONTEXT + 1).astype(np.uint8).tobytes() for _ in range(300)]
+    out = list(trained(iter([pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["w"])])))
+    assert out[0].column(0).to_pylist() == [300]
+    assert sum(sizes) == 300
+
+
+def test_gradient_with_attention_exponents_that_float32_cannot_hold():
+    m, rng = model()
+    ids, nexts, w = rng.integers(0, 9, (3, 6)), rng.integers(0, 8, (3, 4)), np.ones((3, 4), np.float32)
+    huge = m | {"Q": m["Q"] * 100}
+    g, h = (attention.gradient({k: v.astype(t) for k, v in huge.items()}, ids, nexts, w, 2) for t in (np.float32, np.float64))
+    assert all(np.isfinite(g[k]).all() and np.allclose(g[k], h[k], atol=1e-2 * abs(h[k]).max()) for k in g)
