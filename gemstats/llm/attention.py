@@ -13,6 +13,7 @@ Weights = dict[str, np.ndarray]
 HIDDEN = 32
 BATCH, LEAST_STEPS = 64, 250  # windows a training step; steps of a training run, if there are so many windows or not
 ROWS = 384  # of logits at a time, so that they stay in the CPU's cache
+LEAST, MOST = 1e-30, 1e30  # sums of exponents within this are exact enough; others are taken again by their maxima
 
 
 def start(classes: int, shares: np.ndarray, context: int, width: int, seed: int = 1) -> Weights:
@@ -28,23 +29,23 @@ def start(classes: int, shares: np.ndarray, context: int, width: int, seed: int
 def _attend(m: Weights, ids: np.ndarray, first: int) -> tuple:
     """States of the places from ``first`` on, and what else the gradient needs; first
     of that the states as rows with a 1 behind each. Rows of all windows go through
-    one product a weight; the softmax's sum comes with the values."""
+    one product for keys and values; the softmax's sum comes with the values."""
     (n, t), d, kind = ids.shape, m["E"].shape[1], m["E"].dtype
     x = m["E"].take(ids, 0)
     x += m["P"][:t]
     late = np.ascontiguousarray(x[:, first:]).reshape(-1, d)
     x = x.reshape(-1, d)
     q = (late @ (m["Q"] * kind.type(1 / np.sqrt(d)))).reshape(n, -1, d)
-    k = (x @ m["K"]).reshape(n, t, d)
-    v = np.ones((n, t, d + 1), kind)
-    v[:, :, :d] = (x @ m["V"]).reshape(n, t, d)
+    both = (x @ _keys_and_values(m)).reshape(n, t, -1)
+    both[:, :, 2 * d] = 1
+    k, v = both[:, :, :d], both[:, :, d:]
     seen = np.arange(t) <= np.arange(first, t)[:, None]
     with np.errstate(all="ignore"):
         s = q @ k.transpose(0, 2, 1)
         np.exp(s, out=s)
-        s *= seen
+        s *= seen.astype(kind)
         a = s @ v
-    if not (np.isfinite(a).all() and (a[:, :, d] > 1e-30).all()):  # exponents that the type can't hold
+    if not (LEAST < a[:, :, d].min(initial=1) and a[:, :, d].max(initial=1) < MOST):  # exponents that the type can't hold
         s = np.where(seen, q @ k.transpose(0, 2, 1), kind.type(-np.inf))
         s = np.exp(s - s.max(2, keepdims=True))
         a = s @ v
@@ -54,12 +55,18 @@ def _attend(m: Weights, ids: np.ndarray, first: int) -> tuple:
     y = late + mean
     u = y @ m["A"]
     u += m["a"]
-    np.maximum(u, 0, out=u)
-    z = np.ones((len(y), d + 1), kind)
-    np.add(y, u @ m["B"], out=z[:, :d])
+    u += np.abs(u)  # twice the positive part, in half the time of a maximum
+    z = np.empty((len(y), d + 1), kind)
+    z[:, d] = 1
+    np.add(y, u @ (m["B"] * kind.type(0.5)), out=z[:, :d])
     return z.reshape(n, -1, d + 1)[:, :, :d], (z, x, late, q, k, v, s, total, mean, y, u)
 
 
+def _keys_and_values(m: Weights) -> np.ndarray:
+    """Both weights side by side, and a column for the softmax's sum."""
+    return np.hstack([m["K"], m["V"], np.zeros((len(m["K"]), 1), m["K"].dtype)])
+
+
 def _careful(m: Weights, ids: np.ndarray, nexts: np.ndarray, first: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same by row maxima, for windows with very large or small exponents."""
     z, _ = _attend(m, ids, first)
@@ -75,21 +82,22 @@ def log_probs(m: Weights, ids: np.ndarray, nexts: np.ndarray, first: int, marked
     """Natural log probability, from place ``first`` on, of each next class and
     of the next class being one of the ``marked`` (1 or 0 a class)."""
     both = np.empty((2, *nexts.shape), np.float32)
-    sums = np.stack([np.ones_like(marked), marked], 1)
-    out = np.vstack([m["O"], m["o"]])
-    places = np.arange(ROWS)
+    out, one = np.vstack([m["O"], m["o"]]), np.ones_like(marked)
+    kept = np.empty((ROWS, out.shape[1]), out.dtype)
+    begin = np.arange(ROWS) * out.shape[1]
     with np.errstate(all="ignore"):
         for a in range(0, len(ids), at_once):
             part = nexts[a:a + at_once]
             z, flat = _attend(m, ids[a:a + at_once], first)[1][0], part.reshape(-1)
             now = np.empty((2, len(flat)), np.float32)
             for i in range(0, len(flat), ROWS):
-                p, own = z[i:i + ROWS] @ out, flat[i:i + ROWS]
-                now[0, i:i + ROWS] = p[places[:len(own)], own]
+                own = flat[i:i + ROWS]
+                p = np.matmul(z[i:i + ROWS], out, out=kept[:len(own)])
+                now[0, i:i + ROWS] = p.reshape(-1).take(begin[:len(own)] + own)
                 np.exp(p, out=p)
-                total = np.log(p @ sums)
-                now[0, i:i + ROWS] -= total[:, 0]
-                now[1, i:i + ROWS] = total[:, 1] - total[:, 0]
+                total = np.log(p @ one)
+                now[0, i:i + ROWS] -= total
+                now[1, i:i + ROWS] = np.log(p @ marked) - total
             now = now.reshape(2, *part.shape)
             if not np.isfinite(now).all():
                 now = np.stack(_careful(m, ids[a:a + at_once], part, first, marked))
@@ -99,26 +107,29 @@ def log_probs(m: Weights, ids: np.ndarray, nexts: np.ndarray, first: int, marked
 
 def _output_gradient(z: np.ndarray, out: np.ndarray, nexts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the loss of rows with these shares: that of the rows and of ``out``."""
-    d = z.shape[1] - 1
-    dz, dout = np.empty((len(z), d), z.dtype), np.zeros(out.shape[::-1], z.dtype)
-    back = np.ones((out.shape[1], d + 1), z.dtype)  # the sums come with the rows' gradient
+    d, n = z.shape[1] - 1, out.shape[1]
+    dz, dout = np.empty((len(z), d), z.dtype), np.zeros((n, d + 1), z.dtype)
+    back = np.ones((n, d + 1), z.dtype)  # the sums come with the rows' gradient
     back[:, :d] = out[:d].T
-    least = np.finfo(z.dtype).tiny
-    for i in range(0, len(z), ROWS):
-        rows, own, part = z[i:i + ROWS], nexts[i:i + ROWS], share[i:i + ROWS]
-        with np.errstate(all="ignore"):
-            p = rows @ out
+    kept = np.empty((ROWS, n), z.dtype)
+    place = np.arange(len(z)) % ROWS * n + nexts
+    with np.errstate(all="ignore"):
+        for i in range(0, len(z), ROWS):
+            rows = z[i:i + ROWS]
+            p = np.matmul(rows, out, out=kept[:len(rows)])
             np.exp(p, out=p)
             b = p @ back
-        if not (np.isfinite(b).all() and (b[:, d] > least).all()):  # exponents that the type can't hold
-            p = rows @ out
-            p = np.exp(p - p.max(1, keepdims=True))
-            b = p @ back
-        total = b[:, d]
-        scale = (part / total)[:, None]
-        p[np.arange(len(p)), own] -= total
-        dz[i:i + ROWS] = b[:, :d] * scale - back[:, :d].take(own, 0) * part[:, None]
-        dout += p.T @ (rows * scale)
+            if not (LEAST < b[:, d].min() and b[:, d].max() < MOST):  # exponents that the type can't hold
+                np.matmul(rows, out, out=p)
+                p -= p.max(1, keepdims=True)
+                np.exp(p, out=p)
+                b = p @ back
+            total = b[:, d]
+            scale = (share[i:i + ROWS] / total)[:, None]
+            p.reshape(-1)[place[i:i + ROWS]] -= total
+            np.multiply(b[:, :d], scale, out=dz[i:i + ROWS])
+            dout += p.T @ (rows * scale)
+    dz -= back[:, :d].take(nexts, 0) * share[:, None]
     return dz, dout.T
 
 
@@ -133,21 +144,25 @@ def gradient(m: Weights, ids: np.ndarray, nexts: np.ndarray, weight: np.ndarray,
     dy = dz + du @ m["A"].T
     h = np.empty((len(dy), d + 1), kind)  # of the softmax's mean and, behind it, of its sum
     np.divide(dy, total, out=h[:, :d])
-    np.negative(np.einsum("ij,ij->i", h[:, :d], mean), out=h[:, d])
+    np.negative((h[:, :d] * mean) @ np.ones(d, kind), out=h[:, d])
     h = h.reshape(n, -1, d + 1)
     ds = h @ v.transpose(0, 2, 1)
     ds *= s
-    dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+    dq = (ds @ k).reshape(-1, d)
     dq *= kind.type(1 / np.sqrt(d))
-    dv = (s.transpose(0, 2, 1) @ h[:, :, :d]).reshape(-1, d)
-    dx = dk @ m["K"].T
-    dx += dv @ m["V"].T
-    dx = dx.reshape(n, t, d)
+    dboth = np.empty((n, t, 2 * d + 1), kind)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dboth[:, :, :d])
+    np.matmul(s.transpose(0, 2, 1), h, out=dboth[:, :, d:])
+    dboth = dboth.reshape(-1, 2 * d + 1)
+    dx = (dboth @ _keys_and_values(m).T).reshape(n, t, d)
     dx[:, first:] += (dy + dq @ m["Q"].T).reshape(n, -1, d)
-    cells = (ids.reshape(-1, 1).astype(np.int64) * d + np.arange(d)).reshape(-1)
+    cells = np.arange(m["E"].size).reshape(m["E"].shape).take(ids, 0).reshape(-1)
     de = np.bincount(cells, weights=dx.reshape(-1), minlength=m["E"].size).astype(kind).reshape(m["E"].shape)
-    return {"E": de, "P": np.pad(dx.sum(0), ((0, len(m["P"]) - t), (0, 0))), "Q": late.T @ dq, "K": x.T @ dk, "V": x.T @ dv,
-            "A": y.T @ du, "a": du.sum(0), "B": u.T @ dz, "O": dout[:-1], "o": dout[-1]}
+    dp = np.zeros_like(m["P"])
+    dx.sum(0, out=dp[:t])
+    dkv = x.T @ dboth
+    return {"E": de, "P": dp, "Q": late.T @ dq, "K": dkv[:, :d], "V": dkv[:, d:2 * d], "A": y.T @ du, "a": np.ones(len(du), kind) @ du,
+            "B": u.T @ dz * kind.type(0.5), "O": dout[:-1], "o": dout[-1]}
 
 
 def train(m: Weights, ids: np.ndarray, nexts: np.ndarray, weight: np.ndarray, first: int, rate: float,

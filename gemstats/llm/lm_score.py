@@ -219,8 +219,11 @@ def _windows_of(path: str, kinds: Classes, head: Head, at_once: int = 1 << 20):
                 if size > at_once or i == batch.num_rows - 1:
                     own = tokens_of(held, head, path)
                     x, y, w = windows(kinds.of[own.ids], own.per_text + 1, CLASSES)
-                    flat = np.hstack([x, np.where(w[:, -1:] > 0, y[:, -1:], CLASSES)]).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in flat], pa.binary())], names=["w"])
+                    flat = np.empty((len(x), CONTEXT + 1), np.uint8)
+                    flat[:, :CONTEXT], flat[:, CONTEXT] = x, np.where(w[:, -1] > 0, y[:, -1], CLASSES)
+                    begin = np.arange(len(x) + 1, dtype=np.int32) * (CONTEXT + 1)
+                    rows = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(begin), pa.py_buffer(flat)])
+                    yield pa.RecordBatch.from_arrays([rows], names=["w"])
                     held, size = [], 0
 
     return cut
@@ -249,7 +252,7 @@ def fit(docs: DataFrame, kinds: Classes, path: str, rounds: int, per_task: int,
     every = cut.select("w", F.explode(F.expr("sequence(1, copies)")).alias("k")).withColumn("deal", F.xxhash64("w", "k"))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [w.as_py() for batch in batches for w in batch.column("w")]  # about per_task windows
+        rows = [w for batch in batches for w in batch.column("w").to_pylist()]  # about per_task windows
         if rows:
             data = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1).astype(np.int64)
             x, y = data[:, :CONTEXT], data[:, OVERLAP + 1:]

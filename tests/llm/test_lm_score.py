@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -188,3 +189,16 @@ def test_gradient_with_attention_exponents_that_float32_cannot_hold():
     huge = m | {"Q": m["Q"] * 100}
     g, h = (attention.gradient({k: v.astype(t) for k, v in huge.items()}, ids, nexts, w, 2) for t in (np.float32, np.float64))
     assert all(np.isfinite(g[k]).all() and np.allclose(g[k], h[k], atol=1e-2 * abs(h[k]).max()) for k in g)
+
+
+def test_one_block_of_logits_is_held_at_a_time():
+    rng = np.random.default_rng(0)
+    m = attention.start(lm_score.CLASSES + 1, np.ones(lm_score.CLASSES) / lm_score.CLASSES, 32, 16)
+    ids, nexts = rng.integers(0, lm_score.CLASSES, (32, 32)), rng.integers(0, lm_score.CLASSES, (32, 24))  # two blocks
+    z, out = attention._attend(m, ids, 8)[1][0], np.vstack([m["O"], m["o"]])
+    block = attention.ROWS * lm_score.CLASSES * 4
+    tracemalloc.start()
+    attention._output_gradient(z, out, nexts.reshape(-1), np.ones(32 * 24, np.float32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * block
